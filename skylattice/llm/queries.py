@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, quality, sharding, toxicity
+from . import bpe, neardup, quality, sharding, toxicity
 from .shared import fold
 
 SHARDS = [f"shard-{i:03d}" for i in range(100)]
@@ -49,8 +49,12 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _held_out(quality.score_quality(_table(spark, sf_dir, "documents"), voter))
 
 
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(_table(spark, sf_dir, "documents"), words=2)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_bpe, op4_sharding, op8_quality)}
+    return {f.__name__: f for f in (op1_toxicity, op2_bpe, op4_sharding, op8_quality, op9_near_duplicates)}
 
 
 def oracle_sql() -> dict[str, str]:
