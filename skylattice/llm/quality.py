@@ -11,7 +11,7 @@ cosines vote with weight cosine ** power.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import bounded_sample
-from .textbytes import TextSlice, list_array, map_texts
+from .textbytes import TextSlice, bounded_batches, list_array, map_texts, slices
 
 
 def _byte_classes() -> tuple[np.ndarray, int]:
@@ -135,12 +135,14 @@ class LatentVoter:
         return score, nearest
 
 
-def fit_voter(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", *, max_examples: int = 3000, rank: int = 48, k: int = 9, power: float = 8.0) -> LatentVoter:
-    """Fits on at most ``max_examples`` labelled rows (those with the smallest hashed id).
+def fit_voter(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", *, max_examples: int = 3000, rank: int = 48, k: int = 9, power: float = 8.0) -> LatentVoter:
+    """Fits on at most ``max_examples`` rows of ``labels`` (those with the smallest hashed id); only
+    their ids and labels are broadcast.
 
     Rows whose label or id is null are left out.  With no labelled row at all every text scores 0.5.
     """
-    rows = bounded_sample(labelled.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(id_col, text_col, label_col), id_col, max_examples)
+    chosen = bounded_sample(labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(id_col, label_col), id_col, max_examples)
+    rows = docs.select(id_col, text_col).join(F.broadcast(chosen), id_col)
     packed = rows.select((F.col(id_col).cast("long") * 2 + F.when(F.col(label_col) > 0, 1).otherwise(0)).alias("key"), text_col)
 
     def make() -> Callable:
@@ -189,3 +191,20 @@ def score_quality(docs: DataFrame, voter: LatentVoter, id_col: str = "doc_id", t
         return run
 
     return map_texts(docs, id_col, text_col, make, "doc_id long, score double, predicted int, nearest double")
+
+
+def keep(docs: DataFrame, voter: LatentVoter, text_col: str = "text", least: float = 0.3) -> DataFrame:
+    """The rows of docs, all columns, whose text scores at least ``least``; null and empty texts are scored like any other."""
+    bounded_batches(docs.sparkSession)
+    sent = docs.sparkSession.sparkContext.broadcast(voter)
+    place = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = sent.value
+        for batch in batches:
+            score = np.zeros(len(batch))
+            for at, to, texts in slices(batch.column(place)):
+                score[at:to] = model.votes(model.latent(texts))[0]
+            yield batch.filter(pa.array(score >= least))
+
+    return docs.mapInArrow(run, docs.schema)

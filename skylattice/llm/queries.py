@@ -17,10 +17,9 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _labelled(spark: SparkSession, sf_dir: str, label: str) -> DataFrame:
-    """Labelled whole texts outside the held-out fold."""
-    labels = _table(spark, sf_dir, "labels").where(fold("doc_id", 5) != 0).select("doc_id", label)
-    return _table(spark, sf_dir, "documents").select("doc_id", "text").join(labels, "doc_id")
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels outside the held-out fold."""
+    return _table(spark, sf_dir, "labels").where(fold("doc_id", 5) != 0)
 
 
 def _held_out(scored: DataFrame) -> DataFrame:
@@ -28,8 +27,8 @@ def _held_out(scored: DataFrame) -> DataFrame:
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    voter = toxicity.fit_toxicity(_labelled(spark, sf_dir, "toxic"))
-    return _held_out(toxicity.score_toxicity(_table(spark, sf_dir, "documents"), voter))
+    docs = _table(spark, sf_dir, "documents")
+    return _held_out(toxicity.score_toxicity(docs, toxicity.fit_toxicity(docs, _labels(spark, sf_dir))))
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,8 +44,8 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    voter = quality.fit_voter(_labelled(spark, sf_dir, "quality"))
-    return _held_out(quality.score_quality(_table(spark, sf_dir, "documents"), voter))
+    docs = _table(spark, sf_dir, "documents")
+    return _held_out(quality.score_quality(docs, quality.fit_voter(docs, _labels(spark, sf_dir))))
 
 
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
