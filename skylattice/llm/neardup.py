@@ -246,3 +246,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = made.select("id", "n", "h1", "h2").join(classes, ["h1", "h2", "n"], "left").join(label.toDF("rep", "component"), "rep", "left")
     rows = named.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "id").alias("component_id"))
     return rows.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def keep_representatives(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """docs without the rows whose document near_duplicates() does not keep; a null id stays."""
+    gone = written(classes.where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
+    if gone.count() <= BROADCAST_IDS:
+        gone = F.broadcast(gone)
+    return docs.join(gone, docs[id_col].cast("long") == F.col("_gone"), "left_anti")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, neardup, quality, sharding, toxicity
+from . import ann, bpe, decontaminate, linededup, lmscore, neardup, quality, sharding, toxicity
 from .shared import fold
 
 SHARDS = [f"shard-{i:03d}" for i in range(100)]
@@ -38,11 +38,25 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(_table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return sharding.assign_shards(docs.select("doc_id"), ["doc_id"], SHARDS)
 
 
+def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest_neighbours(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    scored = lmscore.score_texts(docs, fold("doc_id", 7) != 2)
+    return scored.select("doc_id", F.coalesce(fold("doc_id", 7) == 2, F.lit(False)).alias("held_out"), *scored.columns[1:])
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return _held_out(quality.score_quality(docs, quality.fit_voter(docs, _labels(spark, sf_dir))))
@@ -52,8 +66,12 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"), words=2)
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_bpe, op4_sharding, op8_quality, op9_near_duplicates)}
+    return {f.__name__: f for f in (op1_toxicity, op2_bpe, op3_decontamination, op4_sharding, op5_neighbours, op6_lm_scoring, op8_quality, op9_near_duplicates, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
