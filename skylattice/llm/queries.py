@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, decontaminate, linededup, lmscore, neardup, quality, sharding, toxicity
-from .shared import fold
+from . import ann, bpe, decontaminate, linededup, lmscore, neardup, quality, sharding, toxicity, warc
+from .shared import fold, shared_folder
 
 SHARDS = [f"shard-{i:03d}" for i in range(100)]
 
@@ -57,6 +58,12 @@ def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(fold("doc_id", 7) == 2, F.lit(False)).alias("held_out"), *scored.columns[1:])
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
+    warc.write_archives(_table(spark, sf_dir, "pages"), path)
+    return warc.page_records(warc.read_archives(spark, path)).drop("uri", "file", "offset")
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return _held_out(quality.score_quality(docs, quality.fit_voter(docs, _labels(spark, sf_dir))))
@@ -71,12 +78,21 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_bpe, op3_decontamination, op4_sharding, op5_neighbours, op6_lm_scoring, op8_quality, op9_near_duplicates, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_toxicity, op2_bpe, op3_decontamination, op4_sharding, op5_neighbours, op6_lm_scoring, op7_warc, op8_quality, op9_near_duplicates, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
     claimed = ",".join(map(str, sharding.fill_table(SHARDS)))
     return {
+        "op7_warc": """
+            WITH p AS (SELECT page_id, coalesce(html, '') AS body, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first FROM pages),
+                 h AS (SELECT *, sha1(body) AS hexed FROM p),
+                 b AS (SELECT *, list_transform(range(0, 32), lambda i: (CAST('0x' || substr(hexed, 5 * (i // 4) + 1, 5) AS BIGINT) >> (15 - 5 * (i % 4))) & 31) AS fives FROM h)
+            SELECT page_id, CAST(octet_length(encode(body)) AS BIGINT) AS payload_bytes,
+                   list_aggregate(list_transform(fives, lambda f: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(f AS INTEGER) + 1, 1)), 'string_agg', '') AS payload_digest,
+                   CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+                   CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to
+            FROM b""",
         "op4_sharding": f"""
             WITH t AS (SELECT string_split('{claimed}', ',') AS claimed),
                  d AS (SELECT doc_id, CAST(CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 15) AS BIGINT) % {sharding.TABLE_SIZE} AS INTEGER) AS slot FROM documents)
