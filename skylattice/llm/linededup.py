@@ -9,6 +9,8 @@ and the line after; from there the match is extended line by line both ways, and
 spans ``min_words`` words or more, its later copy is deleted.
 
 Documents come in the order of their ids; a repeated run within one document counts too.
+A run that is compared with none of its earlier copies in full, because each of its fingerprints
+first occurred with another line before and another after, is deleted as far as it matches those.
 """
 
 from __future__ import annotations

@@ -7,10 +7,11 @@ Documents with the same set are one class.  Bands of registers are bucket keys;
 classes from a bucket pass a test of set sizes, a maximum-likelihood estimate from how
 many registers are larger, smaller and equal, and at last the exact sets.
 
-Buckets are not expanded into all pairs.  First each bucket's best connected member is
-paired with every other one; links so confirmed form components.  Then, in buckets that
-still hold several components, members outside the largest one are paired with members
-of other components only: pairs inside a component cannot change the result.
+Buckets are not expanded into all pairs.  Each bucket's best connected member, its hub, is
+compared with every other one; links so confirmed form components.  Two members alike to
+the hub but not in its component can be linked only if they share something that the hub
+lacks or if their sizes leave room for it (see _beside_hubs); only such pairs of different
+components are compared further, and members unlike the hub with the rest of their bucket.
 """
 
 from __future__ import annotations
@@ -168,8 +169,11 @@ def _likely(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame
     return both.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(run, "a long, b long")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Pairs whose exact sets meet the threshold; the sets are made anew from the texts of these documents alone."""
+def _compared(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """a, b, na, nb, common, linked and extra (what b has and a has not) of pairs, from their exact sets.
+
+    The sets are made anew from the texts of these documents alone.
+    """
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     if ids.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
@@ -184,20 +188,51 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> D
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
+            sizes_a, sizes_b, common, extra = [], [], [], []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
                 a, b = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                at = np.minimum(np.searchsorted(b, a), len(b) - 1)
-                common = int((b[at] == a).sum())
-                keep.append(100 * common >= percent * (len(a) + len(b) - common))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                if len(a):
+                    held = a[np.minimum(np.searchsorted(a, b), len(a) - 1)] == b
+                else:
+                    held = np.zeros(len(b), bool)
+                sizes_a.append(len(a))
+                sizes_b.append(len(b))
+                common.append(int(held.sum()))
+                extra.append(b[~held].view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, pa.int64()) for c in (sizes_a, sizes_b, common)), pa.array(extra, pa.list_(pa.int64()))], names=["a", "b", "na", "nb", "common", "extra"])
 
     sets = map_texts(docs.join(ids, "id", "left_semi"), "id", "text", make, "id long, shingles binary")
     both = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
-    return both.select("a", "b", "sa", "sb").mapInArrow(test, "a long, b long")
+    measured = both.select("a", "b", "sa", "sb").mapInArrow(test, "a long, b long, na long, nb long, common long, extra array<long>")
+    return measured.withColumn("linked", (F.col("common") > 0) & (100 * F.col("common") >= percent * (F.col("na") + F.col("nb") - F.col("common"))))
+
 
+def _beside_hubs(tested: DataFrame, label: DataFrame, percent: int) -> DataFrame:
+    """a, b: the pairs of members tested with one hub h that may be linked though they are in different components.
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, words: int = 5, percent: int = 80, rounds: int = 2) -> DataFrame:
+    If x and c share nothing that h lacks, their intersection is at most that of h and c.  So they can be
+    linked only if 100 * i >= percent * (|x| + |c| - i) with i = |h and c|, and likewise for x.  Members
+    outside the hub's component are paired with those that pass this by their size, and with those that
+    share an element that the hub lacks; no other pair of a hub's members can be linked.
+    """
+    part = label.toDF("b", "part")
+    member = tested.join(part, "b", "left").withColumn("part", F.coalesce("part", "b"))
+    member = member.join(label.toDF("a", "hub_part"), "a", "left").withColumn("hub_part", F.coalesce("hub_part", "a"))
+    member = member.withColumn("most", (F.floor(100 * F.col("common") / percent) - F.col("nb") + F.col("common")).cast("long"))
+    member = written(member.select("a", "b", "nb", "most", "extra", "part", "hub_part"), "beside")
+    outside = member.where("part != hub_part")
+    member = member.join(outside.select("a").distinct(), "a", "left_semi")
+    other = member.select("a", F.col("b").alias("b2"), F.col("nb").alias("nb2"), F.col("most").alias("most2"), F.col("part").alias("part2"), "hub_part", "extra")
+    apart = (F.col("part") != F.col("part2")) & ((F.col("part2") == F.col("hub_part")) | (F.col("b") < F.col("b2")))
+    near = 100 * F.least("nb", "nb2") >= percent * F.greatest("nb", "nb2")
+    mine = outside.drop("hub_part", "extra")
+    sizes = other.select("a", "nb2").distinct()
+    by_size = mine.join(sizes, "a").where(near & (F.col("nb2") <= F.col("most"))).join(other.drop("extra"), ["a", "nb2"]).where(apart & (F.col("nb") <= F.col("most2")))
+    shared = outside.select("a", "b", "nb", "part", F.explode("extra").alias("e")).join(other.withColumn("e", F.explode("extra")).drop("extra"), ["a", "e"]).where(apart & near)
+    return by_size.select("b", "b2").union(shared.select("b", "b2")).select(F.least("b", "b2").alias("a"), F.greatest("b", "b2").alias("b"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, words: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest id reachable over links), kept (the id is that one).
 
     Links join documents with 100 * intersection >= percent * union.  Null and empty texts and those
@@ -217,34 +252,34 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     buckets = written(rows.join(shared, "key"), "buckets")
     degree = buckets.groupBy("id").agg(F.sum(F.col("c") - 1).alias("degree"))
     buckets = written(buckets.join(degree, "id"), "members")
-    near = (100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n")) & (F.col("id") != F.col("hub"))
-    pair = (F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"))
-
-    def links(pairs: DataFrame) -> DataFrame:
-        return written(_confirmed(written(_likely(pairs.distinct(), reps, threshold), "likely"), texts, words, percent), "found")
-
     hubs = buckets.groupBy("key").agg(F.max(F.struct("degree", -F.col("id"), "n")).alias("h")).select("key", (-F.col("h.col2")).alias("hub"), F.col("h.n").alias("hub_n"))
-    found = links(buckets.join(hubs, "key").where(near).select(*pair))
+    rows = written(buckets.select("key", "id", "n", "c").join(hubs, "key").where("id != hub"), "rows")
+    near = 100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n")
+    likely = written(_likely(rows.where(near).select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), reps, threshold), "likely")
+    tested = written(_compared(likely, texts, words, percent), "tested")
+    found = tested.where("linked").select("a", "b")
     label = components(found)
-    for turn in range(rounds):
-        held = buckets.join(label.toDF("id", "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-        held = written(held, "held")
-        each = held.groupBy("key", "component").agg(F.count("*").alias("m"))
-        major = each.groupBy("key").agg(F.max(F.struct("m", "component")).alias("w"), F.count("*").alias("parts")).where("parts > 1").select("key", F.col("w.component").alias("major"))
-        open_ = held.join(major, "key")
-        minor = open_.where("component != major")
-        if turn < rounds - 1:  # one more hub for each bucket, from outside its largest component
-            one = minor.groupBy("key").agg(F.max(F.struct("degree", -F.col("id"), "n", "component")).alias("h")).select("key", (-F.col("h.col2")).alias("hub"), F.col("h.n").alias("hub_n"), F.col("h.component").alias("hub_part"))
-            new = open_.join(one, "key").where(near & (F.col("component") != F.col("hub_part"))).select(*pair)
-        else:  # the rest, exactly: every member outside the largest component with members of other components
-            one = minor.select("key", F.col("id").alias("hub"), F.col("n").alias("hub_n"), F.col("component").alias("hub_part"))
-            new = open_.join(one, "key").where(near & (F.col("component") != F.col("hub_part")) & ((F.col("component") == F.col("major")) | (F.col("id") < F.col("hub")))).select(*pair)
-        more = links(new)
-        if not more.isEmpty():
-            found = found.union(more)
-            label = components(found)
-    named = made.select("id", "n", "h1", "h2").join(classes, ["h1", "h2", "n"], "left").join(label.toDF("rep", "component"), "rep", "left")
-    rows = named.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "id").alias("component_id"))
+    # members that are unlike their bucket's hub meet the bucket's other members
+    far = rows.where("c > 2").join(likely.toDF("hub", "id"), ["hub", "id"], "left_anti").select("key", "id", "n")
+    far = far.join(label.toDF("id", "part"), "id", "left").withColumn("part", F.coalesce("part", "id")).withColumn("far", F.lit(True))
+    far = written(far, "far")
+    others = rows.join(far.select("key").distinct(), "key", "left_semi").select("key", "id", "n").join(label.toDF("id", "part"), "id", "left").withColumn("part", F.coalesce("part", "id"))
+    others = others.join(far.select("key", "id", "far"), ["key", "id"], "left").toDF("key", "id2", "n2", "part2", "far2")
+    met = far.join(others, "key").where((F.col("part") != F.col("part2")) & (F.col("far2").isNull() | (F.col("id") < F.col("id2"))) & (100 * F.least("n", "n2") >= percent * F.greatest("n", "n2")))
+    pairs = met.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).union(_beside_hubs(tested, label, percent)).distinct()
+    more = written(_compared(written(_likely(pairs, reps, threshold), "likely"), texts, words, percent).where("linked").select("a", "b"), "found")
+    if not more.isEmpty():
+        label = components(found.union(more))
+    named = made.select("id", "n", "h1", "h2").join(classes, ["h1", "h2", "n"], "left")
+    again = written(named.where("id IS NOT NULL").groupBy("id").agg(F.count("*").alias("rows"), F.min("rep").alias("low")).where("rows > 1").drop("rows"), "again")
+    if repeated := not again.isEmpty():  # rows that share an id hold their classes together
+        links = found.union(more)
+        label = components(links.union(named.join(again, "id").where("rep != low").select(F.col("low").alias("a"), F.col("rep").alias("b"))))
+    rows = named.join(label.toDF("rep", "component"), "rep", "left")
+    rows = rows.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "rep", "id")).alias("component_id"))
+    if repeated:
+        whole = rows.join(again.select(F.col("id").alias("doc_id")), "doc_id").groupBy("doc_id").agg(F.min("component_id").alias("whole"))
+        rows = rows.join(whole, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("whole", "component_id").alias("component_id"))
     return rows.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
