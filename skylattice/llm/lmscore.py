@@ -4,10 +4,9 @@ A text is its bytes and an end mark.  Each symbol is a path of binary decisions
 Huffman tree that the byte before it selects, so likely symbols take few decisions.
 Predictors give the probability of each decision from counts over all training texts in
 one context: the byte before (exact), four bytes, and the letters of the word so far (both
-hashed).  Their stretched probabilities are mixed by weights, with a
-second set gated in where the word context is known; the mix is refined by a correction
-that depends on how sure it is.  Weights and correction learn online after every decision,
-from fixed values at the start of each ``SEGMENT`` decisions of a text.  The sum of the
+hashed).  Their stretched probabilities pass gates that depend on how sure the word context is and are mixed by weights; the mix is refined by a
+correction that depends on its own size.  Weights and correction learn online after every
+decision, from fixed values at the start of each ``SEGMENT`` decisions of a text.  The sum of the
 decisions' logarithms is the log probability of the text.
 
 Beside it stands the exact add-one unigram model over words.  Its counts grow with the
@@ -40,15 +39,19 @@ SEGMENT, BATCH_BYTES = 1024, 1 << 19
 PIECE_BITS = 16
 #: So many of the most frequent words are broadcast (16 bytes each).
 HEAD_WORDS = 400_000
-#: First weights of the three predictors and the bias, their gated addition, and the rates of learning.
-START = np.array([0.2, 0.55, 0.45, 0.0], np.float32)
-GATED = np.array([-0.1, 0.05, 0.15, 0.0], np.float32)
-RATE, REFINE = np.float32(0.008), np.float32(0.02)
+#: First weights of the three predictors and the bias, the gates of the predictors where the word context
+#: is sure (1 where it is not), and the rates of learning.
+START = np.array([0.3, 0.7, 0.3, 0.0], np.float32)
+GATE = np.array([0.33, 0.86, 1.33], np.float32)
+RATE, REFINE = np.float32(0.015), np.float32(0.02)
 
 _ORDER1 = SYMBOLS * SYMBOLS
-_STEP, _SPREAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95)
+_SPREAD = np.uint32(0x85EBCA6B)
 
 
+_APART = np.append(SPACE, True)
+_LETTER = np.append(mix(LOWER.astype(np.uint64) + np.uint64(77)), np.uint64(0))
+
 # ---- binary decisions
 
 
@@ -119,23 +122,20 @@ def previous(symbol: np.ndarray, first: np.ndarray, back: int) -> np.ndarray:
 def contexts(symbol: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
     """The byte before each symbol and its two context hashes."""
     one = previous(symbol, first, 1)
-    back = [one.astype(np.uint64), *(previous(symbol, first, k).astype(np.uint64) for k in (2, 3, 4))]
-    two = mix(back[0] + back[1] * np.uint64(512) + np.uint64(1))
-    four = mix(two + back[2] * np.uint64(1 << 20) + back[3] * np.uint64(1 << 30) + np.uint64(2))
+    near = one.astype(np.uint64)
+    for back in (2, 3, 4):
+        near |= previous(symbol, first, back).astype(np.uint64) << np.uint64(9 * back - 9)
+    four = mix(near)
     n = len(symbol)
-    apart = np.ones(n, bool)
-    byte = symbol < END
-    apart[byte] = SPACE[symbol[byte]]
+    apart = _APART[symbol]
     up, down = powers(n + 1)
-    code = np.zeros(n, np.uint64)
-    code[byte] = mix(LOWER[symbol[byte]].astype(np.uint64) + np.uint64(77))
-    sums = np.append(np.uint64(0), np.cumsum(code * up[:n]))
+    sums = np.append(np.uint64(0), np.cumsum(_LETTER[symbol] * up[:n]))
     opens = np.zeros(n, np.int64)
     opens[1:][apart[:-1]] = np.flatnonzero(apart[:-1]) + 1
     opens = np.maximum.accumulate(opens)
     place = np.arange(n)
     word = mix((sums[place] - sums[opens]) * down[opens] + (place - opens).astype(np.uint64) + np.uint64(3))
-    return one, [four, word]
+    return one, [(h >> np.uint64(32)).astype(np.uint32) for h in (four, word)]
 
 
 def decisions(code: Code, symbol: np.ndarray, one: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -148,13 +148,19 @@ def decisions(code: Code, symbol: np.ndarray, one: np.ndarray) -> tuple[np.ndarr
     return of, code.node[at], code.bit[at]
 
 
-def slots(context: np.ndarray, of: np.ndarray, node: np.ndarray, bits: int) -> np.ndarray:
-    """Slot of every decision of the symbols ``of``."""
-    at = context[of]
-    at += node * _STEP
+def slots(context: np.ndarray, of: np.ndarray, salt: np.ndarray, bits: int) -> np.ndarray:
+    """Slot of every decision: its symbol's context hash and its node, hashed together in 32 bits."""
+    at = context.take(of)
+    at ^= salt
+    at *= _SPREAD
+    at ^= at >> np.uint32(15)
     at *= _SPREAD
-    at >>= np.uint64(64 - bits)
-    return at.view(np.int64)
+    at >>= np.uint32(32 - bits)
+    return at
+
+
+def salted(node: np.ndarray) -> np.ndarray:
+    return (node + np.uint32(1)) * np.uint32(0x9E3779B1)
 
 
 # ---- what is gathered from the training texts
@@ -228,9 +234,9 @@ def _gather_decisions(train: DataFrame, code: Code) -> list[np.ndarray]:
                 symbol, first, _ = symbols_of(texts)
                 one, hashed = contexts(symbol, first)
                 of, node, bit = decisions(code, symbol, one)
-                wide = node.astype(np.uint64)
+                salt = salted(node)
                 for table, context, bits in zip(tables, hashed, SLOT_BITS, strict=True):
-                    np.add.at(table, slots(context, of, wide, bits) * 2 + bit, np.int32(1))
+                    np.add.at(table, slots(context, of, salt, bits).astype(np.int64) * 2 + bit, np.int32(1))
         for k, table in enumerate(tables):
             step = 2 << PIECE_BITS
             for piece, at in enumerate(range(0, len(table), step)):
@@ -279,37 +285,35 @@ def log_probabilities(code: Code, tables: list[np.ndarray], texts: TextSlice) ->
     offset = np.append(0, np.cumsum(active))
     x = np.empty((4, len(where)), np.float32)
     scale = np.float32(1 / 2048)
-    np.multiply(tables[0][np.repeat(one.astype(np.int32) * np.int32(SYMBOLS), size) + node][where], scale, out=x[0])
-    salt = node * _STEP
+    np.multiply(tables[0].take((one * SYMBOLS).astype(np.int32).take(of) + node).take(where), scale, out=x[0])
+    salt = salted(node)
     for k, (context, bits) in enumerate(zip(hashed, SLOT_BITS, strict=True), 1):
-        at = np.repeat(context, size)
-        at += salt
-        at *= _SPREAD
-        at >>= np.uint64(64 - bits)
-        np.multiply(tables[k].take(at.view(np.int64))[where], scale, out=x[k])
-    bit = bit[where].astype(np.float32)
+        np.multiply(tables[k].take(slots(context, of, salt, bits)).take(where), scale, out=x[k])
+    bit = bit.take(where).astype(np.float32)
     x[3] = 0.3
-    gate = (np.abs(x[2]) > 1).astype(np.float32)
-    w, v = np.repeat(START[:, None], n, 1), np.repeat(GATED[:, None], n, 1)
-    fix = np.zeros((n, 8), np.float32).ravel()
+    known = np.abs(x[2]) > 1
+    for k in range(3):
+        np.multiply(x[k], GATE[k], out=x[k], where=known)
+    w = np.repeat(START[:, None], n, 1)
+    fix = np.zeros(n * 8, np.float32)
     lane = np.arange(n, dtype=np.int64) * 8
-    sure = np.empty(len(where), np.float32)
+    error = np.empty(len(where), np.float32)
     for t, a in enumerate(active):
         part = slice(offset[t], offset[t + 1])
-        xt, g, b = x[:, part], gate[part], bit[part]
-        s = np.einsum("kl,kl->l", xt, w[:, :a] + v[:, :a] * g)
-        p = 1 / (1 + np.exp(-s))
-        at = lane[:a] + np.clip(s + 4, 0, 7).astype(np.int64)
+        xt, wt, e = x[:, part], w[:, :a], error[part]
+        s = np.einsum("kl,kl->l", xt, wt)
+        at = np.clip(s + 4, 0, 7).astype(np.int64)
+        at += lane[:a]
         r = fix[at]
-        q = np.clip(1 / (1 + np.exp(-(s + r))), 1e-5, 1 - 1e-5)
-        step = xt * ((b - p) * RATE)
-        w[:, :a] += step
-        step *= g
-        v[:, :a] += step
-        fix[at] = r + (b - q) * REFINE
-        np.abs(1 - b - q, out=sure[part])
+        s += r
+        np.negative(s, out=s)
+        np.exp(s, out=s)
+        s += 1
+        np.divide(bit[part] * s - 1, s, out=e)  # outcome - 1 / (1 + exp(-s))
+        wt += xt * (e * RATE)
+        fix[at] = r + e * REFINE
     total = np.zeros(n)
-    logs = np.log10(sure)
+    logs = np.log10(np.clip(1 - np.abs(error), 1e-5, 1 - 1e-5))
     for t, a in enumerate(active):
         total[:a] += logs[offset[t] : offset[t + 1]]
     return np.bincount(of_text, total, minlength=len(texts))
