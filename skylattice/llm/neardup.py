@@ -140,7 +140,7 @@ def sketches(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFra
 
 
 def _keys(classes: DataFrame) -> DataFrame:
-    """key, id, n: a row for each band of each class."""
+    """id, n, keys: the band keys of each class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -150,7 +150,7 @@ def _keys(classes: DataFrame) -> DataFrame:
                 offsets = pa.array(np.arange(len(batch) + 1, dtype=np.int32) * key.shape[1])
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(offsets, pa.array(key.ravel().view(np.int64)))], names=["id", "n", "keys"])
 
-    return classes.select("id", "n", "registers").mapInArrow(run, "id long, n long, keys array<long>").select(F.explode("keys").alias("key"), "id", "n")
+    return classes.select("id", "n", "registers").mapInArrow(run, "id long, n long, keys array<long>")
 
 
 def _likely(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
@@ -247,7 +247,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = made.where("n > 0 AND id IS NOT NULL").groupBy("h1", "h2", "n").agg(F.min("id").alias("rep"))
     reps = written(made.join(classes.select(F.col("rep").alias("id"), "h1", "h2"), ["id", "h1", "h2"], "left_semi").dropDuplicates(["id", "h1", "h2"]), "classes")
     texts = texts.where("id IS NOT NULL")
-    rows = _keys(reps)
+    rows = _keys(reps).select(F.explode("keys").alias("key"), "id", "n")
     shared = rows.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
     buckets = written(rows.join(shared, "key"), "buckets")
     degree = buckets.groupBy("id").agg(F.sum(F.col("c") - 1).alias("degree"))
@@ -263,9 +263,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     far = rows.where("c > 2").join(likely.toDF("hub", "id"), ["hub", "id"], "left_anti").select("key", "id", "n")
     far = far.join(label.toDF("id", "part"), "id", "left").withColumn("part", F.coalesce("part", "id")).withColumn("far", F.lit(True))
     far = written(far, "far")
+    keys = _keys(reps).select("id", "keys")
     others = rows.join(far.select("key").distinct(), "key", "left_semi").select("key", "id", "n").join(label.toDF("id", "part"), "id", "left").withColumn("part", F.coalesce("part", "id"))
     others = others.join(far.select("key", "id", "far"), ["key", "id"], "left").toDF("key", "id2", "n2", "part2", "far2")
-    met = far.join(others, "key").where((F.col("part") != F.col("part2")) & (F.col("far2").isNull() | (F.col("id") < F.col("id2"))) & (100 * F.least("n", "n2") >= percent * F.greatest("n", "n2")))
+    others = others.join(keys.toDF("id2", "keys2"), "id2")
+    # a pair is made in the first bucket that the two share, and in no other
+    first = F.get(F.filter(F.zip_with("keys", "keys2", lambda a, b: F.when(a == b, a)), lambda x: x.isNotNull()), 0) == F.col("key")
+    met = far.join(keys, "id").join(others, "key").where(first & (F.col("part") != F.col("part2")) & (F.col("far2").isNull() | (F.col("id") < F.col("id2"))) & (100 * F.least("n", "n2") >= percent * F.greatest("n", "n2")))
     pairs = met.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).union(_beside_hubs(tested, label, percent)).distinct()
     more = written(_compared(written(_likely(pairs, reps, threshold), "likely"), texts, words, percent).where("linked").select("a", "b"), "found")
     if not more.isEmpty():
