@@ -1,16 +1,13 @@
-"""Line dedup by winnowing over line hashes.
+"""Line dedup by the exact windows of every line.
 
 Lines with words are hashed by their words (A-Z lower-cased, any white space between).  A
-gram is the shortest run of lines from a line on with at least ``gram_words`` words; a
-window the shortest with at least ``min_words``.  Of each window's grams the one with the
-smallest hash is a fingerprint, so two equal runs of ``min_words`` words always share one.
-A fingerprint is joined with its first occurrence, alone and together with the line before
-and the line after; from there the match is extended line by line both ways, and if it
-spans ``min_words`` words or more, its later copy is deleted.
+window is a run of lines with at least ``min_words`` words that has fewer without its last
+line, or fewer without its first.  Every line of a run of ``min_words`` words or more stands
+in such a window inside the run, and where the run occurs the window does, so a line is in
+a run that occurred before exactly if one of its windows did.  Windows are joined by the hash
+of all their lines; the lines of every occurrence but the first are deleted.
 
 Documents come in the order of their ids; a repeated run within one document counts too.
-A run that is compared with none of its earlier copies in full, because each of its fingerprints
-first occurred with another line before and another after, is deleted as far as it matches those.
 """
 
 from __future__ import annotations
@@ -49,7 +46,10 @@ def line_units(texts: TextSlice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def fingerprints(h: np.ndarray, words: np.ndarray, owner: np.ndarray, gram_words: int, min_words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Line (its place among all) and gram hash of every fingerprint."""
+    """Line (its place among all) and gram hash of every fingerprint: of each window's shortest runs of ``gram_words`` words the one with the smallest hash.
+
+    Two equal runs of ``min_words`` words share one.  dedup_lines() does without: it joins whole windows.
+    """
     n = len(h)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
@@ -79,86 +79,76 @@ def fingerprints(h: np.ndarray, words: np.ndarray, owner: np.ndarray, gram_words
     return where, gram[where]
 
 
-def extend(current: np.ndarray, words: np.ndarray, first: np.ndarray, places: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
-    """(start, end, words) in current of the equal runs around each pair of places (in current, in first)."""
-    out: list[tuple[int, int, int]] = []
-    done: dict[int, int] = {}
-    for at, to in sorted(places):
-        shift = at - to
-        if done.get(shift, -1) > at or current[at] != first[to]:
-            continue
-        low = at
-        while low > 0 and low - shift > 0 and current[low - 1] == first[low - 1 - shift]:
-            low -= 1
-        high = at + 1
-        while high < len(current) and high - shift < len(first) and current[high] == first[high - shift]:
-            high += 1
-        done[shift] = high
-        out.append((low, high, int(words[low:high].sum())))
-    return out
-
-
-def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, gram_words: int = 25, min_words: int = 50) -> DataFrame:
+def windows(h: np.ndarray, words: np.ndarray, owner: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First line, line after the last (places among all) and hash of every window, in the order of first lines."""
+    n = len(h)
+    total = np.append(0, np.cumsum(words))
+    start, stop = np.searchsorted(owner, owner), np.searchsorted(owner, owner, "right")
+    ahead = np.searchsorted(total, total[:-1] + min_words)  # after the last line of the window that begins at a line
+    back = np.searchsorted(total, total[1:] - min_words, "right") - 1  # first line of the window that ends with a line
+    low, last = np.flatnonzero(ahead <= stop), np.flatnonzero(back >= start)
+    last = last[ahead[back[last]] != last + 1]  # else it is the window from its first line on, too
+    low, high = np.append(low, back[last]), np.append(ahead[low], last + 1)
+    order = np.argsort(low, kind="stable")
+    low, high = low[order], high[order]
+    up, down = powers(n + 1)
+    sums = np.append(np.uint64(0), np.cumsum(mix(h) * up[:n]))
+    return low, high, mix((sums[high] - sums[low]) * down[low] + (high - low).astype(np.uint64))
+
+
+def merged(row: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, start and end of the runs that ranges of lines make together; rows come in order."""
+    apart = row.astype(np.int64) * (int(high.max(initial=0)) + 2)
+    order = np.argsort(apart + low, kind="stable")
+    row, apart, low = row[order], apart[order], low[order]
+    reach = np.maximum.accumulate(apart + high[order])
+    at = np.flatnonzero(np.append(True, apart[1:] + low[1:] > reach[:-1]))
+    return row[at], low[at], reach[np.append(at[1:], len(reach)) - 1] - apart[at]
+
+
+def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, min_words: int = 50) -> DataFrame:
     """id, digest (of the text), lows and highs: the lines with words to delete from each document."""
-    bounded_batches(docs.sparkSession)
     key = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"))
 
     # rows with the same id and text are one document
     named = key.select(F.coalesce("id", F.lit(-(2**63))).alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("digest"), "text")
-    lines = written(_keyed_lines(named, gram_words, min_words), "lines")
-    prints = lines.where(F.size("places") > 0).select("id", "digest", F.explode(F.arrays_zip("places", "grams", "before", "after")).alias("p"))
-    prints = prints.select("id", "digest", F.col("p.places").alias("place"), F.explode(F.array("p.grams", "p.before", "p.after")).alias("gram"))
-    first = prints.groupBy("gram").agg(F.min(F.struct("id", "digest", "place")).alias("f"), F.max(F.struct("id", "digest", "place")).alias("l")).where("f != l").select("gram", F.col("f.id").alias("id0"), F.col("f.digest").alias("digest0"), F.col("f.place").alias("place0"))
-    later = prints.join(first, "gram").where(F.struct("id", "digest", "place") > F.struct(F.col("id0").alias("id"), F.col("digest0").alias("digest"), F.col("place0").alias("place")))
-    pairs = later.groupBy("id", "digest", "id0", "digest0").agg(F.collect_set(F.struct("place", "place0")).alias("at"))
-    unique = lines.where(F.size("hashes") > 0).select("id", "digest", "hashes", "words").dropDuplicates(["id", "digest"])
-    both = pairs.join(unique, ["id", "digest"]).join(unique.select(F.col("id").alias("id0"), F.col("digest").alias("digest0"), F.col("hashes").alias("hashes0")), ["id0", "digest0"])
-    kinds = pa.schema([("id", pa.int64()), ("digest", pa.int64()), ("lows", pa.list_(pa.int32())), ("highs", pa.list_(pa.int32()))])
+    kept = written(_keyed_windows(named, min_words), "windows").select("id", "digest", F.explode(F.arrays_zip("lows", "highs", "keys")).alias("w"))
+    kept = kept.select("id", "digest", F.col("w.lows").alias("low"), F.col("w.highs").alias("high"), F.col("w.keys").alias("key"))
+    place = F.struct("id", "digest", "low")
+    first = kept.groupBy("key").agg(F.min(place).alias("f"), F.max(place).alias("l")).where("f != l").select("key", "f")
+    later = kept.join(first, "key").where(place > F.col("f"))
+    ranges = later.groupBy("id", "digest").agg(F.collect_set(F.struct("low", "high")).alias("at"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for i in range(len(batch)):
-                current, words, first = (batch.column(c)[i].values.to_numpy() for c in (2, 3, 4))
-                runs = extend(current, words, first, [(x["place"], x["place0"]) for x in batch.column(5)[i].as_py()])
-                rows.append([x for x in runs if x[2] >= min_words])
-            out = [batch.column(0), batch.column(1), pa.array([[x[0] for x in r] for r in rows], kinds.field(2).type), pa.array([[x[1] for x in r] for r in rows], kinds.field(3).type)]
-            yield pa.RecordBatch.from_arrays(out, schema=kinds).filter(pa.array([bool(r) for r in rows], pa.bool_()))
+            at = batch.column(2)
+            low, high = (x.to_numpy(zero_copy_only=False) for x in at.flatten().flatten())
+            row, low, high = merged(np.repeat(np.arange(len(batch)), at.value_lengths().to_numpy(zero_copy_only=False)), low, high)
+            each = np.bincount(row, minlength=len(batch))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), list_array(low, each, pa.int32()), list_array(high, each, pa.int32())], names=["id", "digest", "lows", "highs"])
 
-    runs = both.select("id", "digest", "hashes", "words", "hashes0", "at").mapInArrow(run, "id long, digest long, lows array<int>, highs array<int>")
-    return runs.groupBy("id", "digest").agg(F.flatten(F.collect_list("lows")).alias("lows"), F.flatten(F.collect_list("highs")).alias("highs"))
+    return ranges.mapInArrow(run, "id long, digest long, lows array<int>, highs array<int>")
 
 
-def _keyed_lines(named: DataFrame, gram_words: int, min_words: int) -> DataFrame:
-    """_lines() with the two-part key carried along."""
+def _keyed_windows(named: DataFrame, min_words: int) -> DataFrame:
+    """id, digest, lows, highs, keys: the windows of each document that has any."""
     bounded_batches(named.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, to, texts in slices(batch.column(2)):
                 h, words, owner = line_units(texts)
-                where, gram = fingerprints(h, words, owner, gram_words, min_words)
-                opening = np.searchsorted(owner, np.arange(len(texts)))
-                each, prints = np.bincount(owner, minlength=len(texts)), np.bincount(owner[where], minlength=len(texts))
-                total = np.append(0, np.cumsum(words))
-                end = np.searchsorted(total, total[where] + gram_words)
-                fenced_h, fenced_owner = np.append(h, np.uint64(0)), np.append(owner, -1)
-                before = np.where(fenced_owner[where - 1] == owner[where], fenced_h[where - 1], np.uint64(0))
-                after = np.where(fenced_owner[end] == owner[where], fenced_h[end], np.uint64(0))
-                lists = [
-                    list_array(h.view(np.int64), each, pa.int64()),
-                    list_array(words.astype(np.int32), each, pa.int32()),
-                    list_array((where - opening[owner[where]]).astype(np.int32), prints, pa.int32()),
-                    list_array(gram.view(np.int64), prints, pa.int64()),
-                    list_array(mix(gram + mix(before + np.uint64(1))).view(np.int64), prints, pa.int64()),
-                    list_array(mix(gram ^ mix(after + np.uint64(2))).view(np.int64), prints, pa.int64()),
-                ]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), batch.column(1).slice(at, to - at), *lists], names=["id", "digest", "hashes", "words", "places", "grams", "before", "after"])
-
-    return named.select("id", "digest", "text").mapInArrow(run, "id long, digest long, hashes array<long>, words array<int>, places array<int>, grams array<long>, before array<long>, after array<long>")
-
-
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, gram_words: int = 25, min_words: int = 50, prefix: str = "") -> DataFrame:
+                low, high, key = windows(h, words, owner, min_words)
+                opening = np.searchsorted(owner, np.arange(len(texts)))[owner[low]]
+                each = np.bincount(owner[low], minlength=len(texts))
+                lists = [list_array((low - opening).astype(np.int32), each, pa.int32()), list_array((high - opening).astype(np.int32), each, pa.int32()), list_array(key.view(np.int64), each, pa.int64())]
+                whole = pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), batch.column(1).slice(at, to - at), *lists], names=["id", "digest", "lows", "highs", "keys"])
+                yield whole.filter(pa.array(each > 0))
+
+    return named.select("id", "digest", "text").mapInArrow(run, "id long, digest long, lows array<int>, highs array<int>, keys array<long>")
+
+
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, min_words: int = 50, prefix: str = "") -> DataFrame:
     """docs with the text cleaned, and <prefix>lines_removed (those with words) and <prefix>words_removed.
 
     Deleted are later copies of equal runs of lines with at least ``min_words`` words; blank lines
@@ -170,7 +160,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if clash := set(new) & set(docs.columns):
         raise ValueError(f"columns {sorted(clash)} are there already; give a prefix")
     bounded_batches(docs.sparkSession)
-    runs = written(repeated_runs(docs, id_col, text_col, gram_words=gram_words, min_words=min_words), "runs").toDF("_run_id", "_run_digest", "_lows", "_highs")
+    runs = written(repeated_runs(docs, id_col, text_col, min_words=min_words), "runs").toDF("_run_id", "_run_digest", "_lows", "_highs")
     if runs.count() <= BROADCAST_DOCUMENTS:
         runs = F.broadcast(runs)
     on = (F.coalesce(docs[id_col].cast("long"), F.lit(-(2**63))) == F.col("_run_id")) & (F.xxhash64(F.coalesce(docs[text_col].cast("string"), F.lit(""))) == F.col("_run_digest"))

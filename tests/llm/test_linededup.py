@@ -85,3 +85,41 @@ def test_equal_runs_share_a_fingerprint():
             _, gram = linededup.fingerprints(h, w, np.zeros(len(h), np.int64), 25, 50)
             prints.append(set(gram.tolist()))
         assert prints[0] & prints[1]
+
+
+def assert_as_brute(spark, rows):
+    """No line more and no line less than brute() is deleted; how many were."""
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in linededup.dedup_lines(d).collect()}
+    gone = 0
+    for i, (out, units) in brute(rows).items():
+        assert [tuple(x.lower().split()) for x in got[i].text.split("\n") if x.split()] == [u for k, u in enumerate(units) if k not in out]
+        assert (got[i].lines_removed, got[i].words_removed) == (len(out), sum(len(units[k]) for k in out))
+        gone += len(out)
+    return gone
+
+
+def test_whole_copies_after_a_short_excerpt(spark):
+    rng = random.Random(11)
+    rows = []
+    for k in range(8):
+        passage = [words(3, rng) for _ in range(20)]
+        rows.append((100 * k, "\n".join([words(7, rng), *passage[2:18], words(7, rng)])))  # 48 words of it
+        rows += [(100 * k + i, "\n".join([words(7, rng), *passage, words(7, rng)])) for i in range(1, 21)]
+    assert assert_as_brute(spark, rows) == 8 * 19 * 20
+
+
+def test_every_line_matches_brute_force(spark):
+    rng = random.Random(12)
+    passages = [[words(rng.randrange(1, 9), rng) for _ in range(30)] for _ in range(5)] + [[words(rng.randrange(20, 70), rng) for _ in range(5)] for _ in range(5)]
+    common = words(4, rng)
+    rows = []
+    for i in range(150):
+        lines = []
+        for _ in range(rng.randrange(1, 5)):
+            p = rng.choice(passages)
+            a = rng.randrange(len(p))
+            lines += [words(rng.randrange(1, 20), rng)] * rng.randrange(2) + p[a : a + rng.randrange(1, len(p))] + [common] * rng.randrange(3)
+        rows.append((i, "\n".join(lines)))
+    rows.append((150, "one word\n" * 200))
+    assert assert_as_brute(spark, rows) > 500
