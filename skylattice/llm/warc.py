@@ -82,7 +82,7 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", uri_col
 
 def parse_record(piece: bytes) -> tuple[dict[str, str], int, int] | None:
     """(header fields, length of the header, declared length of the block) of what follows a version line."""
-    end = piece.find(b"\r\n\r\n", 0, 1 << 16)
+    end = piece.find(b"\r\n\r\n")
     if end < 0:
         return None
     fields = {}

@@ -60,3 +60,14 @@ def test_small_payloads_may_stay_responses(spark, tmp_path):
     assert got == {1: "response", 2: "response", 3: "response", 4: "revisit"}
     warc.write_archives(d.limit(0), str(tmp_path / "empty"))
     assert warc.page_records(warc.read_archives(spark, str(tmp_path / "empty"))).count() == 0
+
+
+def test_long_urls_break_no_chain(spark, tmp_path, small_splits):
+    """Headers of any length, also with version words inside, and the records and revisits after them."""
+    urls = ["u", "data:," + "x" * 100_000, "http://h/?q=" + "WARC/1.1" * 20_000 + "x", "v", "é" * 70_000, "w", "w"]
+    rows = [(i, u, f"page {i % 5}") for i, u in enumerate(urls)]
+    d = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    warc.write_archives(d, str(tmp_path / "w"))
+    got = {r.page_id: r for r in warc.page_records(warc.read_archives(spark, str(tmp_path / "w"))).collect()}
+    assert {i: (r.uri, r.payload_bytes, r.payload_digest) for i, r in got.items()} == {i: (u, len(h), digest(h.encode())) for i, u, h in rows}
+    assert {i: r.refers_to for i, r in got.items() if r.record_type == "revisit"} == {5: 0, 6: 1}
