@@ -4,10 +4,10 @@ A text is its bytes and an end mark.  Each symbol is a path of binary decisions
 Huffman tree that the byte before it selects, so likely symbols take few decisions.
 Predictors give the probability of each decision from counts over all training texts in
 one context: the byte before (exact), four bytes, and the letters of the word so far (both
-hashed).  Their stretched probabilities pass gates that depend on how sure the word context is and are mixed by weights; the mix is refined by a
-correction that depends on its own size.  Weights and correction learn online after every
-decision, from fixed values at the start of each ``SEGMENT`` decisions of a text.  The sum of the
-decisions' logarithms is the log probability of the text.
+hashed).  Their stretched probabilities are mixed by one of two sets of weights, for where the word context
+is sure and where it is not; the mix is refined by a correction that depends on its own size.
+Weights and correction learn online after every decision, from fixed values at the start of a
+text to its end.  The sum of the decisions' logarithms is the log probability of the text.
 
 Beside it stands the exact add-one unigram model over words.  Its counts grow with the
 corpus; the most frequent words (a fixed number) are broadcast, all others are joined.
@@ -33,16 +33,14 @@ END = 256
 SYMBOLS = 257
 #: log2 of the number of slots of each hashed predictor: four bytes, word so far.
 SLOT_BITS = (21, 21)
-#: Decisions after which the weights of a long text start anew, and bytes that are handled together.
-SEGMENT, BATCH_BYTES = 1024, 1 << 19
+#: Bytes that are hashed together, bytes of texts that are scored side by side, and symbols of them in one round.
+BATCH_BYTES, HELD_BYTES, ROUND = 1 << 19, 1 << 24, 300_000
 #: Counts travel in pieces of so many slots.
 PIECE_BITS = 16
 #: So many of the most frequent words are broadcast (16 bytes each).
 HEAD_WORDS = 400_000
-#: First weights of the three predictors and the bias, the gates of the predictors where the word context
-#: is sure (1 where it is not), and the rates of learning.
-START = np.array([0.3, 0.7, 0.3, 0.0], np.float32)
-GATE = np.array([0.33, 0.86, 1.33], np.float32)
+#: First weights of the three predictors and the bias where the word context is not sure and where it is, and the rates of learning.
+START = np.array([[0.3, 0.7, 0.3, 0.0], [0.1, 0.6, 0.4, 0.0]], np.float32)
 RATE, REFINE = np.float32(0.015), np.float32(0.02)
 
 _ORDER1 = SYMBOLS * SYMBOLS
@@ -265,58 +263,100 @@ def _gather_decisions(train: DataFrame, code: Code) -> list[np.ndarray]:
 # ---- scoring
 
 
-def log_probabilities(code: Code, tables: list[np.ndarray], texts: TextSlice) -> np.ndarray:
-    """log10 of each text's probability."""
-    symbol, first, owner = symbols_of(texts)
-    one, hashed = contexts(symbol, first)
+def log_probabilities(code: Code, tables: list[np.ndarray], parts: list[TextSlice]) -> np.ndarray:
+    """log10 of each text's probability, over all parts.
+
+    Texts are lanes side by side, the longest first; in a round each goes on by as many symbols, with the weights it has.
+    """
+    held = []
+    for texts in parts:
+        symbol, first, _ = symbols_of(texts)
+        held.append((symbol.astype(np.uint16), *contexts(symbol, first)[1], np.diff(first)))
+    symbol, four, word, size = (np.concatenate(x) for x in zip(*held, strict=True))
+    del held
+    order = np.argsort(-size, kind="stable")
+    n = len(size)
+    start, size = (np.cumsum(size) - size)[order], size[order]
+    w, fix, total = np.tile(START, (n, 1)), np.zeros((n, 8), np.float32), np.zeros(n)
+    done = 0
+    while a := int(np.searchsorted(-size, -done)):  # texts with symbols left
+        step = max(1, ROUND // a)
+        each = np.minimum(size[:a] - done, step)
+        ends = np.cumsum(each)
+        at = np.arange(ends[-1]) + np.repeat(start[:a] + done - (ends - each), each)
+        one = symbol[at - 1].astype(np.int64)
+        if not done:
+            one[ends - each] = END
+        total[:a] += advance(code, tables, symbol[at].astype(np.int64), one, [four[at], word[at]], ends, w[: 2 * a], fix[:a])
+        done += step
+    out = np.empty(n)
+    out[order] = total
+    return out
+
+
+def advance(code: Code, tables: list[np.ndarray], symbol: np.ndarray, one: np.ndarray, hashed: list[np.ndarray], ends: np.ndarray, weights: np.ndarray, fixes: np.ndarray) -> np.ndarray:
+    """log10 of the probability of each lane's symbols (up to ``ends``); weights (two rows a lane) and fixes learn on."""
     size = code.size[one * SYMBOLS + symbol]
     of, node, bit = decisions(code, symbol, one)
-    begin = np.append(0, np.cumsum(size))[first]  # first decision of each text
-    pieces = np.maximum(1, -(-np.diff(begin) // SEGMENT))
-    of_text = np.repeat(np.arange(len(texts)), pieces)
-    turn = np.arange(len(of_text)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-    start = begin[of_text] + turn * SEGMENT
-    length = np.minimum(begin[of_text + 1] - start, SEGMENT)
+    begin = np.append(0, np.cumsum(size)[ends - 1])
+    length = np.diff(begin)
     order = np.argsort(-length, kind="stable")
-    of_text, start, length = of_text[order], start[order].astype(np.int32), length[order]
+    start, length = begin[:-1][order], length[order]
     n = len(length)
-    active = np.searchsorted(-length, -np.arange(1, int(length[0]) + 1), "right")  # segments with a t-th decision
-    where = np.concatenate([start[:a] + np.int32(t) for t, a in enumerate(active)])
+    active = np.searchsorted(-length, -np.arange(1, int(length[0]) + 1), "right")  # lanes with a t-th decision
     offset = np.append(0, np.cumsum(active))
-    x = np.empty((4, len(where)), np.float32)
+    lane = np.arange(offset[-1]) - np.repeat(offset[:-1], active)
+    where = start[lane] + np.repeat(np.arange(len(active)), active)
+    x = np.empty((len(where), 4), np.float32)
     scale = np.float32(1 / 2048)
-    np.multiply(tables[0].take((one * SYMBOLS).astype(np.int32).take(of) + node).take(where), scale, out=x[0])
+    np.multiply(tables[0].take((one * SYMBOLS).astype(np.int32).take(of) + node).take(where), scale, out=x[:, 0])
     salt = salted(node)
     for k, (context, bits) in enumerate(zip(hashed, SLOT_BITS, strict=True), 1):
-        np.multiply(tables[k].take(slots(context, of, salt, bits)).take(where), scale, out=x[k])
+        np.multiply(tables[k].take(slots(context, of, salt, bits)).take(where), scale, out=x[:, k])
     bit = bit.take(where).astype(np.float32)
-    x[3] = 0.3
-    known = np.abs(x[2]) > 1
-    for k in range(3):
-        np.multiply(x[k], GATE[k], out=x[k], where=known)
-    w = np.repeat(START[:, None], n, 1)
-    fix = np.zeros(n * 8, np.float32)
-    lane = np.arange(n, dtype=np.int64) * 8
+    x[:, 3] = 0.3
+    row = lane * 2 + (np.abs(x[:, 2]) > 1)
+    w = weights.reshape(n, 8)[order].reshape(2 * n, 4)
+    fix = fixes[order].ravel()
+    first = np.arange(n, dtype=np.int64) * 8
     error = np.empty(len(where), np.float32)
-    for t, a in enumerate(active):
-        part = slice(offset[t], offset[t + 1])
-        xt, wt, e = x[:, part], w[:, :a], error[part]
-        s = np.einsum("kl,kl->l", xt, wt)
-        at = np.clip(s + 4, 0, 7).astype(np.int64)
-        at += lane[:a]
-        r = fix[at]
+    for a, low, high in zip(active.tolist(), offset[:-1].tolist(), offset[1:].tolist(), strict=True):
+        xt, rt, e = x[low:high], row[low:high], error[low:high]
+        wt = w.take(rt, 0)
+        s = np.einsum("lk,lk->l", xt, wt)
+        at = s + np.float32(4)
+        np.maximum(at, 0, out=at)
+        np.minimum(at, 7, out=at)
+        at = at.astype(np.int64)
+        at += first[:a]
+        r = fix.take(at)
         s += r
         np.negative(s, out=s)
         np.exp(s, out=s)
         s += 1
-        np.divide(bit[part] * s - 1, s, out=e)  # outcome - 1 / (1 + exp(-s))
-        wt += xt * (e * RATE)
+        np.divide(bit[low:high] * s - 1, s, out=e)  # outcome - 1 / (1 + exp(-s))
+        wt += xt * (e * RATE)[:, None]
+        w[rt] = wt
         fix[at] = r + e * REFINE
-    total = np.zeros(n)
-    logs = np.log10(np.clip(1 - np.abs(error), 1e-5, 1 - 1e-5))
-    for t, a in enumerate(active):
-        total[:a] += logs[offset[t] : offset[t + 1]]
-    return np.bincount(of_text, total, minlength=len(texts))
+    weights.reshape(n, 8)[order] = w.reshape(n, 8)
+    fixes[order] = fix.reshape(n, 8)
+    out = np.empty(n)
+    out[order] = np.bincount(lane, np.log10(np.clip(1 - np.abs(error), 1e-5, 1 - 1e-5)), minlength=n)
+    return out
+
+
+def _held(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[pa.Array, TextSlice]]]:
+    """ids and texts of slices, about ``HELD_BYTES`` at a time."""
+    held, size = [], 0
+    for batch in batches:
+        for at, to, part in slices(batch.column(1), BATCH_BYTES):
+            held.append((batch.column(0).slice(at, to - at), part))
+            size += len(part.data)
+            if size >= HELD_BYTES:
+                yield held
+                held, size = [], 0
+    if held:
+        yield held
 
 
 def score_texts(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -349,10 +389,13 @@ def score_texts(docs: DataFrame, training: Column, id_col: str = "doc_id", text_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code, tables, key, logs = sent.value
         row = TaskContext.get().partitionId() << 33
-        for batch in batches:
-            for at, to, part in slices(batch.column(1), BATCH_BYTES):
+        for held in _held(batches):
+            scores = log_probabilities(code, tables, [part for _, part in held])
+            done = 0
+            for ids, part in held:
                 n = len(part)
-                score = log_probabilities(code, tables, part)
+                score = scores[done : done + n]
+                done += n
                 starts, ends, first = part.words()
                 h = part.hashes(starts, ends)
                 owner = np.repeat(np.arange(n), np.diff(first))
@@ -369,7 +412,7 @@ def score_texts(docs: DataFrame, training: Column, id_col: str = "doc_id", text_
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(row + np.arange(n)),
-                        batch.column(0).slice(at, to - at),
+                        ids,
                         pa.array(np.diff(first) + 1),
                         pa.array(np.bincount(owner[known], minlength=n) + (end_log > 0)),
                         pa.array(base),

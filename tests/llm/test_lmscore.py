@@ -81,3 +81,42 @@ def test_no_training_rows(spark):
     rows = L.score_texts(d, F.lit(False)).collect()
     assert {r.n_known for r in rows} == {0} and all(math.isfinite(r.score) and r.score < 0 for r in rows)
     assert L.score_texts(d.limit(0), F.lit(True)).count() == 0
+
+
+def one_by_one(code, tables, text):
+    """log10 of a text's probability, decision by decision with one pair of weight sets from its start to its end."""
+    (_, _, t), = slices(pa.array([text]))
+    symbol, first, _ = L.symbols_of(t)
+    one, hashed = L.contexts(symbol, first)
+    of, node, bit = L.decisions(code, symbol, one)
+    salt = L.salted(node)
+    x = [tables[0][one[of] * L.SYMBOLS + node], *(tables[k][L.slots(h, of, salt, L.SLOT_BITS[k - 1])] for k, h in enumerate(hashed, 1))]
+    x = np.column_stack([*(v / 2048 for v in x), np.full(len(of), 0.3)])
+    w, fix, total = L.START.astype(float).copy(), np.zeros(8), 0.0
+    for row, y in zip(x, bit.tolist(), strict=True):
+        k = int(abs(row[2]) > 1)
+        s = float(row @ w[k])
+        cell = int(min(max(s + 4, 0), 7))
+        p = 1 / (1 + math.exp(-s - fix[cell]))
+        w[k] += row * (y - p) * float(L.RATE)
+        fix[cell] += (y - p) * float(L.REFINE)
+        total += math.log10(min(max(1 - abs(y - p), 1e-5), 1 - 1e-5))
+    return total
+
+
+def test_learning_goes_on_to_the_end_of_long_texts(monkeypatch):
+    rng = np.random.default_rng(9)
+    say = lambda n: " ".join("".join("abcdefgh"[c] for c in rng.integers(0, 8, rng.integers(1, 7))) for _ in range(n))
+    texts = [say(900), "", say(3), say(60) + " and so on" * 300, say(200)]
+    pairs = np.zeros(L.SYMBOLS**2)
+    for _, _, t in slices(pa.array(texts)):
+        s, f, _ = L.symbols_of(t)
+        pairs += np.bincount(L.previous(s, f, 1) * L.SYMBOLS + s, minlength=L.SYMBOLS**2)
+    pairs = pairs.reshape(L.SYMBOLS, L.SYMBOLS)
+    code = L.Code.build(pairs)
+    tables = [L.pair_table(code, pairs), *(rng.integers(-6000, 6000, 1 << b).astype(np.int16) for b in L.SLOT_BITS)]
+    want = [one_by_one(code, tables, t) for t in texts]
+    for most, parts in ((300_000, [texts]), (200, [texts[:2], texts[2:]])):
+        monkeypatch.setattr(L, "ROUND", most)
+        got = L.log_probabilities(code, tables, [t for p in parts for _, _, t in slices(pa.array(p))])
+        assert np.allclose(got, want, rtol=1e-3)
