@@ -5,8 +5,10 @@ A-Z lower-cased; a token with a digit is a number, a known unit after a number a
 capitalised word inside a sentence a name.  These three are typed placeholders (slots).
 Windows of ``width`` canonical tokens are hashed and joined with those of the benchmark
 items.  Matches of a document and an item on one diagonal must fill the slots alike: each
-value of the item stands for one value of the document and the other way round.  A
-document leaks an item if the diagonals that do so cover ``coverage`` of its windows.
+value of the item stands for one value of the document and the other way round.  Windows with
+too few tokens that are no slots, and items too short for a window, are looked for
+literally: by the tokens without placeholders.  A document leaks an item if the diagonals that
+do so cover ``coverage`` of its windows, or of those that are no literal ones.
 """
 
 from __future__ import annotations
@@ -33,6 +35,7 @@ _MARK[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
 _STOP = np.zeros(256, bool)
 _STOP[[ord(c) for c in ".!?:"]] = True
 _NUMBER, _UNIT, _NAME = (np.uint64(x) for x in (0x11D0A1B2C3D4E5F7, 0x22E0B1C2D3E4F507, 0x33F0C1D2E3F40517))
+_LITERAL = np.uint64(0x44E0D1E2F3051627)
 #: Hashed windows of the benchmark that one pass over the documents looks for (8 bytes each are broadcast).
 BLOCK = 1_000_000
 #: Up to so many ids are broadcast to remove documents; more are joined by a shuffle.
@@ -49,8 +52,8 @@ def _hashes_of(words: str) -> np.ndarray:
 _UNIT_HASHES = _hashes_of(UNITS)
 
 
-def canonical(texts: TextSlice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each token its canonical hash, its slot value (0: none) and its text."""
+def canonical(texts: TextSlice) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each token its canonical hash, its slot value (0: none), its literal hash and its text."""
     starts, ends, first = texts.words()
     owner = np.repeat(np.arange(len(texts)), np.diff(first))
     solid = np.flatnonzero(~_MARK[texts.data] & ~SPACE[texts.data])
@@ -74,85 +77,100 @@ def canonical(texts: TextSlice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     at = np.minimum(np.searchsorted(_UNIT_HASHES, value), len(_UNIT_HASHES) - 1)
     unit = after_number & (_UNIT_HASHES[at] == value)
     token = np.where(number, _NUMBER, np.where(unit, _UNIT, np.where(name, _NAME, value)))
-    return token, np.where(number | unit | name, value, np.uint64(0)), owner
+    return token, np.where(number | unit | name, value, np.uint64(0)), value, owner
 
 
-def windows(token: np.ndarray, slot: np.ndarray, owner: np.ndarray, width: int, literals: int) -> tuple[np.ndarray, np.ndarray]:
-    """Place (among all tokens) and hash of every window with at least ``literals`` tokens that are no slots."""
+def windows(token: np.ndarray, owner: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Place (among all tokens) and hash of every window."""
     n = len(token) - width + 1
     if n <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     up, down = powers(len(token) + 1)
     sums = np.append(np.uint64(0), np.cumsum(mix(token) * up[: len(token)]))
-    plain = np.append(0, np.cumsum(slot == 0))
-    at = np.flatnonzero((owner[width - 1 :] == owner[:n]) & (plain[width:] - plain[:-width] >= literals))
+    at = np.flatnonzero(owner[width - 1 :] == owner[:n])
     return at, mix((sums[at + width] - sums[at]) * down[at] + np.uint64(width))
 
 
-def _scan(docs: DataFrame, id_col: str, text_col: str, widths: Callable, literals: int, wanted: Callable[[], dict[int, np.ndarray] | None]) -> DataFrame:
-    """id, width, tokens (of the text), place, hash, slots: the windows, or only those in wanted()."""
+def _scan(docs: DataFrame, id_col: str, text_col: str, width: int, shortest: int, literals: int, wanted: Callable[[], dict[tuple[int, bool], np.ndarray] | None]) -> DataFrame:
+    """id, width, literal, tokens (of the text), place, hash, slots: the windows, or only those in wanted().
+
+    A window with too few tokens that are no slots is a literal one, without slots; wanted() literal
+    windows are looked for everywhere.
+    """
+    most = width
+    kinds = [(w, literal) for w in range(1, most + 1) for literal in (False, True) if literal or w >= shortest]
 
     def make() -> Callable:
         look = wanted()
 
         def run(ids: pa.Array, texts: TextSlice):
-            token, slot, owner = canonical(texts)
+            token, slot, value, owner = canonical(texts)
             n = np.bincount(owner, minlength=len(texts))
             opening = np.append(0, np.cumsum(n))
+            plain = np.append(0, np.cumsum(slot == 0))
             found = []
-            for width in look or widths:
-                at, h = windows(token, slot, owner, width, min(literals, width - width // 3))
+            for width, literal in look or kinds:
+                at, h = windows(value ^ _LITERAL if literal else token, owner, width)
+                few = plain[at + width] - plain[at] < (min(literals, width - width // 3) if width >= shortest else width + 1)
                 if look is not None:
-                    known = look[width]
+                    known = look[width, literal]
                     keep = known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h
-                    at, h = at[keep], h[keep]
-                elif width < max(widths):  # a shorter window only where it is the whole item
-                    keep = n[owner[at]] == width
-                    at, h = at[keep], h[keep]
+                    keep &= ~few | literal
+                else:
+                    keep = few == literal
+                    if width < most:  # a shorter window only where it is the whole item
+                        keep &= n[owner[at]] == width
+                at, h = at[keep], h[keep]
                 if len(at):
-                    values = np.zeros((len(at), max(widths)), np.uint64)
-                    values[:, :width] = slot[at[:, None] + np.arange(width)]
-                    found.append((owner[at], np.full(len(at), width), n[owner[at]], at - opening[owner[at]], h, values))
+                    values = np.zeros((len(at), most), np.uint64)
+                    if not literal:
+                        values[:, :width] = slot[at[:, None] + np.arange(width)]
+                    found.append((owner[at], np.full(len(at), width), np.full(len(at), literal), n[owner[at]], at - opening[owner[at]], h, values))
             if not found:
                 return None
-            owner_, width_, n_, at_, h_, values_ = (np.concatenate(x) for x in zip(*found, strict=True))
-            return ids.take(pa.array(owner_)), width_.astype(np.int32), n_.astype(np.int32), at_.astype(np.int32), h_.view(np.int64), binary_rows(values_)
+            owner_, width_, literal_, n_, at_, h_, values_ = (np.concatenate(x) for x in zip(*found, strict=True))
+            return ids.take(pa.array(owner_)), width_.astype(np.int32), literal_, n_.astype(np.int32), at_.astype(np.int32), h_.view(np.int64), binary_rows(values_)
 
         return run
 
-    return map_texts(docs, id_col, text_col, make, "id long, width int, tokens int, place int, hash long, slots binary")
+    return map_texts(docs, id_col, text_col, make, "id long, width int, literal boolean, tokens int, place int, hash long, slots binary")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", *, width: int = 8, shortest: int = 4, literals: int = 4, coverage: float = 0.4) -> DataFrame:
     """doc_id, item_id, matched and windows (of the item), coverage, first_token, last_token, slots_differ.
 
-    One row for each pair whose consistent matches cover at least ``coverage`` of the item's windows.
-    Items of ``shortest`` to ``width`` - 1 tokens have one window, the whole item; shorter ones and null
-    texts have none and are never found.  A window needs ``literals`` tokens that are no slots.  A null
+    One row for each pair whose consistent matches cover at least ``coverage`` of the item's windows, or
+    of those that are no literal ones (the larger share is given).  Items of less than ``width`` tokens have
+    one window, the whole item.  Items of fewer than ``shortest`` tokens, and windows with fewer than
+    ``literals`` tokens that are no slots, are found literally only; texts without a token never.  A null
     id is left out.  Rows that share an id count as one document.  slots_differ tells re-parameterised
     copies from literal ones.
     """
     spark = docs.sparkSession
-    widths = range(shortest, width + 1)
-    items = written(_scan(benchmark.where(F.col(item_col).isNotNull()), item_col, item_text, list(widths), literals, lambda: None), "items")
+    items = written(_scan(benchmark.where(F.col(item_col).isNotNull()), item_col, item_text, width, shortest, literals, lambda: None), "items")
     blocks = max(1, -(-items.select("hash").distinct().count() // BLOCK))
     hits = None
     for block in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("hash"), F.lit(blocks)) == block).select("width", "hash").distinct().toArrow()
-        by_width = {w: np.sort(rows["hash"].to_numpy()[rows["width"].to_numpy() == w].astype(np.int64).view(np.uint64)) for w in set(rows["width"].to_pylist())}
-        if by_width:
-            sent = spark.sparkContext.broadcast(by_width)
-            found = _scan(docs.where(F.col(id_col).isNotNull()), id_col, text_col, list(widths), literals, lambda sent=sent: sent.value)
+        rows = items.where(F.pmod(F.xxhash64("hash"), F.lit(blocks)) == block).select("width", "literal", "hash").distinct().toArrow()
+        widths, literal, hashes = rows["width"].to_numpy(), rows["literal"].to_numpy().astype(bool), rows["hash"].to_numpy().astype(np.int64)
+        by_kind = {k: np.sort(hashes[(widths == k[0]) & (literal == k[1])].view(np.uint64)) for k in sorted(set(zip(widths.tolist(), literal.tolist(), strict=True)))}
+        if by_kind:
+            sent = spark.sparkContext.broadcast(by_kind)
+            found = _scan(docs.where(F.col(id_col).isNotNull()), id_col, text_col, width, shortest, literals, lambda sent=sent: sent.value)
             hits = found if hits is None else hits.union(found)
     if hits is None:
         hits = items.limit(0)
-    size = items.groupBy("id").agg(F.countDistinct("hash").alias("windows")).select(F.col("id").alias("item_id"), "windows")
-    side = items.select(F.col("id").alias("item_id"), "hash", "width", F.col("place").alias("item_place"), F.col("slots").alias("item_slots"))
-    pairs = written(hits.join(side, ["hash", "width"]).select("id", "item_id", "hash", "place", "item_place", "width", "slots", "item_slots", (F.col("place") - F.col("item_place")).alias("diagonal")), "matches")
+    typed = F.countDistinct(F.when(~F.col("literal"), F.col("hash")))
+    size = items.groupBy("id").agg(F.countDistinct("hash").alias("all_windows"), typed.alias("typed_windows")).withColumnRenamed("id", "item_id")
+    side = items.select(F.col("id").alias("item_id"), "hash", "width", "literal", F.col("place").alias("item_place"), F.col("slots").alias("item_slots"))
+    pairs = written(hits.join(side, ["hash", "width", "literal"]).select("id", "item_id", "hash", "literal", "place", "item_place", "width", "slots", "item_slots", (F.col("place") - F.col("item_place")).alias("diagonal")), "matches")
     clash = _clashes(pairs)
     good = pairs.join(clash, ["id", "item_id", "diagonal"], "left").where("bad IS NULL OR slots = item_slots")
-    each = good.groupBy("id", "item_id").agg(F.countDistinct("hash").alias("matched"), F.min("place").alias("first_token"), F.max(F.col("place") + F.col("width") - 1).alias("last_token"), F.max(F.col("slots") != F.col("item_slots")).alias("slots_differ"))
-    share = each.join(size, "item_id").withColumn("coverage", F.col("matched") / F.col("windows")).where(F.col("coverage") >= coverage)
+    each = good.groupBy("id", "item_id").agg(F.countDistinct("hash").alias("all_matched"), typed.alias("typed_matched"), F.min("place").alias("first_token"), F.max(F.col("place") + F.col("width") - 1).alias("last_token"), F.max(F.col("slots") != F.col("item_slots")).alias("slots_differ"))
+    both = each.join(size, "item_id").withColumns({"all": F.col("all_matched") / F.col("all_windows"), "typed": F.try_divide("typed_matched", "typed_windows")})
+    more = F.coalesce(F.col("typed") >= F.col("all"), F.lit(False))
+    chosen = {to: F.when(more, F.col(f"typed{of}")).otherwise(F.col(f"all{of}")) for to, of in (("matched", "_matched"), ("windows", "_windows"), ("coverage", ""))}
+    share = both.withColumns(chosen).where(F.col("coverage") >= coverage)
     return share.select(F.col("id").alias("doc_id"), "item_id", "matched", "windows", "coverage", "first_token", "last_token", "slots_differ")
 
 

@@ -60,3 +60,26 @@ def test_blocks_of_the_benchmark_give_the_same(spark, monkeypatch):
     whole = sorted(map(tuple, D.leaks(d, b).collect()))
     monkeypatch.setattr(D, "BLOCK", 10)
     assert sorted(map(tuple, D.leaks(d, b).collect())) == whole and len(whole) == 4
+
+
+def test_items_of_slots_and_short_items_are_found_literally(spark):
+    items = [
+        (1, "What is 12 + 34 - 5 * 6"),
+        (2, "3 1 4 1 5 9 2 6 5 3 5 8 9 7"),
+        (3, "list Anna Berta Carla Dora Emma Frida Greta Hanna Ida"),
+        (4, "quux 77"),
+        (5, "sum up the first few of these odd things 3 5 7 9 11 13 15 17 19 21 23 25 27"),
+        (6, "--"),
+    ]
+    docs = [(10 * i, f"some words before, {t} and after") for i, t in items]
+    docs += [
+        (11, "some words, What is 13 + 34 - 5 * 6"),  # other numbers in what is found literally only
+        (21, "3 1 4 1 5 9 2 7 5 3 5 8 9 7"),
+        (41, "quux 78 and 77 quux"),
+        (51, "Sum up the first few of these odd things 4 6 8"),  # the template alone
+        (61, "-- clean --"),
+    ]
+    d, b = frame(spark, docs, "doc_id long, text string"), frame(spark, items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r for r in D.leaks(d, b).collect()}
+    assert set(got) == {(10, 1), (20, 2), (30, 3), (40, 4), (50, 5), (51, 5)}
+    assert got[20, 2].coverage == 1.0 and not got[20, 2].slots_differ
