@@ -8,10 +8,10 @@ classes from a bucket pass a test of set sizes, a maximum-likelihood estimate fr
 many registers are larger, smaller and equal, and at last the exact sets.
 
 Buckets are not expanded into all pairs.  Each bucket's best connected member, its hub, is
-compared with every other one; links so confirmed form components.  Two members alike to
-the hub but not in its component can be linked only if they share something that the hub
-lacks or if their sizes leave room for it (see _beside_hubs); only such pairs of different
-components are compared further, and members unlike the hub with the rest of their bucket.
+compared with every other one; links so confirmed form components.  A member is known by its
+difference from the hub, the elements that only one of the two has.  Two members of different
+components can be linked only if they share much of their differences (see _beside_hubs), so
+they are found by the rarest elements of these and confirmed from them.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
@@ -170,7 +170,7 @@ def _likely(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame
 
 
 def _compared(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """a, b, na, nb, common, linked and extra (what b has and a has not) of pairs, from their exact sets.
+    """a, b, na (size of a's set), lacks and adds (what a has and b has not, and the reverse), linked, differs (these elements), of pairs.
 
     The sets are made anew from the texts of these documents alone.
     """
@@ -188,48 +188,55 @@ def _compared(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Da
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes_a, sizes_b, common, extra = [], [], [], []
+            sizes, lacks, adds, differs = [], [], [], []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
                 a, b = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                if len(a):
-                    held = a[np.minimum(np.searchsorted(a, b), len(a) - 1)] == b
-                else:
-                    held = np.zeros(len(b), bool)
-                sizes_a.append(len(a))
-                sizes_b.append(len(b))
-                common.append(int(held.sum()))
-                extra.append(b[~held].view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, pa.int64()) for c in (sizes_a, sizes_b, common)), pa.array(extra, pa.list_(pa.int64()))], names=["a", "b", "na", "nb", "common", "extra"])
+                only_a, only_b = np.setdiff1d(a, b, True), np.setdiff1d(b, a, True)
+                sizes.append(len(a))
+                lacks.append(len(only_a))
+                adds.append(len(only_b))
+                differs.append(np.concatenate([only_a, only_b]).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, pa.int64()) for c in (sizes, lacks, adds)), pa.array(differs, pa.list_(pa.int64()))], names=["a", "b", "na", "lacks", "adds", "differs"])
 
     sets = map_texts(docs.join(ids, "id", "left_semi"), "id", "text", make, "id long, shingles binary")
     both = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
-    measured = both.select("a", "b", "sa", "sb").mapInArrow(test, "a long, b long, na long, nb long, common long, extra array<long>")
-    return measured.withColumn("linked", (F.col("common") > 0) & (100 * F.col("common") >= percent * (F.col("na") + F.col("nb") - F.col("common"))))
+    measured = both.select("a", "b", "sa", "sb").mapInArrow(test, "a long, b long, na long, lacks long, adds long, differs array<long>")
+    common = F.col("na") - F.col("lacks")
+    return measured.withColumn("linked", (common > 0) & (100 * common >= percent * (F.col("na") + F.col("adds"))))
 
 
 def _beside_hubs(tested: DataFrame, label: DataFrame, percent: int) -> DataFrame:
-    """a, b: the pairs of members tested with one hub h that may be linked though they are in different components.
-
-    If x and c share nothing that h lacks, their intersection is at most that of h and c.  So they can be
-    linked only if 100 * i >= percent * (|x| + |c| - i) with i = |h and c|, and likewise for x.  Members
-    outside the hub's component are paired with those that pass this by their size, and with those that
-    share an element that the hub lacks; no other pair of a hub's members can be linked.
+    """a, b: linked pairs of members tested with one hub that are in different components.
+
+    Let |h| be the size of the hub's set, and let x lack r(x) of its elements and add a(x) others.  With s
+    elements shared by the differences of x and y from the hub, |x and y| = |h| - r(x) - r(y) + s, so they are
+    linked if and only if (100 + percent) s >= w(x) + w(y) - (100 - percent) |h| where w = 100 r + percent a.
+    Of two members of different components one, x, is not linked with the hub: w(x) > (100 - percent) |h|.
+    So (100 + percent) s > w(y): in any order of elements, y has to share one with x while so many are left to
+    it, and at the first one that they share both have to have as many left as the pair needs.  The order is
+    by how many members outside the hub's component have an element, the rarest first.
     """
-    part = label.toDF("b", "part")
-    member = tested.join(part, "b", "left").withColumn("part", F.coalesce("part", "b"))
-    member = member.join(label.toDF("a", "hub_part"), "a", "left").withColumn("hub_part", F.coalesce("hub_part", "a"))
-    member = member.withColumn("most", (F.floor(100 * F.col("common") / percent) - F.col("nb") + F.col("common")).cast("long"))
-    member = written(member.select("a", "b", "nb", "most", "extra", "part", "hub_part"), "beside")
-    outside = member.where("part != hub_part")
-    member = member.join(outside.select("a").distinct(), "a", "left_semi")
-    other = member.select("a", F.col("b").alias("b2"), F.col("nb").alias("nb2"), F.col("most").alias("most2"), F.col("part").alias("part2"), "hub_part", "extra")
-    apart = (F.col("part") != F.col("part2")) & ((F.col("part2") == F.col("hub_part")) | (F.col("b") < F.col("b2")))
-    near = 100 * F.least("nb", "nb2") >= percent * F.greatest("nb", "nb2")
-    mine = outside.drop("hub_part", "extra")
-    sizes = other.select("a", "nb2").distinct()
-    by_size = mine.join(sizes, "a").where(near & (F.col("nb2") <= F.col("most"))).join(other.drop("extra"), ["a", "nb2"]).where(apart & (F.col("nb") <= F.col("most2")))
-    shared = outside.select("a", "b", "nb", "part", F.explode("extra").alias("e")).join(other.withColumn("e", F.explode("extra")).drop("extra"), ["a", "e"]).where(apart & near)
-    return by_size.select("b", "b2").union(shared.select("b", "b2")).select(F.least("b", "b2").alias("a"), F.greatest("b", "b2").alias("b"))
+    member = tested.join(label.toDF("b", "part"), "b", "left").join(label.toDF("a", "hub_part"), "a", "left")
+    member = member.select("a", "b", "na", F.coalesce("part", "b").alias("part"), (F.coalesce("part", "b") != F.coalesce("hub_part", "a")).alias("outside"), (100 * F.col("lacks") + percent * F.col("adds")).alias("w"), "differs")
+    open_hubs = member.groupBy("a").agg(F.max("outside").alias("outside"), F.min("part").alias("low"), F.max("part").alias("high")).where("outside AND low < high").select("a")
+    member = written(member.join(open_hubs, "a", "left_semi"), "beside")
+    flat = member.select("a", "b", "part", "outside", "w", (F.size("differs") * (100 + percent)).alias("n"), F.explode("differs").alias("e"))
+    often = flat.where("outside").groupBy("a", "e").agg(F.count("*").alias("often"), F.min("part").alias("low"), F.max("part").alias("high"))
+    turn = F.row_number().over(Window.partitionBy("a", "b").orderBy(F.coalesce("often", F.lit(0)), "e"))
+    held = flat.join(often, ["a", "e"], "left").withColumn("left", F.col("n") - (turn - 1) * (100 + percent))
+    # an element that no member outside the hub's component has, or only those of one's own component, leads nowhere
+    held = written(held.where("often > 0 AND (outside OR left > w) AND (low != part OR high != part)"), "held")
+    probe = held.where("outside").select("a", "e", F.col("b").alias("x"), F.col("part").alias("x_part"), F.col("w").alias("wx"), F.col("left").alias("x_left"))
+    # at the first element that two share, both have to have enough left
+    need = F.col("w") + F.col("wx") - (100 - percent) * F.col("na")
+    open_pair = (F.col("part") != F.col("x_part")) & (F.least("left", "x_left") >= need)
+    rare = held.where("left > w").join(member.select("a", "na").distinct(), "a")
+    met = written(rare.join(probe, ["a", "e"]).where(open_pair).select("a", "b", "x").distinct(), "met")
+    side = member.select("a", "b", "na", "w", "differs")
+    both = met.join(side, ["a", "b"]).join(side.select("a", F.col("b").alias("x"), F.col("w").alias("wx"), F.col("differs").alias("dx")), ["a", "x"])
+    shared = F.size(F.array_intersect("differs", "dx"))
+    both = both.where((100 + percent) * shared >= F.col("w") + F.col("wx") - (100 - percent) * F.col("na"))
+    return both.select(F.least("b", "x").alias("a"), F.greatest("b", "x").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, words: int = 5, percent: int = 80) -> DataFrame:
@@ -253,25 +260,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     degree = buckets.groupBy("id").agg(F.sum(F.col("c") - 1).alias("degree"))
     buckets = written(buckets.join(degree, "id"), "members")
     hubs = buckets.groupBy("key").agg(F.max(F.struct("degree", -F.col("id"), "n")).alias("h")).select("key", (-F.col("h.col2")).alias("hub"), F.col("h.n").alias("hub_n"))
-    rows = written(buckets.select("key", "id", "n", "c").join(hubs, "key").where("id != hub"), "rows")
     near = 100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n")
-    likely = written(_likely(rows.where(near).select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), reps, threshold), "likely")
+    rows = buckets.join(hubs, "key").where("id != hub").groupBy(F.col("hub").alias("a"), F.col("id").alias("b")).agg(F.max("c").alias("most"), F.max(near).alias("near"))
+    rows = written(rows.where("near OR most > 2"), "rows")
+    # beside a third member even one unlike the hub is compared with it: its difference leads to the others
+    likely = written(_likely(rows.where("most = 2"), reps, threshold).union(rows.where("most > 2").select("a", "b")), "likely")
     tested = written(_compared(likely, texts, words, percent), "tested")
     found = tested.where("linked").select("a", "b")
     label = components(found)
-    # members that are unlike their bucket's hub meet the bucket's other members
-    far = rows.where("c > 2").join(likely.toDF("hub", "id"), ["hub", "id"], "left_anti").select("key", "id", "n")
-    far = far.join(label.toDF("id", "part"), "id", "left").withColumn("part", F.coalesce("part", "id")).withColumn("far", F.lit(True))
-    far = written(far, "far")
-    keys = _keys(reps).select("id", "keys")
-    others = rows.join(far.select("key").distinct(), "key", "left_semi").select("key", "id", "n").join(label.toDF("id", "part"), "id", "left").withColumn("part", F.coalesce("part", "id"))
-    others = others.join(far.select("key", "id", "far"), ["key", "id"], "left").toDF("key", "id2", "n2", "part2", "far2")
-    others = others.join(keys.toDF("id2", "keys2"), "id2")
-    # a pair is made in the first bucket that the two share, and in no other
-    first = F.get(F.filter(F.zip_with("keys", "keys2", lambda a, b: F.when(a == b, a)), lambda x: x.isNotNull()), 0) == F.col("key")
-    met = far.join(keys, "id").join(others, "key").where(first & (F.col("part") != F.col("part2")) & (F.col("far2").isNull() | (F.col("id") < F.col("id2"))) & (100 * F.least("n", "n2") >= percent * F.greatest("n", "n2")))
-    pairs = met.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).union(_beside_hubs(tested, label, percent)).distinct()
-    more = written(_compared(written(_likely(pairs, reps, threshold), "likely"), texts, words, percent).where("linked").select("a", "b"), "found")
+    more = written(_beside_hubs(tested, label, percent), "found")
     if not more.isEmpty():
         label = components(found.union(more))
     named = made.select("id", "n", "h1", "h2").join(classes, ["h1", "h2", "n"], "left")

@@ -118,3 +118,34 @@ def test_components_are_those_of_a_graph(spark):
     d = spark.createDataFrame(links, "a long, b long")
     assert {r.node: r.component for r in components(d).collect()} == {i: top(i) for i in parent}
     assert components(d.where(F.lit(False))).count() == 0
+
+
+def test_one_bucket_of_members_unlike_their_hub(spark, monkeypatch):
+    """Everything in one bucket: groups far from the hub, chains that leave it, and members unlike all others."""
+
+    def one_key(values, rows=5):
+        return np.ones((len(values), 1), np.uint64)
+
+    monkeypatch.setattr(neardup, "band_keys", one_key)
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(50)]
+    texts = []
+    for c in range(6):  # a chain from the base: each text is linked with the next one, the ends are not
+        words = list(base)
+        for i in range(9):
+            for at in (4 * i + c % 3, 4 * i + 1 + c % 3):
+                words[at % 50] = f"c{c}_{at}"
+            texts.append(" ".join(words))
+    texts += near_group(5, 40, 40) + near_group(6, 25, 80)
+    for _ in range(120):  # a common frame with so many words of one's own that no two are linked
+        words = list(base)
+        for at in rng.sample(range(50), 7):
+            words[at] = f"r{rng.randrange(10**6)}"
+        texts.append(" ".join(words))
+    texts += [" ".join(f"q{rng.randrange(10**6)}" for _ in range(30)) for _ in range(30)]
+    texts += [" ".join(base[:n]) for n in range(20, 50, 3)]
+    rows = list(enumerate(texts))
+    rng.shuffle(rows)
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=2).collect()}
+    want = brute(rows, 2)
+    assert got == want and 100 < len(set(want.values())) < len(rows) - 60
