@@ -1,12 +1,12 @@
 """Quality classifier by voting of nearest labelled latent-semantic vectors.
 
-A text becomes two blocks of counts: pairs of neighbouring byte classes, and word
+A text becomes three blocks of counts: its words, pairs of neighbouring byte classes, and word
 shapes (first and last class, length, whether the word repeats the one before).
-Both are weighted by sublinear TF-IDF, scaled to length one, joined, and projected
+Each is weighted by sublinear TF-IDF and scaled to length one; joined, they are projected
 on the leading singular vectors of a labelled sample.  The labelled vectors are
 broadcast; they number at most ``max_examples``, so their size is fixed.  Each
-slice of documents is multiplied with them block by block, and the ``k`` largest
-cosines vote with weight cosine ** power.
+slice of documents is multiplied with them block by block in double precision, and the ``k``
+largest cosines (ties to the smaller example id) vote with weight cosine ** power.
 """
 
 from __future__ import annotations
@@ -84,8 +84,16 @@ def counts(texts: TextSlice) -> tuple[np.ndarray, np.ndarray]:
     return pairs.reshape(n, _PAIRS), shapes.reshape(n, _SHAPES)
 
 
-def _sublinear(block: np.ndarray) -> np.ndarray:
-    return np.log1p(block.astype(np.float32))
+def word_counts(texts: TextSlice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, word hash, how often) of distinct words, ordered by text."""
+    starts, ends, first = texts.words()
+    h, owner = texts.hashes(starts, ends), np.repeat(np.arange(len(texts)), np.diff(first))
+    order = np.lexsort((h, owner))
+    h, owner = h[order], owner[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
+    at = np.flatnonzero(new)
+    return owner[at], h[at], np.diff(np.append(at, len(h)))
 
 
 def _unit(block: np.ndarray) -> np.ndarray:
@@ -93,10 +101,19 @@ def _unit(block: np.ndarray) -> np.ndarray:
     return block / np.where(norm > 0, norm, 1)
 
 
+def _fixed(pairs: np.ndarray, shapes: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """The two blocks of fixed features, weighted and each scaled to length one."""
+    return np.concatenate([_unit(np.log1p(pairs) * weight[:_PAIRS]), _unit(np.log1p(shapes) * weight[_PAIRS:])], axis=1)
+
+
 @dataclass
 class LatentVoter:
-    """A fitted classifier; all arrays are bounded by max_examples and the fixed feature count."""
+    """A fitted classifier; examples stand in the order of their ids.  All arrays are bounded by what max_examples texts hold.
+
+    ``weight`` and ``basis`` are those of the fixed features and then of the words in ``vocabulary`` (sorted hashes).
+    """
 
+    vocabulary: np.ndarray
     weight: np.ndarray
     basis: np.ndarray
     examples: np.ndarray
@@ -106,26 +123,32 @@ class LatentVoter:
     prior: float
 
     def latent(self, texts: TextSlice) -> np.ndarray:
-        pairs, shapes = counts(texts)
-        x = np.concatenate([_unit(_sublinear(pairs) * self.weight[:_PAIRS]), _unit(_sublinear(shapes) * self.weight[_PAIRS:])], axis=1)
-        return _unit(x @ self.basis)
+        out = _fixed(*counts(texts), self.weight[:FEATURES]) @ self.basis[:FEATURES]
+        row, word, often = word_counts(texts)
+        if len(self.vocabulary) and len(row):
+            at = np.minimum(np.searchsorted(self.vocabulary, word), len(self.vocabulary) - 1)
+            known = self.vocabulary[at] == word
+            row, column = row[known], FEATURES + at[known]
+            value = np.log1p(often[known]) * self.weight[column]
+            value /= np.sqrt(np.bincount(row, value * value, minlength=len(texts)))[row]
+            for a in range(0, len(row), 1 << 14):
+                np.add.at(out, row[a : a + (1 << 14)], value[a : a + (1 << 14), None] * self.basis[column[a : a + (1 << 14)]])
+        return _unit(out)
 
     def votes(self, vectors: np.ndarray, block: int = 1024) -> tuple[np.ndarray, np.ndarray]:
-        """Scores, and the largest cosine, of each row."""
+        """Scores, and the largest cosine, of each row.  Cosines count to twelve digits, so equal examples tie."""
         n, k = len(vectors), min(self.k, len(self.labels))
         score, nearest = np.full(n, self.prior), np.zeros(n)
-        if not k:
+        if not k or not n:
             return score, nearest
-        best = np.full((n, 0), 0, np.float32)
-        which = np.zeros((n, 0), np.int64)
+        best, which = np.zeros((n, 0)), np.zeros((n, 0), np.int64)
         for at in range(0, len(self.examples), block):
-            cosine = vectors @ self.examples[at : at + block].T
-            keep = min(k, cosine.shape[1])
-            top = np.argpartition(-cosine, keep - 1, axis=1)[:, :keep]
+            cosine = np.round(vectors @ self.examples[at : at + block].T, 12)
+            top = _largest(cosine, k)
             best = np.concatenate([best, np.take_along_axis(cosine, top, 1)], axis=1)
             which = np.concatenate([which, top + at], axis=1)
         top = np.argsort(-best, axis=1, kind="stable")[:, :k]
-        cosine = np.clip(np.take_along_axis(best, top, 1).astype(float), 0, 1)
+        cosine = np.clip(np.take_along_axis(best, top, 1), 0, 1)
         label = self.labels[np.take_along_axis(which, top, 1)]
         w = cosine**self.power
         total = w.sum(1)
@@ -135,11 +158,48 @@ class LatentVoter:
         return score, nearest
 
 
-def fit_voter(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", *, max_examples: int = 3000, rank: int = 48, k: int = 9, power: float = 8.0) -> LatentVoter:
+def _largest(cosine: np.ndarray, k: int) -> np.ndarray:
+    """Columns of each row's k largest values in ascending order; of equal values the earlier columns."""
+    if cosine.shape[1] <= k:
+        return np.tile(np.arange(cosine.shape[1]), (len(cosine), 1))
+    top = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
+    floor = np.take_along_axis(cosine, top, 1).min(1)
+    tied = np.flatnonzero((cosine >= floor[:, None]).sum(1) > k)
+    if len(tied):
+        top[tied] = np.argsort(-cosine[tied], axis=1, kind="stable")[:, :k]
+    return np.sort(top, axis=1)
+
+
+class _Rows:
+    """Weighted sparse rows that are made dense a few at a time."""
+
+    def __init__(self, start: np.ndarray, column: np.ndarray, value: np.ndarray, width: int):
+        self.start, self.column, self.value, self.width = start, column, value, width
+
+    def blocks(self, size: int = 64) -> Iterator[tuple[slice, np.ndarray]]:
+        n = len(self.start) - 1
+        for a in range(0, n, size):
+            b = min(a + size, n)
+            x = np.zeros((b - a, self.width), np.float32)
+            x[np.repeat(np.arange(b - a), np.diff(self.start[a : b + 1])), self.column[self.start[a] : self.start[b]]] = self.value[self.start[a] : self.start[b]]
+            yield slice(a, b), x
+
+    def times(self, m: np.ndarray) -> np.ndarray:
+        return np.concatenate([x @ m for _, x in self.blocks()])
+
+    def turned_times(self, m: np.ndarray) -> np.ndarray:
+        out = np.zeros((self.width, m.shape[1]), np.float32)
+        for rows, x in self.blocks():
+            out += x.T @ m[rows]
+        return out
+
+
+def fit_voter(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", *, max_examples: int = 3000, least_examples: int = 2, rank: int = 48, k: int = 9, power: float = 8.0) -> LatentVoter:
     """Fits on at most ``max_examples`` rows of ``labels`` (those with the smallest hashed id); only
-    their ids and labels are broadcast.
+    their ids and labels are broadcast, and only the sparse counts of their texts reach the driver.
 
-    Rows whose label or id is null are left out.  With no labelled row at all every text scores 0.5.
+    Words that at least ``least_examples`` of them hold enter the latent space.  Rows whose label or id
+    is null are left out.  With no labelled row at all every text scores 0.5.
     """
     chosen = bounded_sample(labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(id_col, label_col), id_col, max_examples)
     rows = docs.select(id_col, text_col).join(F.broadcast(chosen), id_col)
@@ -149,29 +209,49 @@ def fit_voter(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
         def run(ids: pa.Array, texts: TextSlice):
             both = np.concatenate(counts(texts), axis=1)
             row, column = np.nonzero(both)
-            n = np.bincount(row, minlength=len(texts))
-            return ids, list_array(column.astype(np.int32), n, pa.int32()), list_array(both[row, column].astype(np.float32), n, pa.float32())
+            owner, word, often = word_counts(texts)
+            n, m = np.bincount(row, minlength=len(texts)), np.bincount(owner, minlength=len(texts))
+            return ids, list_array(column.astype(np.int32), n, pa.int32()), list_array(both[row, column].astype(np.int32), n, pa.int32()), list_array(word.view(np.int64), m, pa.int64()), list_array(often.astype(np.int32), m, pa.int32())
 
         return run
 
-    sparse = map_texts(packed, "key", text_col, make, "key long, columns array<int>, counts array<float>").toArrow()
-    key = np.asarray(sparse["key"].to_numpy(), np.int64)
-    x = np.zeros((len(key), FEATURES), np.float32)
-    for r, (c, v) in enumerate(zip(sparse["columns"].to_pylist(), sparse["counts"].to_pylist(), strict=True)):
-        x[r, c] = v
+    found = map_texts(packed, "key", text_col, make, "key long, columns array<int>, counts array<int>, words array<long>, often array<int>").toArrow().combine_chunks()
+    key = found["key"].to_numpy().astype(np.int64)
+    if not len(key):
+        return LatentVoter(np.zeros(0, np.uint64), np.ones(FEATURES), np.zeros((FEATURES, 1)), np.zeros((0, 1)), np.zeros(0), k, power, 0.5)
     order = np.argsort(key, kind="stable")
-    x, labels = x[order], (key[order] & 1).astype(float)
-    if not len(labels):
-        return LatentVoter(np.ones(FEATURES, np.float32), np.zeros((FEATURES, 1), np.float32), np.zeros((0, 1), np.float32), labels, k, power, 0.5)
-    weight = (np.log((1 + len(x)) / (1 + (x > 0).sum(0))) + 1).astype(np.float32)
-    x = np.concatenate([_unit(_sublinear(x[:, :_PAIRS]) * weight[:_PAIRS]), _unit(_sublinear(x[:, _PAIRS:]) * weight[_PAIRS:])], axis=1)
-    rank = min(rank, *x.shape)
-    sketch = x @ np.random.default_rng(7).standard_normal((FEATURES, min(rank + 12, len(x)))).astype(np.float32)
+    place = np.empty(len(key), np.int64)
+    place[order] = np.arange(len(key))
+    labels = (key[order] & 1).astype(float)
+
+    def flat(name: str) -> tuple[np.ndarray, np.ndarray]:
+        lists = found[name].combine_chunks()
+        return np.repeat(place, lists.value_lengths().to_numpy(zero_copy_only=False)), lists.flatten().to_numpy(zero_copy_only=False)
+
+    (row, column), (word_row, word) = flat("columns"), flat("words")
+    often, word_often = flat("counts")[1], flat("often")[1]
+    del found
+    vocabulary, word_column, held = np.unique(word.view(np.uint64), return_inverse=True, return_counts=True)
+    fit = np.flatnonzero(held >= least_examples)
+    to = np.full(len(vocabulary), -1)
+    to[fit] = FEATURES + np.arange(len(fit))
+    word_column = to[word_column]
+    use = word_column >= 0
+    row, column, often = np.concatenate([row, word_row[use]]), np.concatenate([column, word_column[use]]), np.concatenate([often, word_often[use]])
+    width = FEATURES + len(fit)
+    weight = np.log((1 + len(key)) / (1 + np.bincount(column, minlength=width))) + 1
+    value = np.log1p(often) * weight[column]
+    part = row * 3 + (column >= _PAIRS) + (column >= FEATURES)
+    value /= np.sqrt(np.bincount(part, value * value, minlength=3 * len(key)))[part]
+    by = np.argsort(row, kind="stable")
+    x = _Rows(np.searchsorted(row[by], np.arange(len(key) + 1)), column[by], value[by].astype(np.float32), width)
+    rank = min(rank, len(key), width)
+    sketch = x.times(np.random.default_rng(7).standard_normal((width, min(rank + 12, len(key)))).astype(np.float32))
     for _ in range(3):
-        sketch, _ = np.linalg.qr(x @ (x.T @ sketch))
-    _, _, rows_t = np.linalg.svd(sketch.T @ x, full_matrices=False)
-    basis = np.ascontiguousarray(rows_t[:rank].T)
-    return LatentVoter(weight, basis, _unit(x @ basis), labels, k, power, float(labels.mean()))
+        sketch, _ = np.linalg.qr(x.times(x.turned_times(sketch)))
+    _, _, rows_t = np.linalg.svd(x.turned_times(sketch).T, full_matrices=False)
+    basis = np.ascontiguousarray(rows_t[:rank].T.astype(float))
+    return LatentVoter(vocabulary[fit], weight, basis, _unit(x.times(basis)), labels, k, power, float(labels.mean()))
 
 
 def score_quality(docs: DataFrame, voter: LatentVoter, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
@@ -194,7 +274,11 @@ def score_quality(docs: DataFrame, voter: LatentVoter, id_col: str = "doc_id", t
 
 
 def keep(docs: DataFrame, voter: LatentVoter, text_col: str = "text", least: float = 0.3) -> DataFrame:
-    """The rows of docs, all columns, whose text scores at least ``least``; null and empty texts are scored like any other."""
+    """The rows of docs, all columns, whose text scores at least ``least``; null and empty texts are scored like any other.
+
+    Repeated rows and ids stay or go each by their own text, ids may be null, and no column's name but
+    ``text_col`` matters; an empty table stays one.
+    """
     bounded_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(voter)
     place = docs.columns.index(text_col)
