@@ -1,20 +1,21 @@
 """Toxicity by nearest labelled examples under exact TF-IDF cosine.
 
-Fitting (bounded by ``max_examples`` labelled rows and ``max_terms`` terms): the terms
-whose presence tells the labels apart most are the vocabulary; every example is a
-TF-IDF vector over it.  The vectors lie in an inverted index whose postings are cut
-into blocks of examples, with each term's largest weight in each block.  A query sums
-those maxima into an upper bound for each block, visits blocks from the largest bound
-down and stops once no block left can reach the k-th cosine: the result is exact.
+Fitting is bounded by ``max_examples`` labelled rows; every term of theirs is indexed.  A
+term's weight is (1 + ln tf) * ln(n / df), times ``floor`` plus its correlation with the label,
+so that words that tell the labels apart lead to the neighbours; no term is cut.  The unit
+vectors lie in an inverted index whose postings are cut into blocks of examples, with each
+term's largest weight in each block.  A query sums those maxima into an upper bound for each
+block, visits blocks from the largest bound down and stops once no block left can reach the
+k-th cosine: the result is exact.  Many queries of a slice go through the index side by side.
 Votes weighted by inverse distance are mapped to probabilities by a monotone fit to
-the examples' own leave-one-out votes.  A text without any vocabulary term has no
+the examples' own leave-one-out votes.  A text without any known term has no
 direction; it gets the smoothed label rate of such examples.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -22,35 +23,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import bounded_sample
-from .textbytes import LOWER, SPACE, TextSlice, list_array, map_texts, mix
+from .textbytes import SPACE, TextSlice, list_array, map_texts, mix
 
 #: ASCII marks and spaces stand between terms.
 _MARK = SPACE.copy()
 _MARK[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
+#: Queries that go through the index side by side.
+TOGETHER = 64
 
 
-#: Besides whole words, their leading bytes are terms, so that an unseen inflection still meets its stem.
-STEMS = (4, 5, 6)
+def term_counts(texts: TextSlice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, term hash, how often) of distinct terms, ordered by text.
 
-
-def leads(texts: TextSlice, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """The first four bytes (A-Z lower-cased, zeros after a shorter word) as one number."""
-    data = np.append(LOWER[texts.data], np.zeros(4, np.uint8)).astype(np.uint32)
-    lead = data[starts]
-    for i in (1, 2, 3):
-        lead |= np.where(ends - starts > i, data[starts + i], 0).astype(np.uint32) << np.uint32(8 * i)
-    return lead
-
-
-def gate_of(lead: np.ndarray) -> np.ndarray:
-    """Place of a lead in a gate, a table of 65536 flags."""
-    return (lead * np.uint32(0x9E3779B1)) >> np.uint32(16)
-
-
-def terms(texts: TextSlice, gate: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, text and lead of every term; with a gate only of words whose lead it lets pass.
-
-    A word is a run of bytes that are neither space nor ASCII mark; A-Z are lower-cased.
+    A term is a run of bytes that are neither space nor ASCII mark; A-Z are lower-cased.
     """
     n = len(texts.data)
     part = ~_MARK[texts.data]
@@ -60,80 +45,123 @@ def terms(texts: TextSlice, gate: np.ndarray | None = None) -> tuple[np.ndarray,
     before[opening[opening < n]] = False
     after[last[last >= 0]] = False
     starts, ends = np.flatnonzero(part & ~before), np.flatnonzero(part & ~after) + 1
-    lead = leads(texts, starts, ends)
-    if gate is not None:
-        keep = gate[gate_of(lead)]
-        starts, ends, lead = starts[keep], ends[keep], lead[keep]
-    owner = np.searchsorted(texts.offsets, starts, "right") - 1
-    found = [(texts.hashes(starts, ends), owner, lead)]
-    for size in STEMS:
-        long = ends - starts > size
-        found.append((mix(texts.hashes(starts[long], starts[long] + size) + np.uint64(size)), owner[long], lead[long]))
-    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
-
-
-def term_counts(hashes: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (text, term) with how often and the place of one, ordered by text."""
-    order = np.lexsort((hashes, owner))
-    h, o = hashes[order], owner[order]
+    h, owner = texts.hashes(starts, ends), np.searchsorted(texts.offsets, starts, "right") - 1
+    order = np.lexsort((h, owner))
+    h, owner = h[order], owner[order]
     new = np.ones(len(h), bool)
-    new[1:] = (h[1:] != h[:-1]) | (o[1:] != o[:-1])
+    new[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
     at = np.flatnonzero(new)
-    return o[at], h[at], np.diff(np.append(at, len(h))), order[at]
+    return owner[at], h[at], np.diff(np.append(at, len(h)))
+
+
+def spread(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All places of the ranges one after the other, and each one's range."""
+    size = end - start
+    total = np.cumsum(size)
+    of = np.repeat(np.arange(len(size)), size)
+    return np.arange(total[-1] if len(total) else 0) + (start - total + size)[of], of
 
 
 @dataclass
 class BlockMaxIndex:
-    """Postings by term and block of ``width`` examples; ids of examples ascend."""
+    """Postings by block of ``width`` examples and term.
+
+    ``cell`` holds block * terms + term of every cell with postings (ascending), ``start`` where its postings
+    begin; ``listed`` are the cells of each term (from ``opens``), ``peak`` the largest weight of each cell.
+    """
 
     ids: np.ndarray
-    size: int
+    terms: int
+    width: int
+    cell: np.ndarray
     start: np.ndarray
     entry: np.ndarray
     weight: np.ndarray
+    opens: np.ndarray
+    listed: np.ndarray
     peak: np.ndarray
-    width: int = 64
 
     @classmethod
-    def build(cls, ids: np.ndarray, row: np.ndarray, term: np.ndarray, weight: np.ndarray, vocabulary: int, width: int = 64) -> BlockMaxIndex:
-        blocks = max(1, -(-len(ids) // width))
-        cell = term * blocks + row // width
-        order = np.argsort(cell, kind="stable")
-        start = np.searchsorted(cell[order], np.arange(vocabulary * blocks + 1))
-        peak = np.zeros(vocabulary * blocks)
-        np.maximum.at(peak, cell, weight)
-        return cls(ids, len(ids), start, row[order], weight[order], peak.reshape(vocabulary, blocks), width)
-
-    def nearest(self, term: np.ndarray, weight: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """Rows and cosines of the k nearest; ties go to the earlier row.  ``skip`` is a row left out."""
-        blocks = self.peak.shape[1]
-        bound = weight @ self.peak[term]
-        rows, cosines, floor = np.zeros(0, np.int64), np.zeros(0), 0.0
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or (len(rows) >= k and bound[b] < floor - 1e-12):
+    def build(cls, ids: np.ndarray, row: np.ndarray, term: np.ndarray, weight: np.ndarray, terms: int, width: int = 64) -> BlockMaxIndex:
+        """Examples are put next to those with the same heaviest term, so that blocks hold what is alike."""
+        lead = np.zeros(len(ids), np.int64)
+        by = np.argsort(weight, kind="stable")
+        lead[row[by]] = term[by]
+        place = np.lexsort((ids, lead))
+        to = np.empty(len(ids), np.int64)
+        to[place] = np.arange(len(ids))
+        entry = to[row]
+        key = entry // width * terms + term
+        order = np.argsort(key, kind="stable")
+        key, entry, weight = key[order], entry[order].astype(np.int32), weight[order]
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+        cell = key[first]
+        peak = np.maximum.reduceat(weight, first) if len(key) else np.zeros(0)
+        of = cell % max(terms, 1)
+        listed = np.argsort(of, kind="stable")
+        opens = np.searchsorted(of[listed], np.arange(terms + 1))
+        return cls(ids[place], terms, width, cell, np.append(first, len(key)).astype(np.int32), entry, weight, opens.astype(np.int32), listed.astype(np.int32), peak)
+
+    def nearest(self, row: np.ndarray, term: np.ndarray, weight: np.ndarray, n: int, k: int, skip: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, place, cosine) of the k nearest of each of n queries, nearest first; ties to the smaller id.
+
+        Rows ascend; ``skip`` has an id for each query that is left out.  Places are those of ``ids``.
+        """
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        for a in range(0, n, TOGETHER):
+            b = min(a + TOGETHER, n)
+            low, high = np.searchsorted(row, (a, b))
+            if high > low:
+                q, place, cosine = self._together(row[low:high] - a, term[low:high], weight[low:high], b - a, k, None if skip is None else skip[a:b])
+                found.append((q + a, place, cosine))
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+    def _together(self, row: np.ndarray, term: np.ndarray, weight: np.ndarray, n: int, k: int, skip: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        blocks = -(-len(self.ids) // self.width)
+        at, of = spread(self.opens[term], self.opens[term + 1])
+        cell = self.listed[at]
+        bound = np.bincount(row[of] * blocks + self.cell[cell] // self.terms, weight[of] * self.peak[cell], minlength=n * blocks).reshape(n, blocks)
+        turns = np.argsort(-bound, axis=1, kind="stable")
+        cut = np.searchsorted(row, np.arange(n + 1))
+        top, floor = np.zeros((n, k)), np.zeros(n)
+        found, live = [], np.arange(n)
+        for turn in range(blocks):
+            b = turns[live, turn]
+            go = (bound[live, b] > 0) & (bound[live, b] >= floor[live] - 1e-9)
+            live, b = live[go], b[go]
+            if not len(live):
                 break
-            sums = np.zeros(self.width)
-            for t, w in zip(term, weight, strict=True):
-                s, e = self.start[t * blocks + b], self.start[t * blocks + b + 1]
-                sums[self.entry[s:e] - b * self.width] += w * self.weight[s:e]
-            if skip >= 0 and skip // self.width == b:
-                sums[skip % self.width] = 0
-            hit = np.flatnonzero(sums > 0)
-            rows, cosines = np.append(rows, hit + b * self.width), np.append(cosines, sums[hit])
-            if len(rows) > k:
-                top = np.lexsort((rows, -cosines))[:k]
-                rows, cosines = rows[top], cosines[top]
-                floor = cosines[-1]
-        top = np.lexsort((rows, -cosines))
-        return rows[top], np.minimum(cosines[top], 1.0)
+            own, of = spread(cut[live], cut[live + 1])
+            key = b[of] * self.terms + term[own]
+            at = np.minimum(np.searchsorted(self.cell, key), len(self.cell) - 1)
+            hit = self.cell[at] == key
+            own, of, at = own[hit], of[hit], at[hit]
+            posting, of_hit = spread(self.start[at], self.start[at + 1])
+            slot = of[of_hit] * self.width + self.entry[posting] - (b * self.width)[of[of_hit]]
+            cosine = np.bincount(slot, weight[own[of_hit]] * self.weight[posting], minlength=len(live) * self.width).reshape(len(live), self.width)
+            if skip is not None:
+                place = np.minimum(b[:, None] * self.width + np.arange(self.width), len(self.ids) - 1)
+                cosine[self.ids[place] == skip[live, None]] = 0
+            cosine = np.round(cosine, 12)
+            q, e = np.nonzero((cosine > 0) & (cosine >= floor[live, None]))
+            found.append((live[q], b[q] * self.width + e, cosine[q, e]))
+            best = np.concatenate([top[live], cosine], axis=1)
+            top[live] = -np.partition(-best, k - 1, axis=1)[:, :k]
+            floor[live] = top[live].min(1)
+        if not found:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        q, place, cosine = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.lexsort((self.ids[place], -cosine, q))
+        q, place, cosine = q[order], place[order], cosine[order]
+        keep = np.arange(len(q)) - np.searchsorted(q, q) < k
+        return q[keep], place[keep], np.minimum(cosine[keep], 1.0)
 
 
 @dataclass
 class ToxicVoter:
-    """A fitted scorer; everything in it is bounded by max_examples and max_terms."""
+    """A fitted scorer; everything in it is bounded by what max_examples texts hold.  ``labels`` go by place in the index."""
 
     vocabulary: np.ndarray
-    gate: np.ndarray
     idf: np.ndarray
     index: BlockMaxIndex
     labels: np.ndarray
@@ -142,22 +170,27 @@ class ToxicVoter:
     knots: tuple[np.ndarray, np.ndarray] = field(default_factory=lambda: (np.array([0.0, 1.0]), np.array([0.0, 1.0])))
 
     def vectors(self, texts: TextSlice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(text, term, weight) of unit TF-IDF vectors, ordered by text."""
-        if not len(self.vocabulary):
+        """(text, term, weight) of unit vectors over the known terms, ordered by text."""
+        row, h, often = term_counts(texts)
+        if not len(self.vocabulary) or not len(row):
             return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-        h, owner, _ = terms(texts, self.gate)
         at = np.minimum(np.searchsorted(self.vocabulary, h), len(self.vocabulary) - 1)
-        known = self.vocabulary[at] == h
-        row, term, n, _ = term_counts(at[known].astype(np.uint64), owner[known])
-        term = term.astype(np.int64)
-        return row, term, unit(row, (1 + np.log(n)) * self.idf[term], len(texts))
+        known = (self.vocabulary[at] == h) & (self.idf[at] > 0)
+        row, term = row[known], at[known]
+        return row, term, unit(row, (1 + np.log(often[known])) * self.idf[term], len(texts))
 
-    def vote(self, rows: np.ndarray, cosines: np.ndarray) -> float:
-        w = 1 / (0.05 + 1 - cosines)
-        return float((w * self.labels[rows]).sum() / w.sum())
+    def votes(self, texts: TextSlice, skip: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(raw vote of each text, NaN without neighbours), and (query, place, cosine) of the neighbours."""
+        q, place, cosine = self.index.nearest(*self.vectors(texts), len(texts), self.k, skip)
+        w = 1 / (0.05 + 1 - cosine)
+        total = np.bincount(q, w, minlength=len(texts))
+        raw = np.full(len(texts), np.nan)
+        some = total > 0
+        raw[some] = np.bincount(q, w * self.labels[place], minlength=len(texts))[some] / total[some]
+        return raw, q, place, cosine
 
-    def score(self, raw: float) -> float:
-        return float(np.interp(raw, *self.knots))
+    def scores(self, raw: np.ndarray) -> np.ndarray:
+        return np.where(np.isnan(raw), self.blank, np.interp(np.nan_to_num(raw), *self.knots))
 
 
 def unit(row: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
@@ -179,13 +212,11 @@ def monotone(x: np.ndarray, y: np.ndarray, bins: int = 40) -> tuple[np.ndarray,
     return np.array([p[0] for p in pools]), np.array([(p[1] + 0.5) / (p[2] + 1) for p in pools])
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", *, max_examples: int = 8000, max_terms: int = 256, least_share: float = 0.008, purity: float = 0.9, k: int = 15) -> ToxicVoter:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", *, max_examples: int = 8000, floor: float = 0.02, k: int = 15) -> ToxicVoter:
     """Fits on at most ``max_examples`` rows of ``labels`` (those with the smallest hashed id); only
-    their ids and labels are broadcast.
+    their ids and labels are broadcast, and only the term counts of their texts reach the driver.
 
-    A term enters the vocabulary if its chi-square against the label is at least ``least_share`` of the
-    examples and at least ``purity`` of the examples that hold it are toxic.  Rows whose label or id is
-    null are left out.  With no labelled rows every text scores 0.5.
+    Rows whose label or id is null are left out.  With no labelled rows every text scores 0.5.
     """
     chosen = bounded_sample(labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(id_col, label_col), id_col, max_examples)
     rows = docs.select(id_col, text_col).join(F.broadcast(chosen), id_col)
@@ -193,93 +224,73 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
 
     def make() -> Callable:
         def run(ids: pa.Array, texts: TextSlice):
-            hashes, owner, lead = terms(texts)
-            row, term, n, at = term_counts(hashes, owner)
+            row, term, often = term_counts(texts)
             each = np.bincount(row, minlength=len(texts))
-            return ids, list_array(term.view(np.int64), each, pa.int64()), list_array(n.astype(np.int32), each, pa.int32()), list_array(lead[at].view(np.int32), each, pa.int32())
+            return ids, list_array(term.view(np.int64), each, pa.int64()), list_array(often.astype(np.int32), each, pa.int32())
 
         return run
 
-    found = map_texts(packed, "key", text_col, make, "key long, terms array<long>, counts array<int>, leads array<int>").toArrow().combine_chunks()
-    key = np.asarray(found["key"].to_numpy(), np.int64)
-    each = np.asarray(found["terms"].combine_chunks().value_lengths().to_numpy(zero_copy_only=False), np.int64) if len(key) else np.zeros(0, np.int64)
-    flat = found["terms"].combine_chunks().flatten().to_numpy().view(np.uint64) if len(key) else np.zeros(0, np.uint64)
-    often = found["counts"].combine_chunks().flatten().to_numpy() if len(key) else np.zeros(0, np.int32)
-    lead = found["leads"].combine_chunks().flatten().to_numpy().view(np.uint32) if len(key) else np.zeros(0, np.uint32)
-    rank = np.empty(len(key), np.int64)
-    order = np.argsort(key, kind="stable")
-    rank[order] = np.arange(len(key))
-    row, labels, ids = np.repeat(rank, each), (key[order] & 1).astype(float), key[order] >> 1
-    n = len(key)
-    vocabulary, inverse, df = np.unique(flat, return_inverse=True, return_counts=True)
+    found = map_texts(packed, "key", text_col, make, "key long, terms array<long>, counts array<int>").toArrow().combine_chunks()
+    key = found["key"].to_numpy().astype(np.int64)
+    if not len(key):
+        empty = np.zeros(0, np.int64)
+        return ToxicVoter(np.zeros(0, np.uint64), np.zeros(0), BlockMaxIndex.build(empty, empty, empty, np.zeros(0), 0), np.zeros(0), k, 0.5)
+    lists = found["terms"].combine_chunks()
+    row = np.repeat(np.arange(len(key), dtype=np.int32), lists.value_lengths().to_numpy(zero_copy_only=False))
+    vocabulary, term = np.unique(lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64), return_inverse=True)
+    often = found["counts"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    del found, lists
+    ids, labels, n = key >> 1, (key & 1).astype(float), len(key)
+    df = np.bincount(term, minlength=len(vocabulary))
     # near copies mostly share their smallest term hash; together they count as one example
     smallest = np.full(n, np.uint64(2**64 - 1))
-    np.minimum.at(smallest, row, mix(flat))
+    np.minimum.at(smallest, row, mix(vocabulary)[term])
     _, group, copies = np.unique(smallest, return_inverse=True, return_counts=True)
-    share = 1 / copies[group] if n else np.zeros(0)
+    share = 1 / copies[group]
     toxic, whole = (labels * share).sum(), share.sum()
-    positive = np.bincount(inverse, (labels * share)[row], minlength=len(vocabulary)) if len(flat) else np.zeros(0)
-    seen = np.bincount(inverse, share[row], minlength=len(vocabulary)) if len(flat) else np.zeros(0)
-    # chi-square of presence against the label
-    a, b = positive, seen - positive
+    a = np.bincount(term, (labels * share)[row], minlength=len(vocabulary))
+    b = np.bincount(term, share[row], minlength=len(vocabulary)) - a
     c, d = toxic - a, whole - toxic - b
-    chi = whole * (a * d - b * c) ** 2 / np.maximum((a + b) * (c + d) * (a + c) * (b + d), 1e-9)
-    fit = np.flatnonzero((df >= 3) & (chi >= least_share * whole) & (a >= purity * seen))
-    fit = np.sort(fit[np.lexsort((vocabulary[fit], -chi[fit]))[:max_terms]])
-    place = np.full(len(vocabulary), -1, np.int64)
-    place[fit] = np.arange(len(fit))
-    used = place[inverse] >= 0 if len(flat) else np.zeros(0, bool)
-    row, term, often = row[used], place[inverse[used]] if len(flat) else np.zeros(0, np.int64), often[used]
-    gate = np.zeros(1 << 16, bool)
-    gate[gate_of(lead[used])] = True
-    idf = np.log((1 + n) / (1 + df[fit])) + 1
-    weight = unit(row, (1 + np.log(often)) * idf[term], n) if n else np.zeros(0)
-    voter = ToxicVoter(vocabulary[fit], gate, idf, BlockMaxIndex.build(ids, row, term, weight, max(1, len(fit))), labels, k, 0.5)
-    filled = np.zeros(n, bool)
-    filled[row] = True
-    if n:
-        voter.blank = float((labels[~filled].sum() + 0.5) / ((~filled).sum() + 1))
-        by = np.argsort(row, kind="stable")
-        cut = np.searchsorted(row[by], np.arange(n + 1))
-        raw, truth = [], []
-        for r in np.flatnonzero(filled):
-            own = by[cut[r] : cut[r + 1]]
-            rows_, cosines = voter.index.nearest(term[own], weight[own], k, skip=int(r))
-            if len(rows_):
-                raw.append(voter.vote(rows_, cosines))
-                truth.append(labels[r])
-        voter.knots = monotone(np.array(raw), np.array(truth))
+    linked = np.abs(a * d - b * c) / np.sqrt(np.maximum((a + b) * (c + d) * (a + c) * (b + d), 1e-9))
+    idf = np.log(n / df) * (floor + linked) if len(df) else np.zeros(0)
+    weight = (1 + np.log(often)) * idf[term]
+    use = weight > 0
+    row, term, weight = row[use], term[use], weight[use]
+    index = BlockMaxIndex.build(ids, row, term, unit(row, weight, n), len(vocabulary))
+    at = np.searchsorted(np.sort(ids, kind="stable"), index.ids)  # rows that share an id share its place
+    filled = np.bincount(row, minlength=n) > 0
+    blank = float((labels[~filled].sum() + 0.5) / ((~filled).sum() + 1))
+    voter = ToxicVoter(vocabulary, idf, index, labels[np.argsort(ids, kind="stable")][at], k, blank)
+    own = _scored(packed, replace(voter), "key", text_col, of_example=True).select("doc_id", "raw").where("NOT isnan(raw)").toArrow()
+    raw, truth = own["raw"].to_numpy(), own["doc_id"].to_numpy() & 1
+    order = np.lexsort((own["doc_id"].to_numpy(), raw))
+    voter.knots = monotone(raw[order], truth[order].astype(float))
     return voter
 
 
-def score_toxicity(docs: DataFrame, voter: ToxicVoter, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, score, predicted (score >= 0.5), nearest (ids of the voting examples), cosines.
-
-    Null and empty texts, and texts without a vocabulary term, get the blank rate and no neighbours.
-    Repeated ids give repeated rows; columns other than the two named are not read.
-    """
+def _scored(docs: DataFrame, voter: ToxicVoter, id_col: str, text_col: str, of_example: bool = False) -> DataFrame:
+    """doc_id, raw, score, predicted, nearest, cosines; ``of_example``: an id is twice an example's, which has no vote of its own."""
     sent = docs.sparkSession.sparkContext.broadcast(voter)
 
     def make() -> Callable:
         model = sent.value
-        known: dict[bytes, tuple[float, np.ndarray, np.ndarray]] = {}
 
         def run(ids: pa.Array, texts: TextSlice):
-            row, term, weight = model.vectors(texts)
-            cut = np.searchsorted(row, np.arange(len(texts) + 1))
-            score = np.full(len(texts), model.blank)
-            near, cosines = [[]] * len(texts), [[]] * len(texts)
-            for r in np.flatnonzero(np.diff(cut)):
-                t, w = term[cut[r] : cut[r + 1]], weight[cut[r] : cut[r + 1]]
-                key = t.tobytes() + w.tobytes()
-                if key not in known:
-                    if len(known) >= 20_000:  # the same vectors come often; this only saves time
-                        known.clear()
-                    rows, cos = model.index.nearest(t, w, model.k)
-                    known[key] = (model.score(model.vote(rows, cos)) if len(rows) else model.blank, model.index.ids[rows], cos)
-                score[r], near[r], cosines[r] = known[key]
-            return ids, score, (score >= 0.5).astype(np.int32), pa.array(near, pa.list_(pa.int64())), pa.array(cosines, pa.list_(pa.float64()))
+            skip = ids.to_numpy(zero_copy_only=False) >> 1 if of_example else None
+            raw, q, place, cosine = model.votes(texts, skip)
+            score = model.scores(raw)
+            each = np.bincount(q, minlength=len(texts))
+            return ids, raw, score, (score >= 0.5).astype(np.int32), list_array(model.index.ids[place], each, pa.int64()), list_array(cosine, each, pa.float64())
 
         return run
 
-    return map_texts(docs, id_col, text_col, make, "doc_id long, score double, predicted int, nearest array<long>, cosines array<double>")
+    return map_texts(docs, id_col, text_col, make, "doc_id long, raw double, score double, predicted int, nearest array<long>, cosines array<double>")
+
+
+def score_toxicity(docs: DataFrame, voter: ToxicVoter, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, score, predicted (score >= 0.5), nearest (ids of the voting examples), cosines.
+
+    Null and empty texts, and texts without a term that an example has, get the blank rate and no neighbours.
+    Repeated ids give repeated rows; columns other than the two named are not read.
+    """
+    return _scored(docs, voter, id_col, text_col).drop("raw")
