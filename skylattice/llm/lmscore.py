@@ -3,14 +3,21 @@
 A text is its bytes and an end mark.  Each symbol is a path of binary decisions in a
 Huffman tree that the byte before it selects, so likely symbols take few decisions.
 Predictors give the probability of each decision from counts over all training texts in
-one context: the byte before (exact), four bytes, and the letters of the word so far (both
-hashed).  Their stretched probabilities are mixed by one of two sets of weights, for where the word context
-is sure and where it is not; the mix is refined by a correction that depends on its own size.
-Weights and correction learn online after every decision, from fixed values at the start of a
-text to its end.  The sum of the decisions' logarithms is the log probability of the text.
+one context: the byte before (exact), and, hashed, two bytes, four bytes, and the letters of
+the word so far.  Their stretched probabilities are mixed by one of four sets of weights, chosen
+by which of the two longest contexts are sure; the mix is refined by a correction that depends on
+its own size.  Weights and correction learn online after every block of symbols (``blocks``), from
+fixed values at the start of a text to its end.
+
+The longest context is a whole line.  The number of times that each line of the training texts
+occurs in all of them is an exact table that grows with the corpus.  A line's probability is
+(1 - share) times that of its decisions plus share times c / L: c of all L training lines are alike,
+and ``share`` of the training lines occur more than once.  A training text does not count its own
+lines, so that it is scored by what other texts hold.  The sum of the lines' logarithms is the log
+probability of the text.
 
 Beside it stands the exact add-one unigram model over words.  Its counts grow with the
-corpus; the most frequent words (a fixed number) are broadcast, all others are joined.
+corpus; the most frequent words and lines (a fixed number) are broadcast, all others are joined.
 """
 
 from __future__ import annotations
@@ -31,17 +38,18 @@ from .textbytes import LOWER, SPACE, TextSlice, bounded_batches, list_array, map
 
 END = 256
 SYMBOLS = 257
-#: log2 of the number of slots of each hashed predictor: four bytes, word so far.
-SLOT_BITS = (21, 21)
-#: Bytes that are hashed together, bytes of texts that are scored side by side, and symbols of them in one round.
-BATCH_BYTES, HELD_BYTES, ROUND = 1 << 19, 1 << 24, 300_000
-#: Counts travel in pieces of so many slots.
-PIECE_BITS = 16
-#: So many of the most frequent words are broadcast (16 bytes each).
-HEAD_WORDS = 400_000
-#: First weights of the three predictors and the bias where the word context is not sure and where it is, and the rates of learning.
-START = np.array([[0.3, 0.7, 0.3, 0.0], [0.1, 0.6, 0.4, 0.0]], np.float32)
-RATE, REFINE = np.float32(0.015), np.float32(0.02)
+#: log2 of the number of slots of each hashed predictor: two bytes, four bytes, word so far.
+SLOT_BITS = (20, 22, 22)
+#: Bytes that are hashed together, and bytes of texts that are scored side by side.
+BATCH_BYTES, HELD_BYTES = 1 << 19, 1 << 23
+#: Counts travel in pieces of so many slots; first so many tasks' pieces are added, then the sums.
+PIECE_BITS, TOGETHER = 16, 64
+#: So many of the most frequent words and of the most frequent lines are broadcast (16 bytes each).
+HEAD_WORDS, HEAD_LINES = 400_000, 100_000
+#: A text's first weights of the four predictors and the bias (the same in all four sets), and the rates of learning.
+START = np.array([0.0, 0.15, 0.5, 0.3, 0.0], np.float32)
+GATES, CELLS = 4, 8
+RATE, REFINE = np.float32(0.02), np.float32(0.02)
 
 _ORDER1 = SYMBOLS * SYMBOLS
 _SPREAD = np.uint32(0x85EBCA6B)
@@ -49,6 +57,7 @@ _SPREAD = np.uint32(0x85EBCA6B)
 
 _APART = np.append(SPACE, True)
 _LETTER = np.append(mix(LOWER.astype(np.uint64) + np.uint64(77)), np.uint64(0))
+_EXACT = mix(np.arange(SYMBOLS, dtype=np.uint64) + np.uint64(991))
 
 # ---- binary decisions
 
@@ -118,10 +127,11 @@ def previous(symbol: np.ndarray, first: np.ndarray, back: int) -> np.ndarray:
 
 
 def contexts(symbol: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-    """The byte before each symbol and its two context hashes."""
+    """The byte before each symbol and its three context hashes."""
     one = previous(symbol, first, 1)
-    near = one.astype(np.uint64)
-    for back in (2, 3, 4):
+    near = one.astype(np.uint64) | previous(symbol, first, 2).astype(np.uint64) << np.uint64(9)
+    two = mix(near + np.uint64(1 << 40))
+    for back in (3, 4):
         near |= previous(symbol, first, back).astype(np.uint64) << np.uint64(9 * back - 9)
     four = mix(near)
     n = len(symbol)
@@ -133,7 +143,17 @@ def contexts(symbol: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, list[np
     opens = np.maximum.accumulate(opens)
     place = np.arange(n)
     word = mix((sums[place] - sums[opens]) * down[opens] + (place - opens).astype(np.uint64) + np.uint64(3))
-    return one, [(h >> np.uint64(32)).astype(np.uint32) for h in (four, word)]
+    return one, [(h >> np.uint64(32)).astype(np.uint32) for h in (two, four, word)]
+
+
+def lines_of(symbol: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and 64-bit hash of every line, and its text; a line ends with its line feed or the end mark, which are alike."""
+    closes = np.flatnonzero((symbol == 10) | (symbol == END))
+    starts = np.append(0, closes[:-1] + 1)
+    up, down = powers(len(symbol) + 1)
+    sums = np.append(np.uint64(0), np.cumsum(_EXACT[symbol] * up[: len(symbol)]))
+    h = mix((sums[closes] - sums[starts]) * down[starts] + (closes - starts).astype(np.uint64) + np.uint64(5))
+    return starts, h, np.searchsorted(first, starts, "right") - 1
 
 
 def decisions(code: Code, symbol: np.ndarray, one: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -164,42 +184,43 @@ def salted(node: np.ndarray) -> np.ndarray:
 # ---- what is gathered from the training texts
 
 
-def _gather_words(train: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """word, c: exact counts of words by hash, and pair counts of bytes as rows of (word, c) with a small word."""
+def _gather(train: DataFrame) -> DataFrame:
+    """kind, word, c: exact counts of words (kind 0) and lines (2) by hash, and of pairs of bytes (1)."""
     bounded_batches(train.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs = np.zeros(_ORDER1, np.int64)
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        size = 0
+        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {0: [], 2: []}
+        size = dict.fromkeys(held, 0)
 
         def emit(kind: int, word: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(np.full(len(word), kind, np.int32)), pa.array(word.astype(np.uint64).view(np.int64)), pa.array(c.astype(np.int64))], names=["kind", "word", "c"])
 
-        def merged() -> tuple[np.ndarray, np.ndarray]:
-            word, inverse = np.unique(np.concatenate([h[0] for h in held]), return_inverse=True)
-            return word, np.bincount(inverse, np.concatenate([h[1] for h in held]))
+        def merged(kind: int) -> tuple[np.ndarray, np.ndarray]:
+            word, inverse = np.unique(np.concatenate([h[0] for h in held[kind]]), return_inverse=True)
+            return word, np.bincount(inverse, np.concatenate([h[1] for h in held[kind]]))
 
         for batch in batches:
             for _, _, texts in slices(batch.column(1)):
                 symbol, first, _ = symbols_of(texts)
                 pairs += np.bincount(previous(symbol, first, 1) * SYMBOLS + symbol, minlength=_ORDER1)
                 starts, ends, _ = texts.words()
-                held.append(np.unique(texts.hashes(starts, ends), return_counts=True))
-                size += len(held[-1][0])
-                if size > 1_500_000:
-                    held = [merged()]
-                    size = len(held[0][0])
-                    if size > 1_000_000:
-                        yield emit(0, *held.pop())
-                        size = 0
-        if held:
-            yield emit(0, *merged())
+                for kind, h in ((0, texts.hashes(starts, ends)), (2, lines_of(symbol, first)[1])):
+                    held[kind].append(np.unique(h, return_counts=True))
+                    size[kind] += len(held[kind][-1][0])
+                    if size[kind] > 1_500_000:
+                        held[kind] = [merged(kind)]
+                        size[kind] = len(held[kind][0][0])
+                        if size[kind] > 1_000_000:
+                            yield emit(kind, *held[kind].pop())
+                            size[kind] = 0
+        for kind in held:
+            if held[kind]:
+                yield emit(kind, *merged(kind))
         some = np.flatnonzero(pairs)
         yield emit(1, some, pairs[some])
 
-    found = written(train.select("id", "text").mapInArrow(run, "kind int, word long, c long").groupBy("kind", "word").agg(F.sum("c").alias("c")), "words")
-    return found.where("kind = 0").select("word", "c"), found.where("kind = 1").select("word", "c")
+    return written(train.select("id", "text").mapInArrow(run, "kind int, word long, c long").groupBy("kind", "word").agg(F.sum("c").alias("c")), "words")
 
 
 def stretched(counts: np.ndarray) -> np.ndarray:
@@ -235,27 +256,30 @@ def _gather_decisions(train: DataFrame, code: Code) -> list[np.ndarray]:
                 salt = salted(node)
                 for table, context, bits in zip(tables, hashed, SLOT_BITS, strict=True):
                     np.add.at(table, slots(context, of, salt, bits).astype(np.int64) * 2 + bit, np.int32(1))
+        step, group = 2 << PIECE_BITS, TaskContext.get().partitionId() // TOGETHER
         for k, table in enumerate(tables):
-            step = 2 << PIECE_BITS
             for piece, at in enumerate(range(0, len(table), step)):
                 part = table[at : at + step]
                 if part.any():
-                    yield pa.RecordBatch.from_arrays([pa.array([k << 20 | piece], pa.int32()), pa.array([packer.compress(part.tobytes())], pa.binary())], names=["piece", "counts"])
+                    yield pa.RecordBatch.from_arrays([pa.array([k << 20 | piece], pa.int32()), pa.array([group], pa.int32()), pa.array([packer.compress(part.astype(np.int64).tobytes())], pa.binary())], names=["piece", "part", "counts"])
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpacker, sums = zstandard.ZstdDecompressor(), {}
+    def add(batches: Iterator[pa.RecordBatch], last: bool) -> Iterator[pa.RecordBatch]:
+        packer, unpacker, sums = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor(), {}
         for batch in batches:
-            for piece, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                part = np.frombuffer(unpacker.decompress(packed), np.int32).astype(np.int64)
-                sums[piece] = sums[piece] + part if piece in sums else part
-        for piece, total in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([piece], pa.int32()), pa.array([stretched(total).tobytes()], pa.binary())], names=["piece", "values"])
-
-    summed = train.select("id", "text").mapInArrow(count, "piece int, counts binary").repartition("piece").mapInArrow(add, "piece int, values binary")
+            for piece, group, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                key, counts = (piece, 0 if last else group), np.frombuffer(unpacker.decompress(packed), np.int64)
+                sums[key] = sums[key] + counts if key in sums else counts
+        for (piece, group), total in sums.items():
+            data = stretched(total).tobytes() if last else packer.compress(total.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array([piece], pa.int32()), pa.array([group], pa.int32()), pa.array([data], pa.binary())], names=["piece", "part", "counts"])
+
+    schema = "piece int, part int, counts binary"
+    counted = train.select("id", "text").mapInArrow(count, schema)
+    summed = counted.repartition("piece", "part").mapInArrow(lambda batches: add(batches, False), schema)
     tables = [np.zeros(n, np.int16) for n in sizes]
-    for row in summed.toLocalIterator():  # the tables have a fixed size, about 10 MB together
+    for row in summed.repartition("piece").mapInArrow(lambda batches: add(batches, True), schema).toLocalIterator():  # the tables have a fixed size, 18 MB together
         at = (row.piece & 0xFFFFF) << PIECE_BITS
-        values = np.frombuffer(row["values"], np.int16)
+        values = np.frombuffer(row["counts"], np.int16)
         tables[row.piece >> 20][at : at + len(values)] = values
     return tables
 
@@ -263,94 +287,81 @@ def _gather_decisions(train: DataFrame, code: Code) -> list[np.ndarray]:
 # ---- scoring
 
 
+def blocks(longest: int) -> list[int]:
+    """Bounds of the blocks of symbols after which weights learn: shorter ones while a text has taught little."""
+    return [0, *(x for x in (*range(16, 513, 16), *range(576, 4097, 64), *range(4352, longest + 256, 256)) if x < longest), longest]
+
+
 def log_probabilities(code: Code, tables: list[np.ndarray], parts: list[TextSlice]) -> np.ndarray:
-    """log10 of each text's probability, over all parts.
+    """log10 of every symbol's probability, over all parts.
 
-    Texts are lanes side by side, the longest first; in a round each goes on by as many symbols, with the weights it has.
+    Texts are lanes side by side, the longest first; in a round each goes on by a block, with the weights it has.
     """
     held = []
     for texts in parts:
         symbol, first, _ = symbols_of(texts)
         held.append((symbol.astype(np.uint16), *contexts(symbol, first)[1], np.diff(first)))
-    symbol, four, word, size = (np.concatenate(x) for x in zip(*held, strict=True))
+    symbol, *hashed, size = (np.concatenate(x) for x in zip(*held, strict=True))
     del held
     order = np.argsort(-size, kind="stable")
     n = len(size)
     start, size = (np.cumsum(size) - size)[order], size[order]
-    w, fix, total = np.tile(START, (n, 1)), np.zeros((n, 8), np.float32), np.zeros(n)
-    done = 0
-    while a := int(np.searchsorted(-size, -done)):  # texts with symbols left
-        step = max(1, ROUND // a)
-        each = np.minimum(size[:a] - done, step)
+    weights, fixes = np.repeat(START[:, None], n * GATES, axis=1), np.zeros(n * CELLS, np.float32)
+    out = np.empty(len(symbol), np.float32)
+    bounds = blocks(int(size[0]) if n else 0)
+    for low, high in zip(bounds, bounds[1:], strict=False):
+        a = int(np.searchsorted(-size, -low))  # texts with symbols left
+        each = np.minimum(size[:a], high) - low
         ends = np.cumsum(each)
-        at = np.arange(ends[-1]) + np.repeat(start[:a] + done - (ends - each), each)
+        at = np.arange(ends[-1]) + np.repeat(start[:a] + low - (ends - each), each)
         one = symbol[at - 1].astype(np.int64)
-        if not done:
+        if not low:
             one[ends - each] = END
-        total[:a] += advance(code, tables, symbol[at].astype(np.int64), one, [four[at], word[at]], ends, w[: 2 * a], fix[:a])
-        done += step
-    out = np.empty(n)
-    out[order] = total
+        out[at] = advance(code, tables, symbol[at].astype(np.int64), one, [h[at] for h in hashed], each, weights[:, : a * GATES], fixes[: a * CELLS])
     return out
 
 
-def advance(code: Code, tables: list[np.ndarray], symbol: np.ndarray, one: np.ndarray, hashed: list[np.ndarray], ends: np.ndarray, weights: np.ndarray, fixes: np.ndarray) -> np.ndarray:
-    """log10 of the probability of each lane's symbols (up to ``ends``); weights (two rows a lane) and fixes learn on."""
-    size = code.size[one * SYMBOLS + symbol]
+def advance(code: Code, tables: list[np.ndarray], symbol: np.ndarray, one: np.ndarray, hashed: list[np.ndarray], each: np.ndarray, weights: np.ndarray, fixes: np.ndarray) -> np.ndarray:
+    """log10 of the probability of each symbol of the lanes (``each`` has how many); weights and fixes learn from them."""
     of, node, bit = decisions(code, symbol, one)
-    begin = np.append(0, np.cumsum(size)[ends - 1])
-    length = np.diff(begin)
-    order = np.argsort(-length, kind="stable")
-    start, length = begin[:-1][order], length[order]
-    n = len(length)
-    active = np.searchsorted(-length, -np.arange(1, int(length[0]) + 1), "right")  # lanes with a t-th decision
-    offset = np.append(0, np.cumsum(active))
-    lane = np.arange(offset[-1]) - np.repeat(offset[:-1], active)
-    where = start[lane] + np.repeat(np.arange(len(active)), active)
-    x = np.empty((len(where), 4), np.float32)
-    scale = np.float32(1 / 2048)
-    np.multiply(tables[0].take((one * SYMBOLS).astype(np.int32).take(of) + node).take(where), scale, out=x[:, 0])
+    first = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
+    lane = np.repeat(np.arange(len(each), dtype=np.int32), each).take(of)
+    x = [tables[0].take((one * SYMBOLS).astype(np.int32).take(of) + node).astype(np.float32)]
     salt = salted(node)
-    for k, (context, bits) in enumerate(zip(hashed, SLOT_BITS, strict=True), 1):
-        np.multiply(tables[k].take(slots(context, of, salt, bits)).take(where), scale, out=x[:, k])
-    bit = bit.take(where).astype(np.float32)
-    x[:, 3] = 0.3
-    row = lane * 2 + (np.abs(x[:, 2]) > 1)
-    w = weights.reshape(n, 8)[order].reshape(2 * n, 4)
-    fix = fixes[order].ravel()
-    first = np.arange(n, dtype=np.int64) * 8
-    error = np.empty(len(where), np.float32)
-    for a, low, high in zip(active.tolist(), offset[:-1].tolist(), offset[1:].tolist(), strict=True):
-        xt, rt, e = x[low:high], row[low:high], error[low:high]
-        wt = w.take(rt, 0)
-        s = np.einsum("lk,lk->l", xt, wt)
-        at = s + np.float32(4)
-        np.maximum(at, 0, out=at)
-        np.minimum(at, 7, out=at)
-        at = at.astype(np.int64)
-        at += first[:a]
-        r = fix.take(at)
-        s += r
-        np.negative(s, out=s)
-        np.exp(s, out=s)
-        s += 1
-        np.divide(bit[low:high] * s - 1, s, out=e)  # outcome - 1 / (1 + exp(-s))
-        wt += xt * (e * RATE)[:, None]
-        w[rt] = wt
-        fix[at] = r + e * REFINE
-    weights.reshape(n, 8)[order] = w.reshape(n, 8)
-    fixes[order] = fix.reshape(n, 8)
-    out = np.empty(n)
-    out[order] = np.bincount(lane, np.log10(np.clip(1 - np.abs(error), 1e-5, 1 - 1e-5)), minlength=n)
-    return out
-
-
-def _held(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[pa.Array, TextSlice]]]:
-    """ids and texts of slices, about ``HELD_BYTES`` at a time."""
+    for table, context, bits in zip(tables[1:], hashed, SLOT_BITS, strict=True):
+        x.append(table.take(slots(context, of, salt, bits)).astype(np.float32))
+    for v in x:
+        v *= np.float32(1 / 2048)
+    row = lane * np.int32(GATES)
+    row += np.abs(x[2]) > 1
+    row += np.int32(2) * (np.abs(x[3]) > 1)
+    s = weights[-1].take(row) * np.float32(0.3)
+    for w, v in zip(weights, x, strict=False):
+        s += w.take(row) * v
+    cell = s + np.float32(CELLS / 2)
+    np.clip(cell, 0, CELLS - 1, out=cell)
+    cell = cell.astype(np.int32)
+    cell += lane * np.int32(CELLS)
+    s += fixes.take(cell)
+    np.negative(s, out=s)
+    np.exp(s, out=s)
+    s += 1
+    error = bit - 1 / s
+    seen = RATE / np.sqrt(1 + np.bincount(row, minlength=weights.shape[1]) / 16)
+    for w, v in zip(weights, (*x, np.full(1, 0.3, np.float32)), strict=True):
+        w += np.bincount(row, error * v, minlength=len(w)) * seen
+    fixes += np.bincount(cell, error, minlength=len(fixes)) * (REFINE / np.sqrt(1 + np.bincount(cell, minlength=len(fixes)) / 16))
+    np.abs(error, out=error)
+    return np.add.reduceat(np.log10(np.clip(1 - error, 1e-5, 1 - 1e-5)), first)
+
+
+def _held(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[pa.Array, np.ndarray, TextSlice]]]:
+    """ids, training flags and texts of slices, about ``HELD_BYTES`` at a time."""
     held, size = [], 0
     for batch in batches:
+        train = batch.column(2).to_numpy(zero_copy_only=False)
         for at, to, part in slices(batch.column(1), BATCH_BYTES):
-            held.append((batch.column(0).slice(at, to - at), part))
+            held.append((batch.column(0).slice(at, to - at), train[at:to], part))
             size += len(part.data)
             if size >= HELD_BYTES:
                 yield held
@@ -359,6 +370,39 @@ def _held(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[pa.Array, Te
         yield held
 
 
+def _grouped(key: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order by owner and key, and in that order the size of each one's group."""
+    order = np.lexsort((key, owner))
+    key, owner = key[order], owner[order]
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])
+    at = np.flatnonzero(new)
+    size = np.diff(np.append(at, len(key)))
+    return order, np.repeat(size, size)
+
+
+@dataclass
+class Head:
+    """Counts of the most frequent words or lines, by ascending hash; a fixed number at most."""
+
+    key: np.ndarray
+    c: np.ndarray
+
+    @classmethod
+    def of(cls, counts: DataFrame, most: int) -> Head:
+        head = counts.orderBy(F.desc("c"), "word").limit(most).toArrow()
+        key = head["word"].to_numpy().astype(np.int64).view(np.uint64)
+        order = np.argsort(key)
+        return cls(key[order], head["c"].to_numpy()[order].astype(np.int64))
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The count of each hash, 0 if it is not here."""
+        if not len(self.key):
+            return np.zeros(len(h), np.int64)
+        at = np.minimum(np.searchsorted(self.key, h), len(self.key) - 1)
+        return np.where(self.key[at] == h, self.c[at], 0)
+
+
 def score_texts(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score, bytes, bits_per_byte.
 
@@ -370,45 +414,62 @@ def score_texts(docs: DataFrame, training: Column, id_col: str = "doc_id", text_
     bounded_batches(spark)
     texts = docs.select(docs[id_col].cast("long").alias("id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"), F.coalesce(training, F.lit(False)).alias("train"))
     train = texts.where("train")
-    words, pairs = _gather_words(train)
+    gathered = _gather(train)
+    words, pairs, lines = (gathered.where(F.col("kind") == k).select("word", "c") for k in range(3))
     table = pairs.toArrow()  # 257 * 257 rows at most
     counts = np.zeros(_ORDER1)
     counts[table["word"].to_numpy()] = table["c"].to_numpy()
     counts = counts.reshape(SYMBOLS, SYMBOLS)
     ends = int(counts[:, END].sum())
-    total, distinct = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    totals = {r.kind: r for r in gathered.where("kind != 1").groupBy("kind").agg(F.sum("c").alias("c"), F.count("*").alias("n"), F.sum(F.when(F.col("c") > 1, F.col("c")).otherwise(0)).alias("again")).collect()}
+    total, distinct = (totals[0].c, totals[0].n) if 0 in totals else (0, 0)
+    n_lines, again = (totals[2].c, totals[2].again) if 2 in totals else (0, 0)
     n_train, vocabulary = total + ends, distinct + (ends > 0)
-    head = words.orderBy(F.desc("c"), "word").limit(HEAD_WORDS).toArrow()
-    key = head["word"].to_numpy().astype(np.int64).view(np.uint64)
-    order = np.argsort(key)
-    key, logs = key[order], np.log10(head["c"].to_numpy()[order] + 1.0)
+    share = again / (n_lines + 1)
     code = Code.build(counts)
-    sent = spark.sparkContext.broadcast((code, [pair_table(code, counts), *_gather_decisions(train, code)], key, logs))
-    end_log = float(np.log10(ends + 1))
+    sent = spark.sparkContext.broadcast((code, [pair_table(code, counts), *_gather_decisions(train, code)], Head.of(words, HEAD_WORDS), Head.of(lines.where("c > 1"), HEAD_LINES)))
+    end_log, lone = float(np.log10(ends + 1)), float(np.log10(1 - share))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code, tables, key, logs = sent.value
+        code, tables, head_words, head_lines = sent.value
         row = TaskContext.get().partitionId() << 33
         for held in _held(batches):
-            scores = log_probabilities(code, tables, [part for _, part in held])
+            logs = log_probabilities(code, tables, [part for *_, part in held])
             done = 0
-            for ids, part in held:
+            for ids, trained, part in held:
                 n = len(part)
-                score = scores[done : done + n]
-                done += n
+                symbol, opens, _ = symbols_of(part)
+                at, line, line_owner = lines_of(symbol, opens)
+                value = np.add.reduceat(logs[done : done + len(symbol)].astype(float), at)
+                done += len(symbol)
+                order, own = _grouped(line, line_owner)
+                line, line_owner, value = line[order], line_owner[order], value[order]
+                own = np.where(trained[line_owner], own, 0)
+                score = np.bincount(line_owner, value + lone, minlength=n)
+                c = head_lines.find(line)
+                seen = c - own > 0
+                score += np.bincount(line_owner[seen], np.log10((1 - share) * 10.0 ** value[seen] + share * (c - own)[seen] / max(n_lines, 1)) - value[seen] - lone, minlength=n)
                 starts, ends, first = part.words()
                 h = part.hashes(starts, ends)
                 owner = np.repeat(np.arange(n), np.diff(first))
-                near = np.minimum(np.searchsorted(key, h), max(len(key) - 1, 0))
-                known = key[near] == h if len(key) else np.zeros(len(h), bool)
-                base = np.bincount(owner[known], logs[near[known]] if len(key) else None, minlength=n) + end_log
+                often = head_words.find(h)
+                known = often > 0
+                base = np.bincount(owner[known], np.log10(often[known] + 1.0), minlength=n) + end_log
                 rest, rest_owner = h[~known], owner[~known]
-                by = np.lexsort((rest, rest_owner))
-                rest, rest_owner = rest[by], rest_owner[by]
-                new = np.ones(len(rest), bool)
-                new[1:] = (rest[1:] != rest[:-1]) | (rest_owner[1:] != rest_owner[:-1])
-                where = np.flatnonzero(new)
-                each = np.bincount(rest_owner[where], minlength=n)
+                order, size = _grouped(rest, rest_owner)
+                rest, rest_owner = rest[order], rest_owner[order]
+                one = np.flatnonzero(np.append(True, (rest[1:] != rest[:-1]) | (rest_owner[1:] != rest_owner[:-1]))) if len(rest) else np.zeros(0, np.int64)
+                # what is not in the broadcast heads: words with how often, lines with their logarithm
+                left = np.flatnonzero((c == 0) & (share > 0))
+                all_owner = np.append(rest_owner[one], line_owner[left])
+                by = np.argsort(all_owner, kind="stable")
+                each = np.bincount(all_owner, minlength=n)
+                columns = (
+                    (np.append(np.zeros(len(one), np.int32), np.full(len(left), 2, np.int32)), pa.int32()),
+                    (np.append(rest[one], line[left]).view(np.int64), pa.int64()),
+                    (np.append(size[one].astype(float), value[left]), pa.float64()),
+                    (np.append(np.zeros(len(one), np.int32), own[left].astype(np.int32)), pa.int32()),
+                )
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(row + np.arange(n)),
@@ -418,17 +479,23 @@ def score_texts(docs: DataFrame, training: Column, id_col: str = "doc_id", text_
                         pa.array(base),
                         pa.array(score),
                         pa.array(np.diff(part.offsets)),
-                        list_array(rest[where].view(np.int64), each, pa.int64()),
-                        list_array(np.diff(np.append(where, len(rest))).astype(np.int32), each, pa.int32()),
+                        *(list_array(x[by], each, kind) for x, kind in columns),
                     ],
-                    names=["row", "doc_id", "n_tokens", "n_known", "base", "score", "bytes", "rest", "often"],
+                    names=["row", "doc_id", "n_tokens", "n_known", "base", "score", "bytes", "kind", "word", "value", "own"],
                 )
                 row += n
 
-    scored = written(texts.select("id", "text").mapInArrow(run, "row long, doc_id long, n_tokens long, n_known long, base double, score double, bytes long, rest array<long>, often array<int>"), "scored")
-    tail = scored.where(F.size("rest") > 0).select("row", F.explode(F.arrays_zip("rest", "often")).alias("t")).select("row", F.col("t.rest").alias("word"), F.col("t.often").alias("often"))
-    more = tail.join(words, "word").groupBy("row").agg(F.sum(F.col("often") * F.log10(F.col("c") + 1)).alias("more"), F.sum("often").alias("found"))
-    whole = scored.drop("rest", "often").join(more, "row", "left")
+    scored = written(texts.mapInArrow(run, "row long, doc_id long, n_tokens long, n_known long, base double, score double, bytes long, kind array<int>, word array<long>, value array<double>, own array<int>"), "scored")
+    tail = scored.where(F.size("word") > 0).select("row", F.explode(F.arrays_zip("kind", "word", "value", "own")).alias("t")).select("row", "t.*")
+    is_word, others = F.col("kind") == 0, F.col("c") - F.col("own")
+    gain = F.log10((1 - share) * F.pow(F.lit(10.0), "value") + share * others / max(n_lines, 1)) - F.col("value") - lone
+    more = tail.join(gathered, ["kind", "word"]).groupBy("row").agg(
+        F.sum(F.when(is_word, F.col("value") * F.log10(F.col("c") + 1))).alias("more"),
+        F.sum(F.when(is_word, F.col("value"))).cast("long").alias("found"),
+        F.sum(F.when(~is_word & (others > 0), gain)).alias("gain"),
+    )
+    whole = scored.drop("kind", "word", "value", "own").join(more, "row", "left")
     base = F.col("base") + F.coalesce("more", F.lit(0.0)) - F.col("n_tokens") * float(np.log10(n_train + vocabulary + 1))
-    bits = F.when(F.col("bytes") > 0, -F.col("score") / float(np.log10(2)) / F.col("bytes"))
-    return whole.select("doc_id", "n_tokens", (F.col("n_known") + F.coalesce("found", F.lit(0))).alias("n_known"), F.lit(n_train).cast("long").alias("train_tokens"), base.alias("base_score"), "score", "bytes", bits.alias("bits_per_byte"))
+    score = F.col("score") + F.coalesce("gain", F.lit(0.0))
+    bits = F.when(F.col("bytes") > 0, -score / float(np.log10(2)) / F.col("bytes"))
+    return whole.select("doc_id", "n_tokens", (F.col("n_known") + F.coalesce("found", F.lit(0))).alias("n_known"), F.lit(n_train).cast("long").alias("train_tokens"), base.alias("base_score"), score.alias("score"), "bytes", bits.alias("bits_per_byte"))

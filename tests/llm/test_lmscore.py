@@ -25,25 +25,32 @@ def test_code_is_a_prefix_code_for_every_byte_before():
         assert math.isclose(sum(2.0 ** -float(s) for s in size), 1.0) and size.min() >= 1
 
 
-def test_probabilities_are_a_distribution():
-    """Over all next symbols after a text the model's probabilities sum to 1."""
-    train = pa.array(["abab abba baab", "abba abab"])
+def fitted(texts, seed=9):
+    """A code and tables with noise in the hashed ones."""
     pairs = np.zeros(L.SYMBOLS**2)
-    for _, _, t in slices(train):
+    for _, _, t in slices(pa.array(texts)):
         s, f, _ = L.symbols_of(t)
         pairs += np.bincount(L.previous(s, f, 1) * L.SYMBOLS + s, minlength=L.SYMBOLS**2)
-    code = L.Code.build(pairs.reshape(L.SYMBOLS, L.SYMBOLS))
-    tables = [L.pair_table(code, pairs.reshape(L.SYMBOLS, L.SYMBOLS)), *(np.zeros(1 << b, np.int16) for b in L.SLOT_BITS)]
-    # P(first symbol = x) for all x: decisions at the start of a text with its start context
-    total = 0.0
-    for x in range(L.SYMBOLS):
-        symbol = np.array([x])
-        one, _ = L.contexts(symbol, np.array([0, 1]))
-        _, node, bit = L.decisions(code, symbol, one)
-        s = tables[0][one[0] * L.SYMBOLS + node] / 2048
-        p = 1 / (1 + np.exp(-s))
-        total += float(np.prod(np.where(bit == 1, p, 1 - p)))
-    assert math.isclose(total, 1.0, rel_tol=1e-6)
+    pairs = pairs.reshape(L.SYMBOLS, L.SYMBOLS)
+    code = L.Code.build(pairs)
+    rng = np.random.default_rng(seed)
+    return code, [L.pair_table(code, pairs), *(rng.integers(-6000, 6000, 1 << b).astype(np.int16) for b in L.SLOT_BITS)]
+
+
+def test_probabilities_are_a_distribution():
+    """After a text, with the weights learned from it, the probabilities of all next symbols sum to 1."""
+    code, tables = fitted(["abab abba baab", "abba abab"])
+    (_, _, t), = slices(pa.array(["abba ab baba abab ab"]))
+    symbol, first, _ = L.symbols_of(t)
+    one, hashed = L.contexts(symbol, first)
+    n, at = len(symbol), len(symbol) - 1
+    weights, fixes = np.repeat(L.START[:, None], L.GATES, axis=1), np.zeros(L.CELLS, np.float32)
+    L.advance(code, tables, symbol[:at], one[:at], [h[:at] for h in hashed], np.array([at]), weights, fixes)
+    assert np.abs(weights - L.START[:, None]).max() > 0.01 and n > 16
+    every = np.arange(L.SYMBOLS)
+    same = lambda x: np.full(L.SYMBOLS, x[at])
+    logs = L.advance(code, tables, every, same(one), [same(h) for h in hashed], np.ones(L.SYMBOLS, np.int64), np.tile(weights, L.SYMBOLS), np.tile(fixes, L.SYMBOLS))
+    assert math.isclose((10.0**logs).sum(), 1.0, rel_tol=2e-3)  # probabilities of decisions are kept from 0
 
 
 @pytest.mark.parametrize("head", [50, 400_000])
@@ -84,7 +91,7 @@ def test_no_training_rows(spark):
 
 
 def one_by_one(code, tables, text):
-    """log10 of a text's probability, decision by decision with one pair of weight sets from its start to its end."""
+    """log10 of a text's probability, decision by decision; four sets of weights learn after each block, from its start to its end."""
     (_, _, t), = slices(pa.array([text]))
     symbol, first, _ = L.symbols_of(t)
     one, hashed = L.contexts(symbol, first)
@@ -92,31 +99,72 @@ def one_by_one(code, tables, text):
     salt = L.salted(node)
     x = [tables[0][one[of] * L.SYMBOLS + node], *(tables[k][L.slots(h, of, salt, L.SLOT_BITS[k - 1])] for k, h in enumerate(hashed, 1))]
     x = np.column_stack([*(v / 2048 for v in x), np.full(len(of), 0.3)])
-    w, fix, total = L.START.astype(float).copy(), np.zeros(8), 0.0
-    for row, y in zip(x, bit.tolist(), strict=True):
-        k = int(abs(row[2]) > 1)
-        s = float(row @ w[k])
-        cell = int(min(max(s + 4, 0), 7))
-        p = 1 / (1 + math.exp(-s - fix[cell]))
-        w[k] += row * (y - p) * float(L.RATE)
-        fix[cell] += (y - p) * float(L.REFINE)
-        total += math.log10(min(max(1 - abs(y - p), 1e-5), 1 - 1e-5))
+    w, fix, total = [L.START.astype(float) for _ in range(L.GATES)], [0.0] * L.CELLS, 0.0
+    bounds = L.blocks(len(symbol))
+    for low, high in zip(bounds, bounds[1:], strict=False):
+        slope, turn, tug, hits = [np.zeros(5) for _ in w], [0] * L.GATES, [0.0] * L.CELLS, [0] * L.CELLS
+        for row, y in zip(x[(of >= low) & (of < high)], bit[(of >= low) & (of < high)].tolist(), strict=True):
+            k = int(abs(row[2]) > 1) + 2 * int(abs(row[3]) > 1)
+            s = float(row @ w[k])
+            cell = int(min(max(s + 4, 0), 7))
+            p = 1 / (1 + math.exp(-s - fix[cell]))
+            slope[k] += row * (y - p)
+            turn[k] += 1
+            tug[cell] += y - p
+            hits[cell] += 1
+            total += math.log10(min(max(1 - abs(y - p), 1e-5), 1 - 1e-5))
+        w = [v + float(L.RATE) * d / math.sqrt(1 + m / 16) for v, d, m in zip(w, slope, turn, strict=True)]
+        fix = [v + float(L.REFINE) * d / math.sqrt(1 + m / 16) for v, d, m in zip(fix, tug, hits, strict=True)]
     return total
 
 
-def test_learning_goes_on_to_the_end_of_long_texts(monkeypatch):
+def say(rng, n):
+    return " ".join("".join("abcdefgh"[c] for c in rng.integers(0, 8, rng.integers(1, 7))) for _ in range(n))
+
+
+def test_learning_goes_on_to_the_end_of_long_texts():
     rng = np.random.default_rng(9)
-    say = lambda n: " ".join("".join("abcdefgh"[c] for c in rng.integers(0, 8, rng.integers(1, 7))) for _ in range(n))
-    texts = [say(900), "", say(3), say(60) + " and so on" * 300, say(200)]
-    pairs = np.zeros(L.SYMBOLS**2)
-    for _, _, t in slices(pa.array(texts)):
-        s, f, _ = L.symbols_of(t)
-        pairs += np.bincount(L.previous(s, f, 1) * L.SYMBOLS + s, minlength=L.SYMBOLS**2)
-    pairs = pairs.reshape(L.SYMBOLS, L.SYMBOLS)
-    code = L.Code.build(pairs)
-    tables = [L.pair_table(code, pairs), *(rng.integers(-6000, 6000, 1 << b).astype(np.int16) for b in L.SLOT_BITS)]
+    texts = [say(rng, 1500), "", say(rng, 3), say(rng, 60) + " and so on" * 300, say(rng, 200)]
+    code, tables = fitted(texts)
     want = [one_by_one(code, tables, t) for t in texts]
-    for most, parts in ((300_000, [texts]), (200, [texts[:2], texts[2:]])):
-        monkeypatch.setattr(L, "ROUND", most)
-        got = L.log_probabilities(code, tables, [t for p in parts for _, _, t in slices(pa.array(p))])
+    size = [len(t) + 1 for t in texts]
+    for parts in ([texts], [texts[:2], texts[2:]]):
+        logs = L.log_probabilities(code, tables, [t for p in parts for _, _, t in slices(pa.array(p))]).astype(float)
+        got = np.add.reduceat(logs, np.cumsum(size) - size)
         assert np.allclose(got, want, rtol=1e-3)
+
+
+@pytest.mark.parametrize("head", [2, 100_000])
+def test_lines_are_remembered(spark, monkeypatch, head):
+    """The score is that of a plain mixture of each line's decisions and its share among the other texts' training lines."""
+    seen = []
+    plain = L.log_probabilities
+
+    monkeypatch.setattr(L, "HEAD_LINES", head)
+    rng = np.random.default_rng(4)
+    lines = [say(rng, 6) for _ in range(30)]
+    rows = [(i, "\n".join(lines[j] for j in rng.integers(0, 30, i % 5))) for i in range(60)]
+    rows += [(100, lines[0] + "\n" + lines[0]), (101, "alone here"), (102, None), (103, "two\n\n\n"), (103, "two\n")]
+    d = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, train string")
+    train = F.col("doc_id") % 3 != 0
+    tables = []
+    build, gather = L.pair_table, L._gather_decisions
+    monkeypatch.setattr(L, "_gather_decisions", lambda t, code: tables.append((code, gather(t, code))) or tables[-1][1])
+    monkeypatch.setattr(L, "pair_table", lambda code, c: seen.append(build(code, c)) or seen[-1])
+    got = sorted((r.doc_id, r.bytes, r.score) for r in L.score_texts(d, train).collect())
+    code, hashed = tables[0]
+    counts = Counter(x for i, t in rows if i % 3 for x in (t or "").split("\n"))
+    n = sum(counts.values())
+    share = sum(c for c in counts.values() if c > 1) / (n + 1)
+    want = []
+    for i, t in rows:
+        t = t or ""
+        logs = plain(code, [seen[0], *hashed], [p for _, _, p in slices(pa.array([t]))]).astype(float)
+        total, at, own = 0.0, 0, Counter(t.split("\n") if i % 3 else ())
+        for x in t.split("\n"):
+            value = logs[at : at + len(x) + 1].sum()
+            at += len(x) + 1
+            total += math.log10((1 - share) * 10**value + share * (counts[x] - own[x]) / n)
+        want.append((i, len(t), total))
+    for a, b in zip(got, sorted(want), strict=True):
+        assert a[:2] == b[:2] and math.isclose(a[2], b[2], rel_tol=1e-4)
