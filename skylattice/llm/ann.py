@@ -2,10 +2,13 @@
 
 Unit vectors are cut into two halves, each quantised by its own centroids; a cell is a
 pair of centroids.  A query walks over cells by the sum of its halves' distances with a
-heap until the cells met hold ``probe`` vectors, and its candidates are ranked again by
+heap until the cells met hold a share of all vectors, and its candidates are ranked again by
 the exact cosine in double precision on the original vectors.
 
-Centroids are fitted on at most ``sample`` distinct vectors; every vector is indexed.
+Centroids are fitted on one half of at most ``sample`` distinct vectors; every vector is indexed.
+The other half tells how far to walk: the share of vectors that have to be met to find so many of
+the true neighbours among them as ``recall`` asks for.  Clustered vectors need a small share, vectors
+without any clusters a large one.
 Equal vectors are one entry that keeps the smallest ids, as many as an answer can use.
 Cells are dealt out in blocks of about ``BLOCK`` entries, a larger cell in several, and the
 queries that meet a block likewise, so that a crowded cell is many small groups.
@@ -83,6 +86,21 @@ def _centroids(x: np.ndarray, k: int, turns: int = 12) -> np.ndarray:
     return out
 
 
+def _share(index: MultiIndex, unit: np.ndarray, k: int, recall: float, most: int = 500) -> float:
+    """The share of ``unit`` that walks have to meet to find ``recall`` of the k nearest of its own first rows."""
+    if len(unit) < 2:
+        return 1.0
+    half, needed = unit.shape[1] // 2, []
+    a, b = _nearest(unit[:, :half], index.first), _nearest(unit[:, half:], index.second)
+    for i, u in enumerate(unit[:most]):
+        cosine = unit @ u
+        cosine[i] = -2
+        cost = ((index.first - u[:half]) ** 2).sum(1)[a] + ((index.second - u[half:]) ** 2).sum(1)[b]
+        near = np.argpartition(-cosine, min(k, len(unit) - 1) - 1)[:k]
+        needed.append(np.searchsorted(np.sort(cost), cost[near[near != i]], "right") / len(unit))
+    return float(np.quantile(np.concatenate(needed), recall, method="higher"))
+
+
 def _unit(packed: list[bytes]) -> np.ndarray:
     x = np.frombuffer(b"".join(packed)).reshape(len(packed), -1)
     return x / np.sqrt((x * x).sum(1, keepdims=True))
@@ -114,14 +132,14 @@ def _entries(packed: DataFrame, keep: int) -> DataFrame:
     return parts.groupBy("vector", "dims").agg(some(F.flatten(F.collect_list("ids"))).alias("ids"))
 
 
-def nearest_neighbours(vectors: DataFrame, queries: Column, id_col: str = "vec_id", vector_col: str = "embedding", *, k: int = 5, sample: int = 20_000, most_centroids: int = 512, probe: int = 2000, share: float = 0.45) -> DataFrame:
+def nearest_neighbours(vectors: DataFrame, queries: Column, id_col: str = "vec_id", vector_col: str = "embedding", *, k: int = 5, sample: int = 20_000, most_centroids: int = 512, recall: float = 0.95, share: float | None = None) -> DataFrame:
     """query_id, rank (from 1), vec_id, score (cosine): the k nearest found of each row that meets ``queries``.
 
     The query's own id is no candidate; ties go to the smaller id; fewer than k candidates are all
     returned.  Vectors that are null, empty, zero or hold null or non-finite components, and null ids, take
     no part.  Vectors of different lengths are never compared.  Rows that share an id are candidates
-    under that id each.  A walk goes on until it has met max(``probe``, ``share`` * all) entries;
-    the default share gives a recall above 0.9 even for vectors without any clusters, clustered ones need far less.
+    under that id each.  A walk goes on until it has met ``share`` of all entries, and k + 1 at least;
+    without a share it is fitted so that a sample finds ``recall`` of its neighbours.
     """
     spark = vectors.sparkSession
     entries = written(_entries(_packed(vectors, id_col, vector_col), k + 1), "entries")
@@ -129,20 +147,22 @@ def nearest_neighbours(vectors: DataFrame, queries: Column, id_col: str = "vec_i
     lengths = [r.dims for r in entries.select("dims").distinct().collect()]  # as many rows as there are vector lengths
     found = None
     for dims in sorted(lengths):
-        one = _search(spark, entries.where(F.col("dims") == dims), asked.where(F.col("dims") == dims), k, sample, most_centroids, probe, share)
+        one = _search(spark, entries.where(F.col("dims") == dims), asked.where(F.col("dims") == dims), k, sample, most_centroids, recall, share)
         found = one if found is None else found.union(one)
     if found is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     return found
 
 
-def _search(spark, entries: DataFrame, asked: DataFrame, k: int, sample: int, most: int, probe: int, share: float) -> DataFrame:
+def _search(spark, entries: DataFrame, asked: DataFrame, k: int, sample: int, most: int, recall: float, share: float | None) -> DataFrame:
     n = entries.count()
     drawn = [r.vector for r in entries.select("vector").orderBy(F.xxhash64("vector"), "vector").limit(sample).toLocalIterator()]
     unit = _unit([bytes(x) for x in drawn])
     half = unit.shape[1] // 2
-    size = int(min(most, max(4, (n / 8) ** 0.5)))
-    index = MultiIndex(_centroids(unit[:, :half], size), _centroids(unit[:, half:], size), np.zeros(0))
+    size = int(min(most, max(4, n**0.5)))
+    index = MultiIndex(_centroids(unit[::2, :half], size), _centroids(unit[::2, half:], size), np.zeros(0))
+    if share is None:
+        share = _share(index, unit[1::2], k, recall)
     sent = spark.sparkContext.broadcast(index)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,7 +180,7 @@ def _search(spark, entries: DataFrame, asked: DataFrame, k: int, sample: int, mo
     parts_of = np.ones(int(block_of[-1]) + 1, np.int64)
     np.maximum.at(parts_of, block_of, -(-held // BLOCK))
     walker = spark.sparkContext.broadcast((MultiIndex(index.first, index.second, held), block_of, parts_of))
-    least = max(probe, int(share * n))
+    least = max(k + 1, int(np.ceil(share * n)))
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, block_of, parts_of = walker.value
