@@ -36,6 +36,8 @@ BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
 #: Up to so many pages with a decision other than response are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 200_000
+#: Parts in which revisits of one response meet it.
+SALTS = 32
 DATE = "2024-01-01T00:00:00Z"
 
 
@@ -200,9 +202,13 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     marked = pieces.join(real.withColumn("real", F.lit(True)), ["file", "offset"], "left")
     keep = ["file", "offset", *(x.split()[0] for x in _FIELDS.split(", "))]
     whole = marked.where("real AND whole").select(keep)
-    # pieces of records whose payload holds version lines: each belongs to the last real record before it
-    running = Window.partitionBy("file").orderBy("offset").rowsBetween(Window.unboundedPreceding, 0)
-    owned = marked.select("file", "block", "place", "offset", F.when(F.col("real"), F.struct("offset", "whole")).alias("own")).withColumn("own", F.last("own", ignorenulls=True).over(running))
+    # pieces of records whose payload holds version lines: each belongs to the last real record before it, in its split or an earlier one
+    own = F.when(F.col("real"), F.struct("offset", "whole"))
+    last = marked.groupBy("file", "block").agg(F.max(own).alias("last"))
+    splits = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = last.select("file", "block", F.last("last", ignorenulls=True).over(splits).alias("carried"))
+    running = Window.partitionBy("file", "block").orderBy("offset").rowsBetween(Window.unboundedPreceding, 0)
+    owned = marked.select("file", "block", "place", "offset", F.last(own, ignorenulls=True).over(running).alias("own")).join(carried, ["file", "block"]).withColumn("own", F.coalesce("own", "carried"))
     cut = written(owned.where("NOT own.whole").select("file", "block", "place", "offset", F.col("own.offset").alias("owner")), "cut")
     if cut.isEmpty():
         return whole
@@ -243,8 +249,12 @@ def page_records(records: DataFrame, prefix: str = "<urn:page:") -> DataFrame:
     """
     number = lambda c: F.expr(f"try_cast(regexp_extract({c}, '{prefix}([0-9-]+)>', 1) AS BIGINT)")
     rows = records.withColumns({"page_id": number("record_id"), "first": number("refers_to")})
-    own = rows.where("record_type = 'response'").groupBy(F.col("page_id").alias("first"), F.col("payload_digest").alias("digest")).agg(F.min("payload_bytes").alias("bytes"))
-    own = own.groupBy("first").agg(F.min_by("bytes", "digest").alias("bytes"), F.min("digest").alias("digest"))
-    both = rows.drop("refers_to").join(own, "first", "left")
-    full = lambda mine, theirs: F.when(F.col("record_type") == "revisit", F.col(theirs)).otherwise(F.col(mine))
-    return both.select("page_id", full("payload_bytes", "bytes").alias("payload_bytes"), full("payload_digest", "digest").alias("payload_digest"), "record_type", F.col("first").alias("refers_to"), "uri", "file", "offset")
+    revisit = F.coalesce(F.col("record_type") == "revisit", F.lit(False))
+    responses = rows.where(~revisit).select("page_id", "payload_bytes", "payload_digest", "record_type", F.col("first").alias("refers_to"), "uri", "file", "offset")
+    # a response that many revisits refer to meets them in SALTS parts
+    revisits = rows.where(revisit).drop("refers_to", "payload_bytes", "payload_digest").withColumn("salt", F.pmod(F.xxhash64("file", "offset"), F.lit(SALTS)).cast("int"))
+    wanted = revisits.select("first").distinct()
+    own = rows.where("record_type = 'response'").select(F.col("page_id").alias("first"), "payload_digest", "payload_bytes").join(wanted, "first", "left_semi")
+    own = own.groupBy("first").agg(F.min(F.struct("payload_digest", "payload_bytes")).alias("own")).select("first", "own.*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    referred = revisits.join(own, ["first", "salt"], "left").select("page_id", "payload_bytes", "payload_digest", "record_type", F.col("first").alias("refers_to"), "uri", "file", "offset")
+    return responses.union(referred)
