@@ -59,6 +59,7 @@ def test_blocks_of_the_benchmark_give_the_same(spark, monkeypatch):
     d, b = frame(spark, docs, "doc_id long, text string"), frame(spark, items, "item_id long, text string")
     whole = sorted(map(tuple, D.leaks(d, b).collect()))
     monkeypatch.setattr(D, "BLOCK", 10)
+    d = d.union(frame(spark, [(100 + i, f"r{i} s{i} t{i} u{i} v{i} w{i} x{i} y{i} z{i}") for i in range(50)], "doc_id long, text string"))
     assert sorted(map(tuple, D.leaks(d, b).collect())) == whole and len(whole) == 4
 
 
@@ -83,3 +84,28 @@ def test_items_of_slots_and_short_items_are_found_literally(spark):
     got = {(r.doc_id, r.item_id): r for r in D.leaks(d, b).collect()}
     assert set(got) == {(10, 1), (20, 2), (30, 3), (40, 4), (50, 5), (51, 5)}
     assert got[20, 2].coverage == 1.0 and not got[20, 2].slots_differ
+
+
+def test_names_that_open_a_sentence(spark):
+    items = [(1, "Alice has seven red apples in the old basket"), (2, "Where does the river end")]
+    docs = [
+        (1, "So it is. Boris has seven red apples in the old basket"),
+        (2, "we saw that Boris has seven red apples in the old basket"),
+        (3, "tell me where does the river end"),
+        (4, "Boris has seven red apples. In the old basket"),
+    ]
+    d, b = frame(spark, docs, "doc_id long, text string"), frame(spark, items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.coverage for r in D.leaks(d, b).collect()}
+    assert set(got) == {(1, 1), (2, 1), (3, 2), (4, 1)} and got[1, 1] == got[2, 1] == 1.0
+
+
+def test_repeated_ids_and_long_texts(spark):
+    item = "Tom sells 12 green boats to 3 men and then 4 old blue boats to Anna"
+    other = item.replace("12", "19").replace("Tom", "Per")
+    docs = [(1, "nothing here"), (1, f"x {item}"), (2, "pad out " * 30_000 + other + " pad out" * 30_000), (3, None), (3, ""), (2, other)]
+    d = spark.createDataFrame([(*r, "h", 1) for r in docs], "doc_id long, text string, hash string, place int")
+    b = frame(spark, [(7, item), (7, item), (None, item), (8, "")], "item_id long, text string")
+    rows = D.leaks(d, b).collect()
+    assert {(r.doc_id, r.item_id, r.coverage, r.slots_differ) for r in rows} == {(1, 7, 1.0, False), (2, 7, 1.0, True)} and len(rows) == 2
+    kept = D.remove_leaking(d, D.leaks(d, b))
+    assert kept.columns == d.columns and [r.doc_id for r in kept.collect()] == [3, 3]
