@@ -14,11 +14,14 @@ direction; it gets the smoothed label rate of such examples.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import zstandard
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -66,14 +69,15 @@ def spread(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class BlockMaxIndex:
     """Postings by block of ``width`` examples and term.
 
-    ``cell`` holds block * terms + term of every cell with postings (ascending), ``start`` where its postings
+    ``block`` has the block of every cell with postings (by block and term), ``start`` where its postings
     begin; ``listed`` are the cells of each term (from ``opens``), ``peak`` the largest weight of each cell.
     """
 
     ids: np.ndarray
+    rows: np.ndarray
     terms: int
     width: int
-    cell: np.ndarray
+    block: np.ndarray
     start: np.ndarray
     entry: np.ndarray
     weight: np.ndarray
@@ -82,7 +86,7 @@ class BlockMaxIndex:
     peak: np.ndarray
 
     @classmethod
-    def build(cls, ids: np.ndarray, row: np.ndarray, term: np.ndarray, weight: np.ndarray, terms: int, width: int = 64) -> BlockMaxIndex:
+    def build(cls, ids: np.ndarray, row: np.ndarray, term: np.ndarray, weight: np.ndarray, terms: int, width: int = 256) -> BlockMaxIndex:
         """Examples are put next to those with the same heaviest term, so that blocks hold what is alike."""
         lead = np.zeros(len(ids), np.int64)
         by = np.argsort(weight, kind="stable")
@@ -100,7 +104,7 @@ class BlockMaxIndex:
         of = cell % max(terms, 1)
         listed = np.argsort(of, kind="stable")
         opens = np.searchsorted(of[listed], np.arange(terms + 1))
-        return cls(ids[place], terms, width, cell, np.append(first, len(key)).astype(np.int32), entry, weight, opens.astype(np.int32), listed.astype(np.int32), peak)
+        return cls(ids[place], place, terms, width, (cell // max(terms, 1)).astype(np.int32), np.append(first, len(key)).astype(np.int32), entry, weight, opens.astype(np.int32), listed.astype(np.int32), peak)
 
     def nearest(self, row: np.ndarray, term: np.ndarray, weight: np.ndarray, n: int, k: int, skip: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(query, place, cosine) of the k nearest of each of n queries, nearest first; ties to the smaller id.
@@ -120,9 +124,15 @@ class BlockMaxIndex:
         blocks = -(-len(self.ids) // self.width)
         at, of = spread(self.opens[term], self.opens[term + 1])
         cell = self.listed[at]
-        bound = np.bincount(row[of] * blocks + self.cell[cell] // self.terms, weight[of] * self.peak[cell], minlength=n * blocks).reshape(n, blocks)
+        pair = row[of] * blocks + self.block[cell]
+        bound = np.bincount(pair, weight[of] * self.peak[cell], minlength=n * blocks).reshape(n, blocks)
         turns = np.argsort(-bound, axis=1, kind="stable")
-        cut = np.searchsorted(row, np.arange(n + 1))
+        turn_of = np.empty((n, blocks), np.uint16 if blocks < 1 << 16 else np.int64)
+        np.put_along_axis(turn_of, turns, np.arange(blocks)[None], 1)
+        turn_of = turn_of.ravel()[pair]
+        order = np.argsort(turn_of, kind="stable")
+        cut = np.append(0, np.cumsum(np.bincount(turn_of, minlength=blocks)))
+        of, cell = of[order], cell[order]
         top, floor = np.zeros((n, k)), np.zeros(n)
         found, live = [], np.arange(n)
         for turn in range(blocks):
@@ -131,14 +141,16 @@ class BlockMaxIndex:
             live, b = live[go], b[go]
             if not len(live):
                 break
-            own, of = spread(cut[live], cut[live + 1])
-            key = b[of] * self.terms + term[own]
-            at = np.minimum(np.searchsorted(self.cell, key), len(self.cell) - 1)
-            hit = self.cell[at] == key
-            own, of, at = own[hit], of[hit], at[hit]
+            slot_of = np.full(n, -1)
+            slot_of[live] = np.arange(len(live)) * self.width - b * self.width
+            own, at = of[cut[turn] : cut[turn + 1]], cell[cut[turn] : cut[turn + 1]]
+            alive = np.zeros(n, bool)
+            alive[live] = True
+            keep = alive[row[own]]
+            own, at = own[keep], at[keep]
             posting, of_hit = spread(self.start[at], self.start[at + 1])
-            slot = of[of_hit] * self.width + self.entry[posting] - (b * self.width)[of[of_hit]]
-            cosine = np.bincount(slot, weight[own[of_hit]] * self.weight[posting], minlength=len(live) * self.width).reshape(len(live), self.width)
+            slot = slot_of[row[own]][of_hit] + self.entry[posting]
+            cosine = np.bincount(slot, weight[own][of_hit] * self.weight[posting], minlength=len(live) * self.width).reshape(len(live), self.width)
             if skip is not None:
                 place = np.minimum(b[:, None] * self.width + np.arange(self.width), len(self.ids) - 1)
                 cosine[self.ids[place] == skip[live, None]] = 0
@@ -159,16 +171,34 @@ class BlockMaxIndex:
 
 @dataclass
 class ToxicVoter:
-    """A fitted scorer; everything in it is bounded by what max_examples texts hold.  ``labels`` go by place in the index."""
+    """A fitted scorer; everything in it is bounded by what max_examples texts hold.
+
+    ``row`` (ascending), ``term`` and ``often`` are the examples' term counts, from which the index is built wherever the
+    voter arrives; ``ids`` and ``labels`` go by row.
+    """
 
     vocabulary: np.ndarray
     idf: np.ndarray
-    index: BlockMaxIndex
+    ids: np.ndarray
     labels: np.ndarray
+    row: np.ndarray
+    term: np.ndarray
+    often: np.ndarray
     k: int
     blank: float
     knots: tuple[np.ndarray, np.ndarray] = field(default_factory=lambda: (np.array([0.0, 1.0]), np.array([0.0, 1.0])))
 
+    def __post_init__(self):
+        self.row, self.term, self.often = (x.astype(np.int64) for x in (self.row, self.term, self.often))
+        weight = unit(self.row, (1 + np.log(self.often)) * self.idf[self.term], len(self.ids))
+        self.index = BlockMaxIndex.build(self.ids, self.row, self.term, weight, len(self.vocabulary))
+        self.votes_of = self.labels[self.index.rows]
+
+    def __reduce__(self):
+        small = [x.astype(np.min_scalar_type(int(x.max()))) if len(x) else x for x in (self.row, self.term, self.often)]
+        fields = (self.vocabulary, self.idf, self.ids, self.labels, *small, self.k, self.blank, self.knots)
+        return _arrived, (zstandard.compress(pickle.dumps(fields), 1),)
+
     def vectors(self, texts: TextSlice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(text, term, weight) of unit vectors over the known terms, ordered by text."""
         row, h, often = term_counts(texts)
@@ -186,7 +216,7 @@ class ToxicVoter:
         total = np.bincount(q, w, minlength=len(texts))
         raw = np.full(len(texts), np.nan)
         some = total > 0
-        raw[some] = np.bincount(q, w * self.labels[place], minlength=len(texts))[some] / total[some]
+        raw[some] = np.bincount(q, w * self.votes_of[place], minlength=len(texts))[some] / total[some]
         return raw, q, place, cosine
 
     def scores(self, raw: np.ndarray) -> np.ndarray:
@@ -212,6 +242,10 @@ def monotone(x: np.ndarray, y: np.ndarray, bins: int = 40) -> tuple[np.ndarray,
     return np.array([p[0] for p in pools]), np.array([(p[1] + 0.5) / (p[2] + 1) for p in pools])
 
 
+def _arrived(packed: bytes) -> ToxicVoter:
+    return ToxicVoter(*pickle.loads(zstandard.decompress(packed)))
+
+
 def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", *, max_examples: int = 8000, floor: float = 0.02, k: int = 15) -> ToxicVoter:
     """Fits on at most ``max_examples`` rows of ``labels`` (those with the smallest hashed id); only
     their ids and labels are broadcast, and only the term counts of their texts reach the driver.
@@ -233,8 +267,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     found = map_texts(packed, "key", text_col, make, "key long, terms array<long>, counts array<int>").toArrow().combine_chunks()
     key = found["key"].to_numpy().astype(np.int64)
     if not len(key):
-        empty = np.zeros(0, np.int64)
-        return ToxicVoter(np.zeros(0, np.uint64), np.zeros(0), BlockMaxIndex.build(empty, empty, empty, np.zeros(0), 0), np.zeros(0), k, 0.5)
+        none = np.zeros(0, np.int64)
+        return ToxicVoter(none.astype(np.uint64), np.zeros(0), none, np.zeros(0), none, none, none, k, 0.5)
     lists = found["terms"].combine_chunks()
     row = np.repeat(np.arange(len(key), dtype=np.int32), lists.value_lengths().to_numpy(zero_copy_only=False))
     vocabulary, term = np.unique(lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64), return_inverse=True)
@@ -253,24 +287,21 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     c, d = toxic - a, whole - toxic - b
     linked = np.abs(a * d - b * c) / np.sqrt(np.maximum((a + b) * (c + d) * (a + c) * (b + d), 1e-9))
     idf = np.log(n / df) * (floor + linked) if len(df) else np.zeros(0)
-    weight = (1 + np.log(often)) * idf[term]
-    use = weight > 0
-    row, term, weight = row[use], term[use], weight[use]
-    index = BlockMaxIndex.build(ids, row, term, unit(row, weight, n), len(vocabulary))
-    at = np.searchsorted(np.sort(ids, kind="stable"), index.ids)  # rows that share an id share its place
+    use = idf[term] > 0
+    row, term, often = row[use], term[use], often[use]
     filled = np.bincount(row, minlength=n) > 0
-    blank = float((labels[~filled].sum() + 0.5) / ((~filled).sum() + 1))
-    voter = ToxicVoter(vocabulary, idf, index, labels[np.argsort(ids, kind="stable")][at], k, blank)
-    own = _scored(packed, replace(voter), "key", text_col, of_example=True).select("doc_id", "raw").where("NOT isnan(raw)").toArrow()
+    voter = ToxicVoter(vocabulary, idf, ids, labels, row, term, often, k, float((labels[~filled].sum() + 0.5) / ((~filled).sum() + 1)))
+    sent = docs.sparkSession.sparkContext.broadcast(voter)
+    own = _scored(packed, sent, "key", text_col, of_example=True).select("doc_id", "raw").where("NOT isnan(raw)").toArrow()
+    sent.unpersist()
     raw, truth = own["raw"].to_numpy(), own["doc_id"].to_numpy() & 1
     order = np.lexsort((own["doc_id"].to_numpy(), raw))
     voter.knots = monotone(raw[order], truth[order].astype(float))
     return voter
 
 
-def _scored(docs: DataFrame, voter: ToxicVoter, id_col: str, text_col: str, of_example: bool = False) -> DataFrame:
+def _scored(docs: DataFrame, sent: Broadcast, id_col: str, text_col: str, of_example: bool = False) -> DataFrame:
     """doc_id, raw, score, predicted, nearest, cosines; ``of_example``: an id is twice an example's, which has no vote of its own."""
-    sent = docs.sparkSession.sparkContext.broadcast(voter)
 
     def make() -> Callable:
         model = sent.value
@@ -293,4 +324,4 @@ def score_toxicity(docs: DataFrame, voter: ToxicVoter, id_col: str = "doc_id", t
     Null and empty texts, and texts without a term that an example has, get the blank rate and no neighbours.
     Repeated ids give repeated rows; columns other than the two named are not read.
     """
-    return _scored(docs, voter, id_col, text_col).drop("raw")
+    return _scored(docs, docs.sparkSession.sparkContext.broadcast(voter), id_col, text_col).drop("raw")
