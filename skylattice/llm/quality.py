@@ -132,7 +132,7 @@ class LatentVoter:
             value = np.log1p(often[known]) * self.weight[column]
             value /= np.sqrt(np.bincount(row, value * value, minlength=len(texts)))[row]
             for a in range(0, len(row), 1 << 14):
-                np.add.at(out, row[a : a + (1 << 14)], value[a : a + (1 << 14), None] * self.basis[column[a : a + (1 << 14)]])
+                np.add.at(out, row[a : a + (1 << 14)], value[a : a + (1 << 14), None] * self.basis[column[a : a + (1 << 14)]].astype(float))
         return _unit(out)
 
     def votes(self, vectors: np.ndarray, block: int = 1024) -> tuple[np.ndarray, np.ndarray]:
@@ -194,7 +194,7 @@ class _Rows:
         return out
 
 
-def fit_voter(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", *, max_examples: int = 3000, least_examples: int = 2, rank: int = 48, k: int = 9, power: float = 8.0) -> LatentVoter:
+def fit_voter(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", *, max_examples: int = 3000, least_examples: int = 3, rank: int = 48, k: int = 9, power: float = 8.0) -> LatentVoter:
     """Fits on at most ``max_examples`` rows of ``labels`` (those with the smallest hashed id); only
     their ids and labels are broadcast, and only the sparse counts of their texts reach the driver.
 
@@ -218,7 +218,7 @@ def fit_voter(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     found = map_texts(packed, "key", text_col, make, "key long, columns array<int>, counts array<int>, words array<long>, often array<int>").toArrow().combine_chunks()
     key = found["key"].to_numpy().astype(np.int64)
     if not len(key):
-        return LatentVoter(np.zeros(0, np.uint64), np.ones(FEATURES), np.zeros((FEATURES, 1)), np.zeros((0, 1)), np.zeros(0), k, power, 0.5)
+        return LatentVoter(np.zeros(0, np.uint64), np.ones(FEATURES), np.zeros((FEATURES, 1), np.float32), np.zeros((0, 1)), np.zeros(0), k, power, 0.5)
     order = np.argsort(key, kind="stable")
     place = np.empty(len(key), np.int64)
     place[order] = np.arange(len(key))
@@ -250,8 +250,8 @@ def fit_voter(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     for _ in range(3):
         sketch, _ = np.linalg.qr(x.times(x.turned_times(sketch)))
     _, _, rows_t = np.linalg.svd(x.turned_times(sketch).T, full_matrices=False)
-    basis = np.ascontiguousarray(rows_t[:rank].T.astype(float))
-    return LatentVoter(vocabulary[fit], weight, basis, _unit(x.times(basis)), labels, k, power, float(labels.mean()))
+    basis = np.ascontiguousarray(rows_t[:rank].T)
+    return LatentVoter(vocabulary[fit], weight, basis, _unit(x.times(basis).astype(float)), labels, k, power, float(labels.mean()))
 
 
 def score_quality(docs: DataFrame, voter: LatentVoter, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
