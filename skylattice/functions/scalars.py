@@ -46,7 +46,7 @@ def calibrated(raw: Column | str, formula: Column | str, missing: tuple[int, ...
 
 def per_hour(amount: Column | str, minutes: int) -> Column:
     """An amount over ``minutes`` as a rate over an hour."""
-    return _col(amount) * (60 // minutes)
+    return _col(amount) * (60 // minutes if 60 % minutes == 0 else 60 / minutes)
 
 
 def z_score(x: Column | str, centre: float, scale: float) -> Column:
@@ -90,7 +90,7 @@ def spatial_bucket(degrees: Column | str, step: float = 0.1) -> Column:
 
 
 # Rates and colours of the ramp's stops.
-RAMP = [(0.0, (0, 0, 0)), (0.5, (120, 200, 255)), (2.5, (50, 120, 255)), (7.5, (40, 60, 180)), (50.0, (130, 40, 160))]
+RAMP = [(0.0, (220, 220, 220)), (0.001, (158, 202, 225)), (2.5, (49, 130, 189)), (7.5, (253, 141, 60)), (50.0, (227, 26, 28))]
 
 
 def ramp_colour(rate: Column | str, stops: list[tuple[float, tuple[int, int, int]]] | None = None, max_alpha: int = 220, full_at: float = 0.3) -> Column:

@@ -29,8 +29,8 @@ def packed(features: DataFrame, head: list[str]) -> DataFrame:
 
 
 def with_static(rows: DataFrame, static: DataFrame, on: list[str]) -> DataFrame:
-    """Static channels of a grid of fixed size joined to every row by broadcast."""
-    return rows.join(F.broadcast(static), on, "left")
+    """Static channels of a grid joined to every row; Spark broadcasts them as long as they are small."""
+    return rows.join(static, on, "left")
 
 
 def filled(rows: DataFrame, columns: list[str], missing: float = float("nan")) -> DataFrame:

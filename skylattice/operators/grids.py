@@ -26,26 +26,30 @@ def regular_grid(spark, height: int, width: int, west: float, east: float, south
     return n.select("y", "x", axis(F.col("y"), north, south, height).alias("lat"), axis(F.col("x"), west, east, width).alias("lon"))
 
 
-def idw(stations: DataFrame, grid: DataFrame, keys: list[str], value: str = "value", power: float = 2.0, most_stations: int = 5000) -> DataFrame:
+def idw(stations: DataFrame, grid: DataFrame, keys: list[str], value: str = "value", power: float = 2.0, most_cells: int = 250_000) -> DataFrame:
     """keys, y, x, value: inverse-distance mean of all stations of a key at every cell.
 
-    Every cell needs every station, so the smaller side, the grid (of fixed size) or up to
-    ``most_stations`` stations, is broadcast; sums are partly made before the shuffle.
+    Every cell needs every station.  A grid of up to ``most_cells`` cells is broadcast; a larger one is cut into
+    as many blocks of about that size as it takes, which meet the stations by an equi-join.  Sums are partly
+    made before the shuffle.
     """
     used = stations.where(F.col(value).isNotNull() & ~F.isnan(value)).select(*keys, F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), F.col(value).alias("_v"))
-    if not keys:
-        n = used.count()
-        if n > most_stations:
-            raise ValueError(f"{n} stations without a key; more than {most_stations} need keys")
-    met = used.join(F.broadcast(grid))
+    blocks = -(-grid.count() // most_cells)
+    if blocks <= 1:
+        met = used.join(F.broadcast(grid))
+    else:
+        placed = grid.withColumn("_block", F.pmod(F.xxhash64("y", "x"), F.lit(blocks)))
+        met = used.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).join(placed, "_block")
     w = idw_weight(square_distance(F.col("lat"), F.col("lon"), F.col("_lat"), F.col("_lon")), power)
     return met.groupBy(*keys, "y", "x").agg((F.sum(w * F.col("_v")) / F.sum(w)).alias("value"))
 
 
 def bilinear(raster: DataFrame, points: DataFrame, keys: list[str], height: int, width: int) -> DataFrame:
-    """points (with fy and fx in pixels) with the value between the four pixels around; NaN outside.
+    """points (with fy and fx in pixels) with the value between the four pixels around.
 
-    Each point becomes its four corners with their weights; one equi-join fetches the pixels.
+    NaN outside the raster and where one of the four pixels is missing; NULL where fy or fx is.  Equal points are
+    asked for once and given as often as they are there.  Each becomes its four corners with their weights;
+    one equi-join fetches the pixels.
     """
     fy, fx = F.col("fy"), F.col("fx")
     inside = (fy >= 0) & (fy <= height - 1) & (fx >= 0) & (fx <= width - 1)
@@ -53,10 +57,13 @@ def bilinear(raster: DataFrame, points: DataFrame, keys: list[str], height: int,
     dy, dx = fy - y0, fx - x0
     corner = lambda i, j: F.struct((y0 + i).cast("int").alias("y"), (x0 + j).cast("int").alias("x"), ((dy if i else 1 - dy) * (dx if j else 1 - dx)).alias("w"))
     named = points.columns
-    spread = points.where(inside).select(*named, F.explode(F.array(*[corner(i, j) for i in (0, 1) for j in (0, 1)])).alias("_c"))
-    at = spread.select(*named, F.col("_c.y").alias("y"), F.col("_c.x").alias("x"), F.col("_c.w").alias("_w")).join(raster.select(*keys, "y", "x", "value"), [*keys, "y", "x"])
-    found = at.groupBy(*named).agg(F.sum(F.col("_w") * F.col("value")).alias("value"))
-    return found.unionByName(points.where(~inside).withColumn("value", F.lit(float("nan"))))
+    asked = points.groupBy(*named).agg(F.count("*").cast("int").alias("_n"))
+    corners = F.array(*[corner(i, j) for i in (0, 1) for j in (0, 1)])
+    spread = asked.where(inside).select(*named, "_n", F.explode(corners).alias("_c"))
+    at = spread.select(*named, "_n", F.col("_c.y").alias("y"), F.col("_c.x").alias("x"), F.col("_c.w").alias("_w")).join(raster.select(*keys, "y", "x", "value"), [*keys, "y", "x"], "left")
+    found = at.groupBy(*named, "_n").agg(F.sum(F.col("_w") * F.coalesce("value", F.lit(float("nan")))).alias("value"))
+    beyond = asked.where(~inside | inside.isNull()).withColumn("value", F.when(inside.isNotNull(), F.lit(float("nan"))))
+    return found.unionByName(beyond).select(*named, "value", F.explode(F.array_repeat(F.lit(0), F.col("_n"))).alias("_i")).drop("_i")
 
 
 def nearest_pixel(raster: DataFrame, points: DataFrame, keys: list[str], height: int, width: int) -> DataFrame:
@@ -115,17 +122,24 @@ def wet_fraction(cells: DataFrame, keys: list[str], value: str = "rate", wet: fl
     return cells.groupBy(*keys).agg(F.avg((~F.isnan(value) & (F.col(value) >= wet)).cast("double")).alias("wet_fraction"))
 
 
-def nearest_cell(points: DataFrame, cells: DataFrame, bucket: list[str], lat: str = "lat", lon: str = "lon", ring: int = 0) -> DataFrame:
+def nearest_cell(points: DataFrame, cells: DataFrame, bucket: list[str], lat: str = "lat", lon: str = "lon", ring: int = 0, together: int = 1024) -> DataFrame:
     """points with the nearest cell of their bucket (with ``ring`` 1 also of the eight around), ties to the smaller cell.
 
-    cells has bucket, cell, lat, lon; points has bucket, lat and lon.  Buckets bound the pairs.
+    cells has bucket, cell, lat, lon; points has bucket, lat and lon.  A point without a cell in reach has
+    NULL; equal points stay as many as they are.  The cells of a bucket are arrays of up to ``together``,
+    so that a point meets an array and not its cells one by one.
     """
-    side = points.withColumn("_row", F.struct(*points.columns))
+    part = F.floor((F.row_number().over(Window.partitionBy(*bucket).orderBy("cell")) - 1) / together)
+    arrays = cells.select(*bucket, F.struct("cell", F.col(lat).alias("lat"), F.col(lon).alias("lon")).alias("_c"), part.alias("_part"))
+    arrays = arrays.groupBy(*bucket, "_part").agg(F.collect_list("_c").alias("_cells"))
+    near = lambda y, x: F.array_min(F.transform("_cells", lambda c: F.struct(square_distance(y, x, c["lat"], c["lon"]).alias("d2"), c["cell"].alias("cell"))))
+    if not ring and not arrays.where("_part > 0").limit(1).count():
+        best = points.join(arrays.drop("_part"), bucket, "left").withColumn("_b", near(F.col(lat), F.col(lon)))
+        return best.select(*points.columns, F.col("_b.cell").alias("cell"), F.col("_b.d2").alias("d2"))
+    side = points.groupBy(*points.columns).agg(F.count("*").cast("int").alias("_n")).select(F.struct(*points.columns).alias("_row"), "_n", *bucket)
     if ring:
         around = F.sequence(F.lit(-ring), F.lit(ring))
         for b in bucket:
             side = side.withColumn("_d", F.explode(around)).withColumn(b, F.col(b) + F.col("_d")).drop("_d")
-    near = cells.select(*bucket, "cell", F.col(lat).alias("_clat"), F.col(lon).alias("_clon"))
-    d2 = square_distance(F.col(f"_row.{lat}"), F.col(f"_row.{lon}"), F.col("_clat"), F.col("_clon"))
-    best = side.join(near, bucket).groupBy("_row").agg(F.min(F.struct(d2.alias("d2"), F.col("cell"))).alias("_b"))
-    return best.select("_row.*", F.col("_b.cell").alias("cell"), F.col("_b.d2").alias("d2"))
+    best = side.join(arrays, bucket, "left").groupBy("_row", "_n").agg(F.min(near(F.col(f"_row.{lat}"), F.col(f"_row.{lon}"))).alias("_b"))
+    return best.select("_row.*", F.col("_b.cell").alias("cell"), F.col("_b.d2").alias("d2"), F.explode(F.array_repeat(F.lit(0), F.col("_n"))).alias("_i")).drop("_i")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import epoch_seconds
 
 
-def asof_backward(left: DataFrame, right: DataFrame, time: str, keys: list[str], values: list[str], tolerance_seconds: int | None = None, bucket_seconds: int | None = None) -> DataFrame:
+def asof_backward(left: DataFrame, right: DataFrame, time: str, keys: list[str], values: list[str], tolerance_seconds: float | None = None, bucket_seconds: int | None = None) -> DataFrame:
     """left with ``right_<time>`` and right's values at the last time not after its own, within the tolerance (inclusive).
 
     Of equal right times the row with the greatest values wins.  Both sides are laid in one stream of
@@ -32,7 +32,8 @@ def asof_backward(left: DataFrame, right: DataFrame, time: str, keys: list[str],
     w = Window.partitionBy(*by).orderBy("_t", "_side", "_right").rowsBetween(Window.unboundedPreceding, 0)
     found = stream.withColumn("_r", F.last("_right", ignorenulls=True).over(w)).where("_side = 1")
     if tolerance_seconds is not None:
-        near = epoch_seconds("_t") - epoch_seconds("_r.t") <= tolerance_seconds
+        micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+        near = micros("_t") - micros("_r.t") <= round(tolerance_seconds * 1_000_000)
         found = found.withColumn("_r", F.when(near, F.col("_r")))
     return found.select("_left.*", F.col("_r.t").alias(f"right_{time}"), *[F.col(f"_r.{v}").alias(v if v not in left.columns else f"right_{v}") for v in values])
 
@@ -107,11 +108,11 @@ def early_stopping(rows: DataFrame, keys: list[str], epoch: str, loss: str, pati
 
 
 def first_future(rows: DataFrame, keys: list[str], time: str, reference: str, value: str) -> DataFrame:
-    """By key: whether any value above 0 lies ahead (time >= reference), the first such time and whole minutes until it."""
+    """By key: whether any value above 0 lies ahead (time >= reference), the first such time and whole minutes until it, NULL without one."""
     rain = (F.col(time) >= F.col(reference)) & (F.col(value) > 0)
     seconds = epoch_seconds("first_time") - epoch_seconds(reference)
     out = rows.groupBy(*keys, reference).agg(F.coalesce(F.bool_or(rain), F.lit(False)).alias("rain_ahead"), F.min(F.when(rain, F.col(time))).alias("first_time"))
-    return out.withColumn("minutes", F.greatest(F.floor(seconds / 60), F.lit(0)).cast("long"))
+    return out.withColumn("minutes", F.when(F.col("first_time").isNotNull(), F.greatest(F.floor(seconds / 60), F.lit(0))).cast("long"))
 
 
 def thinned(rows: DataFrame, keys: list[str], time: str, ticks: int = 5) -> DataFrame:

@@ -17,14 +17,16 @@ def to_archive(plan: DataFrame, archived: DataFrame) -> DataFrame:
     return plan.join(archived.select("month").distinct(), "month", "left_anti")
 
 
-def compact(rows: DataFrame, month: str, path: str, *, dry_run: bool = False, rows_per_file: int = 5_000_000) -> DataFrame:
+def compact(rows: DataFrame, month: str, path: str, *, dry_run: bool = False, rows_per_file: int = 5_000_000, parts: int = 16) -> DataFrame:
     """Writes rows by month in few large zstd files and gives month, rows and a digest to verify before deleting.
 
-    The digest is a sum of row hashes, so it does not depend on the order of rows or files.
+    A month is written by ``parts`` tasks.  Months that are there already are replaced, so that a retry does not double
+    them.  The digest is a sum of row hashes, so it does not depend on the order of rows or files.
     """
     checks = rows.groupBy(month).agg(F.count("*").alias("rows"), F.sum(F.xxhash64(*rows.columns).cast("decimal(38,0)")).alias("digest"))
     if not dry_run:
-        rows.repartition(month).write.mode("append").option("compression", "zstd").option("maxRecordsPerFile", rows_per_file).partitionBy(month).parquet(path)
+        dealt = rows.repartition(F.col(month), F.pmod(F.xxhash64(*rows.columns), F.lit(parts)))
+        dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").option("maxRecordsPerFile", rows_per_file).partitionBy(month).parquet(path)
     return checks
 
 

@@ -129,15 +129,17 @@ class SnapshotStore:
         return self._fs.exists(self._path(f"{self.root}/{name}"))
 
     def _put(self, name: str, text: str) -> None:
-        """Writes beside the target and renames."""
+        """Writes beside the target and renames over it in one step, so that a reader finds the old text or the new one."""
         part = self._path(f"{self.root}/{name}.part")
         out = self._fs.create(part, True)
         out.write(bytearray(text.encode()))
         out.close()
-        target = self._path(f"{self.root}/{name}")
-        self._fs.delete(target, False)
-        if not self._fs.rename(part, target):
-            raise OSError(f"cannot rename {part}")
+        files = self.spark._jvm.org.apache.hadoop.fs
+        target = self._fs.makeQualified(self._path(f"{self.root}/{name}"))
+        kind = getattr(files, "Options$Rename")
+        over = self.spark.sparkContext._gateway.new_array(kind, 1)
+        over[0] = kind.OVERWRITE
+        files.FileContext.getFileContext(target.toUri(), self.spark._jsc.hadoopConfiguration()).rename(self._fs.makeQualified(part), target, over)
 
     def _get(self, name: str) -> str | None:
         if not self._exists(name):

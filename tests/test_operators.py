@@ -105,7 +105,7 @@ def test_nearest_prefers_first_of_equals(spark):
 def test_first_future_rain(spark):
     rows = [(1, at(-10), 5.0), (1, at(20), 2.0), (2, at(0), 1.0), (3, at(5), 0.0)]
     df = spark.createDataFrame(rows, "k int, t timestamp_ntz, v double").withColumn("ref", F.lit(T0))
-    got = {r.k: (r.rain_ahead, r.minutes if r.first_time else None) for r in T.first_future(df, ["k"], "t", "ref", "v").collect()}
+    got = {r.k: (r.rain_ahead, r.minutes) for r in T.first_future(df, ["k"], "t", "ref", "v").collect()}
     assert got == {1: (True, 20), 2: (True, 0), 3: (False, None)}
 
 
@@ -261,3 +261,41 @@ def test_entry_module(spark, folder):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_repeated_and_null_points(spark):
+    raster = spark.createDataFrame([(1, y, x, 10.0) for y in range(3) for x in range(3)] + [(2, 0, 0, 1.0)], "k int, y int, x int, value double")
+    points = spark.createDataFrame([(1, 0.5, 0.5), (1, 0.5, 0.5), (1, None, 0.5), (2, 0.5, 0.5), (1, 9.0, 0.0), (None, 0.5, 0.5)], "k int, fy double, fx double")
+    rows = sorted(((r.k, r.fy, r.value) for r in G.bilinear(raster, points, ["k"], 3, 3).collect()), key=str)
+    assert str(rows) == str(sorted([(1, 0.5, 10.0), (1, 0.5, 10.0), (1, None, None), (2, 0.5, float("nan")), (1, 9.0, float("nan")), (None, 0.5, float("nan"))], key=str))
+    cells = spark.createDataFrame([(0, 7, 0.1, 0.0), (0, 5, -0.1, 0.0), (1, 9, 1.0, 1.0)], "b int, cell int, lat double, lon double")
+    at = spark.createDataFrame([(0, 0.0, 0.0), (0, 0.0, 0.0), (4, 0.0, 0.0), (None, 0.0, 0.0)], "b int, lat double, lon double")
+    for ring, together in ((0, 1024), (0, 1), (1, 1024)):
+        got = sorted(((r.b, r.cell) for r in G.nearest_cell(at, cells, ["b"], ring=ring, together=together).collect()), key=str)
+        assert got == sorted([(0, 5), (0, 5), (4, None), (None, None)], key=str)
+
+
+def test_asof_tolerance_counts_fractions_of_a_second(spark):
+    a = spark.sql("SELECT TIMESTAMP_NTZ '2024-01-01 00:00:10.9' AS t")
+    b = spark.sql("SELECT TIMESTAMP_NTZ '2024-01-01 00:00:00' AS t, 1.0 AS v")
+    assert [T.asof_backward(a, b, "t", [], ["v"], x).first().v for x in (10, 10.9, 11)] == [None, 1, 1]
+
+
+def test_grid_blocks_do_not_change_inverse_distance(spark):
+    stations = spark.createDataFrame([(1, 50.0, 3.0, 2.0), (1, 51.0, 4.0, 6.0), (1, 50.5, 3.5, None)], "k int, lat double, lon double, value double")
+    grid = G.regular_grid(spark, 4, 5, 2.0, 5.0, 49.0, 52.0)
+    rows = lambda most: sorted((r.y, r.x, round(r.value, 9)) for r in G.idw(stations, grid, ["k"], most_cells=most).collect())
+    assert rows(10**6) == rows(3) and len(rows(3)) == 20
+
+
+def test_ramp_has_the_fixed_stops(spark):
+    r = spark.range(1).select(*[S.ramp_colour(F.lit(v)).alias(f"c{i}") for i, v in enumerate([0.0, 2.5, 7.5, 80.0])]).first()
+    assert [tuple(x)[:3] for x in r] == [(0, 0, 0), (49, 130, 189), (253, 141, 60), (227, 26, 28)] and [x.a for x in r] == [0, 220, 220, 220]
+
+
+def test_compact_can_be_repeated(spark, tmp_path):
+    rows = spark.range(100).select(F.col("id").alias("v"), F.when(F.col("id") < 60, "2024-01").otherwise("2024-02").alias("month"))
+    for _ in range(2):
+        checks = archive.compact(rows, "month", str(tmp_path / "a"))
+    assert spark.read.parquet(str(tmp_path / "a")).count() == 100
+    assert archive.verified(checks, str(tmp_path / "a"), "month", ["v", "month"]).count() == 2
