@@ -178,7 +178,7 @@ class SegmentTreeBpe:
 class CachedEncoder:
     """Encodes texts; the ids of pre-tokens seen are kept, at most ``most`` of them."""
 
-    def __init__(self, codec: SegmentTreeBpe, most: int = 400_000):
+    def __init__(self, codec: SegmentTreeBpe, most: int = 200_000):
         self.codec, self.most, self.known = codec, most, {}
 
     def encode(self, texts: list[str]) -> list[list[int]]:

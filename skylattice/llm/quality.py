@@ -171,27 +171,28 @@ def _largest(cosine: np.ndarray, k: int) -> np.ndarray:
 
 
 class _Rows:
-    """Weighted sparse rows that are made dense a few at a time."""
-
-    def __init__(self, start: np.ndarray, column: np.ndarray, value: np.ndarray, width: int):
-        self.start, self.column, self.value, self.width = start, column, value, width
-
-    def blocks(self, size: int = 64) -> Iterator[tuple[slice, np.ndarray]]:
-        n = len(self.start) - 1
-        for a in range(0, n, size):
-            b = min(a + size, n)
-            x = np.zeros((b - a, self.width), np.float32)
-            x[np.repeat(np.arange(b - a), np.diff(self.start[a : b + 1])), self.column[self.start[a] : self.start[b]]] = self.value[self.start[a] : self.start[b]]
-            yield slice(a, b), x
+    """A sparse matrix by row and by column; products are summed some entries at a time."""
+
+    def __init__(self, row: np.ndarray, column: np.ndarray, value: np.ndarray, shape: tuple[int, int]):
+        self.shape, self.sides = shape, []
+        for key, other in ((row, column), (column, row)):
+            by = np.argsort(key, kind="stable")
+            self.sides.append((key[by].astype(np.int32), other[by].astype(np.int32), value[by]))
+
+    def _product(self, side: int, m: np.ndarray, step: int = 1 << 14) -> np.ndarray:
+        key, other, value = self.sides[side]
+        out = np.zeros((self.shape[side], m.shape[1]), np.float32)
+        for a in range(0, len(key), step):
+            own = key[a : a + step]
+            first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+            out[own[first]] += np.add.reduceat(value[a : a + step, None] * m[other[a : a + step]], first)
+        return out
 
     def times(self, m: np.ndarray) -> np.ndarray:
-        return np.concatenate([x @ m for _, x in self.blocks()])
+        return self._product(0, m)
 
     def turned_times(self, m: np.ndarray) -> np.ndarray:
-        out = np.zeros((self.width, m.shape[1]), np.float32)
-        for rows, x in self.blocks():
-            out += x.T @ m[rows]
-        return out
+        return self._product(1, m)
 
 
 def fit_voter(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", *, max_examples: int = 3000, least_examples: int = 3, rank: int = 48, k: int = 9, power: float = 8.0) -> LatentVoter:
@@ -220,38 +221,45 @@ def fit_voter(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     if not len(key):
         return LatentVoter(np.zeros(0, np.uint64), np.ones(FEATURES), np.zeros((FEATURES, 1), np.float32), np.zeros((0, 1)), np.zeros(0), k, power, 0.5)
     order = np.argsort(key, kind="stable")
-    place = np.empty(len(key), np.int64)
+    place = np.empty(len(key), np.int32)
     place[order] = np.arange(len(key))
     labels = (key[order] & 1).astype(float)
 
     def flat(name: str) -> tuple[np.ndarray, np.ndarray]:
         lists = found[name].combine_chunks()
-        return np.repeat(place, lists.value_lengths().to_numpy(zero_copy_only=False)), lists.flatten().to_numpy(zero_copy_only=False)
+        return np.repeat(place, lists.value_lengths().to_numpy(zero_copy_only=False)), lists.flatten().to_numpy(zero_copy_only=False)  # rows in the order of ids
 
-    (row, column), (word_row, word) = flat("columns"), flat("words")
-    often, word_often = flat("counts")[1], flat("often")[1]
-    del found
-    vocabulary, word_column, held = np.unique(word.view(np.uint64), return_inverse=True, return_counts=True)
+    word_row, word = flat("words")
+    vocabulary, inverse, held = np.unique(word.view(np.uint64), return_inverse=True, return_counts=True)
     fit = np.flatnonzero(held >= least_examples)
-    to = np.full(len(vocabulary), -1)
-    to[fit] = FEATURES + np.arange(len(fit))
-    word_column = to[word_column]
-    use = word_column >= 0
-    row, column, often = np.concatenate([row, word_row[use]]), np.concatenate([column, word_column[use]]), np.concatenate([often, word_often[use]])
+    to = np.full(len(vocabulary), -1, np.int32)
+    to[fit] = FEATURES + np.arange(len(fit), dtype=np.int32)
+    inverse = to[inverse]
+    use = inverse >= 0
+    vocabulary, word_row, word_column, word_often = vocabulary[fit], word_row[use], inverse[use], flat("often")[1][use]
+    del word, inverse, use, held
+    row, column = flat("columns")
+    often = np.concatenate([flat("counts")[1], word_often])
+    del found
+    row, column = np.concatenate([row, word_row]), np.concatenate([column, word_column])
+    del word_row, word_column, word_often
     width = FEATURES + len(fit)
     weight = np.log((1 + len(key)) / (1 + np.bincount(column, minlength=width))) + 1
     value = np.log1p(often) * weight[column]
     part = row * 3 + (column >= _PAIRS) + (column >= FEATURES)
-    value /= np.sqrt(np.bincount(part, value * value, minlength=3 * len(key)))[part]
-    by = np.argsort(row, kind="stable")
-    x = _Rows(np.searchsorted(row[by], np.arange(len(key) + 1)), column[by], value[by].astype(np.float32), width)
+    value = (value / np.sqrt(np.bincount(part, value * value, minlength=3 * len(key)))[part]).astype(np.float32)
+    x = _Rows(row, column, value, (len(key), width))
+    del row, column, often, value, part
     rank = min(rank, len(key), width)
-    sketch = x.times(np.random.default_rng(7).standard_normal((width, min(rank + 12, len(key)))).astype(np.float32))
+    sketch = x.times(np.random.default_rng(7).standard_normal((width, min(rank + 12, len(key))), np.float32))
     for _ in range(3):
         sketch, _ = np.linalg.qr(x.times(x.turned_times(sketch)))
-    _, _, rows_t = np.linalg.svd(x.turned_times(sketch).T, full_matrices=False)
-    basis = np.ascontiguousarray(rows_t[:rank].T)
-    return LatentVoter(vocabulary[fit], weight, basis, _unit(x.times(basis).astype(float)), labels, k, power, float(labels.mean()))
+    # the leading singular vectors of the sketched rows, from their small matrix of products
+    low = x.turned_times(sketch)
+    size, turn = np.linalg.eigh((low.T @ low).astype(float))
+    turn = turn[:, ::-1][:, :rank] / np.sqrt(np.maximum(size[::-1][:rank], 1e-12))
+    basis = low @ turn.astype(np.float32)
+    return LatentVoter(vocabulary, weight, basis, _unit(x.times(basis).astype(float)), labels, k, power, float(labels.mean()))
 
 
 def score_quality(docs: DataFrame, voter: LatentVoter, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:

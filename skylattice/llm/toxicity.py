@@ -17,6 +17,7 @@ from __future__ import annotations
 import pickle
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -188,11 +189,11 @@ class ToxicVoter:
     blank: float
     knots: tuple[np.ndarray, np.ndarray] = field(default_factory=lambda: (np.array([0.0, 1.0]), np.array([0.0, 1.0])))
 
-    def __post_init__(self):
-        self.row, self.term, self.often = (x.astype(np.int64) for x in (self.row, self.term, self.often))
-        weight = unit(self.row, (1 + np.log(self.often)) * self.idf[self.term], len(self.ids))
-        self.index = BlockMaxIndex.build(self.ids, self.row, self.term, weight, len(self.vocabulary))
-        self.votes_of = self.labels[self.index.rows]
+    @cached_property
+    def index(self) -> BlockMaxIndex:
+        row, term = self.row.astype(np.int64), self.term.astype(np.int64)
+        weight = unit(row, (1 + np.log(self.often.astype(float))) * self.idf[term], len(self.ids))
+        return BlockMaxIndex.build(self.ids, row, term, weight, len(self.vocabulary))
 
     def __reduce__(self):
         small = [x.astype(np.min_scalar_type(int(x.max()))) if len(x) else x for x in (self.row, self.term, self.often)]
@@ -216,7 +217,7 @@ class ToxicVoter:
         total = np.bincount(q, w, minlength=len(texts))
         raw = np.full(len(texts), np.nan)
         some = total > 0
-        raw[some] = np.bincount(q, w * self.votes_of[place], minlength=len(texts))[some] / total[some]
+        raw[some] = np.bincount(q, w * self.labels[self.index.rows[place]], minlength=len(texts))[some] / total[some]
         return raw, q, place, cosine
 
     def scores(self, raw: np.ndarray) -> np.ndarray:
@@ -271,9 +272,11 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
         return ToxicVoter(none.astype(np.uint64), np.zeros(0), none, np.zeros(0), none, none, none, k, 0.5)
     lists = found["terms"].combine_chunks()
     row = np.repeat(np.arange(len(key), dtype=np.int32), lists.value_lengths().to_numpy(zero_copy_only=False))
-    vocabulary, term = np.unique(lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64), return_inverse=True)
     often = found["counts"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
-    del found, lists
+    del found
+    vocabulary, term = np.unique(lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64), return_inverse=True)
+    term = term.astype(np.int32)
+    del lists
     ids, labels, n = key >> 1, (key & 1).astype(float), len(key)
     df = np.bincount(term, minlength=len(vocabulary))
     # near copies mostly share their smallest term hash; together they count as one example
