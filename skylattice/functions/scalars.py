@@ -278,3 +278,49 @@ def failure_kind(status: Column | str) -> Column:
     s = _col(status)
     code = s.try_cast("int")
     return F.when(s == "timeout", "timeout").when(s == "offline", "network").when(s == "cancelled", "cancelled").when(code.between(400, 499), "client").when(code >= 500, "server").otherwise("unknown")
+
+
+# ---- what clients show
+
+# Colour and label of each level.
+LEVEL_STYLES = {"light": ("#9ECAE1", "Light"), "moderate": ("#3182BD", "Moderate"), "heavy": ("#FD8D3C", "Heavy"), "violent": ("#E31A1C", "Violent")}
+
+
+def level_style(level: Column | str) -> Column:
+    """struct<colour, label> of an intensity level; a dash and no colour for none."""
+    colour, label = F.lit(None).cast("string"), F.lit("\u2013")
+    for name, (c, text) in LEVEL_STYLES.items():
+        colour, label = F.when(_col(level) == name, c).otherwise(colour), F.when(_col(level) == name, text).otherwise(label)
+    return F.struct(colour.alias("colour"), label.alias("label"))
+
+
+def frame_at(frames: Column | str, index: Column | str) -> Column:
+    """The frame at an index from 0; NULL beyond the ends and for no frames."""
+    i = _col(index).cast("int")
+    return F.when(i >= 0, F.get(_col(frames), i))
+
+
+def next_frame(index: Column | str, n: Column | str) -> Column:
+    """Playback in a loop: the index after this one; NULL without frames."""
+    return F.when(_col(n) > 0, F.pmod(_col(index) + 1, _col(n)))
+
+
+def bar_height(rate: Column | str, largest: Column | str, floor: float = 0.5) -> Column:
+    """A rate's share of a chart whose scale ends at the largest rate, or at ``floor`` if that is less."""
+    return F.greatest(F.nanvl(_col(rate), F.lit(0.0)), F.lit(0.0)) / F.greatest(_col(largest), F.lit(floor))
+
+
+def rounded_coordinate(degrees: Column | str, digits: int = 6) -> Column:
+    return F.round(_col(degrees).cast("double"), digits)
+
+
+def or_default(value: Column | str, default) -> Column:
+    """The value, or the default where there is none."""
+    return F.coalesce(_col(value), default if isinstance(default, Column) else F.lit(default))
+
+
+def suffix_stamp(name: Column | str) -> Column:
+    """Time from a name's last part after an underscore, yyyyMMddTHHmm with or without seconds and a Z; NULL if it is none."""
+    last = F.element_at(F.split(F.regexp_replace(_col(name), r"\.[A-Za-z0-9]+$", ""), "_"), -1)
+    digits = F.rpad(F.translate(F.rtrim(last, F.lit("Z")), "T-:", ""), 14, "0")
+    return F.when(digits.rlike("^[0-9]{14}$"), F.try_to_timestamp(digits, F.lit("yyyyMMddHHmmss")).cast("timestamp_ntz"))

@@ -643,3 +643,6 @@ def stream_tumbling(t: Tables) -> DataFrame:
 @query("SELECT DISTINCT user_id, event_type FROM events")
 def stream_dedupe(t: Tables) -> DataFrame:
     return _drained(t, lambda e: ticks.deduplicated(e.select("user_id", "event_type", "ts"), ["user_id", "event_type"], "ts", late="60 days").select("user_id", "event_type"), "append")
+
+
+from . import catalog_clients  # noqa: E402, F401 - adds its queries

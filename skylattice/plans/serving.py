@@ -8,14 +8,19 @@ band into the new one.  All file work goes through Hadoop's file systems.
 from __future__ import annotations
 
 import json
+import struct
+import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
-from datetime import datetime
+from datetime import UTC, datetime
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import axis, epoch_seconds, overlay_url, plus_minutes, spatial_bucket
-from ..operators.grids import nearest_cell
+from ..functions.scalars import RAMP, axis, epoch_seconds, overlay_url, plus_minutes, spatial_bucket
+from ..operators.grids import nearest_cell, stack
 
 
 @dataclass(frozen=True)
@@ -109,6 +114,31 @@ def point_response(rows: DataFrame, issued_at: str, lat: float, lon: float, mode
     return rows.agg(F.to_json(F.struct(F.lit(issued_at).alias("issued_at"), F.struct(F.lit(lat).alias("lat"), F.lit(lon).alias("lon")).alias("location"), F.lit(model_version).alias("model_version"), F.lit(horizon_min).alias("horizon_min"), frames.alias("frames"))).alias("body"))
 
 
+def png(rates: np.ndarray, max_alpha: int = 220, full_at: float = 0.3) -> bytes:
+    """A raster of rates as a PNG with the ramp's colours, transparent where it is dry."""
+    rate = np.clip(np.nan_to_num(rates.astype(float)), 0, None)
+    stops = [s for s, _ in RAMP]
+    channels = [np.interp(rate, stops, [c[k] for _, c in RAMP]) for k in range(3)]
+    rgba = np.stack([*channels, np.clip(rate / full_at, 0, 1) * max_alpha], axis=-1).astype(np.uint8)
+    rgba[rate <= 0] = 0
+    height, width = rate.shape
+    lines = np.concatenate([np.zeros((height, 1), np.uint8), rgba.reshape(height, -1)], axis=1).tobytes()
+    part = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    head = struct.pack(">IIBBBBB", width, height, 8, 6, 0, 0, 0)
+    return b"\x89PNG\r\n\x1a\n" + part(b"IHDR", head) + part(b"IDAT", zlib.compress(lines)) + part(b"IEND", b"")
+
+
+def overlays(tensors: DataFrame, height: int, width: int) -> DataFrame:
+    """band, lead_min, png of rows of band, lead_min, rates (row-major)."""
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            images = [png(np.array(x, float).reshape(height, width)) for x in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(images, pa.binary())], names=["band", "lead_min", "png"])
+
+    return tensors.select("band", F.col("lead_min").cast("int"), "rates").mapInArrow(draw, "band string, lead_min int, png binary")
+
+
 class RequestError(ValueError):
     """A refused request: status 400 (bad input), 404 (no such thing) or 503 (nothing to serve yet)."""
 
@@ -160,8 +190,15 @@ class SnapshotStore:
             return []
         return sorted(s.getPath().getName() for s in self._fs.listStatus(self._path(self.root)) if s.isDirectory())
 
-    def publish(self, issued_at: datetime, band: str, cells: DataFrame, *, model_version: str = "stub", inferred_at: datetime | None = None) -> str:
-        """A new snapshot: this band from ``cells`` (lead_min, y, x, rate), the others as they were; the pointer moves last."""
+    def publish(self, issued_at: datetime, band: str, cells: DataFrame, *, model_version: str = "stub", inferred_at: datetime | None = None, bucket_seconds: int = 0, extras: dict | None = None) -> str:
+        """A new snapshot: this band from ``cells`` (lead_min, y, x, rate), the others as they were; the pointer moves last.
+
+        It holds shards of points, a tensor (row-major array) and an overlay (PNG) for each lead, and grid.json with
+        ``extras`` merged last.  With ``bucket_seconds`` it is named by the bucket of its issue time: what is issued
+        in the same bucket becomes a further version of that snapshot.
+        """
+        if bucket_seconds:
+            issued_at = datetime.fromtimestamp(issued_at.replace(tzinfo=issued_at.tzinfo or UTC).timestamp() // bucket_seconds * bucket_seconds, tz=UTC).replace(tzinfo=issued_at.tzinfo)
         spec = next((b for b in BANDS if b.name == band), None)
         if spec is None:
             raise RequestError(404, f"no band {band}")
@@ -174,10 +211,17 @@ class SnapshotStore:
             turn += 1
             name = f"{self.name_of(issued_at)}.{turn}"
         rows = point_shards(cells.select(F.lit(band).alias("band"), F.col("lead_min").cast("int"), F.col("y").cast("int"), F.col("x").cast("int"), F.col("rate").cast("float")), self.grid)
+        tensors = stack(cells.select(F.lit(band).alias("band"), F.col("lead_min").cast("int"), "y", "x", F.col("rate").cast("float").alias("value")), ["band", "lead_min"], self.grid.width).withColumnRenamed("values", "rates")
+        images = overlays(tensors, self.grid.height, self.grid.width)
         if last := self.latest():
+            tensors = tensors.unionByName(self.tensors(last).where(F.col("band") != band).select(tensors.columns))
+            images = images.unionByName(self.images(last).where(F.col("band") != band).select(images.columns))
+        if last:
             rows = rows.unionByName(self.points(last).where(F.col("band") != band).select(rows.columns))
         rows.repartition("lat_bucket").sortWithinPartitions("lat_bucket", "lon_bucket", "band", "lead_min").write.option("compression", "zstd").partitionBy("lat_bucket").parquet(f"{self.root}/{name}/points")
-        self._put(f"{name}/grid.json", json.dumps({"bounds": {"west": self.grid.west, "east": self.grid.east, "south": self.grid.south, "north": self.grid.north}, "shape": [self.grid.height, self.grid.width], "model_version": model_version}))
+        tensors.write.partitionBy("band").parquet(f"{self.root}/{name}/bands")
+        images.write.partitionBy("band").parquet(f"{self.root}/{name}/overlays")
+        self._put(f"{name}/grid.json", json.dumps({"bounds": {"west": self.grid.west, "east": self.grid.east, "south": self.grid.south, "north": self.grid.north}, "shape": [self.grid.height, self.grid.width], "model_version": model_version, "issued_at": issued_at.isoformat(), **(extras or {})}))
         self.complete(name, {"band": band, "issued_at": issued_at.isoformat(), "inferred_at": (inferred_at or issued_at).isoformat(), "model_version": model_version})
         self.point_to(name)
         return name
@@ -201,6 +245,22 @@ class SnapshotStore:
     def points(self, snapshot: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/{snapshot}/points")
 
+    def tensors(self, snapshot: str) -> DataFrame:
+        """lead_min, rates, band."""
+        return self.spark.read.schema("lead_min int, rates array<float>, band string").parquet(f"{self.root}/{snapshot}/bands")
+
+    def images(self, snapshot: str) -> DataFrame:
+        """lead_min, png, band."""
+        return self.spark.read.schema("lead_min int, png binary, band string").parquet(f"{self.root}/{snapshot}/overlays")
+
+    def image(self, band: str, lead_min: int) -> tuple[bytes, int]:
+        """The PNG of a band at a lead, and for how many seconds it may be kept."""
+        name, _ = self._newest()
+        found = self.images(name).where((F.col("band") == band) & (F.col("lead_min") == lead_min)).select("png").head()
+        if found is None:
+            raise RequestError(404, "no such overlay")
+        return bytes(found.png), next(b.refresh_seconds for b in BANDS if b.name == band) - 10
+
     def _newest(self) -> tuple[str, dict]:
         name = self.latest()
         if name is None:

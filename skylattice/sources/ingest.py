@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass, fields
+from urllib.parse import urlencode
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,8 +19,6 @@ POINT_FORECAST = "cityName STRING, animation STRUCT<type: STRING, sequence: ARRA
 #: Fields taken from a station feature.
 STATION_FIELDS = ["pressure", "temp_dry_shelter_avg", "humidity_rel_shelter_avg", "wind_speed_10m", "wind_direction", "wind_gusts_speed", "precip_quantity", "temp_grass_pt100_avg"]
 
-LOCATIONS = "location STRING, lat DOUBLE, lon DOUBLE"
-
 
 def animation_rows(payloads: DataFrame, body: str = "body", minutes: int = 10, strict_numbers: bool = False) -> DataFrame:
     """location, lat, lon, poll_ts, frame_ts, lead_min, value_mm_per_h, image_url: a row for each frame with a valid time.
@@ -205,3 +205,116 @@ def synthetic_runs(spark: SparkSession, runs: int = 12, height: int = 100, width
 
 def epoch(ts: Column) -> Column:
     return F.unix_seconds(ts.cast("timestamp"))
+
+
+# ---- tables and parameters of the feeds
+
+# Places whose forecasts are polled, with latitude and longitude.
+PLACES = {
+    "brussels": (50.8503, 4.3517),
+    "antwerp": (51.2194, 4.4025),
+    "ghent": (51.0543, 3.7174),
+    "liege": (50.6326, 5.5797),
+    "charleroi": (50.4108, 4.4446),
+    "bruges": (51.2093, 3.2247),
+    "arlon": (49.6839, 5.8167),
+    "ostend": (51.2247, 2.9069),
+}
+
+# Alias, dataset, version and prefix of file names.
+DATASETS = {
+    "radar_forecast": ("radar_forecast", "2.0", "RAD_NL25_RAC_FM_"),
+    "rtcor": ("nl_rdr_data_rtcor_5m", "1.0", "RAD_NL25_RAC_RT_"),
+    "nl_rdr_data_rtcor_5m": ("nl_rdr_data_rtcor_5m", "1.0", "RAD_NL25_RAC_RT_"),
+    "volume_herwijnen": ("radar_volume_full_herwijnen", "1.0", "RAD_NL62_VOL_NA_"),
+    "volume_denhelder": ("radar_volume_denhelder", "2.0", "RAD_NL61_VOL_NA_"),
+}
+
+
+def places(spark: SparkSession) -> DataFrame:
+    """location, lat, lon: the dimension of polled places."""
+    return spark.createDataFrame([(k, *v) for k, v in PLACES.items()], "location string, lat double, lon double")
+
+
+def datasets(spark: SparkSession) -> DataFrame:
+    """alias, dataset, version, prefix."""
+    return spark.createDataFrame([(k, *v) for k, v in DATASETS.items()], "alias string, dataset string, version string, prefix string")
+
+
+def known_places(rows: DataFrame, table: DataFrame) -> DataFrame:
+    """rows of known locations with their coordinates."""
+    return rows.join(table, "location")
+
+
+@dataclass(frozen=True)
+class Settings:
+    """What a deployment sets, from variables SKYLATTICE_<NAME> where they are set."""
+
+    store_root: str = "var/forecasts"
+    stale_after_seconds: int = 900
+    feed_url: str = ""
+    model_version: str = "stub-0.1"
+    origins: str = ""
+
+    @classmethod
+    def load(cls, env: dict[str, str]) -> Settings:
+        found = {f.name: env[f"SKYLATTICE_{f.name.upper()}"] for f in fields(cls) if f"SKYLATTICE_{f.name.upper()}" in env}
+        return cls(**{k: int(v) if k.endswith("seconds") else v for k, v in found.items()})
+
+    def origin_list(self) -> list[str]:
+        return [x.strip() for x in self.origins.split(",") if x.strip()]
+
+
+FORECAST_BODY = "issued_at STRING, model_version STRING, frames ARRAY<STRING>"
+FORECAST_FRAME = "band STRING, lead_min STRING, valid_time STRING, rate_mm_per_h STRING, overlay_url STRING"
+
+
+def forecast_body_rows(landed: DataFrame, keys: list[str], body: str = "body") -> DataFrame:
+    """keys, issued_at, model_version, band, lead_min, valid_time, rate, overlay_url of forecast documents, in time order within one.
+
+    Documents without issued_at or frames, frames that are no objects and frames without a time give no
+    row; other gaps get 'unknown', 'nowcast', 0, 0.0 and ''.
+    """
+    b, f = F.from_json(body, FORECAST_BODY), F.from_json("_f", FORECAST_FRAME)
+    rows = landed.select(*keys, b.alias("_b")).where("_b.issued_at IS NOT NULL AND _b.frames IS NOT NULL")
+    rows = rows.select(*keys, "_b", F.explode("_b.frames").alias("_f")).where(F.ltrim("_f").startswith("{")).withColumn("_f", f)
+    at = lambda c: F.try_to_timestamp(c).cast("timestamp_ntz")
+    out = rows.select(
+        *keys,
+        at("_b.issued_at").alias("issued_at"),
+        F.coalesce("_b.model_version", F.lit("unknown")).alias("model_version"),
+        F.coalesce("_f.band", F.lit("nowcast")).alias("band"),
+        F.coalesce(F.col("_f.lead_min").try_cast("double"), F.lit(0.0)).cast("int").alias("lead_min"),
+        at("_f.valid_time").alias("valid_time"),
+        lenient_double("_f.rate_mm_per_h").alias("rate"),
+        F.coalesce("_f.overlay_url", F.lit("")).alias("overlay_url"),
+    )
+    return out.where("issued_at IS NOT NULL AND valid_time IS NOT NULL").sortWithinPartitions(*keys, "valid_time")
+
+
+def between_filter(column: str, start: str, end: str) -> str:
+    """A feature service's filter expression, applied by the server."""
+    return f"{column} BETWEEN '{start}' AND '{end}'"
+
+
+def map_url(base: str, layer: str, when: str, bbox: tuple[float, float, float, float], size: tuple[int, int]) -> str:
+    """Address of a map image; version 1.3.0 takes south, west, north, east."""
+    west, south, east, north = bbox
+    query = {"service": "WMS", "version": "1.3.0", "request": "GetMap", "layers": layer, "styles": "", "crs": "EPSG:4326", "bbox": f"{south},{west},{north},{east}", "width": size[0], "height": size[1], "time": when, "format": "image/geotiff"}
+    return f"{base}?{urlencode(query)}"
+
+
+def elevation_requests(cells: DataFrame, width: int, size: int = 100) -> DataFrame:
+    """batch, cells (y, x in order), locations (lat,lon joined by bars): ``size`` cells of a grid a request."""
+    placed = cells.withColumn("_i", F.col("y") * width + F.col("x"))
+    packed = F.array_sort(F.collect_list(F.struct("_i", "y", "x", "lat", "lon")))
+    out = placed.groupBy(F.floor(F.col("_i") / size).alias("batch")).agg(packed.alias("_c"))
+    spot = F.transform("_c", lambda c: F.concat_ws(",", F.format_string("%.6f", c["lat"]), F.format_string("%.6f", c["lon"])))
+    return out.select("batch", F.transform("_c", lambda c: F.struct(c["y"].alias("y"), c["x"].alias("x"))).alias("cells"), F.array_join(spot, "|").alias("locations"))
+
+
+def elevations(answers: DataFrame) -> DataFrame:
+    """y, x, elevation_m of answers (cells, body); a null elevation is 0."""
+    heights = F.from_json("body", "results ARRAY<STRUCT<elevation: DOUBLE>>")["results"]
+    rows = answers.select(F.explode(F.arrays_zip("cells", heights.alias("h"))).alias("_z"))
+    return rows.select("_z.cells.y", "_z.cells.x", F.coalesce("_z.h.elevation", F.lit(0.0)).alias("elevation_m"))

@@ -14,7 +14,8 @@ from skylattice.operators import features as X
 from skylattice.operators import grids as G
 from skylattice.operators import temporal as T
 from skylattice.operators import verification as V
-from skylattice.plans import archive, serving
+from skylattice.operators import tables
+from skylattice.plans import archive, serving, training, worker
 from skylattice.sources import ingest as I
 from skylattice.streaming import ticks
 
@@ -299,3 +300,137 @@ def test_compact_can_be_repeated(spark, tmp_path):
         checks = archive.compact(rows, "month", str(tmp_path / "a"))
     assert spark.read.parquet(str(tmp_path / "a")).count() == 100
     assert archive.verified(checks, str(tmp_path / "a"), "month", ["v", "month"]).count() == 2
+
+
+def payloads(spark, n=3):
+    frames = [{"time": f"2024-05-01T{m // 60:02d}:{m % 60:02d}:00+00:00", "value": m / 10} for m in range(0, 120, 10)]
+    body = json.dumps({"animation": {"sequence": frames}, "for": {"hourly": [{"hour": str(h), "precipQuantity": h / 4} for h in range(49)]}})
+    rows = [(name, *I.PLACES[name], body) for name in list(I.PLACES)[:n]] + [("nowhere", 50.0, 5.0, "{}"), ("broken", 50.0, 5.0, "no json")]
+    return spark.createDataFrame(rows, "location string, lat double, lon double, body string")
+
+
+def test_worker_publishes_tensors_and_overlays(spark, tmp_path):
+    store = serving.SnapshotStore(spark, str(tmp_path / "s"), serving.Grid(height=4, width=5))
+    now = datetime(2024, 5, 1, 12, 3, 20)
+    done = worker.run_all(store, payloads(spark), now, ["nowcast", "short", "odd"])
+    assert set(done) == {"nowcast", "short"} and done["nowcast"]["snapshot"] == "2024-05-01T12-00-00Z"
+    assert done["nowcast"]["max_mm_per_h"] == pytest.approx(66.0) and done["short"]["max_mm_per_h"] == pytest.approx(2.75)
+    name = store.latest()
+    assert name == "2024-05-01T12-00-00Z.2"  # the same five minutes: a further version with both bands
+    assert store.tensors(name).where("band = 'nowcast'").count() == 12 and store.tensors(name).where("band = 'short'").count() == 10
+    image, seconds = store.image("short", 180)
+    assert image.startswith(b"\x89PNG") and seconds == 3590
+    with pytest.raises(serving.RequestError):
+        store.image("short", 185)
+    meta = json.loads(store._get(f"{name}/grid.json"))
+    assert meta["model_version"] == "stub-0.1" and meta["shape"] == [4, 5]
+
+    def fails(*_):
+        raise RuntimeError("down")
+
+    bad = worker.run_all(store, payloads(spark), now, ["nowcast"], fails)
+    assert isinstance(bad["nowcast"], RuntimeError) and store.latest() == name
+    with pytest.raises(RuntimeError):
+        worker.stand_in(payloads(spark).limit(0), serving.BANDS[0], store.grid)
+
+
+def test_png_has_the_ramp(spark):
+    import struct
+    import zlib
+
+    import numpy as np
+
+    data = serving.png(np.array([[0.0, 2.5, float("nan")], [7.5, 100.0, 0.15]]))
+    assert struct.unpack(">II", data[16:24]) == (3, 2)
+    at = data.index(b"IDAT")
+    size = struct.unpack(">I", data[at - 4 : at])[0]
+    lines = np.frombuffer(zlib.decompress(data[at + 4 : at + 4 + size]), np.uint8).reshape(2, 13)[:, 1:].reshape(2, 3, 4)
+    assert lines[0].tolist()[0] == [0] * 4 and lines[0].tolist()[1] == [49, 130, 189, 220] and lines[0].tolist()[2] == [0] * 4
+    assert lines[1].tolist()[0][:3] == [253, 141, 60] and lines[1].tolist()[1] == [227, 26, 28, 220] and lines[1].tolist()[2][3] == 110
+
+
+def test_aligned_store(spark, tmp_path):
+    grid = G.regular_grid(spark, 2, 3, 2.0, 4.0, 50.0, 51.0)
+    t = lambda m: datetime(2024, 5, 1, 12) + timedelta(minutes=m)
+    radar = spark.createDataFrame([(t(i), lead, y, x, float(lead + y + x)) for i in (0, 60) for lead in (5, 0) for y in range(2) for x in range(3)], "issue_time timestamp_ntz, lead_min int, y int, x int, rate double")
+    fields = "pressure double, temp_dry_shelter_avg double, humidity_rel_shelter_avg double, wind_speed_10m double"
+    stations = [(t(-10), 50.1 + k / 10, 2.1 + k / 3, 1013.0 + 20 * k, 10.0 if k else None, 70.0, float("nan")) for k in range(3)] + [(t(-40), 50.5, 3.0, 1.0, 1.0, 1.0, 1.0)]
+    stations = spark.createDataFrame(stations, f"timestamp timestamp_ntz, lat double, lon double, {fields}")
+    satellite = spark.createDataFrame([(t(-20), y, x, 5.0) for y in range(2) for x in range(2)], "time timestamp_ntz, y int, x int, value double")
+    static = training.static_channels(spark.createDataFrame([(y, x, float(y + x)) for y in range(2) for x in range(3)], "y int, x int, elevation_m double"), 1.0, 2.0)
+    store = training.aligned_store(radar, stations, satellite, static, grid, (2.0, 50.0, 4.0, 51.0), (2, 2))
+    for _ in range(2):
+        training.write_store(store, str(tmp_path / "store"))
+    rows = {(r.issue_time, r.y, r.x): r for r in spark.read.parquet(str(tmp_path / "store")).collect()}
+    assert len(rows) == 12
+    early, late = rows[t(0), 1, 2], rows[t(60), 1, 2]
+    assert early.leads == [0, 5] and early.radar == [3.0, 8.0]
+    assert 0 < early.aws_pressure < 2 and early.aws_humidity == 0 and math.isnan(early.aws_temp) and math.isnan(early.aws_wind)  # three stations, two and none
+    assert early.msg == 5.0 and math.isnan(late.msg) and math.isnan(late.aws_pressure)
+    assert (early.elevation_m, early.landmask, early.distance_km) == (3.0, 1.0, pytest.approx(math.hypot(1, 4)))
+    training.write_static(static, str(tmp_path / "static"))
+    training.write_static(static.limit(0), str(tmp_path / "static"))
+    assert spark.read.parquet(str(tmp_path / "static")).count() == 6
+
+
+def test_feed_parameters_and_windows(spark):
+    got = I.Settings.load({"SKYLATTICE_STALE_AFTER_SECONDS": "60", "SKYLATTICE_ORIGINS": "a, b,", "OTHER": "1"})
+    assert (got.stale_after_seconds, got.origin_list(), got.model_version) == (60, ["a", "b"], "stub-0.1")
+    assert I.between_filter("timestamp", "a", "b") == "timestamp BETWEEN 'a' AND 'b'"
+    assert "bbox=49.0%2C2.0%2C51.0%2C4.0" in I.map_url("http://h/wms", "l", "2024-05-01T00:00:00Z", (2.0, 49.0, 4.0, 51.0), (4, 4))
+    assert I.datasets(spark).count() == 5
+    listing = spark.createDataFrame([(f"RAD_{s}.h5",) for s in ("202405010000", "202405010005", "202405010010", "202406010000")] + [("X_202405010005.h5",)], "name string").withColumn("stamp", S.stamp_time("name"))
+    names = lambda c: [r.name for r in I.in_window(listing, "RAD_", "2024-05-01 00:00:00", "2024-05-01 00:10:00", c).orderBy("name").collect()]
+    assert names(5) == ["RAD_202405010000.h5", "RAD_202405010005.h5", "RAD_202405010010.h5"] and names(10) == ["RAD_202405010000.h5", "RAD_202405010010.h5"]
+    key = spark.range(1).select(I.seek_key("RAD_", F.lit("2024-05-01 00:00:00").cast("timestamp_ntz")).alias("k")).first().k
+    assert key == "RAD_202404302359"
+    cells = spark.createDataFrame([([(0, 0), (0, 1)], '{"results": [{"elevation": 3.5}, {"elevation": null}]}')], "cells array<struct<y:int,x:int>>, body string")
+    assert sorted(tuple(r) for r in I.elevations(cells).collect()) == [(0, 0, 3.5), (0, 1, 0.0)]
+    with pytest.warns(UserWarning):
+        assert tables.capped(spark.range(10), [F.col("id")], 3).count() == 3
+
+
+def test_json_source_reads_with_retries(spark):
+    import http.server
+    import threading
+
+    asked = []
+
+    class Answer(http.server.BaseHTTPRequestHandler):
+        def do_GET(self):
+            asked.append(self.path)
+            self.send_response(503 if len(asked) == 1 else 200)
+            self.end_headers()
+            self.wfile.write(b'{"a": 1}')
+
+        def log_message(self, *_):
+            pass
+
+    server = http.server.HTTPServer(("127.0.0.1", 0), Answer)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    spark.dataSource.register(I.JsonHttpSource)
+    rows = spark.read.format("json_http").option("urls", f"http://127.0.0.1:{server.server_port}/x").load().collect()
+    server.shutdown()
+    assert [(r.status, json.loads(r.body)) for r in rows] == [(200, {"a": 1})] and len(asked) >= 2
+
+
+def test_late_rows_are_dropped_and_ticks_run_once(spark, tmp_path):
+    schema = "ts timestamp_ntz, k string, v double"
+    write = lambda rows: spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    counts = []
+
+    def run():
+        feed = ticks.landed(spark, str(tmp_path / "in"), spark.createDataFrame([], schema).schema)
+        out = ticks.tumbling(feed, "ts", "v", ["k"], "5 minutes", "10 minutes").writeStream.outputMode("append").format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+        out.awaitTermination()
+        ticks.tick(feed, str(tmp_path / "tick"), lambda batch, n: counts.append(batch.count())).awaitTermination()
+
+    write([(at(0), "a", 1.0), (at(60), "a", 2.0)])
+    run()
+    write([(at(1), "a", 9.0), (at(120), "a", 3.0)])  # the first comes an hour late
+    run()
+    write([(at(300), "a", 4.0)])
+    run()
+    rows = sorted((r.start, r.n, r.peak) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert [(n, peak) for _, n, peak in rows][:2] == [(1, 1.0), (1, 2.0)] and all(peak != 9.0 for *_, peak in rows)
+    assert counts == [2, 2, 1]
