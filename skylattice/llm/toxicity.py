@@ -68,8 +68,9 @@ def spread(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class BlockMaxIndex:
-    """Postings by block of ``width`` examples and term.
+    """Postings by block of ``width`` examples and term; terms that a large share of the examples hold are dense rows.
 
+    ``column`` has each term's row in ``dense`` (-1: none), whose columns are the places.
     ``block`` has the block of every cell with postings (by block and term), ``start`` where its postings
     begin; ``listed`` are the cells of each term (from ``opens``), ``peak`` the largest weight of each cell.
     """
@@ -85,9 +86,11 @@ class BlockMaxIndex:
     opens: np.ndarray
     listed: np.ndarray
     peak: np.ndarray
+    column: np.ndarray
+    dense: np.ndarray
 
     @classmethod
-    def build(cls, ids: np.ndarray, row: np.ndarray, term: np.ndarray, weight: np.ndarray, terms: int, width: int = 256) -> BlockMaxIndex:
+    def build(cls, ids: np.ndarray, row: np.ndarray, term: np.ndarray, weight: np.ndarray, terms: int, width: int = 256, common: float = 1 / 16) -> BlockMaxIndex:
         """Examples are put next to those with the same heaviest term, so that blocks hold what is alike."""
         lead = np.zeros(len(ids), np.int64)
         by = np.argsort(weight, kind="stable")
@@ -96,6 +99,14 @@ class BlockMaxIndex:
         to = np.empty(len(ids), np.int64)
         to[place] = np.arange(len(ids))
         entry = to[row]
+        held = np.bincount(term, minlength=terms)
+        often = np.flatnonzero((held > 0) & (held >= common * len(ids)))
+        column = np.full(terms, -1, np.int32)
+        column[often] = np.arange(len(often))
+        dense = np.zeros((len(often), -(-len(ids) // width) * width))
+        thick = column[term] >= 0
+        dense[column[term[thick]], entry[thick]] = weight[thick]
+        term, entry, weight = term[~thick], entry[~thick], weight[~thick]
         key = entry // width * terms + term
         order = np.argsort(key, kind="stable")
         key, entry, weight = key[order], entry[order].astype(np.int32), weight[order]
@@ -105,7 +116,7 @@ class BlockMaxIndex:
         of = cell % max(terms, 1)
         listed = np.argsort(of, kind="stable")
         opens = np.searchsorted(of[listed], np.arange(terms + 1))
-        return cls(ids[place], place, terms, width, (cell // max(terms, 1)).astype(np.int32), np.append(first, len(key)).astype(np.int32), entry, weight, opens.astype(np.int32), listed.astype(np.int32), peak)
+        return cls(ids[place], place, terms, width, (cell // max(terms, 1)).astype(np.int32), np.append(first, len(key)).astype(np.int32), entry, weight, opens.astype(np.int32), listed.astype(np.int32), peak, column, dense)
 
     def nearest(self, row: np.ndarray, term: np.ndarray, weight: np.ndarray, n: int, k: int, skip: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(query, place, cosine) of the k nearest of each of n queries, nearest first; ties to the smaller id.
@@ -123,10 +134,20 @@ class BlockMaxIndex:
 
     def _together(self, row: np.ndarray, term: np.ndarray, weight: np.ndarray, n: int, k: int, skip: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         blocks = -(-len(self.ids) // self.width)
+        column = self.column[term]
+        thick = column >= 0
+        asked = np.zeros((n, len(self.dense)))
+        asked[row[thick], column[thick]] = weight[thick]
+        part = asked @ self.dense
+        if skip is not None:
+            own = self.ids[None] == skip[:, None]
+            part[:, : len(self.ids)][own] = 0
+        part = part.reshape(n, blocks, self.width)
+        row, term, weight = row[~thick], term[~thick], weight[~thick]
         at, of = spread(self.opens[term], self.opens[term + 1])
         cell = self.listed[at]
         pair = row[of] * blocks + self.block[cell]
-        bound = np.bincount(pair, weight[of] * self.peak[cell], minlength=n * blocks).reshape(n, blocks)
+        bound = np.bincount(pair, weight[of] * self.peak[cell], minlength=n * blocks).reshape(n, blocks) + part.max(2)
         turns = np.argsort(-bound, axis=1, kind="stable")
         turn_of = np.empty((n, blocks), np.uint16 if blocks < 1 << 16 else np.int64)
         np.put_along_axis(turn_of, turns, np.arange(blocks)[None], 1)
@@ -142,20 +163,26 @@ class BlockMaxIndex:
             live, b = live[go], b[go]
             if not len(live):
                 break
-            slot_of = np.full(n, -1)
+            slot_of = np.full(n, -1, np.int32)
             slot_of[live] = np.arange(len(live)) * self.width - b * self.width
             own, at = of[cut[turn] : cut[turn + 1]], cell[cut[turn] : cut[turn + 1]]
             alive = np.zeros(n, bool)
             alive[live] = True
             keep = alive[row[own]]
             own, at = own[keep], at[keep]
-            posting, of_hit = spread(self.start[at], self.start[at + 1])
-            slot = slot_of[row[own]][of_hit] + self.entry[posting]
-            cosine = np.bincount(slot, weight[own][of_hit] * self.weight[posting], minlength=len(live) * self.width).reshape(len(live), self.width)
+            start, size = self.start[at], self.start[at + 1] - self.start[at]
+            total = np.cumsum(size, dtype=np.int32)
+            posting = np.repeat(start + size - total, size)
+            posting += np.arange(len(posting), dtype=np.int32)
+            slot = np.repeat(slot_of[row[own]], size)
+            slot += self.entry[posting]
+            gain = np.repeat(weight[own], size)
+            gain *= self.weight[posting]
+            cosine = np.bincount(slot, gain, minlength=len(live) * self.width).reshape(len(live), self.width)
+            cosine = np.round(cosine + part[live, b], 12)
             if skip is not None:
                 place = np.minimum(b[:, None] * self.width + np.arange(self.width), len(self.ids) - 1)
                 cosine[self.ids[place] == skip[live, None]] = 0
-            cosine = np.round(cosine, 12)
             q, e = np.nonzero((cosine > 0) & (cosine >= floor[live, None]))
             found.append((live[q], b[q] * self.width + e, cosine[q, e]))
             best = np.concatenate([top[live], cosine], axis=1)

@@ -14,7 +14,8 @@ from skylattice.llm.shared import fold
 from skylattice.llm.textbytes import slices
 
 
-def test_block_max_search_is_exact():
+@pytest.mark.parametrize("common", [2.0, 0.15, 0.0])
+def test_block_max_search_is_exact(common):
     rng = np.random.default_rng(3)
     dense = np.where(rng.random((300, 40)) < 0.15, rng.random((300, 40)), 0)
     dense[:20] = dense[0]  # ties
@@ -22,7 +23,7 @@ def test_block_max_search_is_exact():
     dense = dense / np.where(norm > 0, norm, 1)
     ids = np.random.default_rng(4).permutation(300) * 3
     row, term = np.nonzero(dense)
-    index = toxicity.BlockMaxIndex.build(ids, row, term, dense[row, term], 40, width=16)
+    index = toxicity.BlockMaxIndex.build(ids, row, term, dense[row, term], 40, width=16, common=common)
     q, place, cosine = index.nearest(row, term, dense[row, term], 300, 5, skip=ids)
     full = np.round(dense @ dense.T, 12)
     np.fill_diagonal(full, 0)
