@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and works on everything that the stage before it kept;
 run() writes each result as Parquet and reads it again as the next one's docs.  All stages but
-the last return the columns of documents.
+the last return the columns of documents and keep any others.  An empty table stays one, and columns of any
+name may stand beside doc_id and text.  Ids are whole numbers.
 """
 
 from __future__ import annotations
@@ -18,34 +19,45 @@ LEAST_QUALITY = 0.3
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier does not reject; it learns from labels outside the held-out fold."""
+    """Documents that the quality classifier does not reject; it learns from labels outside the held-out fold.
+
+    Each row is judged by its own text, null and empty ones like any other; without labels all stay.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(fold("doc_id", 5) != 0)
     voter = quality.fit_voter(docs, labels)
     return quality.keep(docs, voter, least=LEAST_QUALITY)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without later copies of repeated runs of lines; a document of which no word is left goes."""
-    clean = linededup.dedup_lines(docs)
-    emptied = (F.col("words_removed") > 0) & ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
+    """Texts without later copies of repeated runs of lines; a document of which no word is left goes.
+
+    Earlier is the smaller id, a null id before all others; rows alike in id and text come out alike.
+    Null, empty and blank texts stay as they are.
+    """
+    clean = linededup.dedup_lines(docs, prefix="_dedup_")
+    emptied = (F.col("_dedup_words_removed") > 0) & ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
     clean = clean.where(~emptied)
     if "n_chars" in docs.columns:
-        clean = clean.withColumn("n_chars", F.when(F.col("words_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        clean = clean.withColumn("n_chars", F.when(F.col("_dedup_words_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return clean.select(docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group linked by five-word shingles at 0.8."""
+    """The document with the smallest id of each group linked by five-word shingles at 0.8.
+
+    Rows with a null id, and texts without a word, are linked with nothing and stay; rows that share an id
+    stay or go together.
+    """
     return neardup.keep_representatives(docs, neardup.near_duplicates(docs, words=5))
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that do not hold a benchmark item."""
+    """Documents that do not hold a benchmark item; rows that share an id stay or go together, those with a null id stay."""
     return decontaminate.remove_leaking(docs, decontaminate.leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, with digests of the ids and of the bytes decoded from them."""
+    """Token ids of every document, with digests of the ids and of the bytes decoded from them; a null text has no tokens."""
     import public_tokenizers
 
     ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
@@ -60,7 +72,7 @@ STAGES = [
     ("byte-level BPE", encode),
 ]
 
-#: SQL can't express these stages; tests hold them against brute-force versions.
+#: SQL can't express these stages; tests/llm/test_pipeline.py holds them against plain versions.
 ORACLE_SQL = None
 
 
