@@ -2,8 +2,8 @@
 
 A text is its bytes and an end mark.  Each symbol is a path of binary decisions in a
 Huffman tree that the byte before it selects, so likely symbols take few decisions.
-Predictors give the probability of each decision from counts over all training texts in
-one context: the byte before (exact), and, hashed, two bytes, four bytes, and the letters of
+What the byte before tells is in the tree.  Predictors give the probability of each decision from
+counts over all training texts in one hashed context: two bytes, four bytes, and the letters of
 the word so far.  Their stretched probabilities are mixed by one of four sets of weights, chosen
 by which of the two longest contexts are sure; the mix is refined by a correction that depends on
 its own size.  Weights and correction learn online after every block of symbols (``blocks``), from
@@ -38,21 +38,24 @@ from .textbytes import LOWER, SPACE, TextSlice, bounded_batches, list_array, map
 
 END = 256
 SYMBOLS = 257
-#: log2 of the number of slots of each hashed predictor: two bytes, four bytes, word so far.
-SLOT_BITS = (20, 22, 22)
+#: log2 of the number of slots of each hashed predictor (two bytes, four bytes, word so far), and of those in a line: a
+#: context's decisions fall in one line, so that they are close to each other in memory.
+SLOT_BITS, LINE_BITS = (21, 22, 22), (6, 5, 5)
 #: Bytes that are hashed together, and bytes of texts that are scored side by side.
 BATCH_BYTES, HELD_BYTES = 1 << 19, 1 << 23
 #: Counts travel in pieces of so many slots; first so many tasks' pieces are added, then the sums.
 PIECE_BITS, TOGETHER = 16, 64
 #: So many of the most frequent words and of the most frequent lines are broadcast (16 bytes each).
 HEAD_WORDS, HEAD_LINES = 400_000, 100_000
-#: A text's first weights of the four predictors and the bias (the same in all four sets), and the rates of learning.
-START = np.array([0.0, 0.15, 0.5, 0.3, 0.0], np.float32)
+#: A text's first weights of the three predictors and the bias (the same in all four sets), and the rates of learning.
+START = np.array([0.15, 0.5, 0.3, 0.0], np.float32)
 GATES, CELLS = 4, 8
 RATE, REFINE = np.float32(0.02), np.float32(0.02)
 
 _ORDER1 = SYMBOLS * SYMBOLS
-_SPREAD = np.uint32(0x85EBCA6B)
+#: Place of each node in a line.
+_PLACE = [((np.arange(SYMBOLS, dtype=np.uint32) + np.uint32(1)) * np.uint32(0x9E3779B1) >> np.uint32(32 - b)).astype(np.int32) for b in LINE_BITS]
+_SPREAD, _FOLD = np.uint32(0x85EBCA6B), np.uint64(0x9E3779B97F4A7C15)
 
 
 _APART = np.append(SPACE, True)
@@ -129,21 +132,22 @@ def previous(symbol: np.ndarray, first: np.ndarray, back: int) -> np.ndarray:
 def contexts(symbol: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
     """The byte before each symbol and its three context hashes."""
     one = previous(symbol, first, 1)
-    near = one.astype(np.uint64) | previous(symbol, first, 2).astype(np.uint64) << np.uint64(9)
-    two = mix(near + np.uint64(1 << 40))
-    for back in (3, 4):
-        near |= previous(symbol, first, back).astype(np.uint64) << np.uint64(9 * back - 9)
-    four = mix(near)
+    near = one | previous(symbol, first, 2) << 9
+    two = near.astype(np.uint32)
+    near |= previous(symbol, first, 3) << 18
+    near |= previous(symbol, first, 4) << 27
     n = len(symbol)
     apart = _APART[symbol]
     up, down = powers(n + 1)
-    sums = np.append(np.uint64(0), np.cumsum(_LETTER[symbol] * up[:n]))
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(_LETTER[symbol] * up[:n], out=sums[1:])
     opens = np.zeros(n, np.int64)
     opens[1:][apart[:-1]] = np.flatnonzero(apart[:-1]) + 1
     opens = np.maximum.accumulate(opens)
-    place = np.arange(n)
-    word = mix((sums[place] - sums[opens]) * down[opens] + (place - opens).astype(np.uint64) + np.uint64(3))
-    return one, [(h >> np.uint64(32)).astype(np.uint32) for h in (two, four, word)]
+    word = sums[:-1] - sums[opens]
+    word *= down[opens]
+    word += (np.arange(3, n + 3) - opens).astype(np.uint64)
+    return one, [two, *((h * _FOLD >> np.uint64(32)).astype(np.uint32) for h in (near.view(np.uint64), word))]
 
 
 def lines_of(symbol: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -166,19 +170,21 @@ def decisions(code: Code, symbol: np.ndarray, one: np.ndarray) -> tuple[np.ndarr
     return of, code.node[at], code.bit[at]
 
 
-def slots(context: np.ndarray, of: np.ndarray, salt: np.ndarray, bits: int) -> np.ndarray:
-    """Slot of every decision: its symbol's context hash and its node, hashed together in 32 bits."""
-    at = context.take(of)
-    at ^= salt
-    at *= _SPREAD
+def lines(context: np.ndarray, k: int) -> np.ndarray:
+    """First slot of the line of each context hash in the k-th table."""
+    at = context * _SPREAD
     at ^= at >> np.uint32(15)
     at *= _SPREAD
-    at >>= np.uint32(32 - bits)
-    return at
+    at >>= np.uint32(32 - SLOT_BITS[k] + LINE_BITS[k])
+    at <<= np.uint32(LINE_BITS[k])
+    return at.view(np.int32)
 
 
-def salted(node: np.ndarray) -> np.ndarray:
-    return (node + np.uint32(1)) * np.uint32(0x9E3779B1)
+def slots(line: np.ndarray, of: np.ndarray, node: np.ndarray, k: int) -> np.ndarray:
+    """Slot of every decision: its symbol's line and the place of its node there."""
+    at = line.take(of)
+    at += _PLACE[k].take(node)
+    return at
 
 
 # ---- what is gathered from the training texts
@@ -230,15 +236,6 @@ def stretched(counts: np.ndarray) -> np.ndarray:
     return np.clip(value * 2048, -32767, 32767).astype(np.int16)
 
 
-def pair_table(code: Code, pair_counts: np.ndarray) -> np.ndarray:
-    """The exact predictor by the byte before: each symbol's count goes to the decisions on its path."""
-    key = np.repeat(np.arange(_ORDER1), code.size[np.arange(_ORDER1)])
-    total = np.cumsum(code.size)
-    at = np.arange(total[-1]) + np.repeat(code.start - (total - code.size), code.size)
-    cell = (key // SYMBOLS * SYMBOLS + code.node[at]) * 2 + code.bit[at]
-    return stretched(np.bincount(cell, pair_counts.ravel()[key], minlength=2 * _ORDER1))
-
-
 def _gather_decisions(train: DataFrame, code: Code) -> list[np.ndarray]:
     """Stretched probabilities of every slot of the hashed predictors; counts cover all training texts."""
     spark = train.sparkSession
@@ -253,9 +250,11 @@ def _gather_decisions(train: DataFrame, code: Code) -> list[np.ndarray]:
                 symbol, first, _ = symbols_of(texts)
                 one, hashed = contexts(symbol, first)
                 of, node, bit = decisions(code, symbol, one)
-                salt = salted(node)
-                for table, context, bits in zip(tables, hashed, SLOT_BITS, strict=True):
-                    np.add.at(table, slots(context, of, salt, bits).astype(np.int64) * 2 + bit, np.int32(1))
+                for k, table in enumerate(tables):
+                    at = slots(lines(hashed[k], k), of, node, k)
+                    at *= 2
+                    at += bit
+                    np.add.at(table, at, np.int32(1))
         step, group = 2 << PIECE_BITS, TaskContext.get().partitionId() // TOGETHER
         for k, table in enumerate(tables):
             for piece, at in enumerate(range(0, len(table), step)):
@@ -300,7 +299,7 @@ def log_probabilities(code: Code, tables: list[np.ndarray], parts: list[TextSlic
     held = []
     for texts in parts:
         symbol, first, _ = symbols_of(texts)
-        held.append((symbol.astype(np.uint16), *contexts(symbol, first)[1], np.diff(first)))
+        held.append((symbol.astype(np.uint16), *(lines(h, k) for k, h in enumerate(contexts(symbol, first)[1])), np.diff(first)))
     symbol, *hashed, size = (np.concatenate(x) for x in zip(*held, strict=True))
     del held
     order = np.argsort(-size, kind="stable")
@@ -322,19 +321,17 @@ def log_probabilities(code: Code, tables: list[np.ndarray], parts: list[TextSlic
 
 
 def advance(code: Code, tables: list[np.ndarray], symbol: np.ndarray, one: np.ndarray, hashed: list[np.ndarray], each: np.ndarray, weights: np.ndarray, fixes: np.ndarray) -> np.ndarray:
-    """log10 of the probability of each symbol of the lanes (``each`` has how many); weights and fixes learn from them."""
+    """log10 of the probability of each symbol of the lanes (``each`` has how many); weights and fixes learn from them.
+
+    ``hashed`` are the symbols' lines in the hashed tables.
+    """
     of, node, bit = decisions(code, symbol, one)
     first = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
     lane = np.repeat(np.arange(len(each), dtype=np.int32), each).take(of)
-    x = [tables[0].take((one * SYMBOLS).astype(np.int32).take(of) + node).astype(np.float32)]
-    salt = salted(node)
-    for table, context, bits in zip(tables[1:], hashed, SLOT_BITS, strict=True):
-        x.append(table.take(slots(context, of, salt, bits)).astype(np.float32))
-    for v in x:
-        v *= np.float32(1 / 2048)
+    x = [tables[k].take(slots(line, of, node, k)) * np.float32(1 / 2048) for k, line in enumerate(hashed)]
     row = lane * np.int32(GATES)
-    row += np.abs(x[2]) > 1
-    row += np.int32(2) * (np.abs(x[3]) > 1)
+    row += np.abs(x[1]) > 1
+    row += np.int32(2) * (np.abs(x[2]) > 1)
     s = weights[-1].take(row) * np.float32(0.3)
     for w, v in zip(weights, x, strict=False):
         s += w.take(row) * v
@@ -348,8 +345,10 @@ def advance(code: Code, tables: list[np.ndarray], symbol: np.ndarray, one: np.nd
     s += 1
     error = bit - 1 / s
     seen = RATE / np.sqrt(1 + np.bincount(row, minlength=weights.shape[1]) / 16)
-    for w, v in zip(weights, (*x, np.full(1, 0.3, np.float32)), strict=True):
-        w += np.bincount(row, error * v, minlength=len(w)) * seen
+    for w, v in zip(weights, x, strict=False):
+        v *= error
+        w += np.bincount(row, v, minlength=len(w)) * seen
+    weights[-1] += np.bincount(row, error, minlength=weights.shape[1]) * (seen * np.float32(0.3))
     fixes += np.bincount(cell, error, minlength=len(fixes)) * (REFINE / np.sqrt(1 + np.bincount(cell, minlength=len(fixes)) / 16))
     np.abs(error, out=error)
     return np.add.reduceat(np.log10(np.clip(1 - error, 1e-5, 1 - 1e-5)), first)
@@ -427,7 +426,7 @@ def score_texts(docs: DataFrame, training: Column, id_col: str = "doc_id", text_
     n_train, vocabulary = total + ends, distinct + (ends > 0)
     share = again / (n_lines + 1)
     code = Code.build(counts)
-    sent = spark.sparkContext.broadcast((code, [pair_table(code, counts), *_gather_decisions(train, code)], Head.of(words, HEAD_WORDS), Head.of(lines.where("c > 1"), HEAD_LINES)))
+    sent = spark.sparkContext.broadcast((code, _gather_decisions(train, code), Head.of(words, HEAD_WORDS), Head.of(lines.where("c > 1"), HEAD_LINES)))
     end_log, lone = float(np.log10(ends + 1)), float(np.log10(1 - share))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -34,7 +34,7 @@ def fitted(texts, seed=9):
     pairs = pairs.reshape(L.SYMBOLS, L.SYMBOLS)
     code = L.Code.build(pairs)
     rng = np.random.default_rng(seed)
-    return code, [L.pair_table(code, pairs), *(rng.integers(-6000, 6000, 1 << b).astype(np.int16) for b in L.SLOT_BITS)]
+    return code, [rng.integers(-6000, 6000, 1 << b).astype(np.int16) for b in L.SLOT_BITS]
 
 
 def test_probabilities_are_a_distribution():
@@ -43,6 +43,7 @@ def test_probabilities_are_a_distribution():
     (_, _, t), = slices(pa.array(["abba ab baba abab ab"]))
     symbol, first, _ = L.symbols_of(t)
     one, hashed = L.contexts(symbol, first)
+    hashed = [L.lines(h, k) for k, h in enumerate(hashed)]
     n, at = len(symbol), len(symbol) - 1
     weights, fixes = np.repeat(L.START[:, None], L.GATES, axis=1), np.zeros(L.CELLS, np.float32)
     L.advance(code, tables, symbol[:at], one[:at], [h[:at] for h in hashed], np.array([at]), weights, fixes)
@@ -96,15 +97,14 @@ def one_by_one(code, tables, text):
     symbol, first, _ = L.symbols_of(t)
     one, hashed = L.contexts(symbol, first)
     of, node, bit = L.decisions(code, symbol, one)
-    salt = L.salted(node)
-    x = [tables[0][one[of] * L.SYMBOLS + node], *(tables[k][L.slots(h, of, salt, L.SLOT_BITS[k - 1])] for k, h in enumerate(hashed, 1))]
+    x = [tables[k][L.slots(L.lines(h, k), of, node, k)] for k, h in enumerate(hashed)]
     x = np.column_stack([*(v / 2048 for v in x), np.full(len(of), 0.3)])
     w, fix, total = [L.START.astype(float) for _ in range(L.GATES)], [0.0] * L.CELLS, 0.0
     bounds = L.blocks(len(symbol))
     for low, high in zip(bounds, bounds[1:], strict=False):
-        slope, turn, tug, hits = [np.zeros(5) for _ in w], [0] * L.GATES, [0.0] * L.CELLS, [0] * L.CELLS
+        slope, turn, tug, hits = [np.zeros(4) for _ in w], [0] * L.GATES, [0.0] * L.CELLS, [0] * L.CELLS
         for row, y in zip(x[(of >= low) & (of < high)], bit[(of >= low) & (of < high)].tolist(), strict=True):
-            k = int(abs(row[2]) > 1) + 2 * int(abs(row[3]) > 1)
+            k = int(abs(row[1]) > 1) + 2 * int(abs(row[2]) > 1)
             s = float(row @ w[k])
             cell = int(min(max(s + 4, 0), 7))
             p = 1 / (1 + math.exp(-s - fix[cell]))
@@ -137,7 +137,6 @@ def test_learning_goes_on_to_the_end_of_long_texts():
 @pytest.mark.parametrize("head", [2, 100_000])
 def test_lines_are_remembered(spark, monkeypatch, head):
     """The score is that of a plain mixture of each line's decisions and its share among the other texts' training lines."""
-    seen = []
     plain = L.log_probabilities
 
     monkeypatch.setattr(L, "HEAD_LINES", head)
@@ -148,9 +147,8 @@ def test_lines_are_remembered(spark, monkeypatch, head):
     d = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, train string")
     train = F.col("doc_id") % 3 != 0
     tables = []
-    build, gather = L.pair_table, L._gather_decisions
+    gather = L._gather_decisions
     monkeypatch.setattr(L, "_gather_decisions", lambda t, code: tables.append((code, gather(t, code))) or tables[-1][1])
-    monkeypatch.setattr(L, "pair_table", lambda code, c: seen.append(build(code, c)) or seen[-1])
     got = sorted((r.doc_id, r.bytes, r.score) for r in L.score_texts(d, train).collect())
     code, hashed = tables[0]
     counts = Counter(x for i, t in rows if i % 3 for x in (t or "").split("\n"))
@@ -159,7 +157,7 @@ def test_lines_are_remembered(spark, monkeypatch, head):
     want = []
     for i, t in rows:
         t = t or ""
-        logs = plain(code, [seen[0], *hashed], [p for _, _, p in slices(pa.array([t]))]).astype(float)
+        logs = plain(code, hashed, [p for _, _, p in slices(pa.array([t]))]).astype(float)
         total, at, own = 0.0, 0, Counter(t.split("\n") if i % 3 else ())
         for x in t.split("\n"):
             value = logs[at : at + len(x) + 1].sum()
