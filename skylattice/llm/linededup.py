@@ -1,11 +1,16 @@
-"""Line dedup by the exact windows of every line.
+"""Line dedup by winnowing over line hashes, extended to exact windows.
 
 Lines with words are hashed by their words (A-Z lower-cased, any white space between).  A
 window is a run of lines with at least ``min_words`` words that has fewer without its last
 line, or fewer without its first.  Every line of a run of ``min_words`` words or more stands
 in such a window inside the run, and where the run occurs the window does, so a line is in
-a run that occurred before exactly if one of its windows did.  Windows are joined by the hash
-of all their lines; the lines of every occurrence but the first are deleted.
+a run that occurred before exactly if one of its windows did.
+
+Each window selects its line with the smallest hash (the first of equal ones): a guaranteed
+fingerprint, as equal windows select the same line.  Positions are joined by fingerprint; only where
+one stands at two positions or more are the windows that selected it gone into, backwards and
+forwards from it.  They are joined by the hash of all their lines; the lines of every occurrence but
+the first are deleted.
 
 Documents come in the order of their ids; a repeated run within one document counts too.
 """
@@ -45,38 +50,17 @@ def line_units(texts: TextSlice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return mix(total + words.astype(np.uint64)), words, owner[at]
 
 
-def fingerprints(h: np.ndarray, words: np.ndarray, owner: np.ndarray, gram_words: int, min_words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Line (its place among all) and gram hash of every fingerprint: of each window's shortest runs of ``gram_words`` words the one with the smallest hash.
-
-    Two equal runs of ``min_words`` words share one.  dedup_lines() does without: it joins whole windows.
-    """
-    n = len(h)
-    if not n:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    total = np.append(0, np.cumsum(words))
-    stop = np.searchsorted(owner, owner, "right")  # the line after the last of the same text
-    gram_end = np.searchsorted(total, total[:-1] + gram_words)  # after the last line of the gram
-    window_end = np.searchsorted(total, total[:-1] + min_words)
-    has_gram, has_window = gram_end <= stop, window_end <= stop
-    size = np.where(has_gram, gram_end - np.arange(n), 0)
-    gram = np.zeros(n, np.uint64)
-    for j in range(int(size.max(initial=0))):
-        at = np.flatnonzero(size > j)
-        gram[at] = mix(gram[at] + h[at + j] + np.uint64(j))
-    at = np.flatnonzero(has_window)
-    best, where = gram[at].copy(), at.copy()
-    last = window_end[at]
-    j, live = 1, np.arange(len(at))
+def winnowed(h: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """The line with the smallest hash in each window, the first of equal ones."""
+    where = low.copy()
+    live, j = np.flatnonzero(low + 1 < high), 1
     while len(live):
-        line = at[live] + j
-        inside = line < last[live]
-        live, line = live[inside], line[inside]
-        fits = (gram_end[line] <= last[live]) & has_gram[line]
-        better = fits & (gram[line] < best[live])
-        best[live[better]], where[live[better]] = gram[line[better]], line[better]
+        line = low[live] + j
+        better = h[line] < h[where[live]]
+        where[live[better]] = line[better]
         j += 1
-    where = np.unique(where)
-    return where, gram[where]
+        live = live[low[live] + j < high[live]]
+    return where
 
 
 def windows(h: np.ndarray, words: np.ndarray, owner: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -112,7 +96,9 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     # rows with the same id and text are one document
     named = key.select(F.coalesce("id", F.lit(-(2**63))).alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("digest"), "text")
-    kept = written(_keyed_windows(named, min_words), "windows").select("id", "digest", F.explode(F.arrays_zip("lows", "highs", "keys")).alias("w"))
+    spots = written(_keyed_windows(named, min_words), "windows")
+    shared = spots.groupBy("print").agg(F.count("*").alias("n")).where("n > 1").select("print")
+    kept = spots.join(shared, "print").select("id", "digest", F.explode(F.arrays_zip("lows", "highs", "keys")).alias("w"))
     kept = kept.select("id", "digest", F.col("w.lows").alias("low"), F.col("w.highs").alias("high"), F.col("w.keys").alias("key"))
     place = F.struct("id", "digest", "low")
     first = kept.groupBy("key").agg(F.min(place).alias("f"), F.max(place).alias("l")).where("f != l").select("key", "f")
@@ -131,7 +117,7 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def _keyed_windows(named: DataFrame, min_words: int) -> DataFrame:
-    """id, digest, lows, highs, keys: the windows of each document that has any."""
+    """id, digest, print, lows, highs, keys: a row for each fingerprint's position, with the windows that selected it."""
     bounded_batches(named.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,13 +125,18 @@ def _keyed_windows(named: DataFrame, min_words: int) -> DataFrame:
             for at, to, texts in slices(batch.column(2)):
                 h, words, owner = line_units(texts)
                 low, high, key = windows(h, words, owner, min_words)
+                if not len(low):
+                    continue
+                spot = winnowed(h, low, high)
+                order = np.argsort(spot, kind="stable")
+                low, high, key, spot = low[order], high[order], key[order], spot[order]
                 opening = np.searchsorted(owner, np.arange(len(texts)))[owner[low]]
-                each = np.bincount(owner[low], minlength=len(texts))
+                first = np.flatnonzero(np.append(True, spot[1:] != spot[:-1]))
+                each, row = np.diff(np.append(first, len(spot))), pa.array(at + owner[spot[first]])
                 lists = [list_array((low - opening).astype(np.int32), each, pa.int32()), list_array((high - opening).astype(np.int32), each, pa.int32()), list_array(key.view(np.int64), each, pa.int64())]
-                whole = pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), batch.column(1).slice(at, to - at), *lists], names=["id", "digest", "lows", "highs", "keys"])
-                yield whole.filter(pa.array(each > 0))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), pa.array(h[spot[first]].view(np.int64)), *lists], names=["id", "digest", "print", "lows", "highs", "keys"])
 
-    return named.select("id", "digest", "text").mapInArrow(run, "id long, digest long, lows array<int>, highs array<int>, keys array<long>")
+    return named.select("id", "digest", "text").mapInArrow(run, "id long, digest long, print long, lows array<int>, highs array<int>, keys array<long>")
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, min_words: int = 50, prefix: str = "") -> DataFrame:

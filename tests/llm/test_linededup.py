@@ -82,9 +82,12 @@ def test_equal_runs_share_a_fingerprint():
             before, after = (rng.integers(0, 2**62, int(rng.integers(0, 5))).astype(np.uint64) for _ in range(2))
             h = np.concatenate([before, shared, after])
             w = np.concatenate([rng.integers(5, 30, len(before)), size, rng.integers(5, 30, len(after))])
-            _, gram = linededup.fingerprints(h, w, np.zeros(len(h), np.int64), 25, 50)
-            prints.append(set(gram.tolist()))
-        assert prints[0] & prints[1]
+            low, high, key = linededup.windows(h, w, np.zeros(len(h), np.int64), 50)
+            spot = linededup.winnowed(h, low, high)
+            assert all(spot[i] == low[i] + np.argmin(h[low[i] : high[i]]) for i in range(len(low)))
+            prints.append(dict(zip(key.tolist(), h[spot].tolist(), strict=True)))
+        both = prints[0].keys() & prints[1].keys()
+        assert both and all(prints[0][k] == prints[1][k] for k in both)
 
 
 def assert_as_brute(spark, rows):
