@@ -204,7 +204,8 @@ def _search(spark, entries: DataFrame, asked: DataFrame, k: int, sample: int, mo
             block = block_of[batch.column(2).to_numpy()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(block), pa.array(parts_of[block].astype(np.int32))], names=["vector", "ids", "cell", "block", "parts"])
 
-    probes = written(asked.select("vector").distinct().mapInArrow(walk, "vector binary, block long, parts int, cells array<long>"), "probes")
+    wide = max(2, spark.sparkContext.defaultParallelism)  # a walk is long for its few bytes
+    probes = written(asked.select("vector").distinct().repartition(wide, "vector").mapInArrow(walk, "vector binary, block long, parts int, cells array<long>"), "probes")
     # every part of a block meets every group of at most BLOCK of its queries
     crowd = probes.groupBy("block").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("groups"))
     spread = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
