@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import written
-from .textbytes import SPACE, TextSlice, binary_rows, map_texts, mix, powers, slices
+from .textbytes import SPACE, TextSlice, binary_rows, folded_ranges, map_texts, slices
 
 # Units that may follow a number.
 UNITS = (
@@ -88,10 +88,8 @@ def windows(token: np.ndarray, owner: np.ndarray, width: int) -> tuple[np.ndarra
     n = len(token) - width + 1
     if n <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    up, down = powers(len(token) + 1)
-    sums = np.append(np.uint64(0), np.cumsum(mix(token) * up[: len(token)]))
     at = np.flatnonzero(owner[width - 1 :] == owner[:n])
-    return at, mix((sums[at + width] - sums[at]) * down[at] + np.uint64(width))
+    return at, folded_ranges(token, at, at + width)
 
 
 class Wanted:

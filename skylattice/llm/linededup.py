@@ -9,8 +9,8 @@ a run that occurred before exactly if one of its windows did.
 Each window selects its line with the smallest hash (the first of equal ones): a guaranteed
 fingerprint, as equal windows select the same line.  Positions are joined by fingerprint; only where
 one stands at two positions or more are the windows that selected it gone into, backwards and
-forwards from it.  They are joined by the hash of all their lines; the lines of every occurrence but
-the first are deleted.
+forwards from it.  They are joined by two independent hashes of all their lines, 128 bits; the lines of every
+occurrence but the first are deleted.
 
 Documents come in the order of their ids; a repeated run within one document counts too.
 """
@@ -26,28 +26,24 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .shared import written
-from .textbytes import TextSlice, bounded_batches, list_array, mix, powers, slices
+from .textbytes import TextSlice, bounded_batches, folded_ranges, list_array, slices
 
 #: Deletions of up to so many documents are broadcast; more are joined by a shuffle.
 BROADCAST_DOCUMENTS = 200_000
 
 
-def line_units(texts: TextSlice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, number of words and text of every line with words, in order."""
+def line_units(texts: TextSlice) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Two independent hashes, number of words and text of every line with words, in order."""
     starts, ends, first = texts.words()
-    h = texts.hashes(starts, ends)
     owner = np.repeat(np.arange(len(texts)), np.diff(first))
     breaks = np.flatnonzero(texts.data == 10)
     line = np.searchsorted(breaks, starts)
-    new = np.ones(len(h), bool)
+    new = np.ones(len(starts), bool)
     new[1:] = (line[1:] != line[:-1]) | (owner[1:] != owner[:-1])
     at = np.flatnonzero(new)
-    words = np.diff(np.append(at, len(h)))
-    place = np.arange(len(h)) - np.repeat(at, words)
-    most = int(words.max()) if len(words) else 0
-    up, _ = powers(most + 1)
-    total = np.add.reduceat(h * up[place], at) if len(at) else np.zeros(0, np.uint64)
-    return mix(total + words.astype(np.uint64)), words, owner[at]
+    stop = np.append(at[1:], len(starts)) if len(at) else at
+    h, check = (folded_ranges(texts.hashes(starts, ends, family=k), at, stop, k) for k in (0, 1))
+    return h, check, stop - at, owner[at]
 
 
 def winnowed(h: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
@@ -65,7 +61,6 @@ def winnowed(h: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
 
 def windows(h: np.ndarray, words: np.ndarray, owner: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """First line, line after the last (places among all) and hash of every window, in the order of first lines."""
-    n = len(h)
     total = np.append(0, np.cumsum(words))
     start, stop = np.searchsorted(owner, owner), np.searchsorted(owner, owner, "right")
     ahead = np.searchsorted(total, total[:-1] + min_words)  # after the last line of the window that begins at a line
@@ -75,9 +70,7 @@ def windows(h: np.ndarray, words: np.ndarray, owner: np.ndarray, min_words: int)
     low, high = np.append(low, back[last]), np.append(ahead[low], last + 1)
     order = np.argsort(low, kind="stable")
     low, high = low[order], high[order]
-    up, down = powers(n + 1)
-    sums = np.append(np.uint64(0), np.cumsum(mix(h) * up[:n]))
-    return low, high, mix((sums[high] - sums[low]) * down[low] + (high - low).astype(np.uint64))
+    return low, high, folded_ranges(h, low, high)
 
 
 def merged(row: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -98,11 +91,11 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     named = key.select(F.coalesce("id", F.lit(-(2**63))).alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("digest"), "text")
     spots = written(_keyed_windows(named, min_words), "windows")
     shared = spots.groupBy("print").agg(F.count("*").alias("n")).where("n > 1").select("print")
-    kept = spots.join(shared, "print").select("id", "digest", F.explode(F.arrays_zip("lows", "highs", "keys")).alias("w"))
-    kept = kept.select("id", "digest", F.col("w.lows").alias("low"), F.col("w.highs").alias("high"), F.col("w.keys").alias("key"))
+    kept = spots.join(shared, "print").select("id", "digest", F.explode(F.arrays_zip("lows", "highs", "keys", "checks")).alias("w"))
+    kept = kept.select("id", "digest", F.col("w.lows").alias("low"), F.col("w.highs").alias("high"), F.col("w.keys").alias("key"), F.col("w.checks").alias("check"))
     place = F.struct("id", "digest", "low")
-    first = kept.groupBy("key").agg(F.min(place).alias("f"), F.max(place).alias("l")).where("f != l").select("key", "f")
-    later = kept.join(first, "key").where(place > F.col("f"))
+    first = kept.groupBy("key", "check").agg(F.min(place).alias("f"), F.max(place).alias("l")).where("f != l").select("key", "check", "f")
+    later = kept.join(first, ["key", "check"]).where(place > F.col("f"))
     ranges = later.groupBy("id", "digest").agg(F.collect_set(F.struct("low", "high")).alias("at"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,26 +110,27 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def _keyed_windows(named: DataFrame, min_words: int) -> DataFrame:
-    """id, digest, print, lows, highs, keys: a row for each fingerprint's position, with the windows that selected it."""
+    """id, digest, print, lows, highs, keys, checks: a row for each fingerprint's position, with the windows that selected it."""
     bounded_batches(named.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, to, texts in slices(batch.column(2)):
-                h, words, owner = line_units(texts)
+                h, check, words, owner = line_units(texts)
                 low, high, key = windows(h, words, owner, min_words)
                 if not len(low):
                     continue
                 spot = winnowed(h, low, high)
                 order = np.argsort(spot, kind="stable")
                 low, high, key, spot = low[order], high[order], key[order], spot[order]
+                keys = [key.view(np.int64), folded_ranges(check, low, high, 1).view(np.int64)]
                 opening = np.searchsorted(owner, np.arange(len(texts)))[owner[low]]
                 first = np.flatnonzero(np.append(True, spot[1:] != spot[:-1]))
                 each, row = np.diff(np.append(first, len(spot))), pa.array(at + owner[spot[first]])
-                lists = [list_array((low - opening).astype(np.int32), each, pa.int32()), list_array((high - opening).astype(np.int32), each, pa.int32()), list_array(key.view(np.int64), each, pa.int64())]
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), pa.array(h[spot[first]].view(np.int64)), *lists], names=["id", "digest", "print", "lows", "highs", "keys"])
+                lists = [list_array((low - opening).astype(np.int32), each, pa.int32()), list_array((high - opening).astype(np.int32), each, pa.int32()), *(list_array(x, each, pa.int64()) for x in keys)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), pa.array(h[spot[first]].view(np.int64)), *lists], names=["id", "digest", "print", "lows", "highs", "keys", "checks"])
 
-    return named.select("id", "digest", "text").mapInArrow(run, "id long, digest long, print long, lows array<int>, highs array<int>, keys array<long>")
+    return named.select("id", "digest", "text").mapInArrow(run, "id long, digest long, print long, lows array<int>, highs array<int>, keys array<long>, checks array<long>")
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, min_words: int = 50, prefix: str = "") -> DataFrame:

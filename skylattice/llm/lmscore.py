@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import written
-from .textbytes import LOWER, SPACE, TextSlice, bounded_batches, list_array, map_texts, mix, powers, slices
+from .textbytes import LOWER, SPACE, TextSlice, bounded_batches, folded_bytes, list_array, map_texts, mix, powers, slices
 
 END = 256
 SYMBOLS = 257
@@ -60,7 +60,6 @@ _SPREAD, _FOLD = np.uint32(0x85EBCA6B), np.uint64(0x9E3779B97F4A7C15)
 
 _APART = np.append(SPACE, True)
 _LETTER = np.append(mix(LOWER.astype(np.uint64) + np.uint64(77)), np.uint64(0))
-_EXACT = mix(np.arange(SYMBOLS, dtype=np.uint64) + np.uint64(991))
 
 # ---- binary decisions
 
@@ -154,9 +153,7 @@ def lines_of(symbol: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndar
     """Start and 64-bit hash of every line, and its text; a line ends with its line feed or the end mark, which are alike."""
     closes = np.flatnonzero((symbol == 10) | (symbol == END))
     starts = np.append(0, closes[:-1] + 1)
-    up, down = powers(len(symbol) + 1)
-    sums = np.append(np.uint64(0), np.cumsum(_EXACT[symbol] * up[: len(symbol)]))
-    h = mix((sums[closes] - sums[starts]) * down[starts] + (closes - starts).astype(np.uint64) + np.uint64(5))
+    h = folded_bytes(symbol.astype(np.uint8), starts, closes)
     return starts, h, np.searchsorted(first, starts, "right") - 1
 
 

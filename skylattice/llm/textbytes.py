@@ -8,6 +8,7 @@ UTF-8 bytes directly; every pass below is a numpy pass over a slice of texts.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +36,12 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_BYTE_CODE = mix((np.arange(256, dtype=np.uint64) + np.uint64(1)) * np.uint64(0xD1342543DE82EF95))
-_LOWER_CODE = _BYTE_CODE[LOWER]
+#: Ranges of up to so many steps are hashed side by side, longer ones one by one.
+STEPS = 32
+_FOLDS = (np.uint64(0x9FB21C651E98DF25), np.uint64(0xD6E8FEB86659FD93))
+_LOW_BYTES = np.append((np.uint64(1) << np.arange(0, 64, 8, dtype=np.uint64)) - np.uint64(1), np.uint64(2**64 - 1))
+
+
 _powers: list[np.ndarray] = []
 
 
@@ -52,6 +57,42 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
+def folded(value_at: Callable[[np.ndarray, int], np.ndarray], long: Callable[[int], bytes], steps: np.ndarray, family: int = 0) -> np.ndarray:
+    """A 64-bit hash of each row's sequence of ``steps`` values: multiply and xor-shift after every value, which is no sum of powers.
+
+    ``value_at(rows, j)`` gives the j-th values of rows; ``long(row)`` the bytes of a row of more than STEPS values,
+    which get a keyed BLAKE2b.  The two families are independent of each other.
+    """
+    turn = _FOLDS[family]
+    h = mix(steps.astype(np.uint64) + turn)
+    far = np.flatnonzero(steps > STEPS)
+    live = np.flatnonzero((steps > 0) & (steps <= STEPS))
+    for j in range(STEPS):
+        if not len(live):
+            break
+        x = (h[live] ^ value_at(live, j)) * turn
+        h[live] = x ^ x >> np.uint64(32)
+        live = live[steps[live] > j + 1]
+    if len(far):
+        key = bytes([family + 1]) * 8
+        h[far] = np.frombuffer(b"".join(blake2b(long(i), digest_size=8, key=key).digest() for i in far), np.uint64)
+    return mix(h)
+
+
+def folded_ranges(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, family: int = 0) -> np.ndarray:
+    """A 64-bit hash of each range of 64-bit values, in their order."""
+    return folded(lambda live, j: values[starts[live] + j], lambda i: values[starts[i] : ends[i]].tobytes(), ends - starts, family)
+
+
+def folded_bytes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, family: int = 0) -> np.ndarray:
+    """A 64-bit hash of each range of bytes, alike wherever they stand."""
+    padded = np.append(data, np.zeros(8, np.uint8))
+    eights = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))  # the eight bytes from each place on
+    size = ends - starts
+    h = folded(lambda live, j: eights[starts[live] + 8 * j] & _LOW_BYTES[np.minimum(size[live] - 8 * j, 8)], lambda i: data[starts[i] : ends[i]].tobytes(), -(-size // 8), family)
+    return mix(h ^ size.astype(np.uint64) * _FOLDS[family])
+
+
 class TextSlice:
     """Consecutive texts: ``data`` their bytes, ``offsets`` (one more than texts) into it."""
 
@@ -76,12 +117,9 @@ class TextSlice:
         ends = np.flatnonzero(word & ~after) + 1
         return starts, ends, np.searchsorted(starts, self.offsets)
 
-    def hashes(self, starts: np.ndarray, ends: np.ndarray, lower: bool = True) -> np.ndarray:
+    def hashes(self, starts: np.ndarray, ends: np.ndarray, lower: bool = True, family: int = 0) -> np.ndarray:
         """A 64-bit hash of each byte range, alike wherever the bytes stand."""
-        up, down = powers(len(self.data) + 1)
-        sums = np.zeros(len(self.data) + 1, np.uint64)
-        np.cumsum((_LOWER_CODE if lower else _BYTE_CODE)[self.data] * up[: len(self.data)], out=sums[1:])
-        return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+        return folded_bytes(LOWER[self.data] if lower else self.data, starts, ends, family)
 
     def text_of(self) -> np.ndarray:
         """For each byte the index of its text."""
