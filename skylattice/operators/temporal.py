@@ -11,7 +11,7 @@ from ..functions.scalars import epoch_seconds
 def asof_backward(left: DataFrame, right: DataFrame, time: str, keys: list[str], values: list[str], tolerance_seconds: float | None = None, bucket_seconds: int | None = None) -> DataFrame:
     """left with ``right_<time>`` and right's values at the last time not after its own, within the tolerance (inclusive).
 
-    Of equal right times the row with the greatest values wins.  Both sides are laid in one stream of
+    Of equal right times the row with the greatest values wins; a NULL key meets nothing.  Both sides are laid in one stream of
     (keys, time) and the last right row is carried along: a shuffle and a sort, no pairs.  With
     ``bucket_seconds`` (and a tolerance) keys are cut into buckets of time as well, and each right row is
     also laid in the next bucket, so that a single key, or none, is many partitions.
@@ -21,6 +21,8 @@ def asof_backward(left: DataFrame, right: DataFrame, time: str, keys: list[str],
     packed = F.struct(F.col(time).alias("t"), *values)
     plain = [F.col(c) for c in left.columns]
     a = left.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col(time).alias("_t"), F.lit(1).alias("_side"), F.struct(*plain).alias("_left"), F.lit(None).cast(right.select(packed.alias("p")).schema["p"].dataType).alias("_right"))
+    for k in keys:
+        right = right.where(F.col(k).isNotNull())
     b = right.where(F.col(time).isNotNull()).select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col(time).alias("_t"), F.lit(0).alias("_side"), F.lit(None).cast(a.schema["_left"].dataType).alias("_left"), packed.alias("_right"))
     by = [f"_k{i}" for i in range(len(keys))]
     if bucket_seconds is not None:
@@ -49,6 +51,8 @@ def asof_set(left: DataFrame, right: DataFrame, time: str, keys: list[str], valu
 def nearest_in_time(left: DataFrame, right: DataFrame, time: str, keys: list[str], position: str) -> DataFrame:
     """left with the position and time of the right row nearest in time on either side; ties go to the smaller position."""
     by = [f"_k{i}" for i in range(len(keys))]
+    for k in keys:
+        right = right.where(F.col(k).isNotNull())
     kind = right.select(F.struct(F.col(time).alias("t"), F.col(position).alias("p")).alias("s")).schema["s"].dataType
     a = left.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col(time).alias("_t"), F.lit(1).alias("_side"), F.struct(*[F.col(c) for c in left.columns]).alias("_left"), F.lit(None).cast(kind).alias("_right"))
     least = right.groupBy(*keys, time).agg(F.min(position).alias(position))

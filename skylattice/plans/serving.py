@@ -1,14 +1,17 @@
 """Versioned forecast snapshots and the queries that clients ask.
 
-A snapshot is a folder of Parquet tables; a pointer file names the newest complete one.  A
-snapshot is never changed after publication: a tick copies the newest version of every other
-band into the new one.  All file work goes through Hadoop's file systems.
+The tables of a band's refresh are written to a folder of their own and never changed.  A snapshot is a
+commit: a numbered file that says which folder holds each band.  It is made by one step that fails if the number is taken; then
+the writer takes the newer commit as its base and tries the next number, so bands that publish side by side all
+show, and nothing is copied.  All file work goes through Hadoop's file systems.
 """
 
 from __future__ import annotations
 
 import json
+import os
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -179,79 +182,150 @@ class SnapshotStore:
     def name_of(self, issued_at: datetime) -> str:
         return issued_at.strftime("%Y-%m-%dT%H-%M-%SZ")
 
+    def _create(self, name: str, text: str) -> bool:
+        """A whole file in one step, or False if there is one already."""
+        part, target = f"{self.root}/commits/.{uuid.uuid4().hex}", f"{self.root}/{name}"
+        out = self._fs.create(self._path(part), True)
+        out.write(bytearray(text.encode()))
+        out.close()
+        try:
+            if self._fs.getScheme() == "file":  # a local rename would replace the file; a link does not
+                local = lambda p: self._fs.makeQualified(self._path(p)).toUri().getPath()
+                try:
+                    os.link(local(part), local(target))
+                except FileExistsError:
+                    return False
+                return True
+            return self._fs.rename(self._path(part), self._path(target))
+        finally:
+            self._fs.delete(self._path(part), False)
+
+    def _commits(self) -> list[int]:
+        """Numbers of all commits, in order."""
+        if not self._exists("commits"):
+            return []
+        names = (s.getPath().getName() for s in self._fs.listStatus(self._path(f"{self.root}/commits")))
+        return sorted(int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit())
+
+    def _commit(self, number: int) -> dict:
+        return json.loads(self._get(f"commits/{number:012d}.json") or "{}")
+
+    def _newest_commit(self) -> tuple[int, dict]:
+        while numbers := self._commits():
+            if commit := self._commit(numbers[-1]):
+                return numbers[-1], commit
+        return 0, {}
+
+    def _find(self, snapshot: str) -> dict:
+        for number in reversed(self._commits()):
+            commit = self._commit(number)
+            if commit.get("snapshot") == snapshot:
+                return commit
+        raise RequestError(404, f"no snapshot {snapshot}")
+
     def latest(self) -> str | None:
-        return self._get("latest")
+        return self._newest_commit()[1].get("snapshot")
 
     def status(self, snapshot: str) -> dict:
-        return json.loads(self._get(f"{snapshot}/status.json") or "{}")
+        return self._find(snapshot)["status"]
 
     def snapshots(self) -> list[str]:
-        if not self._fs.exists(self._path(self.root)):
-            return []
-        return sorted(s.getPath().getName() for s in self._fs.listStatus(self._path(self.root)) if s.isDirectory())
+        """Names of all snapshots, by time and version."""
+        return [self._commit(n)["snapshot"] for n in self._commits()]
 
     def publish(self, issued_at: datetime, band: str, cells: DataFrame, *, model_version: str = "stub", inferred_at: datetime | None = None, bucket_seconds: int = 0, extras: dict | None = None) -> str:
-        """A new snapshot: this band from ``cells`` (lead_min, y, x, rate), the others as they were; the pointer moves last.
+        """A new snapshot: this band from ``cells`` (lead_min, y, x, rate), the others as they are in the newest one.
 
-        It holds shards of points, a tensor (row-major array) and an overlay (PNG) for each lead, and grid.json with
-        ``extras`` merged last.  With ``bucket_seconds`` it is named by the bucket of its issue time: what is issued
-        in the same bucket becomes a further version of that snapshot.
+        A band has shards of points, a tensor (row-major array) and an overlay (PNG) for each lead; the snapshot a
+        grid.json with ``extras`` merged last.  With ``bucket_seconds`` it is named by the bucket of its issue time: what is
+        issued in the same bucket becomes a further version of that snapshot.  ``cells`` is computed once.
         """
         if bucket_seconds:
             issued_at = datetime.fromtimestamp(issued_at.replace(tzinfo=issued_at.tzinfo or UTC).timestamp() // bucket_seconds * bucket_seconds, tz=UTC).replace(tzinfo=issued_at.tzinfo)
         spec = next((b for b in BANDS if b.name == band), None)
         if spec is None:
             raise RequestError(404, f"no band {band}")
-        want = len(spec.leads()) * self.grid.height * self.grid.width
-        have = cells.where(F.col("lead_min").isin(spec.leads()) & F.col("y").between(0, self.grid.height - 1) & F.col("x").between(0, self.grid.width - 1)).select("lead_min", "y", "x").distinct().count()
-        if have != want or cells.count() != want:
-            raise ValueError(f"{band} needs {want} cells, one for each lead and place")
-        name, turn = self.name_of(issued_at), 1
-        while self._exists(name):
-            turn += 1
-            name = f"{self.name_of(issued_at)}.{turn}"
-        rows = point_shards(cells.select(F.lit(band).alias("band"), F.col("lead_min").cast("int"), F.col("y").cast("int"), F.col("x").cast("int"), F.col("rate").cast("float")), self.grid)
-        tensors = stack(cells.select(F.lit(band).alias("band"), F.col("lead_min").cast("int"), "y", "x", F.col("rate").cast("float").alias("value")), ["band", "lead_min"], self.grid.width).withColumnRenamed("values", "rates")
-        images = overlays(tensors, self.grid.height, self.grid.width)
-        if last := self.latest():
-            tensors = tensors.unionByName(self.tensors(last).where(F.col("band") != band).select(tensors.columns))
-            images = images.unionByName(self.images(last).where(F.col("band") != band).select(images.columns))
-        if last:
-            rows = rows.unionByName(self.points(last).where(F.col("band") != band).select(rows.columns))
-        rows.repartition("lat_bucket").sortWithinPartitions("lat_bucket", "lon_bucket", "band", "lead_min").write.option("compression", "zstd").partitionBy("lat_bucket").parquet(f"{self.root}/{name}/points")
-        tensors.write.partitionBy("band").parquet(f"{self.root}/{name}/bands")
-        images.write.partitionBy("band").parquet(f"{self.root}/{name}/overlays")
-        self._put(f"{name}/grid.json", json.dumps({"bounds": {"west": self.grid.west, "east": self.grid.east, "south": self.grid.south, "north": self.grid.north}, "shape": [self.grid.height, self.grid.width], "model_version": model_version, "issued_at": issued_at.isoformat(), **(extras or {})}))
-        self.complete(name, {"band": band, "issued_at": issued_at.isoformat(), "inferred_at": (inferred_at or issued_at).isoformat(), "model_version": model_version})
-        self.point_to(name)
+        folder = f"data/{band}-{uuid.uuid4().hex}"
+        try:
+            self._write_band(spec, cells, f"{self.root}/{folder}")
+        except BaseException:
+            self._fs.delete(self._path(f"{self.root}/{folder}"), True)
+            raise
+        grid = {"bounds": {"west": self.grid.west, "east": self.grid.east, "south": self.grid.south, "north": self.grid.north}, "shape": [self.grid.height, self.grid.width], "model_version": model_version, "issued_at": issued_at.isoformat(), **(extras or {})}
+        status = {"band": band, "issued_at": issued_at.isoformat(), "inferred_at": (inferred_at or issued_at).isoformat(), "model_version": model_version}
+        name = self._append(self.name_of(issued_at), band, folder, grid, status)
+        self._put(f"{name}/grid.json", json.dumps(grid))
         return name
 
-    def complete(self, snapshot: str, summary: dict) -> None:
-        self._put(f"{snapshot}/status.json", json.dumps(summary))
-
-    def point_to(self, snapshot: str) -> None:
-        if not self._exists(f"{snapshot}/status.json"):
-            raise RuntimeError(f"{snapshot} is not complete")
-        self._put("latest", snapshot)
+    def _write_band(self, spec: Band, cells: DataFrame, path: str) -> None:
+        """points, bands and overlays of one band; everything after the points is made from them as they were written."""
+        chosen = cells.select(F.lit(spec.name).alias("band"), F.col("lead_min").cast("int"), F.col("y").cast("int"), F.col("x").cast("int"), F.col("rate").cast("float"))
+        rows = point_shards(chosen, self.grid)
+        rows.repartition("lat_bucket").sortWithinPartitions("lat_bucket", "lon_bucket", "lead_min").write.option("compression", "zstd").partitionBy("lat_bucket").parquet(f"{path}/points")
+        back = self.spark.read.parquet(f"{path}/points")
+        want = len(spec.leads()) * self.grid.height * self.grid.width
+        inside = F.col("lead_min").isin(spec.leads()) & F.col("y").between(0, self.grid.height - 1) & F.col("x").between(0, self.grid.width - 1)
+        have = back.groupBy("lead_min", "y", "x").count().agg(F.count_if(inside).alias("places"), F.sum("count").alias("rows")).first()
+        if have.places != want or have.rows != want:
+            raise ValueError(f"{spec.name} needs {want} cells, one for each lead and place")
+        tensors = stack(back.select("band", "lead_min", "y", "x", F.col("rate").alias("value")), ["band", "lead_min"], self.grid.width).select("lead_min", F.col("values").alias("rates"), "band")
+        tensors.write.parquet(f"{path}/bands")
+        overlays(self.spark.read.parquet(f"{path}/bands"), self.grid.height, self.grid.width).select("lead_min", "png", "band").write.parquet(f"{path}/overlays")
+
+    def _append(self, bucket: str, band: str, folder: str, grid: dict, status: dict) -> str:
+        """Commits a band's folder on top of the newest commit, whichever that is by then."""
+        self._fs.mkdirs(self._path(f"{self.root}/commits"))
+        while True:
+            number, base = self._newest_commit()
+            versions = {self._commit(n).get("snapshot") for n in self._commits()}
+            name, turn = bucket, 1
+            while name in versions:
+                turn += 1
+                name = f"{bucket}.{turn}"
+            commit = {"snapshot": name, "bands": {**base.get("bands", {}), band: folder}, "grid": grid, "status": status}
+            if self._create(f"commits/{number + 1:012d}.json", json.dumps(commit)):
+                return name
 
     def prune(self, keep: int = 24) -> int:
-        """Removes all but the newest ``keep`` complete snapshots, never the one pointed to."""
-        done = [s for s in self.snapshots() if self._exists(f"{s}/status.json")]
-        gone = [s for s in done[: max(0, len(done) - keep)] if s != self.latest()]
-        for s in gone:
-            self._fs.delete(self._path(f"{self.root}/{s}"), True)
-        return len(gone)
+        """Removes snapshots beyond the newest ``keep`` buckets, and all but the last version of every bucket but the newest.
+
+        The newest commit always stays.  Folders go when no commit that stays names them.  Gives how many snapshots went.
+        """
+        order = lambda name: (name.partition(".")[0], int(name.partition(".")[2] or 1))
+        commits = {n: self._commit(n) for n in self._commits()}
+        if not commits:
+            return 0
+        last = max(commits)
+        buckets = sorted({order(c["snapshot"])[0] for c in commits.values()})
+        kept = set(buckets[-keep:] if keep > 0 else [])
+        newest = {b: max(order(c["snapshot"])[1] for c in commits.values() if order(c["snapshot"])[0] == b) for b in kept}
+        stays = {n for n, c in commits.items() if n == last or (order(c["snapshot"])[0] in kept and (order(c["snapshot"])[0] == buckets[-1] or order(c["snapshot"])[1] == newest[order(c["snapshot"])[0]]))}
+        needed = {f for n in stays for f in commits[n]["bands"].values()}
+        for n in sorted(set(commits) - stays):
+            self._fs.delete(self._path(f"{self.root}/commits/{n:012d}.json"), False)
+            self._fs.delete(self._path(f"{self.root}/{commits[n]['snapshot']}"), True)
+        for folder in {f for n in set(commits) - stays for f in commits[n]["bands"].values()} - needed:
+            self._fs.delete(self._path(f"{self.root}/{folder}"), True)
+        return len(commits) - len(stays)
+
+    def _bands(self, snapshot: str, table: str) -> DataFrame:
+        """A table of all bands of a snapshot."""
+        parts = [self.spark.read.parquet(f"{self.root}/{folder}/{table}") for folder in self._find(snapshot)["bands"].values()]
+        out = parts[0]
+        for part in parts[1:]:
+            out = out.unionByName(part)
+        return out
 
     def points(self, snapshot: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/{snapshot}/points")
+        return self._bands(snapshot, "points")
 
     def tensors(self, snapshot: str) -> DataFrame:
         """lead_min, rates, band."""
-        return self.spark.read.schema("lead_min int, rates array<float>, band string").parquet(f"{self.root}/{snapshot}/bands")
+        return self._bands(snapshot, "bands")
 
     def images(self, snapshot: str) -> DataFrame:
         """lead_min, png, band."""
-        return self.spark.read.schema("lead_min int, png binary, band string").parquet(f"{self.root}/{snapshot}/overlays")
+        return self._bands(snapshot, "overlays")
 
     def image(self, band: str, lead_min: int) -> tuple[bytes, int]:
         """The PNG of a band at a lead, and for how many seconds it may be kept."""
@@ -281,7 +355,7 @@ class SnapshotStore:
         if band not in {b.name for b in BANDS}:
             raise RequestError(404, f"no band {band}")
         name, status = self._newest()
-        have = self.points(name).select("band", "lead_min").distinct()
+        have = self.images(name).select("band", "lead_min").distinct()
         return manifest(band_leads(bands(self.spark)), have, band, F.lit(name), F.lit(status["issued_at"]).cast("timestamp_ntz"))
 
     def overlay(self, band: str, lead_min: int) -> DataFrame:

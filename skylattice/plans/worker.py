@@ -43,21 +43,30 @@ def nearest_frames(payloads: DataFrame, leads: list[int]) -> DataFrame:
     return asked.select("lead_min", "location", "lat", "lon", F.array_min(F.transform("_f", gap))["v"].alias("value"))
 
 
+def newest_polls(payloads: DataFrame) -> DataFrame:
+    """location, lat, lon, body: the newest poll (by poll_ts, where there is one) of each location; of equal ones the greatest body."""
+    when = [F.col("poll_ts")] if "poll_ts" in payloads.columns else []
+    newest = F.max_by(F.struct("lat", "lon", "body"), F.struct(*when, "body", "lat", "lon"))
+    return payloads.groupBy("location").agg(newest.alias("_p")).select("location", "_p.*")
+
+
 def stand_in(payloads: DataFrame, band: Band, grid: Grid, centre: str = "brussels") -> DataFrame:
     """lead_min, y, x, rate from landed point forecasts (location, lat, lon, body), in place of a model.
 
+    Of a place's polls the newest counts.
     The first band spreads the nearest frame of each place over the grid by inverse distance; the others are flat,
     the hourly value of one place.  Where nothing is known the rate is 0.  Without any payload it fails.
     """
     if payloads.limit(1).count() == 0:
         raise RuntimeError("no payload has landed")
+    payloads = newest_polls(payloads)
     leads = band.leads()
     cells = _cells(payloads.sparkSession, grid)
     every = cells.select("y", "x", F.explode(F.array(*[F.lit(x) for x in leads])).alias("lead_min"))
     if band.name == BANDS[0].name:
         field = idw(nearest_frames(payloads, leads), cells, ["lead_min"])
         return every.join(field, ["lead_min", "y", "x"], "left").select("lead_min", "y", "x", F.coalesce("value", F.lit(0.0)).alias("rate"))
-    one = payloads.where(F.col("location") == centre).select("body").limit(1)
+    one = payloads.where(F.col("location") == centre).select("body")
     values = one.select(F.explode(F.array(*[F.struct(F.lit(x).alias("lead_min"), hourly_value(F.col("body"), F.lit(x)).alias("rate")) for x in leads])).alias("v")).select("v.*")
     return every.join(values, "lead_min", "left").select("lead_min", "y", "x", F.coalesce("rate", F.lit(0.0)).alias("rate"))
 
