@@ -24,7 +24,9 @@ from .shared import drop_written, written
 from .textbytes import LOWER, TextSlice, bounded_batches, slices
 
 #: Texts of about so many bytes make a shard (a longer text is a shard of its own).
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 16 << 20
+#: Bits of the table of flags that tells most phrases that can't be frequent, 16 MB at any size of the input.
+FLAG_BITS = 27
 
 _BLANK, _BREAK = np.zeros(256, bool), np.zeros(256, bool)
 _BLANK[[9, 32]] = True
@@ -114,6 +116,7 @@ def _extended(known: DataFrame, files: DataFrame, last: bool) -> DataFrame:
         if not len(mine) or not len(file):
             return schema.empty_table()
         shard = file.column("place")[0].as_py()
+        mine = mine.sort_by("id")  # neighbouring rows then share their first part
         lengths = np.frombuffer(file.column("lengths")[0].as_py(), np.int32)
         number, at = unpacked(lengths, file.column("lists")[0].as_py())
         of = np.full(len(lengths), -1, np.int64)
@@ -140,6 +143,25 @@ def _extended(known: DataFrame, files: DataFrame, last: bool) -> DataFrame:
     return known.groupBy("shard").cogroup(files.groupBy("place")).applyInArrow(join, "shard long, no int, first long, second long, n long, lengths binary, lists binary")
 
 
+def _likely(pairs: DataFrame, level: DataFrame) -> DataFrame:
+    """pairs without most of those that are not in level: a join of the rest is exact, this spares its shuffle."""
+    spark = pairs.sparkSession
+    place = F.shiftrightunsigned(F.xxhash64("first", "second"), 64 - FLAG_BITS)
+    bit = F.expr(f"shiftleft(1L, CAST(shiftrightunsigned(xxhash64(first, second), {64 - FLAG_BITS}) & 63 AS INT))")
+    words = level.groupBy(F.shiftright(place, 6).alias("at")).agg(F.bit_or(bit).alias("bits")).toArrow()  # 2^21 rows at most
+    flags = np.zeros(1 << FLAG_BITS - 6, np.uint64)
+    flags[words["at"].to_numpy()] = words["bits"].to_numpy().astype(np.int64).view(np.uint64)
+    sent = spark.sparkContext.broadcast(flags)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column(4).to_numpy()
+            held = sent.value[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)
+            yield pa.RecordBatch.from_arrays(batch.columns[:4], names=["shard", "no", "first", "second"]).filter(pa.array(held.astype(bool)))
+
+    return pairs.select("shard", "no", "first", "second", place.alias("at")).mapInArrow(run, "shard long, no int, first long, second long")
+
+
 def phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", *, longest: int = 3, least: int = 10) -> tuple[DataFrame, DataFrame]:
     """All phrases of 1 to ``longest`` words that occur ``least`` times in a language, and n, the words of each language.
 
@@ -165,7 +187,7 @@ def phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", *,
         level = joined.select(F.monotonically_increasing_id().alias("id"), "lang", F.concat_ws(" ", "phrase", "last").alias("phrase"), F.lit(size).alias("words"), "f", "first", "second", F.concat("h", F.array("f1")).alias("heads"), F.concat(F.array("f2"), F.col("t")).alias("tails"))
         level = written(level, "level")
         if size < longest:
-            known = pairs.select("shard", "no", "first", "second").join(level.select("first", "second", "id"), ["first", "second"]).select("shard", "no", "id")
+            known = _likely(pairs, level).join(level.select("first", "second", "id"), ["first", "second"]).select("shard", "no", "id")
             files = grown.where("no < 0").select("shard", "lengths", "lists")
         found = found.unionByName(level)
     if longest > 1:
