@@ -223,7 +223,8 @@ def learn_weights(pages: DataFrame, id_col: str = "page_id", html_col: str = "ht
             kind, a, b, link, inside = zip(*total, strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(a), pa.array(b), pa.array(link), pa.array(inside), pa.array(list(total.values()), pa.int64())], names=["kind", "a", "b", "link", "inside", "n"])
 
-    rows = bounded_sample(labelled, "id", sample).mapInArrow(run, "kind string, a string, b string, link boolean, inside boolean, n long")
+    few = bounded_sample(labelled.select("id"), "id", sample)  # ids first: their sort carries no pages
+    rows = labelled.join(F.broadcast(few.distinct()), "id", "left_semi").mapInArrow(run, "kind string, a string, b string, link boolean, inside boolean, n long")
     summed = rows.groupBy("kind", "a", "b", "link").agg(F.sum(F.when(F.col("inside"), F.col("n")).otherwise(0)).alias("yes"), F.sum(F.when(F.col("inside"), 0).otherwise(F.col("n"))).alias("no")).collect()  # as many rows as element names
     odds: dict[tuple, list[int]] = {}
     tags: dict[str, float] = {}
