@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.scalars import axis, idw_weight, square_distance
+from ..functions.folders import written
+from ..functions.scalars import axis, idw_weight, is_finite, square_distance
 
 
 def melt(rows: DataFrame, keys: list[str], array: str, width: int) -> DataFrame:
@@ -94,21 +101,62 @@ def max_pool(cells: DataFrame, keys: list[str], height: int, width: int, radius:
     return along(along(cells, "y", height), "x", width)
 
 
+def lower_envelope(x: np.ndarray, height: np.ndarray) -> np.ndarray:
+    """For each place of x (ascending) the place whose parabola (x - place)^2 + height is lowest there, in one pass each way.
+
+    Infinite heights have no parabola; without any the answer is -1.
+    """
+    sites = np.flatnonzero(np.isfinite(height))
+    if not len(sites):
+        return np.full(len(x), -1)
+    xs, base = x[sites].tolist(), (height[sites] + x[sites] ** 2).tolist()
+    kept, since = [0], [-math.inf]  # parabolas of the envelope, and from where each is lowest
+    for i in range(1, len(xs)):
+        while True:
+            j = kept[-1]
+            cross = (base[i] - base[j]) / (2 * (xs[i] - xs[j]))
+            if cross > since[-1]:
+                break
+            kept.pop()
+            since.pop()
+        kept.append(i)
+        since.append(cross)
+    return sites[np.array(kept)[np.searchsorted(since, x, "left") - 1]]
+
+
 def distance_to_zero(cells: DataFrame, keys: list[str], pitch_y: float, pitch_x: float) -> DataFrame:
     """Exact distance of each cell to the nearest cell of value 0 of its key; NULL if there is none.
 
-    First, within columns, the nearest zero row above or below (windows); then cells meet the columns
-    of their own row only: rows x columns^2 steps instead of all pairs.
+    A key's cells are a whole grid.  First, within columns, the nearest zero row above or below (windows); then each row is
+    one array, on which the lower envelope of the columns' parabolas gives the nearest column: steps in proportion to the
+    cells, and a row's array is all that a task holds.
     """
     w = Window.partitionBy(*keys, "x").orderBy("y")
     zero = F.when(F.col("value") == 0, F.col("y"))
     up = F.last(zero, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
     down = F.first(zero, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    vertical = cells.select(*keys, "y", "x", F.least(F.col("y") - up, down - F.col("y")).alias("_dy"))
-    other = vertical.where("_dy IS NOT NULL").select(*keys, "y", F.col("x").alias("_x"), "_dy")
-    met = cells.select(*keys, "y", "x").join(other, [*keys, "y"], "left")
-    dx, dy = (F.col("x") - F.col("_x")) * pitch_x, F.col("_dy") * pitch_y
-    return met.groupBy(*keys, "y", "x").agg(F.sqrt(F.min(dy * dy + dx * dx)).alias("distance"))
+    vertical = cells.select(*keys, "y", F.struct("x", F.least(F.col("y") - up, down - F.col("y")).cast("double").alias("dy")).alias("_c"))
+    rows = vertical.groupBy(*keys, "y").agg(F.sort_array(F.collect_list("_c")).alias("_c"))
+    n = len(rows.columns) - 1
+
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = batch.column(n)
+            flat_x, flat_dy = (f.to_numpy(zero_copy_only=False).astype(float) for f in held.flatten().flatten())
+            far, at = np.full(len(flat_x), np.nan), 0
+            for size in held.value_lengths().to_numpy(zero_copy_only=False):
+                x, dy = flat_x[at : at + size] * pitch_x, flat_dy[at : at + size] * pitch_y
+                to = lower_envelope(x, np.where(np.isnan(dy), np.inf, dy * dy))
+                if size and to[0] >= 0:
+                    dx = (flat_x[at : at + size] - flat_x[at + to]) * pitch_x
+                    far[at : at + size] = np.sqrt(dy[to] * dy[to] + dx * dx)
+                at += size
+            lists = pa.ListArray.from_arrays(held.offsets.cast(pa.int32()) if not held.offset else pa.array(np.append(0, np.cumsum(held.value_lengths())), pa.int32()), pa.array(far, pa.float64(), mask=np.isnan(far)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=[*batch.schema.names, "_d"])
+
+    schema = T.StructType([*rows.schema.fields, T.StructField("_d", T.ArrayType(T.DoubleType()))])
+    found = rows.mapInArrow(nearest, schema).select(*keys, "y", F.explode(F.arrays_zip(F.col("_c.x").alias("x"), F.col("_d").alias("d"))).alias("_z"))
+    return found.select(*keys, "y", F.col("_z.x").alias("x"), F.col("_z.d").alias("distance"))
 
 
 def grid_pitch(cells: DataFrame, keys: list[str]) -> DataFrame:
@@ -143,3 +191,48 @@ def nearest_cell(points: DataFrame, cells: DataFrame, bucket: list[str], lat: st
             side = side.withColumn("_d", F.explode(around)).withColumn(b, F.col(b) + F.col("_d")).drop("_d")
     best = side.join(arrays, bucket, "left").groupBy("_row", "_n").agg(F.min(near(F.col(f"_row.{lat}"), F.col(f"_row.{lon}"))).alias("_b"))
     return best.select("_row.*", F.col("_b.cell").alias("cell"), F.col("_b.d2").alias("d2"), F.explode(F.array_repeat(F.lit(0), F.col("_n"))).alias("_i")).drop("_i")
+
+
+def nearest_anywhere(points: DataFrame, cells: DataFrame, lat: str = "lat", lon: str = "lon", *, step: float = 0.1, together: int = 1024) -> DataFrame:
+    """points with the nearest of all cells and its squared distance, ties to the smaller cell; no bucket has to hold one.
+
+    cells has cell, lat, lon.  Places are cut into buckets of ``step``; a place meets the cells of the nine buckets
+    around it.  What is nearer than the edge of those buckets is certainly the nearest; places without such a
+    cell go on with buckets twice as wide, so the number of turns grows with the logarithm of the extent.  Equal places
+    are searched once.  NULL coordinates, and a table without cells, give NULL.
+    """
+    spark = points.sparkSession
+    usable = cells.where(is_finite(lat) & is_finite(lon) & F.col("cell").isNotNull()).select("cell", F.col(lat).alias("lat"), F.col(lon).alias("lon"))
+    left = written(points.where(is_finite(lat) & is_finite(lon)).select(F.col(lat).alias("_lat"), F.col(lon).alias("_lon")).distinct(), "places")
+    ends = lambda df, a, b: df.agg(F.min(a), F.max(a), F.min(b), F.max(b)).first()
+    mine, theirs = ends(left, "_lat", "_lon"), ends(usable, "lat", "lon")
+    kind = usable.schema["cell"].dataType
+    found: DataFrame = spark.createDataFrame([], T.StructType([T.StructField("_lat", T.DoubleType()), T.StructField("_lon", T.DoubleType()), T.StructField("d2", T.DoubleType()), T.StructField("cell", kind)]))
+    if mine[0] is not None and theirs[0] is not None:
+        extent = max(max(mine[1], theirs[1]) - min(mine[0], theirs[0]), max(mine[3], theirs[3]) - min(mine[2], theirs[2]))
+        bucket = lambda c, at: F.floor((F.col(c) - at) / width)
+        south, west, width = min(mine[0], theirs[0]), min(mine[2], theirs[2]), step
+        near = lambda: F.array_min(F.transform("_cells", lambda c: F.struct(square_distance(F.col("_lat"), F.col("_lon"), c["lat"], c["lon"]).alias("d2"), c["cell"].alias("cell"))))
+        while True:
+            last = width > extent
+            # the arrays of a bucket hold up to so many cells each, so a crowded bucket is many rows
+            placed = usable.withColumns({"_y": bucket("lat", south), "_x": bucket("lon", west)})
+            part = F.floor((F.row_number().over(Window.partitionBy("_y", "_x").orderBy("cell")) - 1) / together)
+            arrays = placed.withColumn("_part", part).groupBy("_y", "_x", "_part").agg(F.collect_list(F.struct("cell", "lat", "lon")).alias("_cells"))
+            around = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
+            asked = left.withColumns({"_by": bucket("_lat", south), "_bx": bucket("_lon", west)}).withColumn("_o", around)
+            asked = asked.select("_lat", "_lon", (F.col("_by") + F.col("_o.i")).alias("_y"), (F.col("_bx") + F.col("_o.j")).alias("_x"))
+            best = asked.join(arrays, ["_y", "_x"]).groupBy("_lat", "_lon").agg(F.min(near()).alias("_b"))
+            off = lambda c, at: F.pmod(F.col(c) - at, F.lit(width))
+            edge = width + F.least(*[e for c, at in (("_lat", south), ("_lon", west)) for e in (off(c, at), width - off(c, at))])
+            sure = F.lit(True) if last else F.col("_b.d2") <= (edge * (1 - 1e-9)) * (edge * (1 - 1e-9))
+            done = written(best.where(sure).select("_lat", "_lon", "_b.d2", "_b.cell"), "nearest")
+            found = found.unionByName(done)
+            if last:
+                break
+            left = written(left.join(done, ["_lat", "_lon"], "left_anti"), "places")
+            if left.isEmpty():
+                break
+            width *= 2
+    same = (F.col(f"_p.{lat}") == F.col("_lat")) & (F.col(f"_p.{lon}") == F.col("_lon"))
+    return points.select(F.struct(*points.columns).alias("_p")).join(found, same, "left").select("_p.*", "cell", "d2")

@@ -31,6 +31,20 @@ def page(rows: DataFrame, order: list[Column], number: int, size: int = 500) ->
     return rows.orderBy(*order).offset(number * size).limit(size)
 
 
+def page_after(rows: DataFrame, keys: list[str], after: list[Column] | None, size: int = 500) -> DataFrame:
+    """The page of an ascending order that follows a key (the first page without one): a deep page costs what the first does.
+
+    The condition on the first key reaches the scan, and every task keeps ``size`` rows at most.  Rows with a NULL key are on no page.
+    """
+    rows = rows.na.drop(subset=keys)
+    if after is not None:
+        beyond = F.lit(False)
+        for k, v in reversed(list(zip(keys, after, strict=True))):
+            beyond = (F.col(k) > v) | ((F.col(k) == v) & beyond)
+        rows = rows.where((F.col(keys[0]) >= after[0]) & beyond)
+    return rows.orderBy(*keys).limit(size)
+
+
 def capped(rows: DataFrame, order: list[Column], most: int) -> DataFrame:
     """At most ``most`` rows, and a warning if that leaves some out: a server's answer of limited size."""
     if rows.limit(most + 1).count() > most:

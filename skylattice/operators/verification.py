@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.folders import exists, written
 from ..functions.scalars import at_least, cut, is_finite, plus_minutes, ratio
 
 
@@ -76,10 +82,86 @@ def strata_pivot(pairs: DataFrame, edges: list[float], labels: list[str]) -> Dat
 
 
 def sampled(rows: DataFrame, n: int, by: list[str], key: list[str], seed: int = 0) -> DataFrame:
-    """n rows of each group without replacement: those whose hashed key is smallest, the same on every run."""
+    """n rows of each group (of the whole table without ``by``), without replacement: those whose hashed key is smallest, the same on every run.
+
+    Every task first keeps the n smallest of each group of its rows, so what is shuffled and sorted is at most n rows a group
+    and task, however large a group is.
+    """
     order = F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in key]).cast("binary"))
-    rn = F.row_number().over(Window.partitionBy(*by).orderBy(order, *key))
-    return rows.withColumn("_rn", rn).where(F.col("_rn") <= n).drop("_rn")
+    hashed = rows.withColumn("_h", order)
+    cut = [c for c in dict.fromkeys([*by, "_h", *key])]
+
+    def smallest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+        size, most = 0, 65_536
+
+        def kept() -> pa.Table:
+            table = pa.concat_tables(held)
+            table = table.take(pc.sort_indices(table.select(cut), sort_keys=[(c, "ascending") for c in cut]))
+            at = np.arange(len(table))
+            first = np.zeros(len(table), bool)
+            first[:1] = True
+            for c in by:
+                codes = table.column(c).combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+                first[1:] |= codes[1:] != codes[:-1]
+            return table.filter(pa.array(at - np.maximum.accumulate(np.where(first, at, 0)) < n))
+
+        for batch in batches:
+            held.append(pa.Table.from_batches([batch]))
+            size += len(batch)
+            if size > most:
+                held = [kept()]
+                size = len(held[0])
+                if size > most // 2:  # many groups: what there is goes on, the rest of the work is after the shuffle
+                    yield from held[0].to_batches()
+                    held, size = [], 0
+        if size:
+            yield from kept().to_batches()
+
+    few = hashed.mapInArrow(smallest, hashed.schema)
+    rn = F.row_number().over(Window.partitionBy(*(by or [F.lit(0)])).orderBy("_h", *key))
+    return few.withColumn("_rn", rn).where(F.col("_rn") <= n).drop("_rn", "_h")
+
+
+# ---- measures that add up
+
+
+def run_states(pairs: DataFrame, thresholds: list[float], run: str = "issue_time") -> DataFrame:
+    """run, lead_min, n, sum_error, sum_absolute, sum_square and tables (threshold, hits, misses, false_alarms, correct_negatives): a run's mergeable state."""
+    e = F.col("forecast") - F.col("observed")
+    tables = []
+    for t in sorted(thresholds):
+        tables.append(F.struct(F.lit(float(t)).alias("threshold"), *_contingency(float(t))))
+    return pairs.groupBy(run, "lead_min").agg(F.count("*").alias("n"), F.sum(e).alias("sum_error"), F.sum(F.abs(e)).alias("sum_absolute"), F.sum(e * e).alias("sum_square"), F.array(*tables).alias("tables"))
+
+
+def add_runs(spark: SparkSession, pairs: DataFrame, thresholds: list[float], path: str, run: str = "issue_time") -> None:
+    """Adds the states of the runs in ``pairs`` to the store; a run that is there already is replaced, other runs are not read.
+
+    Runs are filed by day, and a day's file is written anew with the runs of the day that stay.
+    """
+    new = written(run_states(pairs, thresholds, run).withColumn("day", F.date_format(run, "yyyy-MM-dd")), "states")
+    if exists(spark, path):
+        days = new.select("day").distinct()
+        old = spark.read.schema(new.schema).parquet(path).join(F.broadcast(days) if days.count() <= 10_000 else days, "day", "left_semi")
+        new = written(old.join(new.select(run).distinct(), run, "left_anti").unionByName(new), "states")
+    new.repartition("day").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path)
+
+
+def stored_states(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.option("basePath", path).parquet(path).drop("day")
+
+
+def merged_continuous(states: DataFrame, *by: str) -> DataFrame:
+    """continuous() from states: n, mae, rmse and bias by lead."""
+    n = F.sum("n")
+    return states.groupBy(*(by or ("lead_min",))).agg(n.alias("n"), (F.sum("sum_absolute") / n).alias("mae"), F.sqrt(F.sum("sum_square") / n).alias("rmse"), (F.sum("sum_error") / n).alias("bias"))
+
+
+def merged_categorical(states: DataFrame) -> DataFrame:
+    """categorical_sweep() from states."""
+    each = states.select("lead_min", F.explode("tables").alias("t")).select("lead_min", "t.*")
+    return with_scores(each.groupBy("threshold", "lead_min").agg(*[F.sum(c).alias(c) for c in ("hits", "misses", "false_alarms", "correct_negatives")]))
 
 
 def summary_counts(rows: DataFrame, columns: list[str]) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..functions.folders import fresh_path
 from ..operators import features as X
 from ..operators import grids as G
 from ..operators import temporal as T
@@ -61,11 +62,13 @@ class Tables:
         return self.events.where("event_type = 'error'").select("event_id", "user_id", "ts", "value")
 
     def shards(self) -> DataFrame:
-        grid = serving.Grid(height=20, width=20)
-        cells = self.spark.range(400).select(F.floor(F.col("id") / 20).cast("int").alias("y"), (F.col("id") % 20).cast("int").alias("x"))
-        leads = serving.band_leads(serving.bands(self.spark)).select("band", "lead_min")
-        rate = ((F.col("y") * 31 + F.col("x") * 17 + F.col("lead_min")) % 97) / 10.0
-        return serving.point_shards(cells.join(F.broadcast(leads)).withColumn("rate", rate), grid)
+        """Points of a 20 x 20 grid: an event stands for the cell of its user and for one of the 106 leads."""
+        lead, user = F.col("event_id") % 106, F.col("user_id") % 400
+        start, step = (F.when(lead < 12, x[0]).when(lead < 22, x[1]).when(lead < 34, x[2]).otherwise(x[3]) for x in ((0, 120, 720, 1440), (10, 60, 60, 180)))
+        first = F.when(lead < 12, 0).when(lead < 22, 12).when(lead < 34, 22).otherwise(34)
+        band = F.when(lead < 12, "nowcast").when(lead < 22, "short").when(lead < 34, "medium").otherwise("long")
+        cells = self.events.select(band.alias("band"), (start + (lead - first) * step).cast("int").alias("lead_min"), F.floor(user / 20).cast("int").alias("y"), (user % 20).cast("int").alias("x"), "value")
+        return serving.point_shards(cells.groupBy("band", "lead_min", "y", "x").agg(F.max("value").alias("rate")), serving.Grid(height=20, width=20))
 
 
 _OBS = """obs AS (SELECT date_trunc('hour', ts) AS valid_time, CAST(floor((user_id % 20) / 5.0) AS INTEGER) AS y, CAST(user_id % 5 AS INTEGER) AS x, max(value) AS rate FROM events GROUP BY 1, 2, 3)"""
@@ -78,8 +81,9 @@ _SCORES = """round(CASE WHEN hits + misses <> 0 THEN hits / (hits + misses) END,
 _BAND = """CASE WHEN observed > 0 AND observed <= 5 THEN 'b1' WHEN observed > 5 AND observed <= 20 THEN 'b2' WHEN observed > 20 AND observed <= 50 THEN 'b3' WHEN observed > 50 AND observed <= 100 THEN 'b4' WHEN observed > 100 AND observed <= 200 THEN 'b5' WHEN observed > 200 AND observed <= 500 THEN 'b6' WHEN observed > 500 THEN 'b7' END"""
 _RASTER = """r AS (SELECT vec_id, CAST(i // 8 AS INTEGER) AS y, CAST(i % 8 AS INTEGER) AS x, CAST(embedding[i + 1] AS DOUBLE) AS value FROM embeddings, (SELECT unnest(range(0, 64)) AS i))"""
 _LEADS = """leads AS (SELECT 'nowcast' AS band, unnest(range(0, 120, 10)) AS lead_min, 290 AS max_age UNION ALL SELECT 'short', unnest(range(120, 720, 60)), 3590 UNION ALL SELECT 'medium', unnest(range(720, 1440, 60)), 10790 UNION ALL SELECT 'long', unnest(range(1440, 14400, 180)), 43190)"""
-_SHARDS = _LEADS + """, cells AS (SELECT CAST(i // 20 AS INTEGER) AS y, CAST(i % 20 AS INTEGER) AS x FROM (SELECT unnest(range(0, 400)) AS i)),
- shards AS (SELECT band, CAST(lead_min AS INTEGER) AS lead_min, y, x, ((y * 31 + x * 17 + lead_min) % 97) / 10.0::DOUBLE AS rate, 52.5::DOUBLE + y * (48.9::DOUBLE - 52.5::DOUBLE) / 19 AS lat, 1.5::DOUBLE + x * (7.5::DOUBLE - 1.5::DOUBLE) / 19 AS lon, y * 20 + x AS cell FROM cells, leads)"""
+_SHARDS = _LEADS + """, numbered AS (SELECT *, row_number() OVER (ORDER BY CASE band WHEN 'nowcast' THEN 0 WHEN 'short' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END, lead_min) - 1 AS k FROM leads),
+ shards AS (SELECT band, CAST(lead_min AS INTEGER) AS lead_min, y, x, max(value) AS rate, 52.5::DOUBLE + y * (48.9::DOUBLE - 52.5::DOUBLE) / 19 AS lat, 1.5::DOUBLE + x * (7.5::DOUBLE - 1.5::DOUBLE) / 19 AS lon, y * 20 + x AS cell
+   FROM (SELECT event_id % 106 AS k, CAST(user_id % 400 // 20 AS INTEGER) AS y, CAST(user_id % 20 AS INTEGER) AS x, value FROM events) JOIN numbered USING (k) GROUP BY band, lead_min, y, x)"""
 
 
 def _nudged(sql: str) -> str:
@@ -479,9 +483,11 @@ def window_filter(t: Tables) -> DataFrame:
 # ---- serving
 
 
-@query(f"WITH {_LEADS} SELECT band, CAST(lead_min AS INTEGER) AS lead_min, max_age FROM leads")
+@query(f"WITH {_SHARDS} SELECT band, CAST(l.lead_min AS INTEGER) AS lead_min, max_age, count(s.rate) AS cells FROM leads l LEFT JOIN shards s USING (band, lead_min) GROUP BY 1, 2, 3")
 def bands_leads(t: Tables) -> DataFrame:
-    return serving.band_leads(serving.bands(t.spark))
+    """Every lead of the bands, with how many cells the shards hold for it."""
+    held = t.shards().groupBy("band", "lead_min").agg(F.count("*").alias("cells"))
+    return serving.band_leads(serving.bands(t.spark)).join(held, ["band", "lead_min"], "left").select("band", "lead_min", "max_age", F.coalesce("cells", F.lit(0).cast("long")).alias("cells"))
 
 
 @query(f"WITH {_SHARDS} SELECT CAST(round_even(lat / 0.1::DOUBLE, 0) AS BIGINT) AS lat_bucket, CAST(round_even(lon / 0.1::DOUBLE, 0) AS BIGINT) AS lon_bucket, count(*) AS n, round(sum(rate), 6) AS total FROM shards GROUP BY 1, 2")
@@ -489,16 +495,19 @@ def point_shards(t: Tables) -> DataFrame:
     return t.shards().groupBy("lat_bucket", "lon_bucket").agg(F.count("*").alias("n"), _round(F.sum("rate")).alias("total"))
 
 
-@query(f"WITH {_SHARDS} SELECT band, lead_min, TIMESTAMP '{NOW}' + to_minutes(lead_min) AS valid_time, rate, '/v1/overlay/' || band || '/' || lead_min || '.png?t=snap' AS overlay_url FROM shards WHERE y = 9 AND x = 9 AND lead_min <= 1440")
+@query(f"""WITH {_SHARDS}, near AS (SELECT * FROM shards WHERE round_even(lat / 0.1::DOUBLE, 0) BETWEEN round_even(52.49 / 0.1::DOUBLE, 0) - 2 AND round_even(52.49 / 0.1::DOUBLE, 0) + 2 AND round_even(lon / 0.1::DOUBLE, 0) BETWEEN round_even(3.08 / 0.1::DOUBLE, 0) - 2 AND round_even(3.08 / 0.1::DOUBLE, 0) + 2),
+ c AS (SELECT cell FROM near ORDER BY (lat - 52.49::DOUBLE) * (lat - 52.49::DOUBLE) + (lon - 3.08::DOUBLE) * (lon - 3.08::DOUBLE), cell LIMIT 1)
+ SELECT band, lead_min, TIMESTAMP '{NOW}' + to_minutes(lead_min) AS valid_time, rate, '/v1/overlay/' || band || '/' || lead_min || '.png?t=snap' AS overlay_url FROM near JOIN c USING (cell) WHERE lead_min <= 1440""")
 def forecast_point(t: Tables) -> DataFrame:
-    rows = serving.point_forecast(t.shards(), 50.79, 4.35, 1440)
+    rows = serving.point_forecast(t.shards(), 52.49, 3.08, 1440, ring=2)
     return serving.forecast_frames(rows, F.lit("snap"), F.lit(NOW).cast("timestamp_ntz"))
 
 
-@query(f"WITH {_LEADS} SELECT CAST(lead_min AS INTEGER) AS lead_min, TIMESTAMP '{NOW}' + to_minutes(lead_min) AS valid_time, '/v1/overlay/short/' || lead_min || '.png?t=snap' AS url FROM leads WHERE band = 'short' AND lead_min % 120 = 0")
+@query(f"WITH {_SHARDS}, o AS (SELECT DISTINCT band, lead_min FROM shards WHERE rate > 100) SELECT lead_min, TIMESTAMP '{NOW}' + to_minutes(lead_min) AS valid_time, '/v1/overlay/medium/' || lead_min || '.png?t=snap' AS url FROM o WHERE band = 'medium'")
 def animation_manifest(t: Tables) -> DataFrame:
-    leads = serving.band_leads(serving.bands(t.spark))
-    return serving.manifest(leads, leads.where("lead_min % 120 = 0").select("band", "lead_min"), "short", F.lit("snap"), F.lit(NOW).cast("timestamp_ntz"))
+    """The leads of a band for which the shards give an overlay, those where it rains hard somewhere."""
+    drawn = t.shards().where("rate > 100").select("band", "lead_min").distinct()
+    return serving.manifest(serving.band_leads(serving.bands(t.spark)), drawn, "medium", F.lit("snap"), F.lit(NOW).cast("timestamp_ntz"))
 
 
 @query(f"WITH s AS (SELECT max(date_trunc('second', ts)) AS issued_at FROM events) SELECT CASE WHEN issued_at IS NULL THEN 'empty' WHEN epoch(TIMESTAMP '{NOW}')::BIGINT - epoch(issued_at)::BIGINT > 900 THEN 'degraded' ELSE 'ok' END AS status, issued_at, epoch(TIMESTAMP '{NOW}')::BIGINT - epoch(issued_at)::BIGINT AS age_seconds FROM s")
@@ -608,17 +617,8 @@ def client_labels(t: Tables) -> DataFrame:
 
 def _drained(t: Tables, build: Callable[[DataFrame], DataFrame], mode: str) -> DataFrame:
     """A streaming query over events until all files are read; its table is written to the shared folder."""
-    import tempfile
-    import uuid
-
     spark = t.spark
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = f"{tempfile.gettempdir()}/checkpoints"
-    root = root.rstrip("/")
-    place = f"{root}/stream-{uuid.uuid4().hex}"
+    place = fresh_path(spark, "stream")
     events = spark.readStream.schema(t.events.schema).option("pathGlobFilter", "*.parquet").parquet(f"{t.folder}/events.parquet*" if not _is_folder(spark, f"{t.folder}/events.parquet") else f"{t.folder}/events.parquet")
     out = build(events)
     writer = out.writeStream.option("checkpointLocation", f"{place}/state").trigger(availableNow=True)
@@ -645,4 +645,4 @@ def stream_dedupe(t: Tables) -> DataFrame:
     return _drained(t, lambda e: ticks.deduplicated(e.select("user_id", "event_type", "ts"), ["user_id", "event_type"], "ts", late="60 days").select("user_id", "event_type"), "append")
 
 
-from . import catalog_clients  # noqa: E402, F401 - adds its queries
+from . import catalog_clients, catalog_feeds  # noqa: E402, F401 - add their queries

@@ -71,9 +71,13 @@ def suffix_stamps(t: Tables) -> DataFrame:
     return t.orders.select("o_orderkey", S.suffix_stamp(F.concat(F.lit("msg_ir108_"), F.date_format(at, "yyyyMMdd'T'HHmm'Z.tif'"))).alias("stamp"))
 
 
-@query("SELECT * FROM (VALUES ('antwerp', 51.2194::DOUBLE, 4.4025::DOUBLE), ('arlon', 49.6839, 5.8167), ('bruges', 51.2093, 3.2247), ('brussels', 50.8503, 4.3517), ('charleroi', 50.4108, 4.4446), ('ghent', 51.0543, 3.7174), ('liege', 50.6326, 5.5797), ('ostend', 51.2247, 2.9069)) v(location, lat, lon)")
+@query("""WITH p AS (SELECT * FROM (VALUES ('antwerp', 51.2194::DOUBLE, 4.4025::DOUBLE, 0), ('arlon', 49.6839, 5.8167, 1), ('bruges', 51.2093, 3.2247, 2), ('brussels', 50.8503, 4.3517, 3), ('charleroi', 50.4108, 4.4446, 4), ('ghent', 51.0543, 3.7174, 5), ('liege', 50.6326, 5.5797, 6), ('ostend', 51.2247, 2.9069, 7)) v(location, lat, lon, k))
+ SELECT location, lat, lon, count(*) AS polls, max(ts) AS newest FROM events JOIN p ON user_id % 10 = k GROUP BY 1, 2, 3""")
 def polled_places(t: Tables) -> DataFrame:
-    return I.places(t.spark)
+    """Polls by place: events stand for polls, two users in ten for places that are not known."""
+    names = F.array(*[F.lit(x) for x in [*sorted(I.PLACES), "atlantis", "lyonesse"]])
+    polls = t.events.select(F.get(names, (F.col("user_id") % 10).cast("int")).alias("location"), "ts")
+    return I.known_places(polls, I.places(t.spark)).groupBy("location", "lat", "lon").agg(F.count("*").alias("polls"), F.max("ts").alias("newest"))
 
 
 # ---- tables
@@ -151,19 +155,20 @@ def forecast_documents(t: Tables) -> DataFrame:
     return I.forecast_body_rows(t.events.select("event_id", body.alias("body")), ["event_id"])
 
 
-@query("SELECT CAST(i // 100 AS BIGINT) AS batch, string_agg(printf('%.6f,%.6f', 52.5::DOUBLE + (i // 12) * (48.9::DOUBLE - 52.5::DOUBLE) / 24, 1.5::DOUBLE + (i % 12) * (7.5::DOUBLE - 1.5::DOUBLE) / 11), '|' ORDER BY i) AS locations, count(*) AS cells FROM (SELECT unnest(range(0, 300)) AS i) GROUP BY 1")
+@query("SELECT CAST(i // 100 AS BIGINT) AS batch, string_agg(printf('%.6f,%.6f', 49 + (i * 37 % 350) / 100.0::DOUBLE, 1.5::DOUBLE + (i * 53 % 580) / 100.0::DOUBLE), '|' ORDER BY i) AS locations, count(*) AS cells FROM (SELECT c_custkey AS i FROM customer) GROUP BY 1")
 def elevation_batches(t: Tables) -> DataFrame:
-    from ..operators.grids import regular_grid
+    """Requests of a hundred places each: customers stand for the cells of a grid twelve wide."""
+    k = F.col("c_custkey")
+    cells = t.customer.select(F.floor(k / 12).alias("y"), (k % 12).alias("x"), (49 + k * 37 % 350 / 100.0).alias("lat"), (F.lit(1.5) + k * 53 % 580 / 100.0).alias("lon"))
+    return I.elevation_requests(cells, 12).select("batch", "locations", F.size("cells").cast("long").alias("cells"))
 
-    asked = I.elevation_requests(regular_grid(t.spark, 25, 12, 1.5, 7.5, 48.9, 52.5), 12)
-    return asked.select("batch", "locations", F.size("cells").cast("long").alias("cells"))
 
-
-@query("""WITH g AS (SELECT CAST(i // 20 AS INTEGER) AS y, CAST(i % 20 AS INTEGER) AS x, CAST((i // 20 * 7 + i % 20 * 3) % 11 - 2 AS DOUBLE) AS h FROM (SELECT unnest(range(0, 200)) AS i)), sea AS (SELECT y AS sy, x AS sx FROM g WHERE h <= 0)
- SELECT y, x, h AS elevation_m, CASE WHEN h > 0 THEN 1.0::DOUBLE ELSE 0.0 END AS landmask, (SELECT round(min(sqrt((y - sy) * 4.0::DOUBLE * ((y - sy) * 4.0::DOUBLE) + (x - sx) * 3.0::DOUBLE * ((x - sx) * 3.0::DOUBLE))), 6) FROM sea) AS distance_km FROM g""")
+@query("""WITH g AS (SELECT CAST(vec_id AS INTEGER) AS y, CAST(i AS INTEGER) AS x, floor(CAST(embedding[i + 1] AS DOUBLE) * 100 + 22) AS h FROM embeddings, (SELECT unnest(range(0, 64)) AS i)), sea AS (SELECT y AS sy, x AS sx FROM g WHERE h <= 0),
+ d AS (SELECT y, x, h, min((y - sy) * 4.0::DOUBLE * ((y - sy) * 4.0::DOUBLE) + (x - sx) * 3.0::DOUBLE * ((x - sx) * 3.0::DOUBLE)) AS d2 FROM g LEFT JOIN sea ON true GROUP BY 1, 2, 3)
+ SELECT y, x, h AS elevation_m, CASE WHEN h > 0 THEN 1.0::DOUBLE ELSE 0.0 END AS landmask, round(sqrt(d2), 6) AS distance_km FROM d""")
 def static_channels(t: Tables) -> DataFrame:
-    i = F.col("id")
-    heights = t.spark.range(200).select(F.floor(i / 20).cast("int").alias("y"), (i % 20).cast("int").alias("x"), ((F.floor(i / 20) * 7 + i % 20 * 3) % 11 - 2).cast("double").alias("elevation_m"))
+    """Mask and distance to the sea of a field of heights: a row for each vector, a column for each component."""
+    heights = t.embeddings.select(F.col("vec_id").cast("int").alias("y"), F.posexplode(F.col("embedding").cast("array<double>")).alias("x", "e")).select("y", "x", F.floor(F.col("e") * 100 + 22).cast("double").alias("elevation_m"))
     return _rounded(training.static_channels(heights, 4.0, 3.0), "distance_km")
 
 
@@ -188,10 +193,14 @@ def stand_in_nowcast(t: Tables) -> DataFrame:
     return worker.stand_in(_payloads(t), serving.BANDS[0], _GRID).withColumn("rate", F.round("rate", 4))
 
 
-@query(f"WITH {_GRID_SQL} SELECT CAST(lead_min AS INTEGER) AS lead_min, y, x, CASE WHEN lead_min < 60 THEN 0.5 WHEN lead_min < 120 THEN 1.25 ELSE 0.0 END::DOUBLE AS rate FROM g, (SELECT unnest(range(120, 720, 60)) AS lead_min)")
+@query(f"WITH {_GRID_SQL}, p AS (SELECT max(s_suppkey) AS k FROM supplier) SELECT CAST(lead_min AS INTEGER) AS lead_min, y, x, ((k % 5 + least(lead_min // 60, 4)) / 4.0)::DOUBLE AS rate FROM g, p, (SELECT unnest(range(0, 720, 60)) AS lead_min) WHERE lead_min >= 120")
 def stand_in_hourly(t: Tables) -> DataFrame:
-    one = _payloads(t).where("location = 's1'").withColumn("location", F.lit("brussels"))
-    return worker.stand_in(one, serving.BANDS[1], _GRID)
+    """Suppliers stand for polls of one place, the last of which counts."""
+    k = F.col("s_suppkey")
+    hours = F.array(*[F.struct(F.lit(str(h)).alias("hour"), ((k % 5 + h) / 4).cast("string").alias("precipQuantity")) for h in range(5)])
+    body = F.to_json(F.struct(F.struct(hours.alias("hourly")).alias("for")))
+    polls = t.supplier.select(F.lit("brussels").alias("location"), F.lit(50.8503).alias("lat"), F.lit(4.3517).alias("lon"), F.timestamp_seconds(k * 300).alias("poll_ts"), body.alias("body"))
+    return worker.stand_in(polls, serving.BANDS[1], _GRID)
 
 
 @query("WITH r AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings) SELECT vec_id, length(e) AS cells, round(e[1], 6) AS first, round(e[64], 6) AS last FROM r")
