@@ -46,11 +46,11 @@ def refresh(make: Callable[[DataFrame], DataFrame], inputs: dict[str, DataFrame]
     names = [r.part for r in changed.collect()]
     if names:
         few = [rows.join(F.broadcast(changed), rows[partition].cast("string") == changed["part"], "left_semi") for _, rows in sorted(inputs.items())]
-        made = make(*few)
+        made = written(make(*few), "made")
         made.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(f"{path}/rows")
         # a partition for which nothing was made must not keep its old rows
-        empty = changed.join(spark.read.parquet(f"{path}/rows").select(F.col(partition).cast("string").alias("part")).distinct(), "part", "left_anti") if exists(spark, f"{path}/rows") else changed.limit(0)
-        gone += [r.part for r in empty.collect()]
+        full = {r.part for r in made.select(F.col(partition).cast("string").alias("part")).distinct().collect()}
+        gone += [part for part in names if part not in full]
     for part in gone:
         remove(spark, f"{path}/rows/{partition}={part}")
     place = f"prints-{uuid.uuid4().hex}"
@@ -81,6 +81,8 @@ def _place(spark: SparkSession, path: str) -> str | None:
 def read(spark: SparkSession, path: str) -> DataFrame:
     """The cache's rows; partition values are text, as they were filed."""
     reader = spark.read.option("basePath", f"{path}/rows")
+    if not exists(spark, f"{path}/rows"):
+        raise ValueError(f"no cache at {path}")
     found = reader.parquet(f"{path}/rows")
     parts = {f.split("=")[0] for file in found.inputFiles()[:1] for f in file.split("/") if "=" in f}
     schema = T.StructType([T.StructField(f.name, T.StringType() if f.name in parts else f.dataType) for f in found.schema])
