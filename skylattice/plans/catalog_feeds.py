@@ -10,7 +10,7 @@ from ..operators import grids as G
 from ..operators import tables as B
 from ..operators import verification as V
 from ..streaming.asof import asof_stream
-from . import caches
+from . import caches, tars
 from .catalog import _ALL_SCORES, _ASOF, _CONT, _PAIRS, _SCORES, _TABLE, Tables, _rounded, query
 
 _STORE = "spark.sql.streaming.stateStore.providerClass"
@@ -100,3 +100,13 @@ def cache_refresh(t: Tables) -> DataFrame:
     again = caches.refresh(make, {"events": changed}, "day", path)
     marked = caches.read(t.spark, path).withColumn("made_again", F.col("day").isin(again))
     return _rounded(marked, "peak").select("day", "user_id", "n", "peak", "made_again")
+
+
+@query("SELECT doc_id, CAST(octet_length(encode(text)) AS BIGINT) AS length, sha256(text) AS sha256 FROM documents WHERE text IS NOT NULL")
+def archive_members(t: Tables) -> DataFrame:
+    """Documents as members of an archive, read back at the places that its index gives."""
+    path = f"{fresh_path(t.spark, 'archive')}/documents.tar"
+    rows = t.documents.where("text IS NOT NULL").select(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("name"), F.col("text").cast("binary").alias("content"))
+    tars.write_tar(rows, path)
+    back = tars.contents(tars.read_index(t.spark, path), path)
+    return back.select(F.regexp_extract("name", r"^(\d+)\.txt$", 1).cast("long").alias("doc_id"), F.octet_length("content").cast("long").alias("length"), F.sha2("content", 256).alias("sha256"))
