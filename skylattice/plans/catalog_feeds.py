@@ -9,8 +9,9 @@ from ..functions.folders import fresh_path
 from ..operators import grids as G
 from ..operators import tables as B
 from ..operators import verification as V
+from ..sources import rasters
 from ..streaming.asof import asof_stream
-from . import caches, tars
+from . import caches, serving, tars
 from .catalog import _ALL_SCORES, _ASOF, _CONT, _PAIRS, _SCORES, _TABLE, Tables, _rounded, query
 
 _STORE = "spark.sql.streaming.stateStore.providerClass"
@@ -110,3 +111,13 @@ def archive_members(t: Tables) -> DataFrame:
     tars.write_tar(rows, path)
     back = tars.contents(tars.read_index(t.spark, path), path)
     return back.select(F.regexp_extract("name", r"^(\d+)\.txt$", 1).cast("long").alias("doc_id"), F.octet_length("content").cast("long").alias("length"), F.sha2("content", 256).alias("sha256"))
+
+
+@query("""WITH v AS (SELECT vec_id, i, CAST(embedding[i + 1] AS DOUBLE) AS v FROM embeddings, (SELECT unnest(range(0, 64)) AS i))
+ SELECT CAST(vec_id AS BIGINT) AS vec_id, count(*) FILTER (v > 0 AND floor(least(v / 0.3, 1.0) * 220) >= 1) AS wet, CAST(coalesce(sum(i) FILTER (v > 0 AND floor(least(v / 0.3, 1.0) * 220) >= 1), 0) AS BIGINT) AS places FROM v GROUP BY 1""")
+def alpha_mask(t: Tables) -> DataFrame:
+    """Vectors drawn as overlays and read back: where an image is not transparent."""
+    drawn = serving.overlays(t.embeddings.select(F.col("vec_id").cast("string").alias("band"), F.lit(0).alias("lead_min"), F.col("embedding").cast("array<float>").alias("rates")), 8, 8)
+    masks = rasters.rasters(drawn.select(F.col("band").alias("path"), F.col("png").alias("content")), rasters.png_mask)
+    cells = masks.select(F.col("path").cast("long").alias("vec_id"), F.posexplode("values").alias("i", "wet"))
+    return cells.groupBy("vec_id").agg(F.sum(F.col("wet").cast("long")).alias("wet"), F.sum(F.when(F.col("wet") > 0, F.col("i")).otherwise(0)).alias("places"))
