@@ -24,9 +24,11 @@ from .shared import drop_written, written
 from .textbytes import LOWER, TextSlice, bounded_batches, slices
 
 #: Texts of about so many bytes make a shard (a longer text is a shard of its own).
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 8 << 20
 #: Bits of the table of flags that tells most phrases that can't be frequent, 16 MB at any size of the input.
 FLAG_BITS = 27
+#: Parts in which a language's best phrases are cut before they are ranked.
+PARTS = 16
 
 _BLANK, _BREAK = np.zeros(256, bool), np.zeros(256, bool)
 _BLANK[[9, 32]] = True
@@ -216,6 +218,8 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     scored = scored.withColumn("score", F.expr("CAST((1000000 * _a * _a) div (_l * _r) AS BIGINT)"))
     lowest = scored.groupBy("lang", "phrase", "a").agg(F.min(F.struct("score", "k", "l", "r")).alias("b"))
     best = _first_of(lowest.select("lang", "phrase", "a", F.col("b.l").alias("l"), F.col("b.r").alias("r"), F.col("b.score").alias("score")), most)
+    # cut again in parts, so that a language's last task gets PARTS * most rows, however many tasks there were
+    best = _first_of(best.repartition("lang", F.pmod(F.xxhash64("phrase"), F.lit(PARTS))), most)
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
     ranked = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
     return ranked.join(F.broadcast(total) if total.count() <= 100_000 else total, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
