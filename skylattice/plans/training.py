@@ -78,3 +78,17 @@ def static_channels(elevation: DataFrame, pitch_y: float, pitch_x: float) -> Dat
 def write_static(channels: DataFrame, path: str, force: bool = False) -> None:
     """Written once; with ``force`` anew."""
     channels.write.mode("overwrite" if force else "ignore").parquet(path)
+
+
+def replace_table(rows: DataFrame, path: str) -> None:
+    """Writes rows beside a table, which they may be made from, and puts them in its place; a crash in between leaves the old or the new one beside it."""
+    spark = rows.sparkSession
+    beside = f"{path}__new"
+    rows.write.mode("overwrite").parquet(beside)
+    files, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
+    fs = files.Path(path).getFileSystem(conf)
+    fs.delete(files.Path(f"{path}__old"), True)
+    if fs.exists(files.Path(path)):
+        fs.rename(files.Path(path), files.Path(f"{path}__old"))
+    fs.rename(files.Path(beside), files.Path(path))
+    fs.delete(files.Path(f"{path}__old"), True)

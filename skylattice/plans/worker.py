@@ -17,8 +17,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.grids import idw, regular_grid
 from ..sources.ingest import POINT_FORECAST, hourly_value
-from ..streaming.ticks import tick as stream_tick
 from ..functions.scalars import lenient_double
+from .schedules import Cron, Runs, at_times
 from .serving import BANDS, Band, Grid, SnapshotStore
 
 LOG = logging.getLogger(__name__)
@@ -98,13 +98,14 @@ def run_all(store: SnapshotStore, payloads: DataFrame, now: datetime, bands: lis
 
 
 def schedule(store: SnapshotStore, read: Callable[[], DataFrame], checkpoint: str, infer: BandInference = stand_in) -> list[StreamingQuery]:
-    """Four streaming queries, one a band, each at its own interval; a failed tick is logged and the next one comes."""
+    """Four streaming queries, one a band, each at its own stated times; a failed tick is logged and tried again at the next turn."""
+    runs = Runs(store.spark, f"{store.root}/ticks")
 
-    def body(band: str) -> Callable[[DataFrame, int], None]:
-        return lambda batch, n: run_all(store, read(), datetime.now(UTC), [band], infer) and None
+    def body(band: str) -> Callable[[], bool]:
+        return lambda: not isinstance(run_all(store, read(), datetime.now(UTC), [band], infer)[band], Exception)
 
     clock = store.spark.readStream.format("rate").option("rowsPerSecond", 1).load()
-    return [stream_tick(clock, f"{checkpoint}/{b.name}", body(b.name), every=f"{b.refresh_seconds} seconds") for b in BANDS]
+    return [at_times(clock, f"{checkpoint}/{b.name}", b.name, Cron(b.cron), runs, body(b.name)) for b in BANDS]
 
 
 def main(argv: list[str] | None = None) -> int:
