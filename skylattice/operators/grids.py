@@ -88,17 +88,22 @@ def block_mean(cells: DataFrame, keys: list[str], height: int, width: int, rows:
 
 
 def max_pool(cells: DataFrame, keys: list[str], height: int, width: int, radius: int, wrap: bool = True) -> DataFrame:
-    """Largest value within ``radius`` rows and columns, over the edges if ``wrap``; one axis after the other."""
+    """Largest value within ``radius`` rows and columns of each cell, over the edges if ``wrap``; one axis after the other.
 
-    def along(df: DataFrame, axis_: str, n: int) -> DataFrame:
-        moved = df.select("*", F.explode(F.sequence(F.lit(-radius), F.lit(radius))).alias("_d"))
-        place = F.col(axis_) + F.col("_d")
-        moved = moved.withColumn(axis_, F.pmod(place, F.lit(n)) if wrap else place)
-        if not wrap:
-            moved = moved.where(F.col(axis_).between(0, n - 1))
-        return moved.groupBy(*keys, "y", "x").agg(F.max("value").alias("value"))
+    Each axis is one window along the lines of the other; over the edges only cells near them are there twice.
+    """
 
-    return along(along(cells, "y", height), "x", width)
+    def along(df: DataFrame, axis_: str, other: str, n: int) -> DataFrame:
+        place = F.col(axis_)
+        if wrap:
+            turns = F.array(*[F.lit(k * n) for k in range(-(-radius // n) * -1, -(-radius // n) + 1)])
+            df = df.select("*", F.explode(F.filter(turns, lambda s: (place + s >= -radius) & (place + s < n + radius))).alias("_s"))
+        else:
+            df = df.withColumn("_s", F.lit(0))
+        w = Window.partitionBy(*keys, other).orderBy((place + F.col("_s")).cast("long")).rangeBetween(-radius, radius)
+        return df.withColumn("value", F.max("value").over(w)).where("_s = 0").drop("_s")
+
+    return along(along(cells.select(*keys, "y", "x", "value"), "y", "x", height), "x", "y", width)
 
 
 def lower_envelope(x: np.ndarray, height: np.ndarray) -> np.ndarray:

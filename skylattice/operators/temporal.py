@@ -48,8 +48,12 @@ def asof_set(left: DataFrame, right: DataFrame, time: str, keys: list[str], valu
     return chosen.join(rows, [*keys, f"right_{time}"])
 
 
-def nearest_in_time(left: DataFrame, right: DataFrame, time: str, keys: list[str], position: str) -> DataFrame:
-    """left with the position and time of the right row nearest in time on either side; ties go to the smaller position."""
+def nearest_in_time(left: DataFrame, right: DataFrame, time: str, keys: list[str], position: str, bucket_seconds: int | None = None) -> DataFrame:
+    """left with the position and time of the right row nearest in time on either side; ties go to the smaller position.
+
+    With ``bucket_seconds`` a key is cut into buckets of time, so that one key, or none, is many partitions: a row looks within its bucket,
+    and beyond it at the last right row of the buckets before and the first of those after, which come from a row for each bucket.
+    """
     by = [f"_k{i}" for i in range(len(keys))]
     for k in keys:
         right = right.where(F.col(k).isNotNull())
@@ -57,10 +61,25 @@ def nearest_in_time(left: DataFrame, right: DataFrame, time: str, keys: list[str
     a = left.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col(time).alias("_t"), F.lit(1).alias("_side"), F.struct(*[F.col(c) for c in left.columns]).alias("_left"), F.lit(None).cast(kind).alias("_right"))
     least = right.groupBy(*keys, time).agg(F.min(position).alias(position))
     b = least.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col(time).alias("_t"), F.lit(0).alias("_side"), F.lit(None).cast(a.schema["_left"].dataType).alias("_left"), F.struct(F.col(time).alias("t"), F.col(position).alias("p")).alias("_right"))
+    stream = a.unionByName(b)
+    far: dict[str, Column] = {}
+    if bucket_seconds is not None:
+        stream = stream.withColumn("_b", F.floor(epoch_seconds("_t") / bucket_seconds))
+        ends = stream.groupBy(*by, "_b").agg(F.min("_right").alias("_low"), F.max("_right").alias("_high"))
+        buckets = Window.partitionBy(*by).orderBy("_b")  # a row for each bucket
+        ends = ends.withColumns({"_past": F.last("_high", ignorenulls=True).over(buckets.rowsBetween(Window.unboundedPreceding, -1)), "_next": F.first("_low", ignorenulls=True).over(buckets.rowsBetween(1, Window.unboundedFollowing))})
+        named = [F.col(k).alias(f"_e{k}") for k in [*by, "_b"]]
+        ends = ends.select(*named, "_past", "_next")
+        on = F.lit(True)
+        for k in [*by, "_b"]:
+            on = on & F.col(k).eqNullSafe(F.col(f"_e{k}"))
+        stream = stream.join(ends, on, "left").drop(*[f"_e{k}" for k in [*by, "_b"]])
+        by = [*by, "_b"]
+        far = {"before": F.col("_past"), "after": F.col("_next")}
     order = Window.partitionBy(*by).orderBy("_t", "_side")
-    before = F.last("_right", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first("_right", ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing))
-    both = a.unionByName(b).withColumns({"_before": before, "_after": after}).where("_side = 1 AND (_before IS NOT NULL OR _after IS NOT NULL)")
+    before = F.coalesce(F.last("_right", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)), far.get("before", F.lit(None)))
+    after = F.coalesce(F.first("_right", ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing)), far.get("after", F.lit(None)))
+    both = stream.withColumns({"_before": before, "_after": after}).where("_side = 1 AND (_before IS NOT NULL OR _after IS NOT NULL)")
     micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
     db, da = micros("_t") - micros("_before.t"), micros("_after.t") - micros("_t")
     pick = F.when(F.col("_after").isNull() | (db < da) | ((db == da) & (F.col("_before.p") <= F.col("_after.p"))), F.col("_before")).otherwise(F.col("_after"))

@@ -269,7 +269,7 @@ def asof_set_right(t: Tables) -> DataFrame:
  SELECT event_id, user_id, ts, pos AS nearest_pos, rts AS nearest_ts FROM m WHERE rn = 1""")
 def nearest_in_time(t: Tables) -> DataFrame:
     left = t.events.where("event_type = 'purchase'").select("event_id", "user_id", "ts")
-    return T.nearest_in_time(left, t.errors().select(F.col("event_id").alias("pos"), "user_id", "ts"), "ts", ["user_id"], "pos")
+    return T.nearest_in_time(left, t.errors().select(F.col("event_id").alias("pos"), "user_id", "ts"), "ts", ["user_id"], "pos", bucket_seconds=86400)
 
 
 @query("""WITH o AS (SELECT o_orderkey, (o_orderkey % 997) / 100.0::DOUBLE AS lat, (o_custkey % 613) / 100.0::DOUBLE AS lon FROM orders), c AS (SELECT s_suppkey AS cell, (s_suppkey * 37 % 997) / 100.0::DOUBLE AS lat, (s_suppkey * 53 % 613) / 100.0::DOUBLE AS lon FROM supplier),

@@ -162,6 +162,31 @@ def test_null_keys_meet_nothing(spark):
     assert {r.id: r.nearest_v for r in T.nearest_in_time(left, right, "t", ["k"], "v").collect()} == {2: 2}
 
 
+@pytest.mark.parametrize("bucket", [None, 60, 600, 10**6])
+def test_nearest_in_buckets_is_brute_force(spark, bucket):
+    rng = np.random.default_rng(9)
+    right = [(["a", "b"][int(k)], int(m)) for k, m in zip(rng.integers(0, 2, 60), rng.integers(0, 300, 60), strict=True)]
+    left = [(i, ["a", "b", "c", None][int(rng.integers(0, 4))], int(rng.integers(-50, 350))) for i in range(120)]
+    a = spark.createDataFrame([(i, k, at(m)) for i, k, m in left], "id int, k string, t timestamp_ntz")
+    b = spark.createDataFrame([(k, p, at(m)) for p, (k, m) in enumerate(right)] + [(None, 99, at(1))], "k string, p int, t timestamp_ntz")
+    got = {r.id: r.nearest_p for r in T.nearest_in_time(a, b, "t", ["k"], "p", bucket_seconds=bucket).collect()}
+    for i, k, m in left:
+        near = [(abs(m - n), p) for p, (kk, n) in enumerate(right) if kk == k]
+        assert got.get(i) == (min(near)[1] if near else None)
+
+
+@pytest.mark.parametrize("wrap", [True, False])
+@pytest.mark.parametrize("radius", [0, 1, 4, 13])
+def test_pooling_is_brute_force(spark, wrap, radius):
+    rng = np.random.default_rng(3)
+    grid = rng.integers(0, 50, (2, 5, 6)).astype(float)
+    df = spark.createDataFrame([(k, y, x, float(grid[k, y, x])) for k in range(2) for y in range(5) for x in range(6)], "k int, y int, x int, value double")
+    got = {(r.k, r.y, r.x): r.value for r in G.max_pool(df, ["k"], 5, 6, radius, wrap).collect()}
+    around = range(-radius, radius + 1)
+    for k, y, x in np.ndindex(2, 5, 6):
+        assert got[k, y, x] == max(grid[k, (y + i) % 5, (x + j) % 6] for i in around for j in around if wrap or (0 <= y + i < 5 and 0 <= x + j < 6))
+
+
 def test_lower_envelope_is_brute_force():
     rng = np.random.default_rng(1)
     for _ in range(300):
