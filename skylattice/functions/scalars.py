@@ -165,7 +165,11 @@ def polar_stereographic_inverse(x: Column, y: Column, *, true_lat: float, lon0:
     return F.degrees(phi), lon0 + F.degrees(F.atan2(x, -y))
 
 
-def km_pitch(degrees: Column, lat: Column | None = None, km_per_degree: float = 111.32) -> Column:
+#: Mean radius of the earth.
+EARTH_KM = 6371.0
+
+
+def km_pitch(degrees: Column, lat: Column | None = None, km_per_degree: float = math.pi / 180 * EARTH_KM) -> Column:
     """Degrees as kilometres, along a parallel if lat is given."""
     out = degrees * km_per_degree
     return out if lat is None else out * F.cos(F.radians(lat))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.folders import written
-from ..functions.scalars import axis, idw_weight, is_finite, square_distance
+from ..functions.scalars import axis, idw_weight, is_finite, km_pitch, square_distance
 
 
 def melt(rows: DataFrame, keys: list[str], array: str, width: int) -> DataFrame:
@@ -171,6 +171,13 @@ def grid_pitch(cells: DataFrame, keys: list[str]) -> DataFrame:
     return gaps.groupBy(*keys).agg(F.avg("_gx").alias("pitch_x"), F.avg("_gy").alias("pitch_y"))
 
 
+def grid_pitch_km(grid: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, pitch_y_km, pitch_x_km: mean distance of neighbouring rows and columns of y, x, lat, lon, along the mean parallel."""
+    down, across = Window.partitionBy(*keys, "x").orderBy("y"), Window.partitionBy(*keys, "y").orderBy("x")
+    gaps = grid.withColumns({"_dy": F.abs(F.col("lat") - F.lag("lat").over(down)), "_dx": F.abs(F.col("lon") - F.lag("lon").over(across))})
+    return gaps.groupBy(*keys).agg(km_pitch(F.avg("_dy")).alias("pitch_y_km"), km_pitch(F.avg("_dx"), F.avg("lat")).alias("pitch_x_km"))
+
+
 def wet_fraction(cells: DataFrame, keys: list[str], value: str = "rate", wet: float = 0.1) -> DataFrame:
     return cells.groupBy(*keys).agg(F.avg((~F.isnan(value) & (F.col(value) >= wet)).cast("double")).alias("wet_fraction"))
 

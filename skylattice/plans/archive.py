@@ -6,6 +6,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+# Where names of radar files and of images hold year and month.
+MONTHS = {"radar": r"_(\d{6})\d{6}\.h5$", "images": r"_(\d{6})\d{2}T\d{6}Z\.tif$"}
+
+
+def month_of(name: Column) -> Column:
+    """Year and month (six digits) of a landed file's name; NULL for a name of neither kind."""
+    return F.coalesce(*[F.nullif(F.regexp_extract(name, p, 1), F.lit("")) for p in MONTHS.values()])
+
+
 def month_plan(listing: DataFrame, month: Column, current: str) -> DataFrame:
     """month, files, names (sorted) of completed months; names of a month are those of one source's folder."""
     named = listing.withColumn("month", month).where((F.col("month") != "") & (F.col("month") < current))

@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import scalars as S
 from ..functions.folders import fresh_path
 from ..operators import grids as G
 from ..operators import tables as B
 from ..operators import verification as V
+from ..sources import ingest as I
 from ..sources import rasters
 from ..streaming.asof import asof_stream
-from . import caches, serving, tars
-from .catalog import _ALL_SCORES, _ASOF, _CONT, _PAIRS, _SCORES, _TABLE, Tables, _rounded, query
+from . import archive, caches, serving, tars
+from .catalog import _ALL_SCORES, _ASOF, _CONT, _PAIRS, _SCORES, _SHARDS, _TABLE, NOW, Tables, _rounded, query
 
 _STORE = "spark.sql.streaming.stateStore.providerClass"
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -121,3 +123,32 @@ def alpha_mask(t: Tables) -> DataFrame:
     masks = rasters.rasters(drawn.select(F.col("band").alias("path"), F.col("png").alias("content")), rasters.png_mask)
     cells = masks.select(F.col("path").cast("long").alias("vec_id"), F.posexplode("values").alias("i", "wet"))
     return cells.groupBy("vec_id").agg(F.sum(F.col("wet").cast("long")).alias("wet"), F.sum(F.when(F.col("wet") > 0, F.col("i")).otherwise(0)).alias("places"))
+
+
+@query("""WITH g AS (SELECT CAST(user_id % 7 AS INTEGER) AS k, CAST(hour(ts) AS INTEGER) AS y, CAST(day(ts) AS INTEGER) AS x, min(50 + value / 100) AS lat, max(4 + value / 50) AS lon FROM events GROUP BY 1, 2, 3),
+ d AS (SELECT k, lat, abs(lat - lag(lat) OVER (PARTITION BY k, x ORDER BY y)) AS dy, abs(lon - lag(lon) OVER (PARTITION BY k, y ORDER BY x)) AS dx FROM g)
+ SELECT k, round(avg(dy) * (pi() / 180 * 6371), 6) AS pitch_y_km, round(avg(dx) * (pi() / 180 * 6371) * cos(radians(avg(lat))), 6) AS pitch_x_km FROM d GROUP BY 1""")
+def pitch_in_km(t: Tables) -> DataFrame:
+    cells = t.events.groupBy((F.col("user_id") % 7).cast("int").alias("k"), F.hour("ts").alias("y"), F.dayofmonth("ts").alias("x")).agg(F.min(50 + F.col("value") / 100).alias("lat"), F.max(4 + F.col("value") / 50).alias("lon"))
+    return _rounded(G.grid_pitch_km(cells, ["k"]), "pitch_y_km", "pitch_x_km")
+
+
+@query("""WITH n AS (SELECT CASE o_orderkey % 3 WHEN 0 THEN 'RAD_NL25_' || strftime(o_orderdate, '%Y%m%d%H%M') || '.h5' WHEN 1 THEN 'msg_ir108_' || strftime(o_orderdate, '%Y%m%dT%H%M%SZ') || '.tif' ELSE 'notes_' || strftime(o_orderdate, '%Y%m%d') || '.txt' END AS name, strftime(o_orderdate, '%Y%m') AS m, o_orderkey % 3 AS r FROM orders)
+ SELECT CASE WHEN r < 2 THEN m END AS month, count(*) AS files, min(name) AS first_name FROM n GROUP BY 1""")
+def months_of_names(t: Tables) -> DataFrame:
+    at, kind = F.col("o_orderdate"), F.col("o_orderkey") % 3
+    radar = F.concat(F.lit("RAD_NL25_"), F.date_format(at, "yyyyMMddHHmm"), F.lit(".h5"))
+    image = F.concat(F.lit("msg_ir108_"), F.date_format(at, "yyyyMMdd'T'HHmmss'Z.tif'"))
+    notes = F.concat(F.lit("notes_"), F.date_format(at, "yyyyMMdd"), F.lit(".txt"))
+    names = t.orders.select(F.when(kind == 0, radar).when(kind == 1, image).otherwise(notes).alias("name"))
+    return names.groupBy(archive.month_of(F.col("name")).alias("month")).agg(F.count("*").alias("files"), F.min("name").alias("first_name"))
+
+
+@query(f"""WITH {_SHARDS} SELECT cell, band, lead_min, TIMESTAMP '{NOW}' + to_minutes(lead_min) AS valid_time, rate, 'https://host/v1/overlay/' || band || '/' || lead_min || '.png?t=snap' AS url, row_number() OVER (PARTITION BY cell ORDER BY lead_min, band) - 1 AS place FROM shards WHERE lead_min <= 720""")
+def response_frames(t: Tables) -> DataFrame:
+    """A JSON response for every cell, as a server gives it, and what a client shows of it: frames in time order with whole addresses."""
+    rows = t.shards().where("lead_min <= 720").withColumns({"valid_time": S.plus_minutes(F.lit(NOW).cast("timestamp_ntz"), F.col("lead_min")), "overlay_url": S.overlay_url(F.col("band"), F.col("lead_min"), F.lit("snap"))})
+    bodies = rows.groupBy("cell").agg(serving.response_body(F.lit(NOW), F.first("lat"), F.first("lon"), "stub", 720).alias("body"))
+    frames = I.forecast_body_rows(bodies, ["cell"])
+    shown = frames.withColumn("place", (F.row_number().over(Window.partitionBy("cell").orderBy("valid_time", "band")) - 1).cast("long"))
+    return shown.select("cell", "band", "lead_min", "valid_time", "rate", S.absolute_url(F.lit("https://host/"), F.col("overlay_url")).alias("url"), "place")

@@ -111,10 +111,15 @@ def retained(snapshots: DataFrame, keep: int = 24) -> DataFrame:
     return snapshots.withColumn("stays", ~F.col("complete") | (rank <= keep))
 
 
+def response_body(issued_at: Column, lat: Column, lon: Column, model_version: str, horizon_min: int) -> Column:
+    """An aggregate: the JSON document of rows with band, lead_min, valid_time, rate and overlay_url (as many as there are leads)."""
+    frames = F.array_sort(F.collect_list(F.struct("band", "lead_min", "valid_time", F.col("rate").alias("rate_mm_per_h"), "overlay_url")))
+    return F.to_json(F.struct(issued_at.alias("issued_at"), F.struct(lat.alias("lat"), lon.alias("lon")).alias("location"), F.lit(model_version).alias("model_version"), F.lit(horizon_min).alias("horizon_min"), frames.alias("frames")))
+
+
 def point_response(rows: DataFrame, issued_at: str, lat: float, lon: float, model_version: str, horizon_min: int) -> DataFrame:
     """One JSON document of a point forecast (bounded by the number of leads)."""
-    frames = F.array_sort(F.collect_list(F.struct("band", "lead_min", "valid_time", F.col("rate").alias("rate_mm_per_h"), "overlay_url")))
-    return rows.agg(F.to_json(F.struct(F.lit(issued_at).alias("issued_at"), F.struct(F.lit(lat).alias("lat"), F.lit(lon).alias("lon")).alias("location"), F.lit(model_version).alias("model_version"), F.lit(horizon_min).alias("horizon_min"), frames.alias("frames"))).alias("body"))
+    return rows.agg(response_body(F.lit(issued_at), F.lit(lat), F.lit(lon), model_version, horizon_min).alias("body"))
 
 
 def png(rates: np.ndarray, max_alpha: int = 220, full_at: float = 0.3) -> bytes:

@@ -164,5 +164,5 @@ def map_requests(times: DataFrame, base: str, layer: str, bbox: tuple[float, flo
     fixed = urlencode({"service": "WMS", "version": "1.3.0", "request": "GetMap", "layers": layer, "styles": "", "crs": "EPSG:4326", "bbox": f"{south},{west},{north},{east}", "width": size[0], "height": size[1], "format": image})
     at = F.date_format(time, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
     ending = {"image/geotiff": "tif", "image/png": "png"}[image]
-    name = F.concat(F.lit(layer.replace(":", "_") + "_"), F.date_format(time, f"yyyyMMdd'T'HHmm'Z.{ending}'"))
+    name = F.concat(F.lit(layer.replace(":", "_") + "_"), F.date_format(time, f"yyyyMMdd'T'HHmmss'Z.{ending}'"))
     return times.select("*", name.alias("name"), F.concat(F.lit(f"{base}?{fixed}&time="), F.url_encode(at)).alias("url"))
