@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Callable
+from hashlib import sha256
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +25,15 @@ def fingerprints(inputs: dict[str, DataFrame], partition: str) -> DataFrame:
     return each.groupBy("part").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("says")), "|"), 256).alias("print"))
 
 
+def table_print(tables: list[DataFrame]) -> str:
+    """A digest of whole tables, for a ``version`` that follows what all partitions depend on."""
+    says = []
+    for rows in tables:
+        columns = sorted(rows.columns)
+        says.append(str(rows.agg(F.count("*"), *[F.sum(F.xxhash64(F.lit(seed), *columns).cast("decimal(38,0)")) for seed in (1, 2)]).first()[:]) + str(columns))
+    return sha256("|".join(says).encode()).hexdigest()[:32]
+
+
 def _known(spark: SparkSession, path: str) -> DataFrame:
     empty = spark.createDataFrame([], "part string, print string")
     place = _place(spark, path)

@@ -9,6 +9,7 @@ from ..functions.scalars import is_finite
 from ..operators.features import with_static
 from ..operators.grids import bilinear, distance_to_zero, idw
 from ..operators.temporal import asof_backward
+from . import caches
 
 # Station fields, the channel's name, centre and scale.
 STATION_CHANNELS = {
@@ -68,6 +69,28 @@ def write_store(store: DataFrame, path: str) -> None:
     store.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(path)
 
 
+def refresh_store(radar: DataFrame, stations: DataFrame, satellite: DataFrame, static: DataFrame, grid: DataFrame, box: tuple[float, float, float, float], shape: tuple[int, int], path: str, *, station_seconds: int = 1800, satellite_seconds: int = 3600, **more) -> list[str]:
+    """Brings a stored aligned_store() up to date and gives the dates that were made again.
+
+    A date depends on its radar runs, on the stations and satellite images of the day and of the tolerance before it, and on the
+    static channels and the grid; only dates whose rows of these have changed are read again and rewritten.
+    """
+
+    def by_date(rows: DataFrame, time: str, seconds: int = 0) -> DataFrame:
+        later = F.to_date(F.col(time) + F.make_interval(secs=F.lit(seconds)))
+        return rows.withColumn("date", F.explode(F.array_distinct(F.array(F.to_date(time), later))))
+
+    def make(r: DataFrame, a: DataFrame, m: DataFrame) -> DataFrame:
+        once = lambda rows: rows.drop("date").distinct()  # noqa: E731 - a row near midnight comes with two dates
+        dates = r.select("date").distinct()
+        store = aligned_store(r.drop("date"), once(a), once(m), static, grid, box, shape, station_seconds=station_seconds, satellite_seconds=satellite_seconds, **more)
+        return store.join(dates, "date", "left_semi")
+
+    fixed = caches.table_print([static, grid])
+    inputs = {"a_radar": by_date(radar, "issue_time"), "b_stations": by_date(stations, "timestamp", station_seconds), "c_satellite": by_date(satellite, "time", satellite_seconds)}
+    return caches.refresh(make, inputs, "date", path, version=fixed)
+
+
 def static_channels(elevation: DataFrame, pitch_y: float, pitch_x: float) -> DataFrame:
     """y, x, elevation_m, landmask, distance_km (of land to the nearest sea, NULL without any) of y, x, elevation_m."""
     land = elevation.withColumn("landmask", (F.col("elevation_m") > 0).cast("double"))

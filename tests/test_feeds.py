@@ -286,3 +286,37 @@ def test_only_changed_partitions_are_made_again(spark, tmp_path):
     assert caches.refresh(make, {"a": gone, "b": b2}, "d", path) == ["01"]
     assert held() == [("02", 3, 21)]  # one has no input any more, one has no rows any more
     assert caches.refresh(make, {"a": gone, "b": b2}, "d", path, version="2") == ["01", "02"]
+
+
+def test_one_changed_day_rewrites_one_day_of_the_training_store(spark, tmp_path):
+    from skylattice.plans import training
+
+    grid, path = G.regular_grid(spark, 2, 3, 2.0, 4.0, 50.0, 51.0), str(tmp_path / "store")
+    days = [0, 1440, 2880]
+    radar = spark.createDataFrame([(at(d + m), lead, y, x, float(lead + y + x)) for d in days for m in (5, 700) for lead in (0, 5) for y in range(2) for x in range(3)], "issue_time timestamp_ntz, lead_min int, y int, x int, rate double")
+    fields = "timestamp timestamp_ntz, lat double, lon double, pressure double, temp_dry_shelter_avg double, humidity_rel_shelter_avg double, wind_speed_10m double"
+
+    def stations(odd=None):
+        rows = [(at(d + m), 50.1 + k / 10, 2.1 + k / 3, 1000.0 + k + (9 if (d, m) == odd else 0), 10.0 + k, 70.0, 4.0) for d in days for m in (690, 1435) for k in range(3)]
+        return spark.createDataFrame(rows, fields)
+
+    satellite = spark.createDataFrame([(at(d + 680), y, x, float(d)) for d in days for y in range(2) for x in range(2)], "time timestamp_ntz, y int, x int, value double")
+    static = training.static_channels(spark.createDataFrame([(y, x, float(y + x)) for y in range(2) for x in range(3)], "y int, x int, elevation_m double"), 1.0, 2.0)
+    rest = (grid, (2.0, 50.0, 4.0, 51.0), (2, 2))
+    run = lambda s, st=static: training.refresh_store(radar, s, satellite, st, *rest, path)
+    named = ["2024-05-01", "2024-05-02", "2024-05-03"]
+
+    def equal(s, st=static):
+        want = training.aligned_store(radar, s, satellite, st, *rest).withColumn("date", F.col("date").cast("string"))
+        got = caches.read(spark, path).select(want.columns)
+        text = lambda df: sorted(str([round(v, 9) if isinstance(v, float) else v for v in r]) for r in df.collect())
+        return text(got) == text(want)
+
+    made = run(stations())
+    assert set(named) <= set(made) and equal(stations())
+    assert run(stations()) == []
+    assert run(stations(odd=(1440, 690))) == ["2024-05-02"] and equal(stations(odd=(1440, 690)))
+    late = stations(odd=(0, 1435))  # just before midnight: two days depend on it, and the second day's own change is undone
+    assert run(late) == named[:2] and equal(late)
+    other = static.withColumn("elevation_m", F.col("elevation_m") + 1)
+    assert set(named) <= set(run(late, other)) and equal(late, other)
