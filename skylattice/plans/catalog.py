@@ -437,10 +437,10 @@ def sha256_digest(t: Tables) -> DataFrame:
     return t.customer.select("c_custkey", S.digest("c_name").alias("digest"))
 
 
-@query("SELECT n_nationkey, list_aggregate(list_filter(list_transform(string_split(' a, ,' || n_name || ' ,', ','), lambda s: trim(s)), lambda s: s <> ''), 'string_agg', '|') AS parts, CASE WHEN n_nationkey % 2 = 0 THEN 'https://x/' || n_name ELSE 'http://b/' || n_name END AS url FROM nation")
+@query("SELECT c_custkey, list_aggregate(list_filter(list_transform(string_split(' a, ,' || c_name || ' ,', ','), lambda s: trim(s)), lambda s: s <> ''), 'string_agg', '|') AS parts, CASE WHEN c_custkey % 2 = 0 THEN 'https://x/' || c_name ELSE 'http://b/' || c_name END AS url FROM customer")
 def text_lists(t: Tables) -> DataFrame:
-    url = F.when(F.col("n_nationkey") % 2 == 0, F.concat(F.lit("https://x/"), "n_name")).otherwise(F.concat(F.lit("/"), "n_name"))
-    return t.nation.select("n_nationkey", F.array_join(S.csv_list(F.concat(F.lit(" a, ,"), "n_name", F.lit(" ,"))), "|").alias("parts"), S.absolute_url(F.lit("http://b//"), url).alias("url"))
+    url = F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("https://x/"), "c_name")).otherwise(F.concat(F.lit("/"), "c_name"))
+    return t.customer.select("c_custkey", F.array_join(S.csv_list(F.concat(F.lit(" a, ,"), "c_name", F.lit(" ,"))), "|").alias("parts"), S.absolute_url(F.lit("http://b//"), url).alias("url"))
 
 
 # ---- tables and sets
@@ -604,12 +604,12 @@ def tick_thinning(t: Tables) -> DataFrame:
     return T.thinned(t.events.select("user_id", "ts").distinct(), ["user_id"], "ts")
 
 
-@query("SELECT n_nationkey, CASE WHEN n_nationkey % 3 = 0 THEN 'dry' WHEN n_nationkey % 3 = 1 THEN 'raining' ELSE 'in ' || n_nationkey || ' min' END AS headline, CASE WHEN n_nationkey < 5 THEN 'timeout' WHEN n_nationkey < 10 THEN 'client' WHEN n_nationkey < 15 THEN 'server' ELSE 'unknown' END AS failure, CASE WHEN n_nationkey % 2 = 0 THEN 5 ELSE 10 END AS minutes FROM nation")
+@query("WITH e AS (SELECT event_id, user_id % 25 AS k FROM events) SELECT event_id, CASE WHEN k % 3 = 0 THEN 'dry' WHEN k % 3 = 1 THEN 'raining' ELSE 'in ' || k || ' min' END AS headline, CASE WHEN k < 5 THEN 'timeout' WHEN k < 10 THEN 'client' WHEN k < 15 THEN 'server' ELSE 'unknown' END AS failure, CASE WHEN k % 2 = 0 THEN 5 ELSE 10 END AS minutes FROM e")
 def client_labels(t: Tables) -> DataFrame:
-    k = F.col("n_nationkey")
+    k = F.col("user_id") % 25
     minutes = F.when(k % 3 == 0, F.lit(None)).when(k % 3 == 1, 0).otherwise(k)
     status = F.when(k < 5, "timeout").when(k < 10, "404").when(k < 15, "503").otherwise("odd")
-    return t.nation.select("n_nationkey", S.headline(minutes).alias("headline"), S.failure_kind(status).alias("failure"), S.interval_label_minutes(F.when(k % 2 == 0, "5min").otherwise("?")).alias("minutes"))
+    return t.events.select("event_id", S.headline(minutes).alias("headline"), S.failure_kind(status).alias("failure"), S.interval_label_minutes(F.when(k % 2 == 0, "5min").otherwise("?")).alias("minutes"))
 
 
 # ---- streams (run to the end of what is there, into a table)
