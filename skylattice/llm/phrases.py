@@ -6,8 +6,9 @@ shards together is extended: the list of a phrase is merge-joined with the lists
 position on, which gives the lists of the phrases that are one word longer.  A list's length is the phrase's exact
 frequency in the shard; the sums over shards decide what is extended next.
 
-Between levels only the vocabulary (a row for each phrase of a shard) is shuffled to be counted; positions stay with
-their shard.  Texts are never read again.
+Lists of rare words are left out by a join; which pairs and longer phrases are frequent is told to the shards by a table
+of flags of one size.  A flag that another phrase shares costs work only, as sums decide.  Between levels the counts are
+shuffled and nothing else; positions stay with their shard, and texts are never read again.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import drop_written, written
-from .textbytes import LOWER, TextSlice, bounded_batches, slices
+from .textbytes import LOWER, TextSlice, bounded_batches, mix, slices
 
 #: Texts of about so many bytes make a shard (a longer text is a shard of its own).
 SHARD_BYTES = 8 << 20
@@ -107,93 +108,135 @@ def _inverted(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
     return rows.mapInArrow(run, "shard long, no int, lang string, word string, n long, lengths binary, lists binary")
 
 
-def _extended(known: DataFrame, files: DataFrame, last: bool) -> DataFrame:
-    """shard, no, first, second, n for every phrase of a shard made of two known ones a position apart; unless ``last`` a row (no -1) with its lists.
+def _adjacent(at: np.ndarray, name: np.ndarray, size: int, flags: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Phrases of ``size`` words that stand in a shard (numbers into its words, a row each) and the length of each one's list.
 
-    known has shard, no and id of the phrases to extend, files shard, lengths and lists.
+    at and name are the positions of frequent words, ascending.  The lists of phrases of one word less that may be frequent are
+    merge-joined with what stands one position on.
     """
+    start = np.flatnonzero(at[1:] == at[:-1] + 1)  # merge join of the words' lists: a word, and one at the next position
+    for words in range(2, size):
+        if flags is not None and words == size - 1:
+            start = start[_flagged(flags, [name[start + k] for k in range(words)])]
+        start = start[:-1][start[1:] == start[:-1] + 1] if len(start) else start
+    if not len(start):
+        return np.zeros((0, size), np.int64), np.zeros(0, np.int64)
+    order = np.lexsort([name[start + k] for k in range(size - 1, -1, -1)])
+    found = np.stack([name[start[order] + k] for k in range(size)], axis=1)
+    new = np.flatnonzero(np.append(True, (found[1:] != found[:-1]).any(1)))
+    return found[new], np.diff(np.append(new, len(found)))
+
+
+def _place(ids: list[np.ndarray]) -> np.ndarray:
+    """Place of a phrase's flag, from the ids of its words."""
+    h = np.zeros(len(ids[0]), np.uint64)
+    for x in ids:
+        h = mix(h * np.uint64(0x9E3779B97F4A7C15) ^ x.view(np.uint64))
+    return h >> np.uint64(64 - FLAG_BITS)
+
+
+def _flagged(flags: np.ndarray, ids: list[np.ndarray]) -> np.ndarray:
+    at = _place(ids)
+    return (flags[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
+def _flags(level: DataFrame, size: int) -> np.ndarray:
+    """One bit for each frequent phrase, 16 MB at any size: what has no bit is not frequent."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if len(batch):
+                at = _place([batch.column(k).to_numpy() for k in range(size)])
+                word, where = np.unique(at >> np.uint64(6), return_inverse=True)
+                bits = np.zeros(len(word), np.uint64)
+                np.bitwise_or.at(bits, where, np.uint64(1) << (at & np.uint64(63)))
+                yield pa.RecordBatch.from_arrays([pa.array(word.astype(np.int64)), pa.array(bits.view(np.int64))], names=["at", "bits"])
+
+    rows = level.select(*[f"w{k}" for k in range(size)]).mapInArrow(run, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()  # 2^21 rows at most
+    flags = np.zeros(1 << FLAG_BITS - 6, np.uint64)
+    flags[rows["at"].to_numpy()] = rows["bits"].to_numpy().astype(np.int64).view(np.uint64)
+    return flags
+
+
+def _counts(size: int) -> str:
+    return ", ".join([*(f"w{k} long" for k in range(size)), "n long"])
+
+
+def _named(known: DataFrame, files: DataFrame) -> DataFrame:
+    """A row for each shard with the ids of its frequent words, their lists' lengths and lists; and w0, w1, n of its pairs of them.
+
+    known has shard, no and id of frequent words, files shard, lengths and lists.
+    """
+    schema = pa.schema([("w0", pa.int64()), ("w1", pa.int64()), ("n", pa.int64()), ("ids", pa.binary()), ("lengths", pa.binary()), ("lists", pa.binary())])
 
     def join(mine: pa.Table, file: pa.Table) -> pa.Table:
-        schema = pa.schema([("shard", pa.int64()), ("no", pa.int32()), ("first", pa.int64()), ("second", pa.int64()), ("n", pa.int64()), ("lengths", pa.binary()), ("lists", pa.binary())])
         if not len(mine) or not len(file):
             return schema.empty_table()
-        shard = file.column("place")[0].as_py()
-        mine = mine.sort_by("id")  # neighbouring rows then share their first part
         lengths = np.frombuffer(file.column("lengths")[0].as_py(), np.int32)
         number, at = unpacked(lengths, file.column("lists")[0].as_py())
-        of = np.full(len(lengths), -1, np.int64)
+        mine = mine.sort_by("id")
+        of = np.full(len(lengths), -1, np.int32)
         of[mine.column("no").to_numpy()] = np.arange(len(mine))
-        name = mine.column("id").to_numpy()
+        ids = mine.column("id").to_numpy()
         number = of[number]
         at, number = at[number >= 0], number[number >= 0]
         order = np.argsort(at, kind="stable")
-        at, number = at[order], number[order]
-        # merge join: occurrences at a position with those at the next one
-        meet = np.flatnonzero(at[1:] == at[:-1] + 1)
-        code, number, n = np.unique(number[meet] * len(name) + number[meet + 1], return_inverse=True, return_counts=True)
-        first, second = name[code // len(name)], name[code % len(name)]
-        columns = [np.full(len(code), shard), np.arange(len(code), dtype=np.int32), first, second, n.astype(np.int64)]
-        blobs = [pa.nulls(len(code), pa.binary())] * 2
-        out = [pa.Table.from_arrays([*(pa.array(c) for c in columns), *blobs], schema=schema)]
-        if not last and len(code):
-            _, lists = packed_lists(number, at[meet], len(code))
-            one = [[shard], [-1], [None], [None], [len(meet)], [n.astype(np.int32).tobytes()], [lists]]
-            out.append(pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(one, schema, strict=True)], schema=schema))
-        return pa.concat_tables(out)
+        found, n = _adjacent(at[order], number[order], 2, None)
+        pairs = [*(pa.array(ids[found[:, k]]) for k in range(2)), pa.array(n.astype(np.int64)), *[pa.nulls(len(n), pa.binary())] * 3]
+        kept, lists = packed_lists(number, at, len(ids))
+        one = [[None], [None], [None], [ids.astype(np.int64).tobytes()], [kept.astype(np.int32).tobytes()], [lists]]
+        return pa.concat_tables([pa.Table.from_arrays(pairs, schema=schema), pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(one, schema, strict=True)], schema=schema)])
 
     files = files.select(F.col("shard").alias("place"), "lengths", "lists")
-    return known.groupBy("shard").cogroup(files.groupBy("place")).applyInArrow(join, "shard long, no int, first long, second long, n long, lengths binary, lists binary")
+    return known.groupBy("shard").cogroup(files.groupBy("place")).applyInArrow(join, "w0 long, w1 long, n long, ids binary, lengths binary, lists binary")
 
 
-def _likely(pairs: DataFrame, level: DataFrame) -> DataFrame:
-    """pairs without most of those that are not in level: a join of the rest is exact, this spares its shuffle."""
-    spark = pairs.sparkSession
-    place = F.shiftrightunsigned(F.xxhash64("first", "second"), 64 - FLAG_BITS)
-    bit = F.expr(f"shiftleft(1L, CAST(shiftrightunsigned(xxhash64(first, second), {64 - FLAG_BITS}) & 63 AS INT))")
-    words = level.groupBy(F.shiftright(place, 6).alias("at")).agg(F.bit_or(bit).alias("bits")).toArrow()  # 2^21 rows at most
-    flags = np.zeros(1 << FLAG_BITS - 6, np.uint64)
-    flags[words["at"].to_numpy()] = words["bits"].to_numpy().astype(np.int64).view(np.uint64)
-    sent = spark.sparkContext.broadcast(flags)
+def _extended(shards: DataFrame, size: int, flags: np.ndarray) -> DataFrame:
+    """w0, w1, .., n: phrases of ``size`` words of each shard, made of two that may be frequent a position apart."""
+    sent = shards.sparkSession.sparkContext.broadcast(flags)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.column(4).to_numpy()
-            held = sent.value[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)
-            yield pa.RecordBatch.from_arrays(batch.columns[:4], names=["shard", "no", "first", "second"]).filter(pa.array(held.astype(bool)))
+            for ids, lengths, lists in zip(*(batch.column(c) for c in range(3)), strict=True):
+                ids = np.frombuffer(ids.as_py(), np.int64)
+                number, at = unpacked(np.frombuffer(lengths.as_py(), np.int32), lists.as_py())
+                order = np.argsort(at, kind="stable")
+                found, n = _adjacent(at[order], ids[number[order]], size, sent.value)
+                yield pa.RecordBatch.from_arrays([*(pa.array(found[:, k]) for k in range(size)), pa.array(n.astype(np.int64))], names=[*(f"w{k}" for k in range(size)), "n"])
 
-    return pairs.select("shard", "no", "first", "second", place.alias("at")).mapInArrow(run, "shard long, no int, first long, second long")
+    return shards.select("ids", "lengths", "lists").mapInArrow(run, _counts(size))
 
 
 def phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", *, longest: int = 3, least: int = 10) -> tuple[DataFrame, DataFrame]:
     """All phrases of 1 to ``longest`` words that occur ``least`` times in a language, and n, the words of each language.
 
-    id (among phrases of as many words), lang, phrase, words, f, first, second (ids of the phrase without its last and its first word), heads and tails (frequencies of its first 1, 2, ..
-    and last .., 2, 1 words).  Occurrences are contiguous within pieces and may overlap.
+    id (among phrases of as many words), lang, phrase, words, f, first, second (ids of the phrase without its last and its first word), heads and tails
+    (frequencies of its first 1, 2, .. and last .., 2, 1 words).  Occurrences are contiguous within pieces and may overlap.
     """
-    words = written(_inverted(docs, text_col, lang_col), "inverted")
-    spelled = words.where("no >= 0")
+    inverted = written(_inverted(docs, text_col, lang_col), "inverted")
+    spelled = inverted.where("no >= 0")
     total = written(spelled.groupBy("lang").agg(F.sum("n").alias("n")), "totals")
     counted = spelled.groupBy("lang", "word").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
-    level = written(counted.select(F.monotonically_increasing_id().alias("id"), "lang", F.col("word").alias("phrase"), F.lit(1).alias("words"), "f", F.lit(None).cast("long").alias("first"), F.lit(None).cast("long").alias("second"), F.array().cast("array<long>").alias("heads"), F.array().cast("array<long>").alias("tails")), "level")
+    none = F.lit(None).cast("long")
+    level = counted.select(F.monotonically_increasing_id().alias("id"), "lang", F.col("word").alias("phrase"), F.lit(1).alias("words"), "f", none.alias("first"), none.alias("second"), F.array().cast("array<long>").alias("heads"), F.array().cast("array<long>").alias("tails"))
+    level = written(level, "level")
     known = spelled.select("shard", "no", "lang", F.col("word").alias("phrase")).join(level.select("lang", "phrase", "id"), ["lang", "phrase"]).select("shard", "no", "id")
-    files, found, grown = words.where("no < 0").select("shard", "lengths", "lists"), level, words
+    named = written(_named(known, inverted.where("no < 0").select("shard", "lengths", "lists")), "named")
+    drop_written(inverted)
+    columns = level.columns
+    level, found = level.withColumn("w0", F.col("id")), level
     for size in range(2, longest + 1):
-        before, below = grown, level
-        grown = written(_extended(known, files, size == longest), "extended")
-        drop_written(before)
-        pairs = grown.where("no >= 0")
-        counted = pairs.groupBy("first", "second").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
-        head = below.select(F.col("id").alias("first"), "lang", "phrase", F.col("f").alias("f1"), F.col("heads").alias("h"))
-        tail = below.select(F.col("id").alias("second"), F.element_at(F.split("phrase", " "), -1).alias("last"), F.col("f").alias("f2"), F.col("tails").alias("t"))
-        joined = counted.join(head, "first").join(tail, "second")
-        level = joined.select(F.monotonically_increasing_id().alias("id"), "lang", F.concat_ws(" ", "phrase", "last").alias("phrase"), F.lit(size).alias("words"), "f", "first", "second", F.concat("h", F.array("f1")).alias("heads"), F.concat(F.array("f2"), F.col("t")).alias("tails"))
-        level = written(level, "level")
-        if size < longest:
-            known = _likely(pairs, level).join(level.select("first", "second", "id"), ["first", "second"]).select("shard", "no", "id")
-            files = grown.where("no < 0").select("shard", "lengths", "lists")
-        found = found.unionByName(level)
-    if longest > 1:
-        drop_written(grown)
+        words = [f"w{k}" for k in range(size)]
+        grown = named.where("ids IS NULL") if size == 2 else _extended(named.where("ids IS NOT NULL"), size, _flags(level, size - 1))
+        counted = written(grown.groupBy(*words).agg(F.sum("n").alias("f")).where(F.col("f") >= least), "counted")
+        head = level.select(*[F.col(f"w{k}") for k in range(size - 1)], F.col("id").alias("first"), "lang", "phrase", F.col("f").alias("f1"), F.col("heads").alias("h"))
+        tail = level.select(*[F.col(f"w{k}").alias(f"w{k + 1}") for k in range(size - 1)], F.col("id").alias("second"), F.element_at(F.split("phrase", " "), -1).alias("last"), F.col("f").alias("f2"), F.col("tails").alias("t"))
+        joined = counted.join(head, words[:-1]).join(tail, words[1:])
+        longer = joined.select(F.monotonically_increasing_id().alias("id"), "lang", F.concat_ws(" ", "phrase", "last").alias("phrase"), F.lit(size).alias("words"), "f", "first", "second", F.concat("h", F.array("f1")).alias("heads"), F.concat(F.array("f2"), F.col("t")).alias("tails"), *words)
+        level = written(longer, "level")
+        drop_written(counted)
+        found = found.unionByName(level.select(columns))
+    drop_written(named)
     return found, total
 
 
