@@ -215,6 +215,14 @@ class SnapshotStore:
     def _commit(self, number: int) -> dict:
         return json.loads(self._get(f"commits/{number:012d}.json") or "{}")
 
+    def _all(self) -> dict[int, dict]:
+        """Every commit by its number, in one job."""
+        if not self._commits():
+            return {}
+        found = self.spark.read.option("ignoreMissingFiles", "true").option("pathGlobFilter", "*.json").text(f"{self.root}/commits", wholetext=True)
+        rows = found.select(F.col("_metadata.file_name").alias("name"), "value").collect()  # as many as are kept
+        return {int(r.name[:-5]): json.loads(r.value) for r in sorted(rows, key=lambda r: r.name)}
+
     def _newest_commit(self) -> tuple[int, dict]:
         while numbers := self._commits():
             if commit := self._commit(numbers[-1]):
@@ -222,9 +230,11 @@ class SnapshotStore:
         return 0, {}
 
     def _find(self, snapshot: str) -> dict:
-        for number in reversed(self._commits()):
-            commit = self._commit(number)
-            if commit.get("snapshot") == snapshot:
+        _, newest = self._newest_commit()
+        if newest.get("snapshot") == snapshot:
+            return newest
+        for commit in reversed(self._all().values()):
+            if commit["snapshot"] == snapshot:
                 return commit
         raise RequestError(404, f"no snapshot {snapshot}")
 
@@ -236,7 +246,7 @@ class SnapshotStore:
 
     def snapshots(self) -> list[str]:
         """Names of all snapshots, by time and version."""
-        return [self._commit(n)["snapshot"] for n in self._commits()]
+        return [c["snapshot"] for c in self._all().values()]
 
     def publish(self, issued_at: datetime, band: str, cells: DataFrame, *, model_version: str = "stub", inferred_at: datetime | None = None, bucket_seconds: int = 0, extras: dict | None = None) -> str:
         """A new snapshot: this band from ``cells`` (lead_min, y, x, rate), the others as they are in the newest one.
@@ -282,7 +292,7 @@ class SnapshotStore:
         self._fs.mkdirs(self._path(f"{self.root}/commits"))
         while True:
             number, base = self._newest_commit()
-            versions = {self._commit(n).get("snapshot") for n in self._commits()}
+            versions = set(self.snapshots())
             name, turn = bucket, 1
             while name in versions:
                 turn += 1
@@ -297,7 +307,7 @@ class SnapshotStore:
         The newest commit always stays.  Folders go when no commit that stays names them.  Gives how many snapshots went.
         """
         order = lambda name: (name.partition(".")[0], int(name.partition(".")[2] or 1))
-        commits = {n: self._commit(n) for n in self._commits()}
+        commits = self._all()
         if not commits:
             return 0
         last = max(commits)
