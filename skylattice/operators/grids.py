@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from ..functions.folders import written
 from ..functions.scalars import axis, idw_weight, is_finite, km_pitch, square_distance
+from .nearest import nearest_of
 
 
 def melt(rows: DataFrame, keys: list[str], array: str, width: int) -> DataFrame:
@@ -182,27 +183,47 @@ def wet_fraction(cells: DataFrame, keys: list[str], value: str = "rate", wet: fl
     return cells.groupBy(*keys).agg(F.avg((~F.isnan(value) & (F.col(value) >= wet)).cast("double")).alias("wet_fraction"))
 
 
-def nearest_cell(points: DataFrame, cells: DataFrame, bucket: list[str], lat: str = "lat", lon: str = "lon", ring: int = 0, together: int = 1024) -> DataFrame:
+def nearest_cell(points: DataFrame, cells: DataFrame, bucket: list[str], lat: str = "lat", lon: str = "lon", ring: int = 0, together: int = 256) -> DataFrame:
     """points with the nearest cell of their bucket (with ``ring`` 1 also of the eight around), ties to the smaller cell.
 
     cells has bucket, cell, lat, lon; points has bucket, lat and lon.  A point without a cell in reach has
-    NULL; equal points stay as many as they are.  The cells of a bucket are arrays of up to ``together``,
-    so that a point meets an array and not its cells one by one.
+    NULL, as has one without finite coordinates; equal points stay as many as they are.  Where no bucket holds more than a
+    few cells, a point meets the array of its bucket; else places and cells meet in runs (see nearest_of).
     """
-    part = F.floor((F.row_number().over(Window.partitionBy(*bucket).orderBy("cell")) - 1) / together)
-    arrays = cells.select(*bucket, F.struct("cell", F.col(lat).alias("lat"), F.col(lon).alias("lon")).alias("_c"), part.alias("_part"))
-    arrays = arrays.groupBy(*bucket, "_part").agg(F.collect_list("_c").alias("_cells"))
-    near = lambda y, x: F.array_min(F.transform("_cells", lambda c: F.struct(square_distance(y, x, c["lat"], c["lon"]).alias("d2"), c["cell"].alias("cell"))))
-    if not ring and not arrays.where("_part > 0").limit(1).count():
-        best = points.join(arrays.drop("_part"), bucket, "left").withColumn("_b", near(F.col(lat), F.col(lon)))
-        return best.select(*points.columns, F.col("_b.cell").alias("cell"), F.col("_b.d2").alias("d2"))
-    side = points.groupBy(*points.columns).agg(F.count("*").cast("int").alias("_n")).select(F.struct(*points.columns).alias("_row"), "_n", *bucket)
-    if ring:
+    usable = cells.where(is_finite(lat) & is_finite(lon) & F.col("cell").isNotNull()).select(*bucket, "cell", F.col(lat).cast("double").alias("lat"), F.col(lon).cast("double").alias("lon"))
+    usable = usable.dropna(subset=bucket)
+    most = usable.groupBy(*bucket).count().agg(F.max("count")).first()[0] or 0
+    if most <= min(_FEW, together):
+        arrays = usable.groupBy(*bucket).agg(F.collect_list(F.struct("cell", "lat", "lon")).alias("_cells"))
+        near = lambda y, x: F.when(is_finite(y) & is_finite(x), F.array_min(F.transform("_cells", lambda c: F.struct(square_distance(y, x, c["lat"], c["lon"]).alias("d2"), c["cell"].alias("cell")))))
+        if not ring:
+            best = points.join(arrays, bucket, "left").withColumn("_b", near(F.col(lat), F.col(lon)))
+            return best.select(*points.columns, F.col("_b.cell").alias("cell"), F.col("_b.d2").alias("d2"))
+        side = points.groupBy(*points.columns).agg(F.count("*").cast("int").alias("_n")).select(F.struct(*points.columns).alias("_row"), "_n", *bucket)
         around = F.sequence(F.lit(-ring), F.lit(ring))
         for b in bucket:
             side = side.withColumn("_d", F.explode(around)).withColumn(b, F.col(b) + F.col("_d")).drop("_d")
-    best = side.join(arrays, bucket, "left").groupBy("_row", "_n").agg(F.min(near(F.col(f"_row.{lat}"), F.col(f"_row.{lon}"))).alias("_b"))
-    return best.select("_row.*", F.col("_b.cell").alias("cell"), F.col("_b.d2").alias("d2"), F.explode(F.array_repeat(F.lit(0), F.col("_n"))).alias("_i")).drop("_i")
+        # the arrays end here, before the grouping sorts its rows
+        met = side.join(arrays, bucket, "left").select("_row", "_n", near(F.col(f"_row.{lat}"), F.col(f"_row.{lon}")).alias("_b"))
+        best = met.groupBy("_row", "_n").agg(F.min("_b").alias("_b"))
+        return best.select("_row.*", F.col("_b.cell").alias("cell"), F.col("_b.d2").alias("d2"), F.explode(F.array_repeat(F.lit(0), F.col("_n"))).alias("_i")).drop("_i")
+    return _with_nearest(points, usable, bucket, lat, lon, ring, together)
+
+
+_FEW = 16
+
+
+def _with_nearest(points: DataFrame, usable: DataFrame, keys: list[str], lat: str, lon: str, ring: int, together: int) -> DataFrame:
+    """points with cell and d2 of nearest_of their places, NULL where there is none."""
+    places = points.where(is_finite(lat) & is_finite(lon))
+    places = places.dropna(subset=keys) if keys else places
+    found = nearest_of(places.select(*keys, F.col(lat).cast("double").alias("lat"), F.col(lon).cast("double").alias("lon")), usable, keys, ring, together)
+    mine = [f"_k{i}" for i in range(len(keys))]
+    found = found.select(*[F.col(k).alias(m) for k, m in zip(keys, mine, strict=True)], F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), "cell", "d2")
+    same = (F.col(f"_p.{lat}").cast("double") == F.col("_lat")) & (F.col(f"_p.{lon}").cast("double") == F.col("_lon"))
+    for k, m in zip(keys, mine, strict=True):
+        same = same & (F.col(f"_p.{k}") == F.col(m))
+    return points.select(F.struct(*points.columns).alias("_p")).join(found, same, "left").select("_p.*", "cell", "d2")
 
 
 def nearest_anywhere(points: DataFrame, cells: DataFrame, lat: str = "lat", lon: str = "lon", *, step: float = 0.1, together: int = 1024) -> DataFrame:
