@@ -11,7 +11,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.folders import written
 from ..functions.scalars import axis, idw_weight, is_finite, km_pitch, square_distance
 from .nearest import nearest_of
 
@@ -226,46 +225,12 @@ def _with_nearest(points: DataFrame, usable: DataFrame, keys: list[str], lat: st
     return points.select(F.struct(*points.columns).alias("_p")).join(found, same, "left").select("_p.*", "cell", "d2")
 
 
-def nearest_anywhere(points: DataFrame, cells: DataFrame, lat: str = "lat", lon: str = "lon", *, step: float = 0.1, together: int = 1024) -> DataFrame:
+def nearest_anywhere(points: DataFrame, cells: DataFrame, lat: str = "lat", lon: str = "lon", *, step: float = 0.1, together: int = 256) -> DataFrame:
     """points with the nearest of all cells and its squared distance, ties to the smaller cell; no bucket has to hold one.
 
-    cells has cell, lat, lon.  Places are cut into buckets of ``step``; a place meets the cells of the nine buckets
-    around it.  What is nearer than the edge of those buckets is certainly the nearest; places without such a
-    cell go on with buckets twice as wide, so the number of turns grows with the logarithm of the extent.  Equal places
-    are searched once.  NULL coordinates, and a table without cells, give NULL.
+    cells has cell, lat, lon.  Places and cells meet in runs (see nearest_of), which follow how close the cells lie, so ``step``, the
+    width of the former buckets, no longer matters.  Equal places are searched once.  NULL coordinates, and a table without
+    cells, give NULL.
     """
-    spark = points.sparkSession
-    usable = cells.where(is_finite(lat) & is_finite(lon) & F.col("cell").isNotNull()).select("cell", F.col(lat).alias("lat"), F.col(lon).alias("lon"))
-    left = written(points.where(is_finite(lat) & is_finite(lon)).select(F.col(lat).alias("_lat"), F.col(lon).alias("_lon")).distinct(), "places")
-    ends = lambda df, a, b: df.agg(F.min(a), F.max(a), F.min(b), F.max(b)).first()
-    mine, theirs = ends(left, "_lat", "_lon"), ends(usable, "lat", "lon")
-    kind = usable.schema["cell"].dataType
-    found: DataFrame = spark.createDataFrame([], T.StructType([T.StructField("_lat", T.DoubleType()), T.StructField("_lon", T.DoubleType()), T.StructField("d2", T.DoubleType()), T.StructField("cell", kind)]))
-    if mine[0] is not None and theirs[0] is not None:
-        extent = max(max(mine[1], theirs[1]) - min(mine[0], theirs[0]), max(mine[3], theirs[3]) - min(mine[2], theirs[2]))
-        bucket = lambda c, at: F.floor((F.col(c) - at) / width)
-        south, west, width = min(mine[0], theirs[0]), min(mine[2], theirs[2]), step
-        near = lambda: F.array_min(F.transform("_cells", lambda c: F.struct(square_distance(F.col("_lat"), F.col("_lon"), c["lat"], c["lon"]).alias("d2"), c["cell"].alias("cell"))))
-        while True:
-            last = width > extent
-            # the arrays of a bucket hold up to so many cells each, so a crowded bucket is many rows
-            placed = usable.withColumns({"_y": bucket("lat", south), "_x": bucket("lon", west)})
-            part = F.floor((F.row_number().over(Window.partitionBy("_y", "_x").orderBy("cell")) - 1) / together)
-            arrays = placed.withColumn("_part", part).groupBy("_y", "_x", "_part").agg(F.collect_list(F.struct("cell", "lat", "lon")).alias("_cells"))
-            around = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
-            asked = left.withColumns({"_by": bucket("_lat", south), "_bx": bucket("_lon", west)}).withColumn("_o", around)
-            asked = asked.select("_lat", "_lon", (F.col("_by") + F.col("_o.i")).alias("_y"), (F.col("_bx") + F.col("_o.j")).alias("_x"))
-            best = asked.join(arrays, ["_y", "_x"]).groupBy("_lat", "_lon").agg(F.min(near()).alias("_b"))
-            off = lambda c, at: F.pmod(F.col(c) - at, F.lit(width))
-            edge = width + F.least(*[e for c, at in (("_lat", south), ("_lon", west)) for e in (off(c, at), width - off(c, at))])
-            sure = F.lit(True) if last else F.col("_b.d2") <= (edge * (1 - 1e-9)) * (edge * (1 - 1e-9))
-            done = written(best.where(sure).select("_lat", "_lon", "_b.d2", "_b.cell"), "nearest")
-            found = found.unionByName(done)
-            if last:
-                break
-            left = written(left.join(done, ["_lat", "_lon"], "left_anti"), "places")
-            if left.isEmpty():
-                break
-            width *= 2
-    same = (F.col(f"_p.{lat}") == F.col("_lat")) & (F.col(f"_p.{lon}") == F.col("_lon"))
-    return points.select(F.struct(*points.columns).alias("_p")).join(found, same, "left").select("_p.*", "cell", "d2")
+    usable = cells.where(is_finite(lat) & is_finite(lon) & F.col("cell").isNotNull()).select("cell", F.col(lat).cast("double").alias("lat"), F.col(lon).cast("double").alias("lon"))
+    return _with_nearest(points, usable, [], lat, lon, 0, together)

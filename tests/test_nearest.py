@@ -30,3 +30,20 @@ def test_crowded_buckets_meet_in_runs(spark, ring):
     want = sorted((p, brute([p[1:]], reach[p[0]])[0]) for p in places if reach[p[0]])
     assert got == want
     assert [(r.cell, r.d2) for r in df.where("lat IS NULL").collect()] == [(None, None)] and df.count() == len(places) + 1
+
+
+def test_far_places_meet_few_cells(spark):
+    """Cells fill a corner and two places elsewhere; most places are far off, where wider and wider buckets held nearly all cells."""
+    from skylattice.operators import nearest as N
+
+    rng = np.random.default_rng(5)
+    cells = [(int(i), float(y), float(x)) for i, (y, x) in enumerate(np.r_[rng.integers(0, 500, (8000, 2)) / 100, [[40.0, 40.0], [40.0, 40.0], [-1e6, 3.0]]])]
+    places = [(float(y), float(x)) for y, x in np.r_[rng.integers(0, 2000, (4000, 2)) / 100, [[1e9, -1e9]]]]
+    got = G.nearest_anywhere(spark.createDataFrame(places, "lat double, lon double"), spark.createDataFrame(cells, "cell long, lat double, lon double")).collect()
+    assert sorted(((r.lat, r.lon), (r.d2, r.cell)) for r in got) == sorted(zip(places, brute(places, cells), strict=True))
+    met = []
+    for n in (1, 4):  # with four times the rows in the same area a run meets fewer than four times the runs
+        places, cells = rng.uniform(0, 20, (3000 * n, 2)).tolist(), [[i, *c] for i, c in enumerate(rng.uniform(0, 5, (1500 * n, 2)).tolist())]
+        mine, others = (N._runs(spark.createDataFrame(rows, schema), [], 32) for rows, schema in ((places, "lat double, lon double"), (cells, "cell long, lat double, lon double")))
+        met.append(N._candidates(mine, others, [], [], 0).agg(F.avg(F.size("met"))).first()[0])
+    assert met[1] < 3 * met[0]
