@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -129,18 +130,28 @@ def lower_envelope(x: np.ndarray, height: np.ndarray) -> np.ndarray:
     return sites[np.array(kept)[np.searchsorted(since, x, "left") - 1]]
 
 
+_ROWS = 4096
+
+
 def distance_to_zero(cells: DataFrame, keys: list[str], pitch_y: float, pitch_x: float) -> DataFrame:
     """Exact distance of each cell to the nearest cell of value 0 of its key; NULL if there is none.
 
-    A key's cells are a whole grid.  First, within columns, the nearest zero row above or below (windows); then each row is
-    one array, on which the lower envelope of the columns' parabolas gives the nearest column: steps in proportion to the
-    cells, and a row's array is all that a task holds.
+    A key's cells are a whole grid.  First, within columns, the nearest zero row above or below: running extremes within blocks of
+    rows, and those of the blocks before and behind.  Then each row is one array, on which the lower envelope of the columns'
+    parabolas gives the nearest column: steps in proportion to the cells, and a row's array or a block of a column is all
+    that a task holds.
     """
-    w = Window.partitionBy(*keys, "x").orderBy("y")
-    zero = F.when(F.col("value") == 0, F.col("y"))
-    up = F.last(zero, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    down = F.first(zero, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    vertical = cells.select(*keys, "y", F.struct("x", F.least(F.col("y") - up, down - F.col("y")).cast("double").alias("dy")).alias("_c"))
+    column = [*keys, "x"]
+    placed = cells.select(*keys, "y", "x", F.floor(F.col("y") / _ROWS).alias("_block"), F.when(F.col("value") == 0, F.col("y")).alias("_zero"))
+    # both ways a frame grows with its row: one that ends at the last row is summed anew for every row
+    grown = lambda order: Window.partitionBy(*column, "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    inside = placed.withColumns({"_up": F.max("_zero").over(grown(F.asc("y"))), "_down": F.min("_zero").over(grown(F.desc("y")))})
+    past = lambda order: Window.partitionBy(*column).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    blocks = placed.groupBy(*column, "_block").agg(F.max("_zero").alias("_high"), F.min("_zero").alias("_low"))
+    beyond = blocks.select(*[F.col(c).alias(f"_of_{c}") for c in (*column, "_block")], F.max("_high").over(past(F.asc("_block"))).alias("_before"), F.min("_low").over(past(F.desc("_block"))).alias("_behind"))
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in (*column, "_block")])
+    up, down = F.coalesce("_up", "_before"), F.coalesce("_down", "_behind")
+    vertical = inside.join(beyond, same, "left").select(*keys, "y", F.struct("x", F.least(F.col("y") - up, down - F.col("y")).cast("double").alias("dy")).alias("_c"))
     rows = vertical.groupBy(*keys, "y").agg(F.sort_array(F.collect_list("_c")).alias("_c"))
     n = len(rows.columns) - 1
 

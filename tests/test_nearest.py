@@ -47,3 +47,17 @@ def test_far_places_meet_few_cells(spark):
         mine, others = (N._runs(spark.createDataFrame(rows, schema), [], 32) for rows, schema in ((places, "lat double, lon double"), (cells, "cell long, lat double, lon double")))
         met.append(N._candidates(mine, others, [], [], 0).agg(F.avg(F.size("met"))).first()[0])
     assert met[1] < 3 * met[0]
+
+
+def test_distance_over_blocks_of_rows_grows_no_frame_to_the_end(spark, monkeypatch):
+    """Tall fields with zeros in few blocks, a key that is NULL and one without zeros; every frame of the plan starts at the first row and ends before the last."""
+    rng = np.random.default_rng(7)
+    monkeypatch.setattr(G, "_ROWS", 5)
+    cells = [(k, int(y), x, 0.0 if k != 2 and rng.random() < (0.2 if 20 <= y < 26 or y == 47 else 0) else 1.0) for k in (1, 2, None) for y in range(-8, 60) for x in range(4)]
+    df = G.distance_to_zero(spark.createDataFrame(cells, "k int, y int, x int, value double"), ["k"], 2.0, 3.0)
+    assert "unboundedfollowing" not in df._jdf.queryExecution().toString().lower()
+    got = {(r.k, r.y, r.x): r.distance for r in df.collect()}
+    assert len(got) == len(cells)
+    for k, y, x, _ in cells:
+        ways = [(y - b) ** 2 * 4.0 + (x - c) ** 2 * 9.0 for a, b, c, v in cells if a == k and v == 0]
+        assert got[k, y, x] == (pytest.approx(min(ways) ** 0.5) if ways else None)
