@@ -61,3 +61,34 @@ def test_empty_and_lonely(spark):
 def test_scores_past_64_bits_are_refused(spark):
     with pytest.raises(Exception, match="64 bits"):
         mined(spark, [(0, [1e30], 1), (1, [1.0], 1)])
+
+
+def test_copies_are_one_entry_and_an_anchor_is_searched_once(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    kinds = rng.normal(size=(24, 8)).astype(np.float32).tolist()
+    rows = [(i, kinds[i % 24], i // 24 % 2) for i in range(1200)] + [(1200 + i, rng.normal(size=8).astype(np.float32).tolist(), i % 2) for i in range(100)]
+    seen = {"blocks": [], "wanted": []}
+
+    def written(df, name, write=hardnegatives.written):
+        out = write(df, name)
+        if name in seen:
+            seen[name].append(out.selectExpr("sum(octet_length(vectors))").first()[0] if name == "blocks" else out.count())
+        return out
+
+    monkeypatch.setattr(hardnegatives, "written", written)
+    want = brute(rows)
+    assert mined(spark, rows) == want
+    assert seen["blocks"] == [(24 * 2 + 100) * 8 * 2]  # a number of 2 bytes for each component of an entry
+    assert seen["wanted"] == [len({r[0] for r in want})]
+
+
+@pytest.mark.parametrize("more", [{}, {"sample": 5}, {"positives": 2, "negatives": 3}])
+@pytest.mark.parametrize("labels", [3, 200])
+def test_many_groups_small_blocks_and_shared_ids(spark, labels, more, monkeypatch):
+    for name, value in (("GROUP", 3000), ("BLOCK", 256), ("CHUNK", 8)):
+        monkeypatch.setattr(hardnegatives, name, value, raising=False)
+    rng = np.random.default_rng(7)
+    centres = rng.normal(size=(40, 6))
+    rows = [(i // 2 * 2 if i % 9 == 0 else i, (centres[i % 40] + rng.normal(size=6) * 0.1).astype(np.float32).tolist(), int(rng.integers(0, labels))) for i in range(800)]
+    rows += [(900 + i, [float(x) for x in rng.integers(-1, 2, 6) / 16], i % labels) for i in range(400)]  # many ties
+    assert mined(spark, rows, **more) == brute(rows, **{k: v for k, v in more.items() if k != "sample"})
