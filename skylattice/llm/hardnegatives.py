@@ -399,7 +399,7 @@ def _scan(queries: DataFrame, index: DataFrame, geometries, k: int, same_label:
         if group:
             yield from group.found()
 
-    return asked.unionByName(stored).repartitionById(groups * parts, F.col("slot")).sortWithinPartitions("slot", "kind").drop("block").mapInArrow(run, "q long, ids array<long>, scores array<long>")
+    return asked.unionByName(stored).repartitionById(groups * parts, F.col("slot")).sortWithinPartitions("slot", "kind").mapInArrow(run, "q long, ids array<long>, scores array<long>")
 
 
 def search(queries: DataFrame, index: DataFrame, geometries, k: int, same_label: bool, ranges: int) -> DataFrame:
@@ -463,6 +463,7 @@ def hard_negatives(vectors: DataFrame, anchors: Column, id_col: str = "vec_id",
     index = _blocks(rows, geometries, max(positives, negatives) + 1)
     low, high = F.lit(-(2**62)).cast("long"), F.lit(2**62).cast("long")
     asked = written(rows.where("asked").dropDuplicates(["id", "label", "dims", "vector"]).select(F.monotonically_increasing_id().alias("q"), F.col("id").alias("own"), "label", "dims", "vector"), "anchors")
+    drop_written(rows)
     first = search(asked.withColumns({"of": F.array(F.lit(0).cast("long")), "least": F.array(low), "most": F.array(high)}), index, geometries, positives, True, 1)
     pairs = first.select("q", F.col("id").alias("positive_id"), F.col("score").alias("positive_score"))
     whole = lambda n: f"({n} * positive_score - pmod({n} * positive_score, {of}L)) div {of}L"
@@ -470,5 +471,7 @@ def hard_negatives(vectors: DataFrame, anchors: Column, id_col: str = "vec_id",
     ranges = bounds.groupBy("q").agg(F.sort_array(F.collect_list(F.struct("positive_score", "least", "most")), False).alias("r"))
     wanted = written(asked.join(ranges, "q").select(*asked.columns, F.col("r.positive_score").alias("of"), F.col("r.least").alias("least"), F.col("r.most").alias("most")), "wanted")
     second = search(wanted, index, geometries, negatives, False, positives)
+    for table in (index, wanted):
+        drop_written(table)
     found = second.withColumnRenamed("of", "positive_score").join(pairs, ["q", "positive_score"]).join(asked.select("q", F.col("own").alias("anchor_id")), "q")
     return found.select("anchor_id", "positive_id", "rank", F.col("id").alias("negative_id"), "positive_score", F.col("score").alias("negative_score"))

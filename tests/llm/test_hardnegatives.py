@@ -92,3 +92,11 @@ def test_many_groups_small_blocks_and_shared_ids(spark, labels, more, monkeypatc
     rows = [(i // 2 * 2 if i % 9 == 0 else i, (centres[i % 40] + rng.normal(size=6) * 0.1).astype(np.float32).tolist(), int(rng.integers(0, labels))) for i in range(800)]
     rows += [(900 + i, [float(x) for x in rng.integers(-1, 2, 6) / 16], i % labels) for i in range(400)]  # many ties
     assert mined(spark, rows, **more) == brute(rows, **{k: v for k, v in more.items() if k != "sample"})
+
+
+def test_scores_past_the_whole_numbers_of_doubles(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, (rng.integers(-300_000, 300_000, 5)).astype(float).tolist(), i % 3) for i in range(300)]
+    want = brute(rows)
+    assert max(r[4] for r in want) > 2**53
+    assert mined(spark, rows) == want
