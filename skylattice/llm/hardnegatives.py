@@ -357,7 +357,7 @@ def _scan(queries: DataFrame, index: DataFrame, geometries, k: int, same_label:
     sizes = {r.dims: -(-r["count"] // together(r.dims)) for r in counts}
     begins = dict(zip(sizes, np.cumsum([0, *sizes.values()]).tolist(), strict=False))
     groups, tasks = max(1, sum(sizes.values())), max(32, 4 * spark.sparkContext.defaultParallelism)
-    parts = max(1, min(index.count(), -(-tasks // groups)))
+    parts = max(1, min(-(-index.count() // 8), -(-tasks // groups)))  # a few blocks are not worth a task
     directory = spark.createDataFrame([(d, begins[d], n) for d, n in sizes.items()], "dims int, begin int, groups int")  # a row for each length of vectors
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -376,7 +376,7 @@ def _scan(queries: DataFrame, index: DataFrame, geometries, k: int, same_label:
                     yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, (pa.int32(), pa.int32(), *[pa.binary()] * 5), strict=True)], names=["group", "dims", "labels", "counts", "ids", "vectors", "ball"])
 
     dealt = queries.join(F.broadcast(directory), "dims").select((F.col("begin") + F.pmod(F.xxhash64("q"), F.col("groups"))).cast("int").alias("group"), "dims", "q", "own", "label", "vector", "least", "most")
-    packs = dealt.repartition(tasks, "q").sortWithinPartitions("group", "dims").mapInArrow(packed, "group int, dims int, labels binary, counts binary, ids binary, vectors binary, ball binary")
+    packs = dealt.repartition(max(1, min(tasks, -(-sum(r["count"] for r in counts) // 256))), "q").sortWithinPartitions("group", "dims").mapInArrow(packed, "group int, dims int, labels binary, counts binary, ids binary, vectors binary, ball binary")
     columns = ["dims", "labels", "counts", "ids", "vectors", "ball"]
     asked = packs.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).select((F.col("group") * parts + F.col("part")).alias("slot"), F.lit(0).alias("kind"), *columns)
     each = F.explode(F.sequence(F.col("begin"), F.col("begin") + F.col("groups") - 1)).alias("group")
